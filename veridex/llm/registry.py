@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing
+from . import bpe, exact_dedup, language_id, ngram_join, packing, pii, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
+    "op3_language_id": language_id.query,
+    "op4_ngram_jaccard_join": ngram_join.query,
     "op6_bpe_round_trip": bpe.query,
     "op8_best_fit_packing": packing.query,
+    "op9_toxicity": toxicity.query,
+    "op10_pii": pii.query,
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op2_exact_dedup": exact_dedup.SQL, "op4_ngram_jaccard_join": ngram_join.SQL}
