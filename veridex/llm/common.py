@@ -94,3 +94,25 @@ def components(edges: DataFrame) -> DataFrame:
         seen = new
     labels = now.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("id"), "label")
     return labels.unionByName(labels.select(F.col("label").alias("id"), "label").distinct())
+
+
+#: At most so many 8-byte keys are broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like cut(), for wide rows: a Parquet table in the shared checkpoint folder."""
+    import uuid
+
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veridex-checkpoint-"))
+    path = f"{sc.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs but for the rows whose doc_id is in dropped; the ids are broadcast while they are few."""
+    dropped = cut(dropped.select("doc_id").distinct())
+    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, "doc_id", "left_anti").select(docs.columns)

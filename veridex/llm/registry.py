@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, ngram_join, packing, pii, toxicity
+from . import bpe, exact_dedup, importance, language_id, ngram_join, packing, pii, substring_dedup, topk_search, toxicity
 
 QUERIES = {
+    "op1_importance_resampling": importance.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_language_id": language_id.query,
     "op4_ngram_jaccard_join": ngram_join.query,
+    "op5_exact_topk": topk_search.query,
     "op6_bpe_round_trip": bpe.query,
+    "op7_substring_dedup": substring_dedup.query,
     "op8_best_fit_packing": packing.query,
     "op9_toxicity": toxicity.query,
     "op10_pii": pii.query,
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.SQL, "op4_ngram_jaccard_join": ngram_join.SQL}
+ORACLES = {"op2_exact_dedup": exact_dedup.SQL, "op4_ngram_jaccard_join": ngram_join.SQL, "op5_exact_topk": topk_search.SQL}

@@ -170,3 +170,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows that the calibrated threshold rejects; labels of all its documents may be learned from."""
+    sample = labelled_sample(docs, labels)
+    model = fit([t for t, _ in sample], [y for _, y in sample])
+    weights, border = np.array(model.weights), math.log(model.reject_at / (1 - model.reject_at))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = strings(batch.column(batch.schema.get_field_index("text")))
+            yield batch.filter(pa.array([float(np.dot(weights, evidence(model, t)) + model.bias) < border for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
