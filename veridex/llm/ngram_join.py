@@ -32,7 +32,7 @@ ORDERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Star rounds before the rest is tested pair by pair.
 ROUNDS = 3
 #: So many of the most frequent shingles go last in the first order; others are ordered by hash. Any order gives the same result.
-FREQUENT = 200_000
+FREQUENT = 100_000
 BROADCAST_ROWS = 500_000
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -213,9 +213,13 @@ def narrowed(df: DataFrame, keys: DataFrame, column: str, n_keys: int) -> DataFr
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
-    wide = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
-    return map_arrow(wide.select("a", "b", "x", "y"), _verify, "a long, b long")
+    """Those of the pairs (a, b) that link. Few pairs are broadcast, so that only sets of documents in a pair move."""
+    left = pairs.select("a").distinct()
+    if pairs.count() <= BROADCAST_ROWS:
+        pairs, left = F.broadcast(pairs), F.broadcast(left)
+    theirs = sets.withColumnRenamed("members", "y").join(pairs, F.col("id") == F.col("b")).select("a", "b", "y")
+    ours = sets.select(F.col("id").alias("a"), F.col("members").alias("x")).join(left, "a")
+    return map_arrow(theirs.join(ours, "a").select("a", "b", "x", "y"), _verify, "a long, b long")
 
 
 def ordered(a: Column, b: Column) -> list[Column]:
@@ -233,7 +237,11 @@ def link_classes(shared: DataFrame, sets: DataFrame) -> DataFrame | None:
         return rows.join(per.where("parts > 1").select("token", "major"), "token")
 
     for step in range(ROUNDS):
-        rows = labelled()
+        if step and labels is not None:  # tokens whose sharers lie in one component are done with
+            rows = cut(labelled())
+            shared = rows.select("token", "id", "n", "pos")
+        else:
+            rows = shared.withColumn("label", F.col("id"))
         pivot = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), F.col("id").alias("p"), F.col("n").alias("m"), F.col("label").alias("other"))).alias("x")).select("token", "x.*")
         star = rows.join(pivot, "token").where("id <> p and label <> other and 4 * least(n, m) >= 3 * greatest(n, m)").select(*ordered(F.col("id"), F.col("p"))).distinct()
         star = cut(star if tested is None else star.join(tested, ["a", "b"], "left_anti"))
@@ -261,10 +269,10 @@ def near_duplicate_components(docs: DataFrame, salts: int = 64) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("row_key"), text.alias("text"))
     survey = cut(map_arrow(rows, _survey, "kind int, doc_id long, row_key long, n long, d1 long, d2 long"))
-    found = survey.where("kind = 1").groupBy("row_key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "row_key").limit(FREQUENT).collect()
-    found.sort(key=lambda r: r["row_key"] & (1 << 64) - 1)
-    tokens = np.array([r["row_key"] & (1 << 64) - 1 for r in found], np.uint64)
-    levels = np.array([int(r["n"]).bit_length() for r in found], np.int8)
+    found = survey.where("kind = 1").groupBy("row_key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "row_key").limit(FREQUENT).toArrow()
+    tokens = found["row_key"].to_numpy().astype(np.int64).view(np.uint64)
+    levels = np.ceil(np.log2(found["n"].to_numpy() + 1.0)).astype(np.int8)
+    tokens, levels = tokens[order := tokens.argsort()], levels[order]
     each = survey.where("kind = 0").withColumn("salt", F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(salts)))
     part = each.where("n > 0").groupBy("d1", "d2", "salt").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row_key"))).alias("x"))
     classes = cut(part.groupBy("d1", "d2").agg(F.min("x").alias("x"), F.collect_list("salt").alias("salts")).select("d1", "d2", F.col("x.doc_id").alias("id"), F.col("x.row_key").alias("row_key"), "salts"))
