@@ -5,9 +5,9 @@ each class goes on. If two sets reach the threshold, their prefixes (first token
 first order has frequent tokens last; documents that share a prefix token under it are candidates, within the bounds that
 size and position set. Before a candidate pair is verified, it must also share prefix tokens under further orders.
 
-Only connected components are asked for, so pairs inside a component that is known already need no test. Each round tests the
-members of every group of sharers against one of them, and groups are left out once they lie in one component. What is
-still apart after these rounds is tested pair by pair: all pairs of different components that share a token.
+Only connected components are asked for, so pairs inside a component that is known already need no test. In each round every
+document is tested against one of its sharers, the same one for many, and groups of sharers are left out once they lie in one
+component. What is still apart after these rounds is tested pair by pair: all pairs of different components that share a token.
 
 Null and empty texts have no shingles and are linked with nothing; up to four words are one shingle. Repeated rows fall in
 one class. A row without doc_id takes part only through rows of its class that have one; without any, its component is
@@ -30,7 +30,7 @@ STEP, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Further token orders that a candidate pair must pass, each by its own mixing constant.
 ORDERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Star rounds before the rest is tested pair by pair.
-ROUNDS = 3
+ROUNDS = 4
 #: So many of the most frequent shingles go last in the first order; others are ordered by hash. Any order gives the same result.
 FREQUENT = 100_000
 BROADCAST_ROWS = 500_000
@@ -243,7 +243,9 @@ def link_classes(shared: DataFrame, sets: DataFrame) -> DataFrame | None:
         else:
             rows = shared.withColumn("label", F.col("id"))
         pivot = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), F.col("id").alias("p"), F.col("n").alias("m"), F.col("label").alias("other"))).alias("x")).select("token", "x.*")
-        star = rows.join(pivot, "token").where("id <> p and label <> other and 4 * least(n, m) >= 3 * greatest(n, m)").select(*ordered(F.col("id"), F.col("p"))).distinct()
+        star = rows.join(pivot, "token").where("id <> p and label <> other and 4 * least(n, m) >= 3 * greatest(n, m)")
+        # one test a document and round: with the pivot of smallest hash among those of its tokens
+        star = star.groupBy("id").agg(F.min_by("p", "h").alias("p")).select(*ordered(F.col("id"), F.col("p"))).distinct()
         star = cut(star if tested is None else star.join(tested, ["a", "b"], "left_anti"))
         if star.isEmpty():
             continue
