@@ -129,8 +129,11 @@ def exact_groups(docs: DataFrame, chunk_chars: int = 1 << 14, salts: int = 64) -
     chunks = bare.select("print", F.expr(f"explode(transform(sequence(0, int(length(text) div {chunk_chars})), i -> struct(i as i, substring(text, i * {chunk_chars} + 1, {chunk_chars}) as part)))").alias("x"))
     # smallest and largest are kept for each task first, so a large group moves a row a task and chunk
     compared = chunks.groupBy("print", "x.i").agg(F.min("x.part").alias("low"), F.max("x.part").alias("high"))
-    differ = compared.where("low <> high").select("print.*").distinct().withColumn("differ", F.lit(True))
-    prints = prints.join(differ, key, "left").withColumn("split", F.when(F.col("differ"), F.col("text_sha256")).otherwise("")).drop("differ")
+    differ = cut(compared.where("low <> high").select("print.*").distinct().withColumn("differ", F.lit(True)))
+    n_differ = differ.count()  # none, unless fingerprints of different texts are equal
+    if n_differ:
+        prints = prints.join(F.broadcast(differ) if n_differ <= BROADCAST_ROWS // 8 else differ, key, "left")
+    prints = prints.withColumn("split", F.when(F.col("differ"), F.col("text_sha256")).otherwise("") if n_differ else F.lit(""))
     key = [*key, "split"]
     rows = prints.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts)))
     best = F.max(F.struct("points", F.bitwise_not("doc_id").alias("back"), F.bitwise_not("uid").alias("row")))
