@@ -1,8 +1,12 @@
-"""Queries of the library by name, and the DuckDB SQL for the same results."""
+"""Queries of the library by name, and the SQL for the same results."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+from .operators import retrieval, text, versions
+from .plans.run import oracle, query
+
+OPERATORS = retrieval.OPERATORS | versions.OPERATORS | text.OPERATORS
+QUERIES: dict[str, Callable] = {name: query(build) for name, build in OPERATORS.items()}
+ORACLES: dict[str, str] = {name: oracle(build) for name, build in OPERATORS.items()}
