@@ -30,13 +30,13 @@ OPERATORS = {
     "html_blocks": lambda d: f"""WITH clean AS (SELECT page_id, {d.replaced(d.replaced(d.replaced(d.replaced(d.replaced("lower(html)", "<script[^>]*>[^<]*</script>", " "), "<style[^>]*>[^<]*</style>", " "), "<nav[^>]*>.*?</nav>", " "), "<header[^>]*>.*?</header>", " "), "<footer[^>]*>.*?</footer>", " ")} AS html FROM @pages),
         parts AS (SELECT page_id, place, part FROM {d.each("(SELECT page_id, replace(replace(replace(replace(replace(html, '<p', concat(chr(1), '<p')), '<li', concat(chr(1), '<li')), '<blockquote', concat(chr(1), '<blockquote')), '<h1', concat(chr(1), '<h1')), '<h2', concat(chr(1), '<h2')) AS html FROM clean)", d.split("html", chr(1)), "place", "part")} q),
         named AS (SELECT page_id, place, {d.first_match("part", "^<(p|li|blockquote|h1|h2)[ >]", 1)} AS tag, trim({d.replaced(d.replaced("part", "<[^>]*>", " "), "[ " + chr(10) + chr(9) + "]+", " ")}) AS text FROM parts)
-        SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY place) AS BIGINT) - 1 AS ordinal, tag, {d.sha("text")} AS text_sha, length(text) AS n_chars FROM named WHERE tag IN ('p', 'li', 'blockquote') AND text <> ''""",
+        SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY place) AS BIGINT) - 1 AS ordinal, tag, {d.sha("text")} AS text_sha, CAST(length(text) AS BIGINT) AS n_chars FROM named WHERE tag IN ('p', 'li', 'blockquote') AND text <> ''""",
     "page_blocks": lambda d: f"""WITH page AS (SELECT doc_id, place + 1 AS page, trim(line) AS text FROM {d.each("@documents", d.lines("CASE WHEN doc_id % 50 = 0 THEN '   ' ELSE text END"), "place", "line")} q), filled AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page) AS BIGINT) - 1 AS ordinal FROM page WHERE text <> '')
-        SELECT x.doc_id, f.ordinal, f.page, length(f.text) AS n_chars, CASE WHEN f.doc_id IS NULL THEN 'NEEDS_OCR' ELSE 'OK' END AS status FROM @documents x LEFT JOIN filled f ON f.doc_id = x.doc_id""",
-    "table_row_blocks": lambda d: f"""WITH cell AS (SELECT l_orderkey, col, trim(cell) AS cell FROM {d.each("(SELECT l_orderkey, l_linenumber, concat(CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_shipmode END, '|', CASE WHEN l_orderkey % 4 = 0 THEN '' ELSE l_returnflag END, '|', l_linestatus, '|', CASE WHEN l_orderkey % 2 = 0 THEN '' ELSE l_shipmode END) AS row FROM @lineitem WHERE l_linenumber = 1)", d.split("row", "|"), "col", "cell")} q),
-        bound AS (SELECT *, min(CASE WHEN cell <> '' THEN col END) OVER (PARTITION BY l_orderkey) AS first_col, max(CASE WHEN cell <> '' THEN col END) OVER (PARTITION BY l_orderkey) AS last_col FROM cell),
-        span AS (SELECT *, CAST(coalesce(sum(length(cell) + 3) OVER (PARTITION BY l_orderkey ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start FROM bound WHERE col BETWEEN first_col AND last_col)
-        SELECT l_orderkey, {d.joined("cell", "col", " | ")} AS text, {d.joined("concat(CAST(char_start AS STRING), '-', CAST(char_start + length(cell) AS STRING))", "col")} AS spans FROM span GROUP BY l_orderkey""",
+        SELECT x.doc_id, f.ordinal, f.page, CAST(length(f.text) AS BIGINT) AS n_chars, CASE WHEN f.doc_id IS NULL THEN 'NEEDS_OCR' ELSE 'OK' END AS status FROM @documents x LEFT JOIN filled f ON f.doc_id = x.doc_id""",
+    "table_row_blocks": lambda d: f"""WITH cell AS (SELECT row_id, col, trim(cell) AS cell FROM {d.each("(SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(l_quantity AS STRING)) AS row_id, concat(CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE concat('p', CAST(l_partkey AS STRING)) END, '|', CASE WHEN l_orderkey % 4 = 0 THEN '' ELSE l_returnflag END, '|', l_linestatus, '|', CASE WHEN l_orderkey % 2 = 0 THEN '' ELSE concat('s', CAST(l_suppkey AS STRING)) END) AS row FROM @lineitem WHERE l_linenumber = 1)", d.split("row", "|"), "col", "cell")} q),
+        bound AS (SELECT *, min(CASE WHEN cell <> '' THEN col END) OVER (PARTITION BY row_id) AS first_col, max(CASE WHEN cell <> '' THEN col END) OVER (PARTITION BY row_id) AS last_col FROM cell),
+        span AS (SELECT *, CAST(coalesce(sum(length(cell) + 3) OVER (PARTITION BY row_id ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start FROM bound WHERE col BETWEEN first_col AND last_col)
+        SELECT row_id, {d.joined("cell", "col", " | ")} AS text, {d.joined("concat(CAST(char_start AS STRING), '-', CAST(char_start + length(cell) AS STRING))", "col")} AS spans FROM span GROUP BY row_id""",
     "token_count": lambda d: f"SELECT doc_id, {tokens(d)} AS tokens FROM @documents",
     "split_oversized_blocks": lambda d: f"""SELECT doc_id, piece, piece * {WINDOW - OVERLAP} AS first_token, least(piece * {WINDOW - OVERLAP} + {WINDOW}, tokens) AS end_token FROM {d.numbers(f"(SELECT doc_id, {tokens(d)} AS tokens FROM @documents)", "0", f"CAST(greatest(ceil((tokens - {WINDOW}) / {WINDOW - OVERLAP}.0E0), 0) AS BIGINT)", "piece")} q WHERE tokens > 0""",
     "chunk_identity": lambda d: f"SELECT c.chunk_id, c.chunk_index, {d.sha('c.line')} AS text_hash, {d.sha('concat(x.title, chr(10), chr(10), c.line)')} AS model_input_hash FROM @chunk c JOIN @document x ON x.document_id = c.document_id",

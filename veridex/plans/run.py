@@ -49,7 +49,7 @@ def oracle(text: Callable) -> str:
                 parts[n] = own
         return NAME.sub(r"\1", sql)
 
-    sql = need(text(DUCK)).strip()
+    sql = need(text(DUCK)).strip().replace("count_if(", "count(*) FILTER (WHERE ")  # whose count is a plain long there
     head = ", ".join(f"{n} AS MATERIALIZED ({s})" for n, s in parts.items())
     if not head:
         return sql
