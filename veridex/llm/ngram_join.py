@@ -3,7 +3,8 @@
 A document is the set of its distinct five-word shingles (64-bit hashes). Equal sets form one class, and only one document of
 each class goes on. If two sets reach the threshold, their prefixes (first tokens under any fixed order) share a token. The
 first order has frequent tokens last; documents that share a prefix token under it are candidates, within the bounds that
-size and position set. Before a candidate pair is verified, it must also share prefix tokens under further orders.
+size and position set. Before a candidate pair is verified, the parities of the members' places must allow the overlap (a bit
+for each member, so that false candidates cost little), and it must share prefix tokens under further orders.
 
 Only connected components are asked for, so pairs inside a component that is known already need no test. In each round every
 document is tested against one of its sharers, the same one for many, and groups of sharers are left out once they lie in one
@@ -173,8 +174,31 @@ def _postings(tokens: np.ndarray, levels: np.ndarray):
     return run
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """About a bit for each member: whether an odd number of members fall in its place."""
+    places = 1 << max(6, (len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).astype(np.uint8))
+
+
+def may_link(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+    """False if the places of different parity show that too few members are common; these are in one of the sets only."""
+    if 4 * min(n, m) < 3 * max(n, m):
+        return False
+    if len(x) > len(y):
+        x, y = y, x
+    odd = int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), 0)).sum())
+    return (n + m - odd) // 2 >= needed(n, m)
+
+
 def _sets(batch: pa.RecordBatch) -> Iterator[dict]:
-    yield {"id": batch.column(0), "members": [s.tobytes() for s in shingle_sets(strings(batch.column(1)))]}
+    sets = shingle_sets(strings(batch.column(1)))
+    yield {"id": batch.column(0), "n": [len(s) for s in sets], "parities": [parities(s).tobytes() for s in sets], "members": [s.tobytes() for s in sets]}
+
+
+def _may(batch: pa.RecordBatch) -> Iterator[dict]:
+    rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "x", "m", "y")), strict=True)
+    keep = [(a, b) for a, b, n, x, m, y in rows if may_link(n, np.frombuffer(x, np.uint8), m, np.frombuffer(y, np.uint8))]
+    yield {"a": [a for a, _ in keep], "b": [b for _, b in keep]}
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -212,14 +236,22 @@ def narrowed(df: DataFrame, keys: DataFrame, column: str, n_keys: int) -> DataFr
     return df.join(F.broadcast(keys) if n_keys <= BROADCAST_ROWS else keys, column, "left_semi")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link. Few pairs are broadcast, so that only sets of documents in a pair move."""
+def met(pairs: DataFrame, sets: DataFrame, ours: list, theirs: list) -> DataFrame:
+    """Pairs (a, b) with columns of both sets. Few pairs are broadcast, so that only sets of documents in a pair move."""
     left = pairs.select("a").distinct()
     if pairs.count() <= BROADCAST_ROWS:
         pairs, left = F.broadcast(pairs), F.broadcast(left)
-    theirs = sets.withColumnRenamed("members", "y").join(pairs, F.col("id") == F.col("b")).select("a", "b", "y")
-    ours = sets.select(F.col("id").alias("a"), F.col("members").alias("x")).join(left, "a")
-    return map_arrow(theirs.join(ours, "a").select("a", "b", "x", "y"), _verify, "a long, b long")
+    y = sets.select(F.col("id").alias("b"), *theirs).join(pairs, "b")
+    x = sets.select(F.col("id").alias("a"), *ours).join(left, "a")
+    return y.join(x, "a")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that link: first by what parities allow, then by the sets."""
+    possible = met(pairs, sets, ["n", F.col("parities").alias("x")], [F.col("n").alias("m"), F.col("parities").alias("y")])
+    possible = cut(map_arrow(possible.select("a", "b", "n", "x", "m", "y"), _may, "a long, b long"))
+    whole = met(possible, sets, [F.col("members").alias("x")], [F.col("members").alias("y")])
+    return map_arrow(whole.select("a", "b", "x", "y"), _verify, "a long, b long")
 
 
 def ordered(a: Column, b: Column) -> list[Column]:
@@ -242,8 +274,9 @@ def link_classes(shared: DataFrame, sets: DataFrame) -> DataFrame | None:
             shared = rows.select("token", "id", "n", "pos")
         else:
             rows = shared.withColumn("label", F.col("id"))
-        pivot = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), F.col("id").alias("p"), F.col("n").alias("m"), F.col("label").alias("other"))).alias("x")).select("token", "x.*")
-        star = rows.join(pivot, "token").where("id <> p and label <> other and 4 * least(n, m) >= 3 * greatest(n, m)")
+        pivot = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), F.col("id").alias("p"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("label").alias("other"))).alias("x")).select("token", "x.*")
+        alpha = F.expr("(3 * (n + m) + 6) div 7")
+        star = rows.join(pivot, "token").where("id <> p and label <> other and 4 * least(n, m) >= 3 * greatest(n, m)").where((F.col("pos") <= F.col("n") - alpha) & (F.col("at") <= F.col("m") - alpha))
         # one test a document and round: with the pivot of smallest hash among those of its tokens
         star = star.groupBy("id").agg(F.min_by("p", "h").alias("p")).select(*ordered(F.col("id"), F.col("p"))).distinct()
         star = cut(star if tested is None else star.join(tested, ["a", "b"], "left_anti"))
@@ -287,7 +320,7 @@ def near_duplicate_components(docs: DataFrame, salts: int = 64) -> DataFrame:
     dealt = postings.withColumn("deal", F.when(F.col("frequent"), F.pmod("id", F.lit(256))).otherwise(0))
     shared = cut(dealt.withColumn("k", F.count("*").over(Window.partitionBy("token", "deal"))).where("k > 1 or frequent").select("token", "id", "n", "pos"))
     ids = cut(shared.select(F.col("id").alias("doc_id")).distinct())
-    sets = cut(map_arrow(narrowed(one_each, ids, "doc_id", ids.count()), _sets, "id long, members binary"))
+    sets = cut(map_arrow(narrowed(one_each, ids, "doc_id", ids.count()), _sets, "id long, n int, parities binary, members binary"))
     labels = link_classes(shared, sets)
     whole = classes.select("d1", "d2", F.col("id").alias("component_id"), F.explode("salts").alias("salt"))
     if labels is not None:
