@@ -41,6 +41,13 @@ def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of about size bytes, which bounds what a worker holds at once."""
+    rows = max(1, min(batch.num_rows, batch.num_rows * size // max(1, batch.nbytes)))
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[dict]], schema: str) -> DataFrame:
     """mapInArrow for functions that turn one batch into dicts of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -50,8 +57,8 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[dict]], sche
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                for out in f(batch):
+            for part in slices(batch):
+                for out in f(part):
                     yield pa.RecordBatch.from_arrays([pa.array(out[c.name], c.type) for c in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
