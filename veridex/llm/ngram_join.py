@@ -31,7 +31,7 @@ STEP, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Further token orders that a candidate pair must pass, each by its own mixing constant.
 ORDERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Star rounds before the rest is tested pair by pair.
-ROUNDS = 4
+ROUNDS = 2
 #: So many of the most frequent shingles go last in the first order; others are ordered by hash. Any order gives the same result.
 FREQUENT = 100_000
 BROADCAST_ROWS = 500_000
@@ -86,7 +86,7 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     out: list[np.ndarray] = []
     none = np.empty(0, np.uint64)
-    for a, b in text_groups(texts):
+    for a, b in text_groups(texts, 1 << 19):
         raw = [t.encode("utf-8", "replace").lower() for t in texts[a:b]]
         if b - a == 1 and len(raw[0]) > 2 << 20:
             parts = [word_hashes([s])[0] for s in _segments(raw[0])]
