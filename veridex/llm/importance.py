@@ -2,7 +2,7 @@
 target text and one of raw text, and documents are sampled without replacement by Gumbel top-k.
 
 Both models are smoothed bag distributions over hashed one- and two-word n-grams. The raw model counts all documents; the target
-model counts the documents that labels mark as good. Counts are added up by the executors, one row for each task and bucket.
+model counts a bounded sample of those that labels mark as good. Counts are added up by the executors, one row for each task and bucket.
 The kth largest noisy weight is found by narrowing histograms, so nothing grows on the driver.
 
 Null and empty texts have weight 0 before noise. Repeated rows (same id) get the same noise, and ties go to the smaller id, so that
@@ -23,6 +23,8 @@ from .ngram_join import mix, word_hashes
 
 BUCKETS = 10_000
 SMOOTHING = 1.0
+#: The target model counts about so many of the documents that labels mark as good.
+SAMPLE = 20_000
 
 
 def _cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,8 +49,11 @@ def _counts(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarray:
-    good = labels.where(F.col(label) == 1).select("doc_id").distinct().withColumn("good", F.lit(True))
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    good = labels.where(F.col(label) == 1).select("doc_id").distinct()
+    share = min(1.0, SAMPLE / max(1, good.count()))
+    # about SAMPLE ids are broadcast, however many labels there are, so that no text moves
+    good = good.where(uniform(F.col("doc_id"), F.lit(5)) < share).withColumn("good", F.lit(True))
+    marked = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     found = map_arrow(marked, _counts, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
     raw, target = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
     for b, r, t in found:
