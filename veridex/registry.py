@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .operators import conversations, evaluation, retrieval, text, versions
+from .operators import conversations, evaluation, folds, retrieval, text, versions
 from .plans.run import oracle, query
 
 OPERATORS = retrieval.OPERATORS | versions.OPERATORS | text.OPERATORS | conversations.OPERATORS | evaluation.OPERATORS
-QUERIES: dict[str, Callable] = {name: query(build) for name, build in OPERATORS.items()}
+QUERIES: dict[str, Callable] = {name: query(build) for name, build in OPERATORS.items()} | folds.QUERIES
 ORACLES: dict[str, str] = {name: oracle(build) for name, build in OPERATORS.items()}
