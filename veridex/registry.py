@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .operators import conversations, evaluation, folds, retrieval, text, versions
+from .operators import conversations, covers, evaluation, folds, retrieval, text, versions
 from .plans.run import oracle, query
 from .streaming import ingest, limits
 
 OPERATORS = retrieval.OPERATORS | versions.OPERATORS | text.OPERATORS | conversations.OPERATORS | evaluation.OPERATORS
-QUERIES: dict[str, Callable] = {name: query(build) for name, build in OPERATORS.items()} | folds.QUERIES | ingest.QUERIES | limits.QUERIES
+QUERIES: dict[str, Callable] = {name: query(build) for name, build in OPERATORS.items()} | folds.QUERIES | covers.QUERIES | ingest.QUERIES | limits.QUERIES
 ORACLES: dict[str, str] = {name: oracle(build) for name, build in OPERATORS.items()} | ingest.ORACLES
