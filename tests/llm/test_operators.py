@@ -221,3 +221,34 @@ def test_passages(spark, empty):
     where = {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} | {(r["other_id"], r["other_start"], r["other_end"]) for r in got}
     assert {d for d, _, _ in where} == {0, 1, 3}
     assert (0, 100, 180) in where and (1, 10, 90) in where
+
+
+def test_passages_whose_seeds_are_scattered(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    passage = some(60)
+    crowd = lambda: [some(12) + passage[k : k + 8] + some(12) for k in range(53) for _ in range(3)]
+    texts = [*crowd(), some(20) + passage + some(20), *crowd(), some(30) + passage + some(10)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [(r["doc_id"], r["start_word"], r["end_word"], r["other_id"], r["other_start"], r["other_end"]) for r in substring_dedup.repeated_passages(df).collect()]
+    assert (319, 30, 90, 159, 20, 80) in got
+
+
+def test_places_of_a_repeated_seed_all_meet():
+    key, doc = np.full(120, 7, np.uint32), np.repeat([1, 2], [20, 100])
+    for n in (1, 3, 20):
+        keep = np.concatenate([np.arange(n), 20 + np.arange(5 * n)])
+        d, o, x, y = substring_dedup.matches(key[keep], doc[keep], np.concatenate([np.arange(20), np.arange(100)]).astype(np.uint32)[keep])
+        assert set(d) == {2} and set(o) == {1} and set(x) == set(range(5 * n)) and set(y) == set(range(n))
+
+
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(2)
+    bucket, x, y = rng.integers(0, 5, 300), rng.integers(-(1 << 62), 1 << 62, 300), rng.integers(0, 1 << 32, 300).astype("<u4")
+    out = substring_dedup.packed(bucket, {"x": x, "y": y})
+    import pyarrow as pa
+
+    t = pa.table({"x": out["x"], "y": out["y"]})
+    order = np.argsort(bucket, kind="stable")
+    assert (substring_dedup.unpacked(t, "x", "<i8") == x[order]).all() and (substring_dedup.unpacked(t, "y", "<u4") == y[order]).all()
