@@ -252,3 +252,21 @@ def test_packed_columns_come_back():
     t = pa.table({"x": out["x"], "y": out["y"]})
     order = np.argsort(bucket, kind="stable")
     assert (substring_dedup.unpacked(t, "x", "<i8") == x[order]).all() and (substring_dedup.unpacked(t, "y", "<u4") == y[order]).all()
+
+
+@pytest.mark.parametrize("every", [8, 10, 12])
+def test_passages_with_evenly_spread_edits(spark, every):
+    rng = random.Random(every)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        passage = some(60)
+        texts += [some(20) + passage + some(20), some(30) + [w if k % every != every // 2 else f"new{k}" for k, w in enumerate(passage)] + some(10)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = substring_dedup.repeated_passages(df).collect()
+    # brute force: each pair has its passage at these places, with so many equal words
+    equal = sum(k % every != every // 2 for k in range(60))
+    assert 60 * substring_dedup.MIN_IDENTITY <= equal
+    assert {(r["doc_id"], r["other_id"]) for r in got} == {(i + 1, i) for i in range(0, 80, 2)}
+    assert all(r["start_word"] <= 36 and r["end_word"] >= 84 and r["start_word"] - r["other_start"] == 10 for r in got)
