@@ -270,3 +270,17 @@ def test_passages_with_evenly_spread_edits(spark, every):
     assert 60 * substring_dedup.MIN_IDENTITY <= equal
     assert {(r["doc_id"], r["other_id"]) for r in got} == {(i + 1, i) for i in range(0, 80, 2)}
     assert all(r["start_word"] <= 36 and r["end_word"] >= 84 and r["start_word"] - r["other_start"] == 10 for r in got)
+
+
+@pytest.mark.parametrize("kind, disguised", [
+    ("email", "john at example [dot] com"), ("email", "john dot doe at example.com"), ("email", "john (dot) doe at example.co dot uk"), ("email", "john [at] example dot com"),
+    ("email", "jean [chez] exemple.fr"), ("ip", "one nine two dot one six eight dot one dot one"), ("ip", "one nine two.one six eight dot 1 dot one"),
+])
+def test_pii_of_mixed_disguises(kind, disguised):
+    text = f"see {disguised} , now"
+    assert [(pii.KINDS[k], text[s:e]) for s, e, k in pii.added_spans(text, pii.base_spans(text))] == [(kind, disguised)]
+
+
+def test_plain_at_host_is_no_address():
+    for text in ("meet me at example.com now", "john at example.com", "look at it. dot com is a word"):
+        assert pii.added_spans(text, []) == []

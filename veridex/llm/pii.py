@@ -151,14 +151,21 @@ def _plain(c: str) -> str:
 PLAIN = {ord(k): v for k, v in LOOK_ALIKE.items()} | {i: p for i in range(0x80, 0x20000) if not unicodedata.category(chr(i)).startswith("C") and (p := _plain(chr(i))) != chr(i) and p.isascii()}
 HIDDEN = re.compile("[­​-‍⁠﻿]+")
 WORD_DIGITS = re.compile(r"(?<![^\W_])(?:(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r"|[0-9]+|oh|plus)(?:[\x20,.-]{1,3}|(?![^\W_]))){4,}", re.IGNORECASE)
+DIGIT_WORD = r"(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r"|[0-9]+|oh)"
+SPELLED_PART = DIGIT_WORD + r"(?:[\x20,-]{1,3}" + DIGIT_WORD + r"){0,2}"
+SPELLED_IP = re.compile(r"(?<![^\W_])" + SPELLED_PART + r"(?:(?:\s{1,3}dot\s{1,3}|\.)" + SPELLED_PART + r"){3}(?![^\W_])", re.IGNORECASE)
+SPELLED_IP_WORD = re.compile(r"[^\W\d_]+|[0-9]+|\.")
 ONE_WORD = re.compile(r"[^\W\d_]+|[0-9]+", re.UNICODE)
-BRACKET_AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:at|@|arroba|chez)\s{0,3}[\])}>]\s{0,3}", re.IGNORECASE)
-BRACKET_DOT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:dot|punto|point|punkt|\.)\s{0,3}[\])}>]\s{0,3}", re.IGNORECASE)
-SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{1,64}(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9_%+-]{1,64}){0,4}(?P<at>\s{1,3}at\s{1,3}|@)[A-Za-z0-9-]{1,63}(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]{1,63}){0,4}?(?:\s{1,3}dot\s{1,3})[A-Za-z]{2,24}(?![A-Za-z0-9-])", re.IGNORECASE)
-SPOKEN_DOT = re.compile(r"\s+dot\s+", re.IGNORECASE)
+AT_WORDS, DOT_WORDS = "at|@|arroba|chez", r"dot|punto|point|punkt|\."
+BRACKET_AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:" + AT_WORDS + r")\s{0,3}[\])}>]\s{0,3}", re.IGNORECASE)
+BRACKET_DOT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:" + DOT_WORDS + r")\s{0,3}[\])}>]\s{0,3}", re.IGNORECASE)
+#: A dot in the form of a sign, a word or a bracket.
+ANY_DOT = r"(?:\s{1,3}dot\s{1,3}|\s{0,3}[\[({<]\s{0,3}(?:" + DOT_WORDS + r")\s{0,3}[\])}>]\s{0,3}|\.)"
+SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{1,64}(?:" + ANY_DOT + r"[A-Za-z0-9_%+-]{1,64}){0,4}(?P<at>\s{1,3}at\s{1,3}|@)[A-Za-z0-9-]{1,63}(?:" + ANY_DOT + r"[A-Za-z0-9-]{1,63}){0,4}" + ANY_DOT + r"[A-Za-z]{2,24}(?![A-Za-z0-9-])", re.IGNORECASE)
+DISGUISED_DOT = re.compile(r"\s+dot\s+|" + BRACKET_DOT.pattern, re.IGNORECASE)
 SPOKEN_AT = re.compile(r"\s+at\s+", re.IGNORECASE)
 NUMBER_DOT = re.compile(r"(?<=[0-9])\s{1,3}dot\s{1,3}(?=[0-9])", re.IGNORECASE)
-HINT = re.compile(r"[^\x00-\x7f]|[\[({<]\s{0,3}(?:at|@|dot|\.|arroba|punto|point|punkt)\s{0,3}[\])}>]|\sdot\s|" + r"(?<![^\W_])(?:" + "|".join(SPELLED) + r")[\x20,.-]{1,3}(?:" + "|".join(SPELLED) + r"|[0-9])", re.IGNORECASE)
+HINT = re.compile(r"[^\x00-\x7f]|[\[({<]\s{0,3}(?:" + AT_WORDS + "|" + DOT_WORDS + r")\s{0,3}[\])}>]|\sdot\s|" + r"(?<![^\W_])(?:" + "|".join(SPELLED) + r")[\x20,.-]{1,3}(?:" + "|".join(SPELLED) + r"|[0-9])", re.IGNORECASE)
 
 
 def look_alikes(now: Rewritten) -> Rewritten:
@@ -173,6 +180,11 @@ def look_alikes(now: Rewritten) -> Rewritten:
 
 def spelled_digits(now: Rewritten) -> Rewritten:
     edits = []
+    for run in SPELLED_IP.finditer(now.text):
+        words = [m.group().lower() for m in SPELLED_IP_WORD.finditer(run.group())]
+        if "dot" in words and any(w in SPELLED for w in words):
+            edits.append((*run.span(), "".join({"oh": "0", "dot": "."}.get(w, SPELLED.get(w, w)) for w in words)))
+    now, edits = now.edit(edits), []
     for run in WORD_DIGITS.finditer(now.text):
         pieces = list(ONE_WORD.finditer(now.text, *run.span()))
         if sum(not m.group()[0].isdigit() for m in pieces) < 3:
@@ -184,14 +196,16 @@ def spelled_digits(now: Rewritten) -> Rewritten:
 
 def at_and_dot(now: Rewritten) -> Rewritten:
     now = now.edit([(*m.span(), "@") for m in BRACKET_AT.finditer(now.text)])
-    now = now.edit([(*m.span(), ".") for m in BRACKET_DOT.finditer(now.text)])
-    now = now.edit([(*m.span(), ".") for m in NUMBER_DOT.finditer(now.text)])
     edits = []
     for m in SPOKEN.finditer(now.text):
-        local = [(x.start(), x.end(), ".") for x in SPOKEN_DOT.finditer(now.text, m.start(), m.start("at"))]
-        at = [(*m.span("at"), "@")] if SPOKEN_AT.fullmatch(m["at"]) else []
-        edits += local + at + [(x.start(), x.end(), ".") for x in SPOKEN_DOT.finditer(now.text, m.end("at"), m.end())]
-    return now.edit(edits)
+        dots = [(x.start(), x.end(), ".") for x in DISGUISED_DOT.finditer(now.text, m.start(), m.end())]
+        spoken = SPOKEN_AT.fullmatch(m["at"])
+        # a spoken at before a plain host.tld is a disguise only if a dot is disguised, too
+        if dots or not spoken:
+            edits += sorted(dots + ([(*m.span("at"), "@")] if spoken else []))
+    now = now.edit(edits)
+    now = now.edit([(*m.span(), ".") for m in BRACKET_DOT.finditer(now.text)])
+    return now.edit([(*m.span(), ".") for m in NUMBER_DOT.finditer(now.text)])
 
 
 TRANSDUCERS = (look_alikes, spelled_digits, at_and_dot)
