@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,18 +12,47 @@ from pyspark.sql import functions as F
 
 #: Rows of one map call are worked on in groups of about this many characters, which bounds numpy's temporary arrays.
 GROUP_CHARS = 1 << 20
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where all executors and the driver can read and write: the session's spark.checkpoint.dir. Only a local session, whose
+    executor is the driver, gets a folder of its own if that is unset."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="veridex-checkpoint-"))
+        folder = sc.getCheckpointDir()
+    return folder.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and goes on from there, so that a lost executor costs no long lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veridex-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """Writes df to a table in the shared folder and goes on from there: a lost executor costs no long lineage, the planner
+    knows the table's size, and columns that a later step leaves out aren't read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/veridex-cut-{uuid.uuid4().hex}"
+    before = spark.conf.get(ARROW_BYTES)
+    spark.conf.set(ARROW_BYTES, "8m")  # what goes to a Python worker at once
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_BYTES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote and nothing reads any more."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/veridex-cut-" in folder:
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_groups(texts: list[str], limit: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
@@ -60,6 +90,7 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[dict]], sche
             for part in slices(batch):
                 for out in f(part):
                     yield pa.RecordBatch.from_arrays([pa.array(out[c.name], c.type) for c in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -94,32 +125,17 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a <> b").unionByName(low.where("a <> m").select("a", F.col("m").alias("b"))).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = cut(small.where("a <> b").distinct())
+        before, now = now, cut(small.where("a <> b").distinct())
+        forget(before)
         new = signature(now)
         if new == seen:
             break
         seen = new
     labels = now.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("id"), "label")
-    return labels.unionByName(labels.select(F.col("label").alias("id"), "label").distinct())
+    labels = cut(labels.unionByName(labels.select(F.col("label").alias("id"), "label").distinct()))
+    forget(now)
+    return labels
 
 
 #: At most so many 8-byte keys are broadcast.
 BROADCAST_ROWS = 500_000
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Like cut(), for wide rows: a Parquet table in the shared checkpoint folder."""
-    import uuid
-
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veridex-checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs but for the rows whose doc_id is in dropped; the ids are broadcast while they are few."""
-    dropped = cut(dropped.select("doc_id").distinct())
-    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, "doc_id", "left_anti").select(docs.columns)

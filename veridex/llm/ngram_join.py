@@ -1,14 +1,15 @@
-"""Near duplicates by word shingles: an exact Jaccard join with filters under several global token orders.
+"""Near duplicates by word shingles: an exact Jaccard join whose candidates pass filters under several global token orders.
 
 A document is the set of its distinct five-word shingles (64-bit hashes). Equal sets form one class, and only one document of
-each class goes on. If two sets reach the threshold, their prefixes (first tokens under any fixed order) share a token. The
-first order has frequent tokens last; documents that share a prefix token under it are candidates, within the bounds that
-size and position set. Before a candidate pair is verified, the parities of the members' places must allow the overlap (a bit
-for each member, so that false candidates cost little), and it must share prefix tokens under further orders.
+each class goes on. If two sets reach the threshold, their prefixes (first tokens under any fixed order) share a token. Under
+the first order frequent tokens come last, by counts over all documents; documents that share a prefix token under it, within
+the bounds that size and position set, meet. Two that meet are candidates only if their prefixes also share a token under the
+second order (the same levels of frequency, other ties) and under the third (plain hashes). Only then members move.
 
-Only connected components are asked for, so pairs inside a component that is known already need no test. In each round every
-document is tested against one of its sharers, the same one for many, and groups of sharers are left out once they lie in one
-component. What is still apart after these rounds is tested pair by pair: all pairs of different components that share a token.
+Only connected components are asked for, so pairs inside a component that is known already need no test. A token's sharers
+are tested against members of the token's largest component, first one, then more and more of them, the most shared document
+first; a large group of copies so costs a few tests a document. Tokens whose sharers lie in one component are done with. What is
+still apart after these rounds is tested pair by pair, over all pairs of different components that share a token in place.
 
 Null and empty texts have no shingles and are linked with nothing; up to four words are one shingle. Repeated rows fall in
 one class. A row without doc_id takes part only through rows of its class that have one; without any, its component is
@@ -20,20 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, map_arrow, strings, table, text_groups
+from .common import components, cut, forget, map_arrow, slices, strings, table, text_groups
 
 WORDS = 5
 #: Odd constants for hashing.
 STEP, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-#: Further token orders that a candidate pair must pass, each by its own mixing constant.
-ORDERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-#: Star rounds before the rest is tested pair by pair.
-ROUNDS = 2
-#: So many of the most frequent shingles go last in the first order; others are ordered by hash. Any order gives the same result.
+#: Ties under the second order, and the whole third order, come from hashes by these constants.
+SECOND, THIRD = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Each round tests against so many members of a large component; what is still apart then is tested pair by pair.
+PIVOTS = (1, 1, 4, 16, 64)
+#: So many of the most frequent shingles get levels of frequency; others are ordered by hash. Any order gives the same result.
 FREQUENT = 100_000
+#: A task's summary of frequent shingles: one that it holds more often than its tokens / SUMMARY times is surely in it.
+SUMMARY = 100_000
 BROADCAST_ROWS = 500_000
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -45,54 +48,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    factors = np.full(n, base, np.uint64)
-    factors[0] = 1
-    return np.cumprod(factors, dtype=np.uint64)
+#: A random number for each byte at each of 256 places of a word; a word's hash adds up those of its bytes. Unlike a polynomial
+#: modulo a power of two this tells words of the Thue-Morse kind apart.
+PLACES = 256
+BYTE_AT_PLACE = mix(mix(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * np.uint64(STEP)))
 
 
-_TABLES: dict[str, np.ndarray] = {}
+def _byte_values(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    value = BYTE_AT_PLACE[(place & (PLACES - 1)) << 8 | data]
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        value[far] = mix(value[far] + (place[far] // PLACES).astype(np.uint64) * np.uint64(MIX_A))
+    return value
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and the number of the text of each."""
+def word_hashes(texts: list[bytes], stretch: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and the number of the text of each. Bytes are read stretch by stretch, also within a word."""
     joined = b" ".join(texts) + b" "
-    data = np.frombuffer(joined, np.uint8)
-    if len(_TABLES.get("power", ())) <= len(data):
-        _TABLES["power"] = _powers(STEP, 2 * len(data) + 2)
-        _TABLES["inverse"] = _powers(pow(STEP, -1, 1 << 64), 2 * len(data) + 2)
-    blank = BLANK[data]
-    before = np.concatenate([[True], blank[:-1]])
-    starts, ends = np.flatnonzero(~blank & before), np.flatnonzero(blank & ~before)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _TABLES["power"][: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _TABLES["inverse"][starts] + (ends - starts).astype(np.uint64))
+    out, begun = [], []
+    open_at, open_sum = None, np.zeros(1, np.uint64)  # of a word that goes on into the next stretch
+    for at in range(0, len(joined), stretch):
+        data = np.frombuffer(joined, np.uint8, min(stretch, len(joined) - at), at)
+        blank = BLANK[data]
+        before = np.concatenate([[open_at is None], blank[:-1]])
+        starts, ends = np.flatnonzero(~blank & before), np.flatnonzero(blank & ~before)
+        first = np.full(len(data), 0 if open_at is None else open_at - at)
+        first[starts] = starts
+        place = np.where(blank, 0, np.arange(len(data)) - np.maximum.accumulate(first))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(np.where(blank, np.uint64(0), _byte_values(data, place)), out=sums[1:])
+        begin, less = starts + at, sums[starts]
+        if open_at is not None:
+            begin, less = np.append(open_at, begin), np.append(np.zeros(1, np.uint64) - open_sum, less)
+        n = len(ends)
+        out.append(mix(sums[ends] - less[:n] + (ends + at - begin[:n]).astype(np.uint64)))
+        begun.append(begin[:n])
+        open_at, open_sum = (int(begin[n]), sums[-1:] - less[n:]) if len(begin) > n else (None, open_sum)
+    hashes, starts = np.concatenate(out), np.concatenate(begun)
     bounds = np.fromiter(map(len, texts), np.int64, len(texts)).cumsum() + np.arange(1, len(texts) + 1)
     return hashes, np.searchsorted(bounds, starts, side="right")
 
 
-def _segments(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
-    at = 0
-    while len(text) - at > size:
-        stop = at + size
-        while stop < len(text) and not BLANK[text[stop]]:
-            stop += 1
-        yield text[at:stop]
-        at = stop
-    yield text[at:]
-
-
 def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     out: list[np.ndarray] = []
     none = np.empty(0, np.uint64)
     for a, b in text_groups(texts, 1 << 19):
         raw = [t.encode("utf-8", "replace").lower() for t in texts[a:b]]
-        if b - a == 1 and len(raw[0]) > 2 << 20:
-            parts = [word_hashes([s])[0] for s in _segments(raw[0])]
-            hashes, owner = np.concatenate(parts), np.zeros(sum(map(len, parts)), np.int64)
-        else:
-            hashes, owner = word_hashes(raw)
+        hashes, owner = word_hashes(raw)
         n = np.bincount(owner, minlength=b - a)
         salt = [np.uint64(pow(STEP, k + 1, 1 << 64)) for k in range(words)]
         if len(hashes) >= words:
@@ -129,19 +132,37 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _survey(batch: pa.RecordBatch) -> Iterator[dict]:
-    """A row for each document, and one for each shingle that several different sets of the batch hold."""
-    texts = strings(batch.column(2))
-    sets = shingle_sets(texts)
-    digests = [_digest(s) if len(s) else (0, 0) for s in sets]
-    distinct = list(dict(zip(digests, sets, strict=True)).values())
-    token, count = np.unique(np.concatenate([*distinct, np.empty(0, np.uint64)]), return_counts=True)
-    often = count >= 3
-    token, count = _signed(token[often]), count[often]
-    n, m = len(sets), len(token)
-    yield {"kind": [0] * n, "doc_id": batch.column(0), "row_key": batch.column(1), "n": [len(s) for s in sets], "d1": [d[0] for d in digests], "d2": [d[1] for d in digests]}
-    if m:
-        yield {"kind": np.ones(m, np.int32), "doc_id": [None] * m, "row_key": token, "n": count, "d1": np.zeros(m, np.int64), "d2": np.zeros(m, np.int64)}
+def _kept_counts(token: np.ndarray, count: np.ndarray, more: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A summary of frequent items (Misra and Gries) with further counts: size of them at most, each too low by what all lose."""
+    both, at = np.unique(np.concatenate([token, more]), return_inverse=True)
+    total = np.bincount(at, np.concatenate([count, n]), minlength=len(both)).astype(np.int64)
+    if len(both) > size:
+        total -= np.partition(total, len(total) - size - 1)[len(total) - size - 1]
+        both, total = both[total > 0], total[total > 0]
+    return both, total
+
+
+SURVEY = "kind int, doc_id long, row_key long, n long, d1 long, d2 long"
+
+
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document, and at a task's end one for each shingle of its summary of frequent ones."""
+    kinds = (pa.int32(), *[pa.int64()] * 5)
+    token, count = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def rows(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "doc_id", "row_key", "n", "d1", "d2"])
+
+    for batch in batches:
+        for part in slices(batch):
+            sets = shingle_sets(strings(part.column(2)))
+            digests = [_digest(s) if len(s) else (0, 0) for s in sets]
+            distinct = dict(zip(digests, sets, strict=True)).values()
+            token, count = _kept_counts(token, count, *np.unique(np.concatenate([*distinct, np.empty(0, np.uint64)]), return_counts=True), SUMMARY)
+            yield rows([0] * len(sets), part.column(0), part.column(1), [len(s) for s in sets], [d[0] for d in digests], [d[1] for d in digests])
+    none = np.zeros(len(token), np.int64)
+    yield rows(none + 1, [None] * len(token), _signed(token), count, none, none)
+    pa.default_memory_pool().release_unused()
 
 
 def needed(n: np.ndarray | int, m: np.ndarray | int):
@@ -149,86 +170,89 @@ def needed(n: np.ndarray | int, m: np.ndarray | int):
     return (3 * (n + m) + 6) // 7
 
 
-def _postings(tokens: np.ndarray, levels: np.ndarray):
+class Orders:
+    """The global orders of tokens, and the prefixes that they give."""
+
+    def __init__(self, tokens: np.ndarray, levels: np.ndarray):
+        self.tokens, self.levels = tokens, levels
+
+    def level(self, s: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(s), np.int8)
+        if len(self.tokens):
+            i = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
+            hit = self.tokens[i] == s
+            out[hit] = self.levels[i[hit]]
+        return out
+
+    def first(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The prefix under the first order, in order, and which of its tokens have a level."""
+        level = self.level(s)
+        i = np.lexsort((s, level))[: prefix_length(len(s))]
+        return s[i], level[i] > 0
+
+    def second(self, s: np.ndarray) -> np.ndarray:
+        return np.sort(s[np.lexsort((s * np.uint64(SECOND), self.level(s)))[: prefix_length(len(s))]])
+
+    def third(self, s: np.ndarray) -> np.ndarray:
+        k = prefix_length(len(s))
+        return np.sort(s[np.argpartition(s * np.uint64(THIRD), k - 1)[:k]])
+
+
+def prefix_length(n: int) -> int:
+    """So many tokens that a set of n can't reach the threshold with another set without sharing one of them."""
+    return n - (3 * n + 3) // 4 + 1
+
+
+def _postings(orders: Orders):
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         out: dict[str, list] = {k: [] for k in ("token", "id", "n", "pos", "frequent")}
         for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(strings(batch.column(1))), strict=True):
-            n = len(s)
-            if not n:
+            if not len(s):
                 continue
-            level = np.zeros(n, np.int8)
-            if len(tokens):
-                i = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                hit = tokens[i] == s
-                level[hit] = levels[i[hit]]
-            k = n - (3 * n + 3) // 4 + 1
-            first = np.lexsort((s, level))[:k]
-            out["token"].append(_signed(s[first]))
+            token, frequent = orders.first(s)
+            k = len(token)
+            out["token"].append(_signed(token))
             out["id"].append(np.full(k, doc_id, np.int64))
-            out["n"].append(np.full(k, n, np.int32))
+            out["n"].append(np.full(k, len(s), np.int32))
             out["pos"].append(np.arange(k, dtype=np.int32))
-            out["frequent"].append(level[first] > 0)
+            out["frequent"].append(frequent)
         if out["token"]:
             yield {k: np.concatenate(v) for k, v in out.items()}
 
     return run
 
 
-def parities(s: np.ndarray) -> np.ndarray:
-    """About a bit for each member: whether an odd number of members fall in its place."""
-    places = 1 << max(6, (len(s) - 1).bit_length())
-    return np.packbits((np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).astype(np.uint8))
-
-
-def may_link(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
-    """False if the places of different parity show that too few members are common; these are in one of the sets only."""
-    if 4 * min(n, m) < 3 * max(n, m):
-        return False
-    if len(x) > len(y):
-        x, y = y, x
-    odd = int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), 0)).sum())
-    return (n + m - odd) // 2 >= needed(n, m)
+def _sets(orders: Orders):
+    """Members, and prefixes under the further orders in half the bits: a chance hit there only costs a test."""
 
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        sets = shingle_sets(strings(batch.column(1)))
+        short = lambda s: (s >> np.uint64(32)).astype("<u4").tobytes()
+        yield {"id": batch.column(0), "n": [len(s) for s in sets], "second": [short(orders.second(s)) if len(s) else b"" for s in sets], "third": [short(orders.third(s)) if len(s) else b"" for s in sets], "members": [s.tobytes() for s in sets]}
 
-def _sets(batch: pa.RecordBatch) -> Iterator[dict]:
-    sets = shingle_sets(strings(batch.column(1)))
-    yield {"id": batch.column(0), "n": [len(s) for s in sets], "parities": [parities(s).tobytes() for s in sets], "members": [s.tobytes() for s in sets]}
+    return run
 
 
-def _may(batch: pa.RecordBatch) -> Iterator[dict]:
-    rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "x", "m", "y")), strict=True)
-    keep = [(a, b) for a, b, n, x, m, y in rows if may_link(n, np.frombuffer(x, np.uint8), m, np.frombuffer(y, np.uint8))]
+def _share(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Pairs whose prefixes share a token under the second order and under the third."""
+    rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y", "u", "v")), strict=True)
+    keep = [(a, b) for a, b, *both in rows if all(np.isin(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")).any() for p, q in (both[:2], both[2:]))]
     yield {"a": [a for a, _ in keep], "b": [b for _, b in keep]}
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether 100 * intersection >= 75 * union; the prefixes under further orders are compared first."""
+    """Whether 100 * intersection >= 75 * union."""
     n, m = len(x), len(y)
     if 4 * min(n, m) < 3 * max(n, m):
         return False
-    need = needed(n, m)
-    for order in ORDERS:
-        p, q = n - need + 1, m - need + 1
-        a, b = x * np.uint64(order), y * np.uint64(order)
-        a = np.partition(a, p - 1)[:p] if p < n else a
-        b = np.partition(b, q - 1)[:q] if q < m else b
-        if not np.isin(a, b, assume_unique=True).any():
-            return False
     common = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * common >= 75 * (n + m - common)
 
 
 def _verify(batch: pa.RecordBatch) -> Iterator[dict]:
-    a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-    x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-    last: tuple = (None, None)
-    keep = []
-    for i in range(len(a)):
-        if last[0] != a[i]:
-            last = a[i], np.frombuffer(x[i], np.uint64)
-        if linked(last[1], np.frombuffer(y[i], np.uint64)):
-            keep.append(i)
-    yield {"a": [a[i] for i in keep], "b": [b[i] for i in keep]}
+    rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True)
+    keep = [(a, b) for a, b, x, y in rows if linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))]
+    yield {"a": [a for a, _ in keep], "b": [b for _, b in keep]}
 
 
 def narrowed(df: DataFrame, keys: DataFrame, column: str, n_keys: int) -> DataFrame:
@@ -247,81 +271,104 @@ def met(pairs: DataFrame, sets: DataFrame, ours: list, theirs: list) -> DataFram
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link: first by what parities allow, then by the sets."""
-    possible = met(pairs, sets, ["n", F.col("parities").alias("x")], [F.col("n").alias("m"), F.col("parities").alias("y")])
-    possible = cut(map_arrow(possible.select("a", "b", "n", "x", "m", "y"), _may, "a long, b long"))
-    whole = met(possible, sets, [F.col("members").alias("x")], [F.col("members").alias("y")])
-    return map_arrow(whole.select("a", "b", "x", "y"), _verify, "a long, b long")
+    """Those of the pairs (a, b) that link: first what all orders let pass, then by the members."""
+    met_here = met(pairs, sets, [F.col("second").alias("x"), F.col("third").alias("u")], [F.col("second").alias("y"), F.col("third").alias("v")])
+    candidates = cut(map_arrow(met_here.select("a", "b", "x", "y", "u", "v"), _share, "a long, b long"))
+    whole = met(candidates, sets, [F.col("members").alias("x")], [F.col("members").alias("y")])
+    found = cut(map_arrow(whole.select("a", "b", "x", "y"), _verify, "a long, b long"))
+    forget(candidates)
+    return found
+
+
+#: Sizes and positions that leave room for the overlap that the threshold asks for, (n, pos) against (n_, pos_).
+IN_PLACE = "4 * least(n, n_) >= 3 * greatest(n, n_) and pos <= n - (3 * (n + n_) + 6) div 7 and pos_ <= n_ - (3 * (n + n_) + 6) div 7"
+
 
+def _live(shared: DataFrame) -> DataFrame:
+    """Postings of tokens whose sharers lie in several components, each with the token's largest one (by its most shared document)."""
+    per = shared.groupBy("token", "label").agg(F.count("*").alias("k"), F.max("score").alias("score"))
+    per = per.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("k", "score", "label")).alias("major"))
+    return shared.join(per.where("parts > 1").select("token", "major"), "token")
 
-def ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+def _to_test(live: DataFrame, step: int, tested: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of this round: b shares a token with the component that leads there, a is one of its chosen members."""
+    away = live.where("label <> major").groupBy("id", "n", "major").agg(F.count("*").alias("k"))
+    if step == 0:  # all stand alone: each against the one that it shares most with
+        away = away.groupBy("id", "n").agg(F.max_by("major", F.struct("k", F.xxhash64("major"))).alias("major"))
+    order = F.desc("score") if step < 2 else F.xxhash64("id", F.lit(step))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(order, "id"))
+    pivots = live.select("id", "n", "label", "score").distinct().withColumn("place", place).where(F.col("place") <= PIVOTS[step])
+    pivots = pivots.select(F.col("id").alias("a"), F.col("n").alias("n_"), F.col("label").alias("major"))
+    pairs = away.join(pivots, "major").where("4 * least(n, n_) >= 3 * greatest(n, n_)").select("a", F.col("id").alias("b")).distinct()
+    return cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
 
 
 def link_classes(shared: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Component labels (id, label) of linked classes; shared holds (token, id, n, pos)."""
-    edges = labels = tested = None
-
-    def labelled() -> DataFrame:
-        """Postings of the tokens whose sharers lie in several components, each with the token's commonest component."""
-        rows = shared.withColumn("label", F.col("id")) if labels is None else shared.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        per = rows.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("k", "label")).alias("major"))
-        return rows.join(per.where("parts > 1").select("token", "major"), "token")
-
-    for step in range(ROUNDS):
-        if step and labels is not None:  # tokens whose sharers lie in one component are done with
-            rows = cut(labelled())
-            shared = rows.select("token", "id", "n", "pos")
+    degree = shared.groupBy("id").agg((F.count("*") / F.max("n")).alias("score"))
+    live = cut(_live(shared.join(degree, "id").withColumn("label", F.col("id"))))
+    labels = tested = None
+
+    def relabelled(found: DataFrame) -> None:
+        """Takes up found links: components of the components that stood before."""
+        nonlocal live, labels
+        if labels is None:
+            labels = components(found)
         else:
-            rows = shared.withColumn("label", F.col("id"))
-        pivot = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), F.col("id").alias("p"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("label").alias("other"))).alias("x")).select("token", "x.*")
-        alpha = F.expr("(3 * (n + m) + 6) div 7")
-        star = rows.join(pivot, "token").where("id <> p and label <> other and 4 * least(n, m) >= 3 * greatest(n, m)").where((F.col("pos") <= F.col("n") - alpha) & (F.col("at") <= F.col("m") - alpha))
-        # one test a document and round: with the pivot of smallest hash among those of its tokens
-        star = star.groupBy("id").agg(F.min_by("p", "h").alias("p")).select(*ordered(F.col("id"), F.col("p"))).distinct()
-        star = cut(star if tested is None else star.join(tested, ["a", "b"], "left_anti"))
-        if star.isEmpty():
+            name = lambda c: found.select("a", "b", F.col(c).alias("id")).join(labels, "id", "left").select("a", "b", F.coalesce("label", c).alias(f"{c}_"))
+            merged = components(name("a").join(name("b"), ["a", "b"]).select(F.col("a_").alias("a"), F.col("b_").alias("b")))
+            both = labels.join(merged.select(F.col("id").alias("label"), F.col("label").alias("new")), "label", "left").select("id", F.coalesce("new", "label").alias("label"))
+            alone = merged.join(labels, "id", "left_anti").select("id", "label")
+            labels = cut(both.unionByName(alone).distinct())
+        now = live.drop("label", "major").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        before, live = live, cut(_live(now))
+        forget(before)
+
+    for step in range(len(PIVOTS)):
+        pairs = _to_test(live, step, tested)
+        if pairs.isEmpty():
             continue
-        found = cut(verified(star, sets))
-        tested = star if tested is None else tested.unionByName(star)
-        edges = found if edges is None else edges.unionByName(found)
+        found = verified(pairs, sets)
+        # none is tested again
+        tested = pairs if tested is None else tested.unionByName(pairs)
         if not found.isEmpty():
-            labels = components(edges)
-    rows = cut(labelled())
-    # all pairs of different components that share a token; one of the two is outside the token's commonest component
-    minor = rows.where("label <> major").select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "pos", "label")])
-    alpha = F.expr("(3 * (n + n_) + 6) div 7")
-    rest = rows.join(minor, "token").where("label <> label_ and 4 * least(n, n_) >= 3 * greatest(n, n_)").where((F.col("pos") <= F.col("n") - alpha) & (F.col("pos_") <= F.col("n_") - alpha)).select(*ordered(F.col("id"), F.col("id_"))).where("a <> b").distinct()
-    rest = cut(rest if tested is None else rest.join(tested, ["a", "b"], "left_anti"))
+            relabelled(found)
+    # all pairs of different components that share a token in place; one of the two is outside the token's largest component
+    minor = live.where("label <> major").select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "pos", "label")])
+    rest = live.join(minor, "token").where(f"label <> label_ and {IN_PLACE}").select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+    if tested is not None:
+        rest = rest.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = cut(rest)
     if not rest.isEmpty():
-        found = cut(verified(rest, sets))
-        edges = found if edges is None else edges.unionByName(found)
-    return None if edges is None or edges.isEmpty() else components(edges)
+        found = verified(rest, sets)
+        if not found.isEmpty():
+            relabelled(found)
+    return labels
 
 
 def near_duplicate_components(docs: DataFrame, salts: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("row_key"), text.alias("text"))
-    survey = cut(map_arrow(rows, _survey, "kind int, doc_id long, row_key long, n long, d1 long, d2 long"))
+    survey = cut(rows.mapInArrow(_survey, SURVEY))
     found = survey.where("kind = 1").groupBy("row_key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "row_key").limit(FREQUENT).toArrow()
     tokens = found["row_key"].to_numpy().astype(np.int64).view(np.uint64)
     levels = np.ceil(np.log2(found["n"].to_numpy() + 1.0)).astype(np.int8)
-    tokens, levels = tokens[order := tokens.argsort()], levels[order]
+    orders = Orders(tokens[order := tokens.argsort()], levels[order])
     each = survey.where("kind = 0").withColumn("salt", F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(salts)))
     part = each.where("n > 0").groupBy("d1", "d2", "salt").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row_key"))).alias("x"))
     classes = cut(part.groupBy("d1", "d2").agg(F.min("x").alias("x"), F.collect_list("salt").alias("salts")).select("d1", "d2", F.col("x.doc_id").alias("id"), F.col("x.row_key").alias("row_key"), "salts"))
     chosen = classes.where("id is not null").select("row_key")
     one_each = narrowed(rows, chosen, "row_key", chosen.count()).select("doc_id", "text")
-    postings = map_arrow(one_each, _postings(tokens, levels), "token long, id long, n int, pos int, frequent boolean")
+    postings = map_arrow(one_each, _postings(orders), "token long, id long, n int, pos int, frequent boolean")
     # a token's sharers are counted where they meet; frequent tokens are dealt out, for they surely have sharers
-    from pyspark.sql import Window
-
     dealt = postings.withColumn("deal", F.when(F.col("frequent"), F.pmod("id", F.lit(256))).otherwise(0))
     shared = cut(dealt.withColumn("k", F.count("*").over(Window.partitionBy("token", "deal"))).where("k > 1 or frequent").select("token", "id", "n", "pos"))
     ids = cut(shared.select(F.col("id").alias("doc_id")).distinct())
-    sets = cut(map_arrow(narrowed(one_each, ids, "doc_id", ids.count()), _sets, "id long, n int, parities binary, members binary"))
+    sets = cut(map_arrow(narrowed(one_each, ids, "doc_id", ids.count()), _sets(orders), "id long, n int, second binary, third binary, members binary"))
     labels = link_classes(shared, sets)
+    forget(shared, sets, ids)
     whole = classes.select("d1", "d2", F.col("id").alias("component_id"), F.explode("salts").alias("salt"))
     if labels is not None:
         whole = whole.join(labels.withColumnRenamed("id", "component_id"), "component_id", "left").withColumn("component_id", F.coalesce("label", "component_id")).drop("label")
