@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, strings, table, text_groups
+from .ngram_join import mix
 
 #: The apostrophe endings that the vocabulary's word pattern splits off.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -322,8 +323,17 @@ def split_words(codes: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-#: An odd number and its inverse modulo 2**64, for hashes of words by differences of prefix sums.
-STEP = 0x9E3779B97F4A7C15
+#: A random number for each ASCII character at each of 256 places of a word; a word's hash adds up those of its characters, so
+#: that no two words are alike by construction, as they can be under a polynomial modulo a power of two.
+CHAR_AT_PLACE = mix(mix(np.arange(1, (256 << 7) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
+def char_values(codes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    value = CHAR_AT_PLACE[(place & 255) << 7 | (codes & 127)]
+    rare = np.flatnonzero((codes > 127) | (place > 255))
+    if len(rare):
+        value[rare] = mix(value[rare] + (codes[rare] >> 7).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + (place[rare] >> 8).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return value
 
 
 class Encoder:
@@ -332,8 +342,6 @@ class Encoder:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.kinds = char_classes()
-        self.power = np.ones(1, np.uint64)
-        self.inverse = np.ones(1, np.uint64)
         self.merged = 0
         self._reset()
 
@@ -341,15 +349,6 @@ class Encoder:
         self.hashes, self.begin, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.pool = np.empty(0, np.int32)
 
-    def _powers(self, n: int) -> None:
-        if len(self.power) < n:
-            n = 2 * n
-            inverse = pow(STEP, -1, 1 << 64)
-            for name, base in (("power", STEP), ("inverse", inverse)):
-                factors = np.full(n, base, np.uint64)
-                factors[0] = 1
-                setattr(self, name, np.cumprod(factors, dtype=np.uint64))
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[list[np.ndarray]] = [[] for _ in texts]
         parts = [(i, p) for i, t in enumerate(texts) for p in pieces(t)]
@@ -383,10 +382,9 @@ class Encoder:
         kind[stops] = END
         start = split_words(codes, kind)
         lengths = np.diff(np.append(start, len(codes)))
-        self._powers(len(codes) + 1)
         sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self.power[: len(codes)], out=sums[1:])
-        hashes = (sums[start + lengths] - sums[start]) * self.inverse[start]
+        np.cumsum(char_values(codes, np.arange(len(codes)) - np.repeat(start, lengths)), out=sums[1:])
+        hashes = mix(sums[start + lengths] - sums[start] + lengths.astype(np.uint64))
         real = kind[start] != END
         uniq, first, back = np.unique(hashes[real], return_index=True, return_inverse=True)
         self._learn(big, uniq, start[real][first], lengths[real][first])
