@@ -7,8 +7,10 @@ is left out with all below; other pairs are taken apart down to leaves, which ar
 own block, which gives its kth score; then groups of queries meet all blocks.
 
 Rows with a null id or vector, or a null or non-finite component, take no part; a query meets only vectors of its length.
-Repeated rows (same id and vector) count once, and no row with a query's own id is its result. Ties go to the smaller id.
-Components are meant to stay below 2**16 in size, so that products are exact. Extra columns are ignored."""
+Repeated rows are candidates of their own, each with a rank, and repeated query rows share the ranks of their id; no row with a
+query's own id is its result. Ties go to the smaller id. Scores are exact integers: products that doubles can't hold exactly are
+multiplied out in longs, and those beyond longs in Python's integers, clipped to a long in the end; components are clipped to
+2**62. An empty table gives no rows. Extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -25,14 +27,15 @@ SCALE = 1024
 #: Cells are around so many sampled vectors at most.
 CELLS = 64
 BLOCK_ROWS, GROUP_QUERIES, LEAF, FAN_OUT = 2048, 1024, 48, 6
-LOWEST = -(1 << 62)
+LOWEST = -(1 << 63) + 1
 
 
 class Tree:
     """Nodes in arrays; the points of a node are perm[begin:end]."""
 
     def __init__(self, x: np.ndarray):
-        self.x = x
+        self.x = x.astype(float)
+        self.largest = int(np.abs(x).max(initial=0))
         self.perm = np.arange(len(x))
         self.centre: list[np.ndarray] = []
         self.radius: list[float] = []
@@ -76,15 +79,26 @@ class Tree:
         return node
 
 
+def products(q: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
+    """Exact inner products of whole numbers; most bounds their size."""
+    if most < 1 << 53:
+        return np.rint(q.astype(float) @ x.T.astype(float)).astype(np.int64)
+    if most < 1 << 63:
+        return q @ x.T
+    return np.clip(q.astype(object) @ x.T.astype(object), LOWEST + 1, (1 << 63) - 1).astype(np.int64)
+
+
 def best_products(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, id, score) of each query's k best in x, but for those below floor."""
     a, b = Tree(q), Tree(x)
-    score = np.full((len(q), k), float(LOWEST))
+    score = np.full((len(q), k), LOWEST)
     ids = np.full((len(q), k), np.iinfo(np.int64).max)
-    worst = floor.astype(float)
+    worst = floor.astype(np.int64)
+    most_possible = a.largest * b.largest * q.shape[1]
 
     def bound(i: int, j: int) -> float:
-        return float(a.centre[i] @ b.centre[j]) + a.radius[i] * b.norm[j] + b.radius[j] * a.norm[i] + a.radius[i] * b.radius[j] + 1e-3
+        # what doubles may lose in the sums is far below a share of 1e-9 of the sizes
+        return float(a.centre[i] @ b.centre[j]) + a.radius[i] * b.norm[j] + b.radius[j] * a.norm[i] + a.radius[i] * b.radius[j] + 1e-9 * (a.norm[i] + a.radius[i]) * (b.norm[j] + b.radius[j]) + 1e-3
 
     todo = [(bound(0, 0), 0, 0)]
     while todo:
@@ -98,8 +112,8 @@ def best_products(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, x: np.nda
             todo += sorted((bound(c, d), c, d) for c in left for d in right)  # the most promising pair comes off first
             continue
         theirs = b.perm[slice(*b.range[j])]
-        s = q[mine] @ x[theirs].T
-        s[q_ids[mine][:, None] == x_ids[theirs][None, :]] = float(LOWEST)
+        s = products(q[mine], x[theirs], most_possible)
+        s[q_ids[mine][:, None] == x_ids[theirs][None, :]] = LOWEST
         some = np.flatnonzero((s >= worst[mine][:, None]).any(1))
         if not len(some):
             continue
@@ -111,11 +125,11 @@ def best_products(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, x: np.nda
         ids[rows] = np.take_along_axis(names, order, 1)
         worst[rows] = np.maximum(worst[rows], score[rows, -1])
     row, col = np.nonzero((score > LOWEST) & (score >= floor[:, None]))
-    return row, ids[row, col], score[row, col].astype(np.int64)
+    return row, ids[row, col], score[row, col]
 
 
 def _matrix(items: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([np.frombuffer(r["data"], np.int64) for r in items]).astype(float), np.array([r["id"] for r in items], np.int64)
+    return np.array([np.frombuffer(r["data"], np.int64) for r in items]), np.array([r["id"] for r in items], np.int64)
 
 
 def _search(k: int):
@@ -137,7 +151,7 @@ def _quantised(vectors: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         out: dict[str, list] = {k: [] for k in ("id", "dim", "cell", "data")}
         for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.floor(SCALE * np.array(v, float)).astype(np.int64)
+            x = np.clip(np.floor(SCALE * np.array(v, float)), -(2.0**62), 2.0**62).astype(np.int64)
             c = centres.get(len(x))
             out["id"].append(i)
             out["dim"].append(len(x))
@@ -156,7 +170,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
     for r in good.orderBy(F.xxhash64("id")).limit(4 * CELLS).collect():
         sample.setdefault(len(r["v"]), []).append(np.floor(SCALE * np.array(r["v"])))
     centres = {n: np.unique(np.array(c), axis=0)[:: max(1, -(-len(c) // CELLS))] for n, c in sample.items()}
-    rows = cut(_quantised(good, centres).dropDuplicates(["id", "data"]))
+    rows = cut(_quantised(good, centres))
     sizes = rows.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"))
     rows = cut(rows.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK_ROWS))))
     block = ["dim", "cell", "part"]
