@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, strings, table
+from .common import map_arrow, slices, strings, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. Possessive repeats find the same matches in linear time.
@@ -165,7 +165,10 @@ SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{1,64}(?:" + ANY_DOT +
 DISGUISED_DOT = re.compile(r"\s+dot\s+|" + BRACKET_DOT.pattern, re.IGNORECASE)
 SPOKEN_AT = re.compile(r"\s+at\s+", re.IGNORECASE)
 NUMBER_DOT = re.compile(r"(?<=[0-9])\s{1,3}dot\s{1,3}(?=[0-9])", re.IGNORECASE)
-HINT = re.compile(r"[^\x00-\x7f]|[\[({<]\s{0,3}(?:" + AT_WORDS + "|" + DOT_WORDS + r")\s{0,3}[\])}>]|\sdot\s|" + r"(?<![^\W_])(?:" + "|".join(SPELLED) + r")[\x20,.-]{1,3}(?:" + "|".join(SPELLED) + r"|[0-9])", re.IGNORECASE)
+NUMBER_WORD = r"(?:" + "|".join(sorted([*SPELLED, "oh", "plus"], key=len, reverse=True)) + ")"
+#: What every text that a transducer changes holds: a character beyond ASCII, a bracketed at or dot, a spoken dot, or a number word
+#: with another number after it. A run of WORD_DIGITS has three number words at least, of which one is not the last.
+HINT = re.compile(r"[^\x00-\x7f]|[\[({<]\s{0,3}(?:" + AT_WORDS + "|" + DOT_WORDS + r")\s{0,3}[\])}>]|\sdot\s|" + r"(?<![^\W_])" + NUMBER_WORD + r"[\x20,.-]{1,3}(?:" + NUMBER_WORD + r"|[0-9])", re.IGNORECASE)
 
 
 def look_alikes(now: Rewritten) -> Rewritten:
@@ -260,7 +263,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by [EMAIL], [IP], [CARD] or [PHONE]; overlapping spans become one, named by the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             i = batch.schema.get_field_index("text")
             texts = []
             for text in batch.column(i).to_pylist():
