@@ -115,8 +115,8 @@ def document_fingerprints(docs: DataFrame, huge: int = HUGE) -> DataFrame:
     return small.unionByName(large.select(small.columns))
 
 
-def exact_groups(docs: DataFrame, chunk_chars: int = 1 << 14, salts: int = 64) -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+def _groups(docs: DataFrame, chunk_chars: int = 1 << 14, salts: int = 64) -> DataFrame:
+    """One row for each row of docs: what exact_groups() returns, and row_hash."""
     prints = cut(document_fingerprints(docs).withColumn("uid", F.monotonically_increasing_id()))
     key = ["h1", "h2", "n_bytes"]
     texts = prints.groupBy(*key, "row_hash").agg(F.count("*").alias("n"))
@@ -141,7 +141,30 @@ def exact_groups(docs: DataFrame, chunk_chars: int = 1 << 14, salts: int = 64) -
     whole = part.groupBy(key).agg(F.sum("n").alias("group_size"), F.max("best").alias("best"), F.collect_list("salt").alias("salts"))
     whole = whole.select(*key, "group_size", "best", F.explode("salts").alias("salt"))
     out = rows.join(whole, [*key, "salt"])
-    return out.select("doc_id", F.bitwise_not("best.back").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (F.col("uid") == F.bitwise_not("best.row")).alias("kept"), "text_sha256")
+    return out.select("doc_id", F.bitwise_not("best.back").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (F.col("uid") == F.bitwise_not("best.row")).alias("kept"), "text_sha256", "row_hash")
+
+
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _groups(docs).drop("row_hash")
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of equal texts. Rows are told apart by doc_id (which may be null) and text; of rows that
+    agree in both one stays, if any does. All empty texts are one group."""
+    rows = cut(_groups(docs).where("group_size > 1").select("doc_id", "row_hash", "kept"))
+    keys = rows.groupBy("doc_id", "row_hash").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 or not kept")
+    keys = cut(keys.select(F.col("doc_id").alias("doc_id_"), F.col("row_hash").alias("row_hash_"), "kept"))
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    # a name that no column of docs has
+    name = "_" * (1 + max(map(len, docs.columns))) + "row_hash"
+    hashed = docs.withColumn(name, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    same = hashed[name].eqNullSafe(F.col("row_hash_")) & hashed["doc_id"].eqNullSafe(F.col("doc_id_"))
+    out = hashed.join(keys, same, "left_anti")
+    if not keys.where("kept").isEmpty():  # rows that are repeated in whole
+        out = out.unionByName(hashed.join(keys.where("kept"), same, "left_semi").dropDuplicates(["doc_id", name]))
+    return out.select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
