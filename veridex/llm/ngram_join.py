@@ -32,7 +32,7 @@ STEP, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Ties under the second order, and the whole third order, come from hashes by these constants.
 SECOND, THIRD = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 #: Each round tests against so many members of a large component; what is still apart then is tested pair by pair.
-PIVOTS = (1, 1, 4, 16, 64)
+PIVOTS = (1, 1, 8, 32)
 #: So many of the most frequent shingles get levels of frequency; others are ordered by hash. Any order gives the same result.
 FREQUENT = 100_000
 #: A task's summary of frequent shingles: one that it holds more often than its tokens / SUMMARY times is surely in it.
@@ -292,15 +292,15 @@ def _live(shared: DataFrame) -> DataFrame:
 
 
 def _to_test(live: DataFrame, step: int, tested: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of this round: b shares a token with the component that leads there, a is one of its chosen members."""
-    away = live.where("label <> major").groupBy("id", "n", "major").agg(F.count("*").alias("k"))
-    if step == 0:  # all stand alone: each against the one that it shares most with
-        away = away.groupBy("id", "n").agg(F.max_by("major", F.struct("k", F.xxhash64("major"))).alias("major"))
+    """Pairs (a, b) of this round: b shares a token in place with a, a chosen member of the token's largest component."""
     order = F.desc("score") if step < 2 else F.xxhash64("id", F.lit(step))
-    place = F.row_number().over(Window.partitionBy("label").orderBy(order, "id"))
-    pivots = live.select("id", "n", "label", "score").distinct().withColumn("place", place).where(F.col("place") <= PIVOTS[step])
-    pivots = pivots.select(F.col("id").alias("a"), F.col("n").alias("n_"), F.col("label").alias("major"))
-    pairs = away.join(pivots, "major").where("4 * least(n, n_) >= 3 * greatest(n, n_)").select("a", F.col("id").alias("b")).distinct()
+    place = F.row_number().over(Window.partitionBy("token").orderBy(order, "id"))
+    pivots = live.where("label = major").withColumn("place", place).where(F.col("place") <= PIVOTS[step])
+    pivots = pivots.select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "pos")])
+    pairs = live.where("label <> major").join(pivots, "token").where(IN_PLACE).groupBy(F.col("id_").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("k"))
+    if step == 0:  # all stand alone: each against the one that it shares most with
+        pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("k", F.xxhash64("a"))).alias("a"))
+    pairs = pairs.select("a", "b")
     return cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
 
 
