@@ -48,6 +48,21 @@ class Spark:
     def dot(self, a: str, b: str) -> str:
         return f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (s, x) -> s + x)"
 
+    def escaped(self, pattern: str) -> str:
+        """A pattern with backslashes, for a literal."""
+        return pattern.replace("\\", "\\\\")
+
+    def terms(self, x: str) -> str:
+        """The analyser of the keyword path, for chunks and requests alike: letters and digits, identifiers kept whole."""
+        return self.all_matches(f"lower({x})", self.escaped(r"[\p{L}\p{N}]+(?:[._-][\p{L}\p{N}]+)*"))
+
+    def has_all(self, a: str, b: str) -> str:
+        return f"size(array_except({b}, {a})) = 0"
+
+    def keyword(self, plan, plain) -> str:
+        """The library's text, or for the check the plain reading."""
+        return plan(self)
+
     def seconds(self, later: str, earlier: str) -> str:
         return f"CAST(timestampdiff(SECOND, {earlier}, {later}) AS BIGINT)"
 
@@ -103,6 +118,15 @@ class Duck(Spark):
     def dot(self, a: str, b: str) -> str:
         return f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
+    def escaped(self, pattern: str) -> str:
+        return pattern
+
+    def has_all(self, a: str, b: str) -> str:
+        return f"list_has_all({a}, {b})"
+
+    def keyword(self, plan, plain) -> str:
+        return plain(self)
+
     def seconds(self, later: str, earlier: str) -> str:
         return f"CAST(date_diff('second', {earlier}, {later}) AS BIGINT)"
 

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.run import Tables, apply
-from .retrieval import OPERATORS as RETRIEVAL
-
 
 def cover_density_rank(hits: DataFrame) -> DataFrame:
     """(request_id, chunk_id, covers, score) from (request_id, chunk_id, place, term, n_terms), a row for each occurrence.
@@ -32,14 +29,3 @@ def cover_density_rank(hits: DataFrame) -> DataFrame:
         )
 
     return held.select("request_id", "chunk_id", F.aggregate("items", start, step).alias("s")).select("request_id", "chunk_id", "s.covers", "s.score")
-
-
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = Tables(spark, sf_dir)
-    places = apply(spark, lambda d: f"SELECT chunk_id, term, place FROM {d.each('@chunk', d.all_matches('lower(line)', '[a-z0-9]+'), 'place', 'term')} q", tables)
-    asked = tables["query_term"]
-    hits = places.join(asked, "term").join(apply(spark, RETRIEVAL["keyword_and_match"], tables), ["request_id", "chunk_id"])
-    return cover_density_rank(hits.join(asked.groupBy("request_id").agg(F.count("*").alias("n_terms")), "request_id"))
-
-
-QUERIES = {"cover_density_rank": _ranked}

@@ -23,8 +23,6 @@ CURVE = """curve AS (SELECT score, sum(CASE WHEN expected = 'refuse' THEN 1 ELSE
     scan AS (SELECT CAST(score AS STRING) AS threshold, score, refused_bad, refused_good FROM running UNION ALL SELECT 'above', 1e9, bad, good FROM total),
     scored AS (SELECT s.score, round(CAST(refused_bad AS DOUBLE) / nullif(t.bad, 0), 6) AS refusal_accuracy, round(CAST(refused_good AS DOUBLE) / nullif(t.good, 0), 6) AS false_refusal_rate, round((CAST(refused_bad AS DOUBLE) / nullif(t.bad, 0) + 1 - CAST(refused_good AS DOUBLE) / nullif(t.good, 0)) / 2, 6) AS balanced_accuracy FROM scan s CROSS JOIN total t)"""
 
-FOLDED = "(SELECT item_id AS id, lower(substr(trim(text), 1, 40)) AS t, item_id % 2 AS split FROM @benchmark UNION ALL SELECT item_id + 1000000, concat(substr(lower(substr(trim(text), 1, 40)), 1, 10), CASE WHEN item_id % 3 = 0 THEN 'x' WHEN item_id % 3 = 1 THEN '' ELSE 'yy' END, substr(lower(substr(trim(text), 1, 40)), 11 + CASE WHEN item_id % 3 = 1 THEN 1 ELSE 0 END)), 1 - item_id % 2 FROM @benchmark)"
-
 COST = """priced AS (SELECT usage_id, query_run_id, stage, status, attempt, CASE WHEN status <> 'SUCCEEDED' THEN 'NOT_SUCCEEDED' WHEN completion_tokens IS NULL OR hit_tokens IS NULL THEN 'TOKENS_MISSING' END AS reason,
     (CAST(hit_tokens AS DECIMAL(18, 0)) * CAST(0.02 AS DECIMAL(6, 2)) + CAST(prompt_tokens - hit_tokens AS DECIMAL(18, 0)) * CAST(0.20 AS DECIMAL(6, 2)) + CAST(completion_tokens AS DECIMAL(18, 0)) * CAST(0.40 AS DECIMAL(6, 2))) AS raw FROM @llm_usage)"""
 
@@ -47,21 +45,28 @@ OPERATORS = {
     "recall_at_10": lambda d: f"WITH {RECALL} SELECT variant, question_id, hit, n, {ratio('hit', 'n')} AS recall FROM recall",
     "ndcg_at_10": lambda d: f"WITH {COVERED}, first_at AS (SELECT DISTINCT variant, question_id, rank FROM (SELECT variant, question_id, span, min(rank) AS rank FROM covered WHERE rank <= 10 GROUP BY variant, question_id, span) f), ideal AS (SELECT question_id, sum(ln(2.0E0) / ln(k + 1.0E0)) AS idcg FROM {d.numbers('spans', '1', 'least(n, 10)', 'k')} q GROUP BY question_id) SELECT v.variant, i.question_id, round(coalesce(sum(ln(2.0E0) / ln(f.rank + 1.0E0)), 0.0E0) / i.idcg, 6) AS ndcg FROM ideal i CROSS JOIN variants v LEFT JOIN first_at f ON f.question_id = i.question_id AND f.variant = v.variant GROUP BY v.variant, i.question_id, i.idcg",
     "ranking_report": lambda d: f"WITH {RECALL} SELECT variant, count(*) AS questions, CAST(sum(hit) AS BIGINT) AS hits, CAST(sum(n) AS BIGINT) AS spans, round(avg(CAST(hit AS DOUBLE) / n), 6) AS macro_recall, {ratio('sum(hit)', 'sum(n)')} AS micro_recall, {d.joined('CASE WHEN hit < n THEN CAST(question_id AS STRING) END', 'question_id')} AS failed_ids FROM recall GROUP BY variant",
-    "ablation_field_check": lambda d: "SELECT question_id, variant, rank, CASE WHEN variant = 'A' AND (rank + question_id) % 11 = 0 THEN 'KEYWORD_RANK_FORBIDDEN' WHEN variant = 'B' AND (rank + question_id) % 13 = 0 THEN 'FUSION_RANK_DIFFERS' WHEN variant = 'C' AND rank <= 10 AND (rank + question_id) % 7 = 0 THEN 'RERANK_SCORE_MISSING' ELSE 'OK' END AS reason FROM @candidate",
+    "ablation_field_check": lambda d: """SELECT question_id, variant, document_id, line_no, rank, CASE WHEN variant = 'A' THEN CASE WHEN vector_rank IS NULL OR vector_score IS NULL THEN 'VECTOR_FIELDS_MISSING'
+            WHEN keyword_rank IS NOT NULL OR fusion_rank IS NOT NULL OR fusion_score IS NOT NULL OR rerank_score IS NOT NULL THEN 'FOREIGN_FIELDS' WHEN rank <> vector_rank THEN 'RANK_DIFFERS' ELSE 'OK' END
+        WHEN fusion_rank IS NULL OR fusion_score IS NULL THEN 'FUSION_FIELDS_MISSING' WHEN variant = 'B' AND rerank_score IS NOT NULL THEN 'RERANK_SCORE_FORBIDDEN' WHEN variant = 'B' AND rank <> fusion_rank THEN 'RANK_DIFFERS'
+        WHEN variant = 'C' AND rerank_unavailable AND rerank_score IS NOT NULL THEN 'RERANK_SCORE_FORBIDDEN' WHEN variant = 'C' AND rerank_score IS NULL AND rank <> fusion_rank THEN 'RANK_DIFFERS' ELSE 'OK' END AS reason FROM @ablation_candidate""",
     "ablation_triplet_check": lambda d: "WITH c AS (SELECT question_id, line_no, rank FROM @candidate WHERE variant = 'C' AND question_id % 3 <> 0 UNION ALL SELECT question_id, line_no, rank FROM @candidate WHERE variant = 'B' AND question_id % 3 = 0 AND NOT (question_id % 2 = 0 AND rank = 1)), b AS (SELECT question_id, line_no, rank FROM @candidate WHERE variant = 'B') SELECT question_id, count(*) AS differences FROM (SELECT coalesce(b.question_id, c.question_id) AS question_id FROM b FULL OUTER JOIN c ON b.question_id = c.question_id AND b.line_no = c.line_no AND b.rank = c.rank WHERE b.rank IS NULL OR c.rank IS NULL) q WHERE question_id % 3 = 0 GROUP BY question_id",
     "calibration_scan": lambda d: f"WITH {CURVE} SELECT score AS threshold, refusal_accuracy, false_refusal_rate, balanced_accuracy FROM scored",
     "calibration_select": lambda d: f"WITH {CURVE} SELECT score AS threshold, balanced_accuracy FROM scored ORDER BY balanced_accuracy DESC, score LIMIT 1",
     "calibration_fixed": lambda d: f"SELECT {ratio('''count_if(expected = 'refuse' AND (event_type = 'error' OR score < 30))''', '''count_if(expected = 'refuse')''')} AS refusal_accuracy, {ratio('''count_if(expected <> 'refuse' AND (event_type = 'error' OR score < 30))''', '''count_if(expected <> 'refuse')''')} AS false_refusal_rate, count(*) AS questions FROM @top_score",
     "probe_records": lambda d: "SELECT a.item_id AS question_id, CASE WHEN a.item_id % 5 = 4 THEN 'refuse' ELSE 'answer' END AS expected, coalesce(c.n, 0) AS candidates, c.top_line FROM @benchmark a LEFT JOIN (SELECT question_id, count(*) AS n, min_by(line_no, rank) AS top_line FROM @candidate WHERE variant = 'B' GROUP BY question_id) c ON c.question_id = a.item_id",
-    # edit distance at most one: equal texts, or texts that share a version with one character left out
-    "near_duplicates": lambda d: f"WITH q AS {FOLDED}, k AS (SELECT id, split, t, concat(substr(t, 1, p), substr(t, p + 2)) AS key FROM {d.numbers('q', '0', 'CAST(length(t) AS BIGINT)', 'p')} n) SELECT DISTINCT a.id AS left_id, b.id AS right_id, CAST({d.edit_distance('a.t', 'b.t')} AS BIGINT) AS distance FROM k a JOIN k b ON a.key = b.key AND a.split = 0 AND b.split = 1 WHERE {d.edit_distance('a.t', 'b.t')} <= 1",
-    "id_overlap": lambda d: "SELECT event_id % 700 AS id FROM @events WHERE event_type = 'error' INTERSECT SELECT event_id % 900 FROM @events WHERE event_type = 'purchase'",
+    # texts within one edit agree in their first or in their last half, of the shorter one's length
+    "near_duplicates": lambda d: f"""WITH folded AS (SELECT id, split, trim({d.replaced("lower(text)", d.escaped("\\s+"), " ")}) AS t FROM @question_text), halves AS (SELECT id, split, t, CAST(length(t) AS INT) AS n, CAST(floor(length(t) / 2) AS INT) AS h FROM folded UNION SELECT id, split, t, CAST(length(t) AS INT), CAST(floor((length(t) - 1) / 2) AS INT) FROM folded WHERE t <> ''),
+        keyed AS (SELECT id, split, t, n, h, 'first' AS side, substr(t, 1, h) AS half FROM halves UNION ALL SELECT id, split, t, n, h, 'last', substr(t, n - h + 1, h) FROM halves)
+        SELECT DISTINCT a.id AS left_id, b.id AS right_id, CAST({d.edit_distance('a.t', 'b.t')} AS BIGINT) AS distance FROM keyed a JOIN keyed b ON a.side = b.side AND a.h = b.h AND a.half = b.half WHERE a.split = 0 AND b.split = 1 AND a.t <> '' AND b.t <> '' AND abs(a.n - b.n) <= 1 AND {d.edit_distance('a.t', 'b.t')} <= 1""",
+    "id_overlap": lambda d: "SELECT user_id AS id FROM @events WHERE event_type = 'error' INTERSECT SELECT user_id FROM @events WHERE event_type = 'purchase'",
     "split_matrix": lambda d: "SELECT coalesce(CAST(category AS STRING), 'all') AS category, coalesce(split, 'all') AS split, count(*) AS n, count(*) = 20 AS as_expected FROM (SELECT category, CASE WHEN question_id % 3 = 0 THEN 'holdout' ELSE 'dev' END AS split FROM @answer) q GROUP BY CUBE (category, split)",
     "tag_counts": lambda d: f"SELECT tag, count(*) AS n FROM {d.each('''(SELECT question_id, concat('t', CAST(category AS STRING), CASE WHEN question_id % 2 = 0 THEN ',even' ELSE '' END, CASE WHEN question_id % 7 = 0 THEN ',rare' ELSE '' END) AS tags FROM @answer)''', d.split('tags', ','), 'place', 'tag')} q GROUP BY tag",
     "question_consistency": lambda d: f"SELECT a.question_id, concat_ws(',', CASE WHEN a.expected = 'refuse' AND g.n > 0 THEN 'refuse_with_gold' END, CASE WHEN a.category = 1 AND g.docs > 1 THEN 'single_has_many' END, CASE WHEN a.category = 2 AND g.docs < 2 THEN 'cross_has_one' END, CASE WHEN a.category = 3 AND a.question_id % 2 = 0 THEN 'tag_without_field' END) AS violations FROM @answer a LEFT JOIN (SELECT question_id, count(*) AS n, count(DISTINCT document_id) AS docs FROM {GOLD} x GROUP BY question_id) g ON g.question_id = a.question_id",
     "span_access_check": lambda d: "SELECT s.question_id, s.chunk_index, CASE WHEN q.kb_id IS NULL THEN 'OUT_OF_SCOPE' WHEN m.user_id IS NULL THEN 'NOT_ACCESSIBLE' WHEN x.active_version_id <> s.version_id THEN 'SUPERSEDED' ELSE 'OK' END AS verdict FROM @gold_span s JOIN @document x ON x.document_id = s.document_id LEFT JOIN @request_kb q ON q.request_id = s.question_id AND q.kb_id = x.kb_id LEFT JOIN @kb_member m ON m.user_id = q.user_id AND m.kb_id = q.kb_id AND NOT m.revoked",
     "gold_quote_check": lambda d: "SELECT s.question_id, s.chunk_index, contains(c.line, substr(o.line, 1, 30)) AS found FROM @gold_span s JOIN @chunk c ON c.version_id = s.version_id AND c.line_no BETWEEN s.start_line AND s.end_line JOIN @chunk o ON o.version_id = s.version_id AND o.chunk_index = s.chunk_index + CASE WHEN s.question_id % 4 = 0 THEN -1 ELSE 0 END",
-    "canary_presence": lambda d: "SELECT b.item_id, EXISTS (SELECT 1 FROM @chunk c JOIN @document x ON x.document_id = c.document_id AND NOT x.deleted AND x.active_version_id = c.version_id WHERE c.version_id = b.item_id * 3 % 150 AND contains(lower(c.line), lower(substr(b.text, 1, 2)))) AS present FROM @benchmark b",
+    "canary_presence": lambda d: f"""WITH active AS (SELECT c.chunk_id, c.line, x.kb_id FROM @chunk c JOIN @document x ON x.document_id = c.document_id AND NOT x.deleted AND x.active_version_id = c.version_id), held AS (SELECT DISTINCT chunk_id, term FROM {d.each("active", d.terms("line"), "place", "term")} q),
+        asked AS (SELECT y.item_id, y.canary, q.kb_id, {d.at(d.terms("y.canary"), "1")} AS term FROM @canary y JOIN @request_kb q ON q.request_id = y.item_id), found AS (SELECT DISTINCT a.item_id FROM asked a JOIN held h ON h.term = a.term JOIN active c ON c.chunk_id = h.chunk_id AND c.kb_id = a.kb_id WHERE contains(lower(c.line), lower(a.canary)))
+        SELECT y.item_id, f.item_id IS NOT NULL AS present FROM @canary y LEFT JOIN found f ON f.item_id = y.item_id""",
     "rewrite_overlap": lambda d: f"SELECT conv_id % 5 AS bucket, count_if(a = b) AS exact, count_if(a <> b AND fa = fb) AS normalized_equal, count_if(fa <> fb) AS different, count_if(b IS NULL) AS missing FROM (SELECT conv_id, a, b, trim({d.replaced('lower(a)', '[^a-z0-9]+', ' ')}) AS fa, trim({d.replaced('lower(b)', '[^a-z0-9]+', ' ')}) AS fb FROM (SELECT conv_id, text AS a, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN concat(text, '!') WHEN 2 THEN concat(text, ' more') END AS b FROM @conversations WHERE role = 'user') q) r GROUP BY conv_id % 5",
     "run_alignment": lambda d: "SELECT coalesce(c.conv_id, s.conv_id) AS conv_id, coalesce(c.turn, s.turn) AS turn, CASE WHEN s.turn IS NULL THEN 'UNKNOWN' WHEN c.turn IS NULL THEN 'MISSING' WHEN c.n > 1 THEN 'DUPLICATE' ELSE 'OK' END AS state FROM (SELECT conv_id, turn, count(*) AS n FROM (SELECT conv_id, turn FROM @conversations WHERE turn % 6 <> 4 UNION ALL SELECT conv_id, turn + CASE WHEN turn % 2 = 0 THEN 0 ELSE 1000 END FROM @conversations WHERE conv_id % 5 = 1) q GROUP BY conv_id, turn) c FULL OUTER JOIN (SELECT conv_id, turn FROM @conversations) s ON s.conv_id = c.conv_id AND s.turn = c.turn",
     "latency_summary": lambda d: f"SELECT stage, count(*) AS n, count_if(status <> 'SUCCEEDED') AS failed, round(min(latency), 6) AS low, round(avg(latency), 6) AS mean, {d.disc(0.5, 'latency')} AS p50, {d.disc(0.95, 'latency')} AS p95, round(max(latency), 6) AS high, {ratio('''count_if(status = 'SUCCEEDED')''', 'sum(latency)')} AS throughput FROM @llm_usage GROUP BY stage",

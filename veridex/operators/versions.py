@@ -11,7 +11,9 @@ ATTEMPT = "(SELECT j.job_id, j.version_id, j.lease_token, v.document_id, v.statu
 
 OPERATORS = {
     "content_addressed_versions": lambda d: "SELECT x.kb_id, v.file_hash, concat(CAST(x.kb_id AS STRING), '/', v.file_hash) AS file_ref, count(*) AS refs, min(v.version_id) AS first_version FROM @document_version v JOIN @document x ON x.document_id = v.document_id GROUP BY x.kb_id, v.file_hash",
-    "upload_validation": lambda d: f"SELECT doc_id, CASE WHEN {d.octets('text')} = 0 THEN 'EMPTY' WHEN {d.octets('text')} > 20000000 THEN 'TOO_LARGE' WHEN {d.matches('text', '[' + chr(1) + '-' + chr(8) + chr(14) + '-' + chr(31) + ']')} THEN 'CONTROL_CHARACTER' WHEN trim(substr(text, 1, 3)) = '' OR doc_id % 41 = 0 THEN 'TITLE' WHEN doc_id % 7 NOT IN (0, 1, 2, 3, 4) THEN 'EXTENSION' ELSE 'OK' END AS reason FROM @documents",
+    "upload_validation": lambda d: f"""SELECT upload_id, CASE WHEN {d.octets('content')} = 0 THEN 'EMPTY' WHEN {d.octets('content')} > 20000000 THEN 'TOO_LARGE' WHEN {d.matches('content', d.escaped("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"))} THEN 'CONTROL_CHARACTER'
+        WHEN title = '' OR length(title) > 500 THEN 'TITLE' WHEN NOT {d.matches("filename", "[.](md|markdown|pdf|docx)$")} THEN 'EXTENSION' ELSE 'OK' END AS reason
+        FROM (SELECT upload_id, content, {d.replaced("title", d.escaped("^\\s+|\\s+$"), "")} AS title, lower(trim({d.first_match("translate(filename, chr(92), '/')", "([^/]*)$", 1)})) AS filename FROM @upload) u""",
     "web_url_normalize": lambda d: f"""WITH u AS (SELECT page_id, CASE page_id % 9 WHEN 1 THEN replace(url, 'https://', 'HTTPS://') WHEN 2 THEN concat(url, '#top') WHEN 3 THEN replace(url, '://', '://me@') WHEN 4 THEN 'ftp://h.example/x' WHEN 5 THEN 'https://H.Example:443' WHEN 6 THEN 'http://h.example:8080/a' ELSE url END AS url FROM @pages),
         p AS (SELECT page_id, url, lower({d.first_match("url", "^([A-Za-z]+)://", 1)}) AS scheme, {d.first_match("url", "^[A-Za-z]+://([^/?#]*)", 1)} AS authority, {d.first_match("url", "^[A-Za-z]+://[^/?#]*([^#]*)", 1)} AS rest FROM u)
         SELECT page_id, CASE WHEN scheme NOT IN ('http', 'https') OR contains(authority, '@') OR contains(url, '#') OR authority = '' OR {d.first_match("authority", ":([0-9]*)$", 1)} NOT IN ('', CASE WHEN scheme = 'http' THEN '80' ELSE '443' END) THEN 'URL_INVALID'
@@ -37,14 +39,15 @@ OPERATORS = {
         r AS (SELECT *, row_number() OVER (PARTITION BY document_id, expected, first_verdict ORDER BY job_id) AS place FROM a), v AS (SELECT job_id, document_id, version_id, active_version_id, CASE WHEN first_verdict = 'CANDIDATE' THEN CASE WHEN place = 1 THEN 'PUBLISHED' ELSE 'CONFLICT' END ELSE first_verdict END AS verdict FROM r)
         SELECT job_id, document_id, version_id, verdict, CASE WHEN verdict = 'PUBLISHED' THEN version_id ELSE active_version_id END AS new_pointer FROM v""",
     "generation_completeness": lambda d: "WITH c AS (SELECT generation_id, count(*) AS chunks FROM @chunk GROUP BY generation_id), e AS (SELECT c.generation_id, count(*) AS embeddings FROM @chunk_embedding e JOIN @chunk c ON c.chunk_id = e.chunk_id WHERE e.vec_id % 50 <> 49 GROUP BY c.generation_id) SELECT g.generation_id, coalesce(c.chunks, 0) AS chunks, coalesce(e.embeddings, 0) AS embeddings, coalesce(c.chunks, 0) = coalesce(e.embeddings, 0) AS complete FROM @index_generation g LEFT JOIN c ON c.generation_id = g.generation_id LEFT JOIN e ON e.generation_id = g.generation_id",
-    "ready_uniqueness": lambda d: "SELECT document_id, profile_id, count(*) AS ready FROM (SELECT v.document_id, g.profile_id FROM @index_generation g JOIN @document_version v ON v.version_id = g.version_id WHERE g.status = 'READY') q GROUP BY document_id, profile_id HAVING count(*) > 1",
+    "ready_uniqueness": lambda d: "SELECT version_id, profile_id, count(*) AS ready FROM @index_generation WHERE status = 'READY' GROUP BY version_id, profile_id HAVING count(*) > 1",
     "soft_delete": lambda d: """WITH wanted AS (SELECT document_id FROM @document WHERE document_id % 6 = 1), kb AS (SELECT x.kb_id, count(*) AS n FROM @document x JOIN wanted w ON w.document_id = x.document_id WHERE NOT x.deleted GROUP BY x.kb_id)
         SELECT x.document_id, x.deleted OR w.document_id IS NOT NULL AS deleted, CASE WHEN w.document_id IS NULL THEN 'UNTOUCHED' WHEN x.deleted THEN 'NO_OP' ELSE 'DELETED' END AS outcome, k.kb_revision + coalesce(b.n, 0) AS kb_revision, coalesce(j.cancelled, 0) AS cancelled_jobs
         FROM @document x LEFT JOIN wanted w ON w.document_id = x.document_id JOIN @knowledge_base k ON k.kb_id = x.kb_id LEFT JOIN kb b ON b.kb_id = x.kb_id LEFT JOIN (SELECT v.document_id, count(*) AS cancelled FROM @ingest_job j JOIN @document_version v ON v.version_id = j.version_id JOIN wanted w ON w.document_id = v.document_id WHERE j.status IN ('QUEUED', 'PARSING', 'CHUNKING', 'EMBEDDING') GROUP BY v.document_id) j ON j.document_id = x.document_id AND NOT x.deleted""",
     "claim_decision": lambda d: f"""SELECT j.job_id, CASE WHEN v.version_id IS NULL THEN 'MISSING' WHEN j.status IN ('READY', 'FAILED', 'CANCELLED') THEN 'TERMINAL' WHEN x.deleted THEN 'DOCUMENT_DELETED' WHEN v.status = 'FAILED' THEN 'VERSION_FAILED' WHEN v.status = 'NEEDS_OCR' THEN 'NEEDS_OCR'
         WHEN j.next_run_at > {AS_OF} THEN 'NOT_DUE' WHEN j.lease_until > {AS_OF} THEN 'LEASED' WHEN j.attempt >= 3 THEN 'EXHAUSTED' WHEN j.status = 'QUEUED' THEN 'CLAIM' ELSE 'RECLAIM' END AS decision FROM @ingest_job j LEFT JOIN @document_version v ON v.version_id = j.version_id LEFT JOIN @document x ON x.document_id = v.document_id""",
     "profile_hash": lambda d: f"SELECT profile_id, {d.sha('text')} AS config_hash FROM (SELECT profile_id, concat('{{\"analyzer\":\"', analyzer, '\",\"dimension\":', CAST(dimension AS STRING), ',\"normalized\":', CASE WHEN normalized THEN 'true' ELSE 'false' END, ',\"revision\":', CAST(revision AS STRING), ',\"schema\":1}}') AS text FROM @index_profile) p",
-    "profile_identity": lambda d: "SELECT g.generation_id, CASE WHEN g.generation_id % 23 = 0 THEN 'UNBOUND' WHEN p.profile_id IS NULL THEN 'MISSING' WHEN g.profile_id <> k.profile_id THEN 'ID_MISMATCH' WHEN g.generation_id % 9 = 1 THEN 'SOURCE_MISMATCH' WHEN g.generation_id % 10 = 2 THEN 'PARSER_MISMATCH' WHEN p.analyzer <> 'words-v2' THEN 'CONTRACT_MISMATCH' WHEN g.generation_id % 14 = 3 THEN 'HASH_MISMATCH' ELSE 'ALLOWED' END AS outcome FROM @index_generation g JOIN @document_version v ON v.version_id = g.version_id JOIN @document x ON x.document_id = v.document_id JOIN @knowledge_base k ON k.kb_id = x.kb_id LEFT JOIN @index_profile p ON p.profile_id = k.profile_id",
+    "profile_identity": lambda d: f"""SELECT generation_id, CASE WHEN job_profile_id IS NULL THEN 'UNBOUND' WHEN profile_id IS NULL THEN 'MISSING' WHEN profile_id <> job_profile_id THEN 'ID_MISMATCH' WHEN source_type NOT IN ('markdown', 'pdf', 'docx', 'web') THEN 'SOURCE_MISMATCH' WHEN parser_version <> 'blocks-v1' THEN 'PARSER_MISMATCH'
+        WHEN NOT coalesce(dimension > 0 AND normalized AND analyzer <> '' AND revision >= 1, false) THEN 'CONTRACT_MISMATCH' WHEN config_hash <> {d.sha("concat_ws('/', analyzer, CAST(normalized AS STRING), CAST(dimension AS STRING), CAST(revision AS STRING))")} THEN 'HASH_MISMATCH' WHEN analyzer <> 'words-v2' OR dimension <> 64 OR revision <> 7 THEN 'CONTRACT_MISMATCH' ELSE 'ALLOWED' END AS outcome FROM @identity_case""",
     "stalled_jobs": lambda d: f"SELECT j.job_id, CASE WHEN j.attempt < 3 THEN 'REQUEUE' ELSE 'EXHAUSTED' END AS action, CASE WHEN j.attempt < 3 THEN CAST(least(5 * power(2, greatest(j.attempt - 1, 0)), 300) AS BIGINT) END AS backoff_seconds FROM @ingest_job j JOIN @document_version v ON v.version_id = j.version_id JOIN @document x ON x.document_id = v.document_id WHERE j.status IN ('PARSING', 'CHUNKING', 'EMBEDDING') AND j.lease_until < {AS_OF} AND j.error_code IS NULL AND NOT x.deleted",
     "undelivered_jobs": lambda d: f"SELECT job_id, sent, CASE WHEN sent >= 5 THEN 'UNCONFIRMED' ELSE 'FOLLOW_UP' END AS action FROM (SELECT j.job_id, count(*) AS sent, max(o.sent_at) AS last_sent FROM @ingest_job j JOIN @outbox_event o ON o.job_id = j.job_id AND o.status = 'SENT' WHERE j.status = 'QUEUED' AND j.next_run_at <= {AS_OF} AND j.lease_owner IS NULL AND NOT EXISTS (SELECT 1 FROM @outbox_event p WHERE p.job_id = j.job_id AND p.status = 'PENDING') GROUP BY j.job_id) q WHERE last_sent < {AS_OF}",
     "integrity_facts": lambda d: """SELECT 'ready_versions' AS fact, count(*) AS n FROM @document_version WHERE status = 'READY' UNION ALL SELECT 'ready_generations', count(*) FROM @index_generation WHERE status = 'READY' UNION ALL SELECT 'chunks', count(*) FROM @chunk UNION ALL SELECT 'embeddings', count(*) FROM @chunk_embedding
@@ -52,5 +55,5 @@ OPERATORS = {
     "blob_manifest_diff": lambda d: f"""WITH manifest AS (SELECT file_hash AS ref, min({d.octets("text")}) AS size, min(version_id) AS v, count(*) AS uses FROM @document_version WHERE version_id % 31 <> 7 GROUP BY file_hash), found AS (SELECT file_hash AS ref, min({d.octets("text")} + CASE WHEN version_id % 29 = 3 THEN 1 ELSE 0 END) AS size, min(CASE WHEN version_id % 37 = 5 THEN 'x' ELSE file_hash END) AS hash FROM @document_version WHERE version_id % 41 <> 11 GROUP BY file_hash)
         SELECT coalesce(m.ref, f.ref) AS ref, CASE WHEN f.ref IS NULL THEN 'MISSING' WHEN m.ref IS NULL THEN 'NOT_IN_MANIFEST' WHEN m.size <> f.size THEN 'SIZE_DIFFERS' WHEN f.hash <> m.ref THEN 'HASH_DIFFERS' WHEN m.uses > 1 THEN 'DUPLICATE_REFERENCE' ELSE 'OK' END AS finding FROM manifest m FULL OUTER JOIN found f ON m.ref = f.ref""",
     "lease_consistency": lambda d: "SELECT job_id FROM @ingest_job WHERE NOT (lease_owner IS NULL AND lease_token IS NULL AND lease_until IS NULL) AND NOT (lease_owner IS NOT NULL AND lease_token IS NOT NULL AND lease_until IS NOT NULL)",
-    "usage_constraints": lambda d: "SELECT usage_id, reason FROM (SELECT usage_id, CASE WHEN status = 'SUCCEEDED' AND (prompt_tokens IS NULL OR completion_tokens IS NULL) THEN 'TOKENS_MISSING' WHEN status <> 'SUCCEEDED' AND attempt = 3 THEN 'ERROR_CODE' WHEN hit_tokens > prompt_tokens THEN 'HIT_TOKENS' END AS reason FROM @llm_usage) q WHERE reason IS NOT NULL",
+    "usage_constraints": lambda d: "SELECT usage_id, reason FROM (SELECT usage_id, CASE WHEN status = 'SUCCEEDED' AND (prompt_tokens IS NULL OR completion_tokens IS NULL) THEN 'TOKENS_MISSING' WHEN status <> 'SUCCEEDED' AND error_code IS NULL THEN 'ERROR_CODE' WHEN hit_tokens > prompt_tokens THEN 'HIT_TOKENS' END AS reason FROM @llm_usage) q WHERE reason IS NOT NULL",
 }

@@ -26,20 +26,37 @@ DERIVED: dict[str, Callable] = {
         FROM @user_account u JOIN @knowledge_base k ON u.organization_id = k.organization_id""",
     "document_acl": lambda d: "SELECT x.document_id, u.user_id FROM @document x JOIN @user_account u ON x.document_id % 4 = (4 - u.user_id % 4) % 4 WHERE x.acl_mode = 'RESTRICTED'",
     "index_generation": lambda d: """SELECT v.version_id AS generation_id, v.version_id, coalesce(k.profile_id, 1) AS profile_id, CASE WHEN v.version_id % 13 = 6 THEN 'BUILDING' ELSE 'READY' END AS status
-        FROM @document_version v JOIN @document x ON v.document_id = x.document_id JOIN @knowledge_base k ON x.kb_id = k.kb_id""",
+        FROM @document_version v JOIN @document x ON v.document_id = x.document_id JOIN @knowledge_base k ON x.kb_id = k.kb_id
+        UNION ALL SELECT v.version_id + 1000000000000, v.version_id, coalesce(k.profile_id, 1), CASE WHEN v.version_id % 58 = 4 THEN 'READY' ELSE 'BUILDING' END
+        FROM @document_version v JOIN @document x ON v.document_id = x.document_id JOIN @knowledge_base k ON x.kb_id = k.kb_id WHERE v.version_id % 29 = 4""",
     "chunk": lambda d: f"""SELECT version_id * 1000 + chunk_index AS chunk_id, version_id AS generation_id, version_id, document_id, chunk_index, line, line_no FROM (
         SELECT version_id, document_id, trim(line) AS line, place + 1 AS line_no, CAST(row_number() OVER (PARTITION BY version_id ORDER BY place) AS BIGINT) - 1 AS chunk_index
         FROM {d.each("@document_version", d.lines("text"), "place", "line")} q WHERE trim(line) <> '') r""",
     "vector_count": lambda d: "SELECT count(*) AS n FROM @embeddings",
     "chunk_embedding": lambda d: """SELECT c.chunk_id, e.embedding, g.profile_id, (c.generation_id * 7 + c.chunk_index) % n.n AS vec_id FROM @chunk c JOIN @index_generation g ON c.generation_id = g.generation_id
         CROSS JOIN @vector_count n JOIN @embeddings e ON e.vec_id = (c.generation_id * 7 + c.chunk_index) % n.n""",
-    "search_request": lambda d: f"""SELECT b.item_id AS request_id, b.item_id % 20 AS user_id, b.text, e.embedding, {d.all_matches("lower(b.text)", "[a-z0-9]+")} AS words FROM @benchmark b JOIN @embeddings e ON e.vec_id = b.item_id""",
+    "search_request": lambda d: f"""SELECT b.item_id AS request_id, b.item_id % 20 AS user_id, b.text, e.embedding, {d.terms("b.text")} AS words FROM @benchmark b JOIN @embeddings e ON e.vec_id = b.item_id""",
     "request_kb": lambda d: """SELECT r.request_id, r.user_id, k.kb_id FROM @search_request r JOIN @knowledge_base k ON CASE r.request_id % 10 WHEN 4 THEN k.kb_id = 4 WHEN 3 THEN k.kb_id = 3 WHEN 9 THEN k.kb_id IN (1, 3) WHEN 7 THEN k.kb_id IN (0, 1)
         ELSE k.kb_id <= 2 AND k.kb_id % 2 = r.request_id % 2 END""",
-    "query_term": lambda d: f"SELECT DISTINCT request_id, term FROM {d.each('@search_request', 'words', 'place', 'term')} q WHERE place < 2",
+    "query_term": lambda d: f"SELECT DISTINCT request_id, term FROM {d.each('@search_request', 'words', 'place', 'term')} q",
     "llm_usage": lambda d: f"""SELECT event_id AS usage_id, {half("event_id")} AS query_run_id, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'signup' THEN 'TIMEOUT' ELSE 'SUCCEEDED' END AS status,
         CASE WHEN event_id % 2 = 0 THEN 'rewrite' ELSE 'answer' END AS stage, event_id % 3 + 1 AS attempt, abs(value) + 0.0 AS latency, CASE WHEN event_type NOT IN ('error', 'signup') THEN CAST(floor(abs(value) * 100) AS BIGINT) END AS prompt_tokens,
-        CASE WHEN event_type NOT IN ('error', 'signup') AND event_id % 5 <> 0 THEN CAST(floor(abs(value) * 10) AS BIGINT) END AS completion_tokens, CASE WHEN event_type NOT IN ('error', 'signup') THEN CAST(floor(abs(value) * 40) AS BIGINT) END AS hit_tokens, ts FROM @events""",
+        CASE WHEN event_type NOT IN ('error', 'signup') AND event_id % 5 <> 0 THEN CAST(floor(abs(value) * 10) AS BIGINT) END AS completion_tokens, CASE WHEN event_type NOT IN ('error', 'signup') THEN CAST(floor(abs(value) * 40) AS BIGINT) END AS hit_tokens,
+        CASE WHEN event_type IN ('error', 'signup') AND event_id % 10 <> 0 THEN concat('E_', upper(event_type)) END AS error_code, ts FROM @events""",
+    "upload": lambda d: """SELECT doc_id AS upload_id, CASE WHEN doc_id % 41 = 0 THEN concat(chr(9), '  ') WHEN doc_id % 43 = 1 THEN concat(substr(text, 1, 300), substr(text, 1, 300)) ELSE substr(text, 1, 40) END AS title,
+        concat(CASE WHEN doc_id % 5 = 0 THEN concat('c:', chr(92), 'up', chr(92)) WHEN doc_id % 5 = 1 THEN 'a/' ELSE '' END, 'f', CAST(doc_id AS STRING), CASE doc_id % 7 WHEN 0 THEN '.md' WHEN 1 THEN '.Markdown' WHEN 2 THEN '.PDF' WHEN 3 THEN '.docx' WHEN 4 THEN '.md ' WHEN 5 THEN '.doc' ELSE '' END) AS filename,
+        CASE WHEN doc_id % 53 = 9 THEN '' ELSE concat(text, CASE doc_id % 37 WHEN 3 THEN chr(11) WHEN 5 THEN chr(127) WHEN 7 THEN chr(12) WHEN 9 THEN chr(1) WHEN 11 THEN chr(9) WHEN 13 THEN chr(13) ELSE '' END) END AS content FROM @documents""",
+    "question_text": lambda d: """SELECT item_id AS id, item_id % 2 AS split, text FROM @benchmark
+        UNION ALL SELECT item_id + 1000000, 1 - item_id % 2, concat(translate(substr(text, 1, 20), 'abcdefghij', 'ABCDEFGHIJ'), CASE item_id % 5 WHEN 0 THEN 'x' WHEN 2 THEN 'yy' ELSE '' END, replace(substr(text, 21 + CASE WHEN item_id % 5 = 1 THEN 1 ELSE 0 END), ' ', concat(' ', chr(9))), CASE WHEN item_id % 5 = 3 THEN '!' ELSE chr(10) END) FROM @benchmark""",
+    "canary": lambda d: f"""SELECT item_id, substr(text, 1, length({d.first_match("text", "^[^ ]+ [^ ]+ [^ ]+")})) AS canary FROM @benchmark""",
+    "identity_case": lambda d: f"""SELECT g.generation_id, CASE WHEN g.generation_id % 23 <> 0 THEN g.profile_id END AS job_profile_id, CASE g.generation_id % 9 WHEN 1 THEN 'xlsx' WHEN 2 THEN 'pdf' WHEN 3 THEN 'docx' WHEN 4 THEN 'web' ELSE 'markdown' END AS source_type,
+        CASE WHEN g.generation_id % 10 = 2 THEN 'blocks-v0' ELSE 'blocks-v1' END AS parser_version, p.profile_id, p.analyzer, p.normalized, CASE WHEN g.generation_id % 16 = 7 THEN 0 ELSE p.dimension END AS dimension, p.revision,
+        CASE WHEN g.generation_id % 14 = 3 THEN 'stale' ELSE {d.sha("concat_ws('/', p.analyzer, CAST(p.normalized AS STRING), CAST(CASE WHEN g.generation_id % 16 = 7 THEN 0 ELSE p.dimension END AS STRING), CAST(p.revision AS STRING))")} END AS config_hash
+        FROM @index_generation g JOIN @document_version v ON v.version_id = g.version_id JOIN @document x ON x.document_id = v.document_id JOIN @knowledge_base k ON k.kb_id = x.kb_id LEFT JOIN @index_profile p ON p.profile_id = k.profile_id""",
+    "ablation_candidate": lambda d: """SELECT question_id, variant, document_id, line_no, rank + CASE WHEN (rank + question_id) % 17 = 0 THEN 1 ELSE 0 END AS rank, CASE WHEN variant = 'A' AND (rank + question_id) % 19 <> 0 OR variant <> 'A' AND rank % 2 = 0 THEN rank END AS vector_rank,
+        CASE WHEN variant = 'A' OR rank % 2 = 0 THEN 1.0E0 / rank END AS vector_score, CASE WHEN variant = 'A' AND (rank + question_id) % 11 = 0 OR variant <> 'A' AND rank % 3 = 0 THEN rank END AS keyword_rank,
+        CASE WHEN variant <> 'A' THEN rank END AS fusion_rank, CASE WHEN variant <> 'A' AND (rank + question_id) % 13 <> 0 THEN 1.0E0 / (60 + rank) END AS fusion_score,
+        CASE WHEN variant = 'C' AND rank <= 10 AND question_id % 3 <> 0 OR (rank + question_id) % 23 = 0 THEN 0.5E0 END AS rerank_score, variant = 'C' AND question_id % 3 = 0 AS rerank_unavailable FROM @candidate""",
     "ingest_job": lambda d: f"""SELECT o_orderkey AS job_id, o_orderkey % 500 AS version_id, CASE o_orderkey % 8 WHEN 0 THEN 'QUEUED' WHEN 1 THEN 'PARSING' WHEN 2 THEN 'CHUNKING' WHEN 3 THEN 'EMBEDDING' WHEN 4 THEN 'READY' WHEN 5 THEN 'FAILED' WHEN 6 THEN 'CANCELLED' ELSE 'NEEDS_OCR' END AS status,
         o_orderkey % 4 AS attempt, CASE WHEN o_orderkey % 5 < 3 THEN {d.days("o_orderdate", "o_orderkey % 60")} END AS lease_until, CASE WHEN o_orderkey % 5 < 3 THEN concat('w', CAST(o_orderkey % 3 AS STRING)) END AS lease_owner,
         CASE WHEN o_orderkey % 5 < 3 OR o_orderkey % 97 = 0 THEN o_orderkey END AS lease_token, {d.days("o_orderdate", "0")} AS next_run_at, CASE WHEN o_orderkey % 6 = 0 THEN 'E1' END AS error_code, o_custkey FROM @orders""",
