@@ -32,7 +32,7 @@ STEP, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Ties under the second order, and the whole third order, come from hashes by these constants.
 SECOND, THIRD = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 #: Each round tests against so many members of a large component; what is still apart then is tested pair by pair.
-PIVOTS = (1, 1, 8, 32)
+PIVOTS = (1, 8, 32)
 #: So many of the most frequent shingles get levels of frequency; others are ordered by hash. Any order gives the same result.
 FREQUENT = 100_000
 #: A task's summary of frequent shingles: one that it holds more often than its tokens / SUMMARY times is surely in it.
@@ -233,11 +233,19 @@ def _sets(orders: Orders):
     return run
 
 
+PAIR = ("a", "b", "label_a", "label_b")
+PAIRS = ", ".join(f"{c} long" for c in PAIR)
+
+
+def _passing(batch: pa.RecordBatch, keep: list[bool]) -> dict:
+    mask = pa.array(keep, pa.bool_())
+    return {c: batch.column(c).filter(mask) for c in PAIR}
+
+
 def _share(batch: pa.RecordBatch) -> Iterator[dict]:
     """Pairs whose prefixes share a token under the second order and under the third."""
-    rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y", "u", "v")), strict=True)
-    keep = [(a, b) for a, b, *both in rows if all(np.isin(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")).any() for p, q in (both[:2], both[2:]))]
-    yield {"a": [a for a, _ in keep], "b": [b for _, b in keep]}
+    prefixes = zip(*(batch.column(c).to_pylist() for c in ("x", "y", "u", "v")), strict=True)
+    yield _passing(batch, [all(np.isin(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")).any() for p, q in ((x, y), (u, v))) for x, y, u, v in prefixes])
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -250,9 +258,8 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _verify(batch: pa.RecordBatch) -> Iterator[dict]:
-    rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True)
-    keep = [(a, b) for a, b, x, y in rows if linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))]
-    yield {"a": [a for a, _ in keep], "b": [b for _, b in keep]}
+    sets = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+    yield _passing(batch, [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in sets])
 
 
 def narrowed(df: DataFrame, keys: DataFrame, column: str, n_keys: int) -> DataFrame:
@@ -262,20 +269,20 @@ def narrowed(df: DataFrame, keys: DataFrame, column: str, n_keys: int) -> DataFr
 
 def met(pairs: DataFrame, sets: DataFrame, ours: list, theirs: list) -> DataFrame:
     """Pairs (a, b) with columns of both sets. Few pairs are broadcast, so that only sets of documents in a pair move."""
-    left = pairs.select("a").distinct()
+    left = pairs.select("a")
     if pairs.count() <= BROADCAST_ROWS:
         pairs, left = F.broadcast(pairs), F.broadcast(left)
     y = sets.select(F.col("id").alias("b"), *theirs).join(pairs, "b")
-    x = sets.select(F.col("id").alias("a"), *ours).join(left, "a")
+    x = sets.select(F.col("id").alias("a"), *ours).join(left, "a", "left_semi")
     return y.join(x, "a")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link: first what all orders let pass, then by the members."""
+    """Those of the pairs that link: first what all orders let pass, then by the members."""
     met_here = met(pairs, sets, [F.col("second").alias("x"), F.col("third").alias("u")], [F.col("second").alias("y"), F.col("third").alias("v")])
-    candidates = cut(map_arrow(met_here.select("a", "b", "x", "y", "u", "v"), _share, "a long, b long"))
+    candidates = cut(map_arrow(met_here.select(*PAIR, "x", "y", "u", "v"), _share, PAIRS))
     whole = met(candidates, sets, [F.col("members").alias("x")], [F.col("members").alias("y")])
-    found = cut(map_arrow(whole.select("a", "b", "x", "y"), _verify, "a long, b long"))
+    found = cut(map_arrow(whole.select(*PAIR, "x", "y"), _verify, PAIRS))
     forget(candidates)
     return found
 
@@ -285,65 +292,66 @@ IN_PLACE = "4 * least(n, n_) >= 3 * greatest(n, n_) and pos <= n - (3 * (n + n_)
 
 
 def _live(shared: DataFrame) -> DataFrame:
-    """Postings of tokens whose sharers lie in several components, each with the token's largest one (by its most shared document)."""
-    per = shared.groupBy("token", "label").agg(F.count("*").alias("k"), F.max("score").alias("score"))
-    per = per.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("k", "score", "label")).alias("major"))
-    return shared.join(per.where("parts > 1").select("token", "major"), "token")
+    """Postings of tokens whose sharers have several labels, each with the token's commonest label."""
+    per = shared.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label", True).alias("major"))
+    return shared.join(per.where("low <> high").select("token", "major"), "token")
 
 
-def _to_test(live: DataFrame, step: int, tested: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of this round: b shares a token in place with a, a chosen member of the token's largest component."""
-    order = F.desc("score") if step < 2 else F.xxhash64("id", F.lit(step))
+def _to_test(live: DataFrame, step: int) -> DataFrame:
+    """Pairs of this round: b shares a token in place with a, a chosen document of the token's commonest label."""
+    # at first all stand alone, and the most shared document of a token speaks for it
+    ours = "label = major" if step else "true"
+    order = F.xxhash64("id", F.lit(step)) if step else F.desc("score")
     place = F.row_number().over(Window.partitionBy("token").orderBy(order, "id"))
-    pivots = live.where("label = major").withColumn("place", place).where(F.col("place") <= PIVOTS[step])
-    pivots = pivots.select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "pos")])
-    pairs = live.where("label <> major").join(pivots, "token").where(IN_PLACE).groupBy(F.col("id_").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("k"))
-    if step == 0:  # all stand alone: each against the one that it shares most with
-        pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("k", F.xxhash64("a"))).alias("a"))
-    pairs = pairs.select("a", "b")
-    return cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+    pivots = live.where(ours).withColumn("place", place).where(F.col("place") <= PIVOTS[step])
+    pivots = pivots.select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "pos", "label")])
+    others = live.where("label <> major") if step else live
+    met_in_place = others.join(pivots, "token").where(f"label <> label_ and {IN_PLACE}")
+    pairs = met_in_place.groupBy(F.col("id_").alias("a"), F.col("id").alias("b"), F.col("label_").alias("label_a"), F.col("label").alias("label_b")).agg(F.count("*").alias("k"))
+    if step == 0:  # one test a document, against the one that it shares most with
+        best = F.max_by(F.struct("a", "label_a", "label_b"), F.struct("k", F.xxhash64("a")))
+        pairs = pairs.groupBy("b").agg(best.alias("x")).select("x.a", "b", "x.label_a", "x.label_b")
+    return cut(pairs.select(*PAIR))
+
+
+def _relabelled(live: DataFrame, found: DataFrame) -> DataFrame:
+    """Gives documents the label that one of their label was found linked to. Labels that others lead to stay, so that none go in
+    circles: documents of one label surely are of one component, but not the other way round."""
+    leads = found.groupBy(F.col("label_b").alias("label")).agg(F.min("label_a").alias("new"))
+    leads = cut(leads.join(found.select(F.col("label_a").alias("label")).distinct(), "label", "left_anti"))
+    rows = live.drop("major").join(F.broadcast(leads) if leads.count() <= BROADCAST_ROWS else leads, "label", "left")
+    now = cut(_live(rows.withColumn("label", F.coalesce("new", "label")).drop("new")))
+    forget(live, leads)
+    return now
 
 
 def link_classes(shared: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Component labels (id, label) of linked classes; shared holds (token, id, n, pos)."""
     degree = shared.groupBy("id").agg((F.count("*") / F.max("n")).alias("score"))
     live = cut(_live(shared.join(degree, "id").withColumn("label", F.col("id"))))
-    labels = tested = None
-
-    def relabelled(found: DataFrame) -> None:
-        """Takes up found links: components of the components that stood before."""
-        nonlocal live, labels
-        if labels is None:
-            labels = components(found)
-        else:
-            name = lambda c: found.select("a", "b", F.col(c).alias("id")).join(labels, "id", "left").select("a", "b", F.coalesce("label", c).alias(f"{c}_"))
-            merged = components(name("a").join(name("b"), ["a", "b"]).select(F.col("a_").alias("a"), F.col("b_").alias("b")))
-            both = labels.join(merged.select(F.col("id").alias("label"), F.col("label").alias("new")), "label", "left").select("id", F.coalesce("new", "label").alias("label"))
-            alone = merged.join(labels, "id", "left_anti").select("id", "label")
-            labels = cut(both.unionByName(alone).distinct())
-        now = live.drop("label", "major").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        before, live = live, cut(_live(now))
-        forget(before)
-
+    links = []
     for step in range(len(PIVOTS)):
-        pairs = _to_test(live, step, tested)
-        if pairs.isEmpty():
-            continue
+        pairs = _to_test(live, step)
         found = verified(pairs, sets)
-        # none is tested again
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        forget(pairs)
         if not found.isEmpty():
-            relabelled(found)
-    # all pairs of different components that share a token in place; one of the two is outside the token's largest component
+            links.append(found)
+            live = _relabelled(live, found)
+    # all pairs of different labels that share a token in place; one of the two has another label than the token's commonest
     minor = live.where("label <> major").select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "pos", "label")])
     rest = live.join(minor, "token").where(f"label <> label_ and {IN_PLACE}").select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
-    if tested is not None:
-        rest = rest.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = cut(rest)
-    if not rest.isEmpty():
-        found = verified(rest, sets)
-        if not found.isEmpty():
-            relabelled(found)
+    rest = cut(rest.withColumns({"label_a": F.lit(0).cast("long"), "label_b": F.lit(0).cast("long")}))
+    found = verified(rest, sets)
+    forget(rest, live)
+    if not found.isEmpty():
+        links.append(found)
+    if not links:
+        return None
+    edges = links[0]
+    for more in links[1:]:
+        edges = edges.unionByName(more)
+    labels = components(edges)
+    forget(*links)
     return labels
 
 
