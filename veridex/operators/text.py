@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-WINDOW, OVERLAP, TARGET = 512, 60, 360
-
-
 def headings(d) -> str:
     """Lines with their heading path: a heading clears those of its own and deeper levels."""
     last = ", ".join(f"max(CASE WHEN level <= {n} THEN place END) OVER w AS at{n}" for n in (1, 2, 3))
@@ -38,7 +35,6 @@ OPERATORS = {
         span AS (SELECT *, CAST(coalesce(sum(length(cell) + 3) OVER (PARTITION BY row_id ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start FROM bound WHERE col BETWEEN first_col AND last_col)
         SELECT row_id, {d.joined("cell", "col", " | ")} AS text, {d.joined("concat(CAST(char_start AS STRING), '-', CAST(char_start + length(cell) AS STRING))", "col")} AS spans FROM span GROUP BY row_id""",
     "token_count": lambda d: f"SELECT doc_id, {tokens(d)} AS tokens FROM @documents",
-    "split_oversized_blocks": lambda d: f"""SELECT doc_id, piece, piece * {WINDOW - OVERLAP} AS first_token, least(piece * {WINDOW - OVERLAP} + {WINDOW}, tokens) AS end_token FROM {d.numbers(f"(SELECT doc_id, {tokens(d)} AS tokens FROM @documents)", "0", f"CAST(greatest(ceil((tokens - {WINDOW}) / {WINDOW - OVERLAP}.0E0), 0) AS BIGINT)", "piece")} q WHERE tokens > 0""",
     "chunk_identity": lambda d: f"SELECT c.chunk_id, c.chunk_index, {d.sha('c.line')} AS text_hash, {d.sha('concat(x.title, chr(10), chr(10), c.line)')} AS model_input_hash FROM @chunk c JOIN @document x ON x.document_id = c.document_id",
     "chunk_locator": lambda d: f"SELECT version_id, CAST(floor(chunk_index / 4) AS BIGINT) AS pack, min(line_no) AS start_line, max(line_no) AS end_line, {d.joined('CAST(chunk_index AS STRING)', 'chunk_index')} AS block_ordinals, {d.joined('concat(CAST(line_no AS STRING), chr(58), CAST(length(line) AS STRING))', 'chunk_index')} AS segments FROM @chunk GROUP BY version_id, CAST(floor(chunk_index / 4) AS BIGINT)",
     "budget_check": lambda d: "SELECT event_id, target, overlap, most, CASE WHEN target <= 0 OR most <= 0 THEN 'NOT_POSITIVE' WHEN overlap < 0 THEN 'NEGATIVE_OVERLAP' WHEN target > most THEN 'TARGET_OVER_MAX' WHEN overlap >= target THEN 'OVERLAP_OVER_TARGET' ELSE 'OK' END AS verdict FROM (SELECT event_id, event_id % 600 - 5 AS target, event_id % 90 - 3 AS overlap, event_id % 7 * 100 AS most FROM @events) q",

@@ -68,7 +68,7 @@ DERIVED: dict[str, Callable] = {
         JOIN @chunk c ON c.version_id = b.item_id * 37 % n.n WHERE c.chunk_index <= b.item_id % 3 AND b.item_id % 5 <> 4""",
     "answer": lambda d: """SELECT conv_id * 1000 + turn AS question_id, conv_id, turn, text, CASE WHEN (conv_id + turn) % 5 = 0 THEN 'refuse' ELSE 'answer' END AS expected,
         CASE WHEN (conv_id * 3 + turn) % 7 = 0 THEN 'refuse' ELSE 'answer' END AS behavior, conv_id % 4 AS category FROM @conversations WHERE role = 'assistant'""",
-    "top_score": lambda d: """SELECT event_id AS question_id, round(abs(value), 1) + 0.0 AS score, event_type, CASE WHEN event_id % 4 = 0 THEN 'refuse' ELSE 'answer' END AS expected FROM @events""",
+    "top_score": lambda d: """SELECT event_id AS question_id, abs(value) + 0.0E0 AS score, event_type, CASE WHEN event_id % 4 = 0 THEN 'refuse' ELSE 'answer' END AS expected FROM @events""",
     "candidate": lambda d: """SELECT g.question_id, c.document_id, c.version_id, c.line_no, v.variant, CAST(row_number() OVER (PARTITION BY g.question_id, v.variant ORDER BY (c.chunk_index * v.step + g.question_id) % 17, c.chunk_id) AS BIGINT) AS rank
         FROM (SELECT DISTINCT question_id, version_id FROM @gold_span) g JOIN @chunk c ON c.version_id = g.version_id CROSS JOIN (SELECT DISTINCT CASE n_nationkey WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS variant, n_nationkey + 1 AS step FROM @nation WHERE n_nationkey < 3) v""",
 }

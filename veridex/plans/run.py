@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import DUCK, SPARK
+from ..sources.tables import read_table
 from .fixtures import DERIVED, GIVEN
 
 NAME = re.compile(r"@([a-z_]+)")
@@ -28,7 +29,7 @@ class Tables(dict):
 
     def __missing__(self, name: str) -> DataFrame:
         if name in GIVEN:
-            self[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            self[name] = read_table(self.spark, self.sf_dir, name)
         else:
             self[name] = apply(self.spark, DERIVED[name], self)
         return self[name]

@@ -1 +1 @@
-
+"""Where tables come from."""
