@@ -59,9 +59,9 @@ class Spark:
     def has_all(self, a: str, b: str) -> str:
         return f"size(array_except({b}, {a})) = 0"
 
-    def keyword(self, plan, plain) -> str:
-        """The library's text, or for the check the plain reading."""
-        return plan(self)
+    def plan(self, mine, plain) -> str:
+        """A part of a text in the library's form, or for the check as a plain reading that is written apart."""
+        return mine(self)
 
     def seconds(self, later: str, earlier: str) -> str:
         return f"CAST(timestampdiff(SECOND, {earlier}, {later}) AS BIGINT)"
@@ -124,7 +124,7 @@ class Duck(Spark):
     def has_all(self, a: str, b: str) -> str:
         return f"list_has_all({a}, {b})"
 
-    def keyword(self, plan, plain) -> str:
+    def plan(self, mine, plain) -> str:
         return plain(self)
 
     def seconds(self, later: str, earlier: str) -> str:

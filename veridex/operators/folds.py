@@ -1,7 +1,7 @@
 """Ordered folds: a budget is spent item by item, and an item that doesn't fit is passed over while later ones are still tried.
 
-A fold's group is small by construction (the turns of a window, the fused candidates of a request), but for
-embedding_batches, whose group is one version's chunks. Null texts count as empty, and empty tables give no rows."""
+A fold's group is small by construction (the turns of a window, the fused candidates of a request); embedding_batches reads a
+version's chunks as a sorted stream. Null texts count as empty, and empty tables give no rows."""
 
 from __future__ import annotations
 
@@ -79,20 +79,25 @@ def embedding_batches(texts: DataFrame) -> DataFrame:
     sized = texts.select("job_id", "place", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), token_count("text").alias("tokens"),
         F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "blank").when(F.length("text") > TEXT_CHARS, "chars").when(token_count("text") > TEXT_TOKENS, "tokens").otherwise("ok").alias("reason"))
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
-        batch, n, size, longest, out = 0, 0, 0, 0, []
-        for b, t, reason in zip(*(table[c].to_pylist() for c in ("bytes", "tokens", "reason")), strict=True):
-            if reason != "ok":
-                out.append(None)
-                continue
-            if n and (n + 1 > BATCH_TEXTS or size + b > BATCH_BYTES or max(longest, t) * (n + 1) > BATCH_POSITIONS):
-                batch, n, size, longest = batch + 1, 0, 0, 0
-            n, size, longest = n + 1, size + b, max(longest, t)
-            out.append(batch)
-        return pa.table({"job_id": table["job_id"], "place": table["place"], "batch": pa.array(out, pa.int64()), "reason": table["reason"]})
-
-    return sized.groupBy("job_id").applyInArrow(run, "job_id long, place long, batch long, reason string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, batch, n, size, longest = None, 0, 0, 0, 0
+        for rows in batches:
+            out = []
+            for j, b, t, reason in zip(*(rows.column(c).to_pylist() for c in ("job_id", "bytes", "tokens", "reason")), strict=True):
+                if j != job:
+                    job, batch, n, size, longest = j, 0, 0, 0, 0
+                if reason != "ok":
+                    out.append(None)
+                    continue
+                if n and (n + 1 > BATCH_TEXTS or size + b > BATCH_BYTES or max(longest, t) * (n + 1) > BATCH_POSITIONS):
+                    batch, n, size, longest = batch + 1, 0, 0, 0
+                n, size, longest = n + 1, size + b, max(longest, t)
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([rows.column("job_id"), rows.column("place"), pa.array(out, pa.int64()), rows.column("reason")], names=["job_id", "place", "batch", "reason"])
+
+    # a job's texts are read in order, with constant memory however many there are
+    in_order = sized.repartition("job_id").sortWithinPartitions("job_id", "place")
+    return in_order.mapInArrow(run, "job_id long, place long, batch long, reason string")
 
 
 def encode_misses(chunks: DataFrame, cache: DataFrame, encode: Callable[[list[str]], list[list[float]]]) -> DataFrame:

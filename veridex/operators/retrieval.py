@@ -32,7 +32,15 @@ ASKED = f"""SELECT q.request_id, q.user_id, q.kb_id FROM @request_kb q JOIN ({SC
     JOIN @kb_member m ON m.kb_id = q.kb_id AND m.user_id = q.user_id AND NOT m.revoked
     JOIN @knowledge_base k ON k.kb_id = q.kb_id JOIN @user_account u ON u.user_id = q.user_id AND u.organization_id = k.organization_id"""
 MAY_READ = "(r.acl_mode = 'INHERIT' OR EXISTS (SELECT 1 FROM @document_acl a WHERE a.document_id = r.document_id AND a.user_id = q.user_id))"
-ELIGIBLE = f"""ready AS ({READY}), asked AS ({ASKED}), eligible AS (SELECT q.request_id, r.* FROM ready r JOIN asked q ON q.kb_id = r.kb_id WHERE {MAY_READ})"""
+
+
+def eligible(d) -> str:
+    """Chunks that a request may read. The check takes them from what its user may read."""
+    return d.plan(
+        lambda _: f"ready AS ({READY}), asked AS ({ASKED}), eligible AS (SELECT q.request_id, r.* FROM ready r JOIN asked q ON q.kb_id = r.kb_id WHERE {MAY_READ})",
+        lambda _: f"eligible AS (SELECT q.request_id, a.* FROM ({AUTHORIZED}) a JOIN @request_kb q ON q.user_id = a.user_id AND q.kb_id = a.kb_id JOIN ({SCOPE}) s ON s.request_id = q.request_id AND s.verdict = 'OK')",
+    )
+
 
 #: A match's score: its covers, shortest stretches with all terms, each with 1 / (1 + its places that match no term).
 COVERS = f"""ends AS (SELECT o.request_id, o.chunk_id, o.place AS stop, p.term, max(p.place) AS place FROM occurrence o JOIN occurrence p ON p.request_id = o.request_id AND p.chunk_id = o.chunk_id AND p.place <= o.place GROUP BY o.request_id, o.chunk_id, o.place, p.term),
@@ -101,7 +109,15 @@ DESIRED = "SELECT k.kb_id, u.user_id, CASE (u.user_id + 2 * k.kb_id) % 3 WHEN 0
 OPERATORS = {
     "kb_scope": lambda d: "SELECT u.user_id, k.kb_id, m.role, k.profile_id, p.analyzer, p.dimension FROM @user_account u JOIN @kb_member m ON m.user_id = u.user_id AND NOT m.revoked JOIN @knowledge_base k ON k.kb_id = m.kb_id AND k.organization_id = u.organization_id LEFT JOIN @index_profile p ON p.profile_id = k.profile_id",
     "scope_resolution": lambda d: SCOPE,
-    "authorized_chunks": lambda d: f"SELECT user_id, chunk_id, document_id, kb_id, chunk_index FROM ({AUTHORIZED}) a",
+    "authorized_chunks": lambda d: d.plan(
+        lambda _: f"SELECT user_id, chunk_id, document_id, kb_id, chunk_index FROM ({AUTHORIZED}) a",
+        lambda _: """SELECT u.user_id, c.chunk_id, c.document_id, x.kb_id, c.chunk_index FROM @chunk c JOIN @document x ON x.document_id = c.document_id AND x.active_version_id = c.version_id JOIN @user_account u
+            ON EXISTS (SELECT 1 FROM @kb_member m WHERE m.kb_id = x.kb_id AND m.user_id = u.user_id AND NOT m.revoked) WHERE NOT x.deleted
+            AND c.version_id IN (SELECT version_id FROM @document_version WHERE status = 'READY') AND u.organization_id = (SELECT max(k.organization_id) FROM @knowledge_base k WHERE k.kb_id = x.kb_id)
+            AND (c.generation_id, (SELECT max(k.profile_id) FROM @knowledge_base k WHERE k.kb_id = x.kb_id)) IN (SELECT generation_id, profile_id FROM @index_generation WHERE status = 'READY')
+            AND (c.chunk_id, (SELECT max(k.profile_id) FROM @knowledge_base k WHERE k.kb_id = x.kb_id)) IN (SELECT chunk_id, profile_id FROM @chunk_embedding)
+            AND (x.acl_mode <> 'RESTRICTED' OR (x.document_id, u.user_id) IN (SELECT document_id, user_id FROM @document_acl))""",
+    ),
     "acl_filter": lambda d: "SELECT x.document_id, u.user_id FROM @document x JOIN @knowledge_base k ON k.kb_id = x.kb_id JOIN @user_account u ON u.organization_id = k.organization_id WHERE NOT x.deleted AND (x.acl_mode = 'INHERIT' OR EXISTS (SELECT 1 FROM @document_acl a WHERE a.document_id = x.document_id AND a.user_id = u.user_id))",
     "evidence_fetch": lambda d: f"""WITH asked AS (SELECT c.conv_id, c.turn, c.user_id, c.chunk_id FROM {CITED} c), got AS (SELECT q.conv_id, q.turn, q.chunk_id, a.document_id, a.chunk_index FROM asked q LEFT JOIN ({AUTHORIZED}) a ON a.user_id = q.user_id AND a.chunk_id = q.chunk_id)
         SELECT g.conv_id, g.turn, g.chunk_id, g.document_id, v.version_no, g.document_id IS NULL AS stale FROM got g LEFT JOIN @document_version v ON v.version_id = CASE WHEN g.document_id IS NOT NULL THEN CAST(floor(g.chunk_id / 1000) AS BIGINT) END""",
@@ -124,15 +140,15 @@ OPERATORS = {
     "active_sessions_asof": lambda d: "SELECT e.event_id AS session_id, u.user_id FROM @events e JOIN @user_account u ON u.user_id = e.user_id % 20 WHERE e.event_type <> 'error' AND e.event_id % 7 <> 0 AND u.enabled AND e.event_id % 2 = u.organization_id AND CAST(e.ts AS DATE) <= DATE '2024-06-30'",
     "keyword_tokenize": lambda d: f"SELECT chunk_id, term, place FROM {d.each('@chunk', d.terms('line'), 'place', 'term')} q",
     "keyword_postings": lambda d: f"SELECT term, chunk_id, count(*) AS tf, {d.joined('CAST(place AS STRING)', 'place')} AS positions FROM {d.each('@chunk', d.terms('line'), 'place', 'term')} q GROUP BY term, chunk_id",
-    "keyword_and_match": lambda d: f"WITH {ELIGIBLE}, {d.keyword(keyword_hits, keyword_hits_by_request)} SELECT request_id, chunk_id FROM keyword",
-    "keyword_topk": lambda d: f"WITH {ELIGIBLE}, {d.keyword(keyword_hits, keyword_hits_by_request)} SELECT request_id, chunk_id, score, rank FROM keyword_top",
-    "cover_density_rank": lambda d: f"WITH {ELIGIBLE}, {d.keyword(keyword_hits, keyword_hits_by_request)} SELECT request_id, chunk_id, count(*) AS covers, round(sum(1.0E0 / (2 + stop - low - k)), 9) AS score FROM filled GROUP BY request_id, chunk_id",
+    "keyword_and_match": lambda d: f"WITH {eligible(d)}, {d.plan(keyword_hits, keyword_hits_by_request)} SELECT request_id, chunk_id FROM keyword",
+    "keyword_topk": lambda d: f"WITH {eligible(d)}, {d.plan(keyword_hits, keyword_hits_by_request)} SELECT request_id, chunk_id, score, rank FROM keyword_top",
+    "cover_density_rank": lambda d: f"WITH {eligible(d)}, {d.plan(keyword_hits, keyword_hits_by_request)} SELECT request_id, chunk_id, count(*) AS covers, round(sum(1.0E0 / (2 + stop - low - k)), 9) AS score FROM filled GROUP BY request_id, chunk_id",
     "vector_validate": lambda d: f"SELECT vec_id, CASE WHEN {d.size('embedding')} <> 64 THEN 'DIMENSION' WHEN NOT ({d.dot('embedding', 'embedding')} < 1e300) THEN 'NON_FINITE' WHEN {d.dot('embedding', 'embedding')} = 0 THEN 'ZERO' WHEN abs(sqrt({d.dot('embedding', 'embedding')}) - 1) > 0.001 THEN 'NORM' ELSE 'OK' END AS reason FROM @embeddings",
     "l2_normalize": lambda d: f"SELECT vec_id, place, round(CAST(x AS DOUBLE) / norm, 6) + 0.0 AS x FROM {d.each('(SELECT vec_id, embedding, sqrt(' + d.dot('embedding', 'embedding') + ') AS norm FROM @embeddings)', 'embedding', 'place', 'x')} q",
-    "vector_topk": lambda d: f"WITH {ELIGIBLE}, {vector_hits(d)} SELECT request_id, chunk_id, score, rank FROM vector_top",
+    "vector_topk": lambda d: f"WITH {eligible(d)}, {vector_hits(d)} SELECT request_id, chunk_id, score, rank FROM vector_top",
     "embedding_cache_lookup": lambda d: f"SELECT file_hash, version_id, vec_id FROM (SELECT v.file_hash, v.version_id, c.vec_id, row_number() OVER (PARTITION BY v.file_hash ORDER BY v.version_id DESC) AS newest FROM @document_version v JOIN @index_generation g ON g.version_id = v.version_id AND g.status = 'READY' JOIN @document x ON x.document_id = v.document_id AND NOT x.deleted JOIN @chunk_embedding c ON c.chunk_id = v.version_id * 1000) q WHERE newest = 1",
     "encode_plan": lambda d: f"WITH h AS (SELECT {d.sha('line')} AS hash, count(*) AS fan_out, min(generation_id) AS first_generation FROM @chunk GROUP BY 1) SELECT h.hash, h.fan_out, CASE WHEN EXISTS (SELECT 1 FROM @chunk c WHERE c.generation_id % 2 = 0 AND {d.sha('c.line')} = h.hash) THEN 'HIT' ELSE 'MISS' END AS state FROM h",
-    "rrf_fusion": lambda d: f"WITH {ELIGIBLE}, {d.keyword(keyword_hits, keyword_hits_by_request)}, {vector_hits(d)}, {FUSE} SELECT request_id, chunk_id, vector_rank, keyword_rank, round(score, 9) AS score, fusion_rank FROM ranked",
-    "rerank_apply": lambda d: f"""WITH {ELIGIBLE}, {d.keyword(keyword_hits, keyword_hits_by_request)}, {vector_hits(d)}, {FUSE}, {rerank(SCORES)} SELECT request_id, chunk_id, fusion_rank, final_rank, rerank_unavailable FROM reranked""",
-    "hybrid_search": lambda d: f"WITH {ELIGIBLE}, {d.keyword(keyword_hits, keyword_hits_by_request)}, {vector_hits(d)}, {FUSE} SELECT r.request_id, r.fusion_rank, r.chunk_id, r.vector_rank, r.keyword_rank, round(r.score, 9) AS fusion_score, c.document_id, c.line_no FROM ranked r JOIN @chunk c ON c.chunk_id = r.chunk_id",
+    "rrf_fusion": lambda d: f"WITH {eligible(d)}, {d.plan(keyword_hits, keyword_hits_by_request)}, {vector_hits(d)}, {FUSE} SELECT request_id, chunk_id, vector_rank, keyword_rank, round(score, 9) AS score, fusion_rank FROM ranked",
+    "rerank_apply": lambda d: f"""WITH {eligible(d)}, {d.plan(keyword_hits, keyword_hits_by_request)}, {vector_hits(d)}, {FUSE}, {rerank(SCORES)} SELECT request_id, chunk_id, fusion_rank, final_rank, rerank_unavailable FROM reranked""",
+    "hybrid_search": lambda d: f"WITH {eligible(d)}, {d.plan(keyword_hits, keyword_hits_by_request)}, {vector_hits(d)}, {FUSE} SELECT r.request_id, r.fusion_rank, r.chunk_id, r.vector_rank, r.keyword_rank, round(r.score, 9) AS fusion_score, c.document_id, c.line_no FROM ranked r JOIN @chunk c ON c.chunk_id = r.chunk_id",
 }

@@ -35,9 +35,14 @@ OPERATORS = {
     "version_key_parse": lambda d: f"""WITH k AS (SELECT version_id, CASE version_id % 4 WHEN 0 THEN concat('ver1:', CAST(document_id AS STRING), ':', file_hash, ':', CAST(active_version_id AS STRING)) WHEN 1 THEN concat('ver1:', CAST(document_id AS STRING)) WHEN 2 THEN concat('ver2:', CAST(document_id AS STRING), ':', file_hash, ':7') ELSE concat('ver1:', CAST(document_id AS STRING), ':', file_hash, ':x') END AS key FROM {UPLOADS} u),
         p AS (SELECT version_id, key, {d.matches("key", "^ver1:[0-9]+:[0-9a-f]{64}:[0-9]+$")} AS ok FROM k)
         SELECT version_id, CASE WHEN ok THEN CAST({d.first_match("key", "^ver1:([0-9]+):", 1)} AS BIGINT) END AS document_id, CASE WHEN ok THEN CAST({d.first_match("key", ":([0-9]+)$", 1)} AS BIGINT) END AS expected_version FROM p""",
-    "publish_cas": lambda d: f"""WITH a AS (SELECT *, CASE WHEN lease_lost OR lease_token IS NULL THEN 'LEASE_LOST' WHEN deleted OR version_status <> 'READY' THEN 'OUT_OF_SCOPE' WHEN expected IS NULL OR expected <> active_version_id THEN 'CONFLICT' ELSE 'CANDIDATE' END AS first_verdict FROM {ATTEMPT} t),
+    "publish_cas": lambda d: d.plan(
+        lambda _: f"""WITH a AS (SELECT *, CASE WHEN lease_lost OR lease_token IS NULL THEN 'LEASE_LOST' WHEN deleted OR version_status <> 'READY' THEN 'OUT_OF_SCOPE' WHEN expected IS NULL OR expected <> active_version_id THEN 'CONFLICT' ELSE 'CANDIDATE' END AS first_verdict FROM {ATTEMPT} t),
         r AS (SELECT *, row_number() OVER (PARTITION BY document_id, expected, first_verdict ORDER BY job_id) AS place FROM a), v AS (SELECT job_id, document_id, version_id, active_version_id, CASE WHEN first_verdict = 'CANDIDATE' THEN CASE WHEN place = 1 THEN 'PUBLISHED' ELSE 'CONFLICT' END ELSE first_verdict END AS verdict FROM r)
         SELECT job_id, document_id, version_id, verdict, CASE WHEN verdict = 'PUBLISHED' THEN version_id ELSE active_version_id END AS new_pointer FROM v""",
+        lambda _: f"""WITH a AS MATERIALIZED (SELECT *, NOT lease_lost AND lease_token IS NOT NULL AS held, NOT deleted AND version_status = 'READY' AS fit, coalesce(expected = active_version_id, false) AS current FROM {ATTEMPT} t),
+        w AS (SELECT *, held AND fit AND current AND NOT EXISTS (SELECT 1 FROM a o WHERE o.held AND o.fit AND o.current AND o.document_id = a.document_id AND o.job_id < a.job_id) AS won FROM a)
+        SELECT job_id, document_id, version_id, CASE WHEN won THEN 'PUBLISHED' WHEN NOT held THEN 'LEASE_LOST' WHEN NOT fit THEN 'OUT_OF_SCOPE' ELSE 'CONFLICT' END AS verdict, CASE WHEN won THEN version_id ELSE active_version_id END AS new_pointer FROM w""",
+    ),
     "generation_completeness": lambda d: "WITH c AS (SELECT generation_id, count(*) AS chunks FROM @chunk GROUP BY generation_id), e AS (SELECT c.generation_id, count(*) AS embeddings FROM @chunk_embedding e JOIN @chunk c ON c.chunk_id = e.chunk_id WHERE e.vec_id % 50 <> 49 GROUP BY c.generation_id) SELECT g.generation_id, coalesce(c.chunks, 0) AS chunks, coalesce(e.embeddings, 0) AS embeddings, coalesce(c.chunks, 0) = coalesce(e.embeddings, 0) AS complete FROM @index_generation g LEFT JOIN c ON c.generation_id = g.generation_id LEFT JOIN e ON e.generation_id = g.generation_id",
     "ready_uniqueness": lambda d: "SELECT version_id, profile_id, count(*) AS ready FROM @index_generation WHERE status = 'READY' GROUP BY version_id, profile_id HAVING count(*) > 1",
     "soft_delete": lambda d: """WITH wanted AS (SELECT document_id FROM @document WHERE document_id % 6 = 1), kb AS (SELECT x.kb_id, count(*) AS n FROM @document x JOIN wanted w ON w.document_id = x.document_id WHERE NOT x.deleted GROUP BY x.kb_id)

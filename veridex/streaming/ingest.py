@@ -15,11 +15,15 @@ CHUNKS = "ingest_key string, doc_id long, chunk_index int, line string"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
+    """A new path in the folder that all executors share; only a local session gets one of its own where none is set."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veridex-checkpoint-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="veridex-checkpoint-"))
+        folder = sc.getCheckpointDir()
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def chunked(docs: DataFrame) -> DataFrame:
