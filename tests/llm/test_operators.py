@@ -88,13 +88,83 @@ def test_near_duplicates(docs, empty):
     assert got == {i: (len(s), label[i]) for i, s in sets.items()}
 
 
-def test_parities_never_refuse_a_link():
+def test_linked_sets_share_a_prefix_under_every_order():
     rng = np.random.default_rng(3)
-    for _ in range(200):
-        x = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 400)).astype(np.uint64))
-        y = np.unique(np.concatenate([x[: int(len(x) * rng.uniform(0.8, 1))], rng.integers(0, 1 << 62, rng.integers(0, 30)).astype(np.uint64)]))
-        if len(y) and ngram_join.linked(x, y):
-            assert ngram_join.may_link(len(x), ngram_join.parities(x), len(y), ngram_join.parities(y))
+    tokens = np.sort(rng.integers(0, 1 << 62, 500).astype(np.uint64))
+    orders = ngram_join.Orders(tokens, rng.integers(1, 9, 500).astype(np.int8))
+    linked = 0
+    for _ in range(400):
+        x = np.unique(np.concatenate([rng.choice(tokens, rng.integers(0, 50)), rng.integers(0, 1 << 62, rng.integers(1, 200)).astype(np.uint64)]))
+        y = np.unique(np.concatenate([rng.permutation(x)[: int(np.ceil(len(x) * rng.uniform(0.7, 1)))], rng.integers(0, 1 << 62, rng.integers(0, 20)).astype(np.uint64)]))
+        if ngram_join.linked(x, y):
+            linked += 1
+            for prefix in (lambda s: orders.first(s)[0], orders.second, orders.third):
+                assert np.isin(prefix(x), prefix(y)).any()
+    assert linked > 100
+
+
+def thue_morse(n):
+    """Two words that a polynomial hash modulo a power of two can't tell apart."""
+    a = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 8192])
+def test_words_that_polynomials_confuse(n):
+    a, b = thue_morse(n)
+    hashes, _ = ngram_join.word_hashes([a.encode(), b.encode()])
+    assert hashes[0] != hashes[1]
+    t, e = Tokenizer.from_file(BPE), bpe.encoder(BPE)
+    for text in (f"{a} {b}", f"{b} {a}"):
+        assert e.encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_word_hashes_in_stretches():
+    rng = random.Random(2)
+    texts = [bytes(rng.choice(b"ab c\t\nxyz") for _ in range(rng.randint(0, 900))) for _ in range(20)] + [b"z" * 5000 + b" q", b"", b" "]
+    whole, parts = ngram_join.word_hashes(texts), ngram_join.word_hashes(texts, stretch=97)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+    words = [(i, w) for i, t in enumerate(texts) for w in t.split()]
+    assert [i for i, _ in words] == whole[1].tolist()
+    assert len({h for h in whole[0].tolist()}) == len({w for _, w in words})
+
+
+def test_a_large_group_of_near_copies(spark):
+    rng = random.Random(12)
+    base = prose(rng, 120).split()
+
+    def edited():
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = "new" + str(rng.randrange(10**6))
+        return " ".join(words)
+
+    texts = [edited() for _ in range(300)] + [prose(rng, 100) for _ in range(30)]
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicate_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
+
+
+def test_summary_keeps_what_is_frequent():
+    rng = np.random.default_rng(4)
+    items = np.concatenate([np.repeat(np.arange(20), 500), rng.integers(1000, 10**9, 20_000)]).astype(np.uint64)
+    rng.shuffle(items)
+    token, count = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for part in np.array_split(items, 40):
+        token, count = ngram_join._kept_counts(token, count, *np.unique(part, return_counts=True), 100)
+    assert len(token) <= 100 and set(range(20)) <= set(token.tolist())
 
 
 def test_bpe(docs, empty):
@@ -143,6 +213,15 @@ def test_packing(docs, empty):
     assert len(by_sequence) <= -(-total // 2048) + 1
 
 
+def test_breeding_beats_best_fit_on_hard_sizes():
+    for sizes, capacity in (([51] * 6 + [27] * 6 + [26] * 6 + [23] * 12, 100), (([51] * 6 + [27] * 6 + [26] * 6 + [23] * 12) * 4, 100)):
+        island = packing.Island(sizes, capacity, 1)
+        best_fit = island.insert(np.arange(len(sizes)), [], 0.0)
+        found = island.evolve([], 5, 6)
+        assert len(found) < len(best_fit)
+        assert sorted(i for b in found for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= capacity for b in found)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(400, 8)).round(2)
@@ -159,6 +238,24 @@ def test_topk(spark):
     assert len(got) == 40
 
 
+def test_topk_of_repeated_rows_and_large_numbers(spark):
+    from pyspark.sql import functions as F
+
+    is_query = F.col("id") % 100 == 0
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk_search.top_k(df, is_query).collect())
+    assert got == [(k, 1, 3 << 20) for k in (1, 2, 3)] + [(4, 2, 2 << 20)]
+    assert topk_search.top_k(df.limit(0), is_query).count() == 0
+    for size in (1e4, 1e5, 1e8):
+        v = np.random.default_rng(7).uniform(-size, size, (30, 64))
+        rows = [(i, x.tolist()) for i, x in enumerate(v)]
+        got = {r["rank"]: (r["vec_id"], r["score"]) for r in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), is_query).collect()}
+        q = [[int(c) for c in np.floor(1024 * x)] for x in v]
+        clip = lambda s: max(-(1 << 63) + 2, min((1 << 63) - 1, s))
+        best = sorted((-clip(sum(a * b for a, b in zip(q[0], q[j], strict=True))), j) for j in range(1, 30))[:10]
+        assert [got[k + 1] for k in range(10)] == [(j, -s) for s, j in best]
+
+
 def test_pii(docs, empty):
     assert pii.find_pii(empty).count() == 0
     assert pii.find_pii(docs).where("spans <> ''").count() == 0
@@ -200,6 +297,64 @@ def test_toxicity(spark, empty, labels):
     assert got[1000]["predicted"] == got[1001]["predicted"] == 0
 
 
+def test_toxicity_by_plain_windows():
+    """The score from windows compressed one by one, without the operator's store of windows."""
+    import zstandard as z
+
+    rng = random.Random(11)
+    data = [(prose(rng, 40) + (" zounds blighter scoundrel" if i % 3 == 0 else "") + " " + prose(rng, 40), int(i % 3 == 0)) for i in range(300)]
+    model = toxicity.fit([(*toxicity.bag(t), y) for t, y in data])
+    assert b"zounds" in model.marks and b"lan" not in model.marks
+    params = z.ZstdCompressionParameters(window_log=19, hash_log=17, chain_log=17, search_log=7, min_match=5, strategy=z.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+    size = lambda content, x: len(z.ZstdCompressor(compression_params=params, dict_data=z.ZstdCompressionDict(toxicity.wide(content), dict_type=z.DICT_TYPE_RAWCONTENT)).compress(toxicity.wide(x) if x else b""))
+    for text in (data[0][0], data[1][0], "", "zounds", "A zounds, and Blighter!"):
+        words = [w.strip(toxicity.EDGES) for w in text.lower().encode().split()]
+        hits = []
+        for w in {w for w in words if len(w) > 3}:
+            left = size(model.usual + model.marks, b" " + w + b" ")
+            gain = size(model.usual, b" " + w + b" ") - left
+            if gain >= toxicity.LEAST_GAIN and left - size(model.usual + model.marks, b"") <= model.most_left:
+                hits.append(gain)
+        x = [len(hits) / (len(words) + 6) ** 0.5, sum(hits) / (len(words) + 6) ** 0.5 / 16, min(len(hits), 3)]
+        assert toxicity.scorer(model)(text) == pytest.approx(sum(a * b for a, b in zip(model.weights, x, strict=True)) + model.bias)
+
+
+def test_importance_by_brute_force(spark):
+    import math
+
+    rng = random.Random(3)
+    data = [(i, prose(rng, rng.randint(0, 40))) for i in range(60)] + [(60, None), (61, "")]
+    good = {i for i in range(0, 60, 3)}
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i in good)) for i in range(62)], "doc_id long, quality int")
+    grams = lambda t: (w := (t or "").lower().split()) + list(zip(w, w[1:], strict=False))
+    cell = {}
+
+    def bucket(g):
+        if g not in cell:
+            cell[g] = int(importance._cells([" ".join(g) if isinstance(g, tuple) else g])[0][-1])
+        return cell[g]
+
+    raw, target = [1.0] * importance.BUCKETS, [1.0] * importance.BUCKETS
+    for i, t in data:
+        for g in grams(t):
+            raw[bucket(g)] += 1
+            target[bucket(g)] += i in good
+    got = {r["doc_id"]: r for r in importance.resample(df, lab, keep=0.4).collect()}
+    for i, t in data:
+        want = sum(math.log(target[bucket(g)] / sum(target)) - math.log(raw[bucket(g)] / sum(raw)) for g in grams(t))
+        assert got[i]["log_weight"] == pytest.approx(want, abs=1e-4)
+    order = sorted(got.values(), key=lambda r: -r["noisy_weight"])
+    assert {r["doc_id"] for r in got.values() if r["kept"]} == {r["doc_id"] for r in order[:25]}
+
+
+def test_kth_largest_and_ties(spark):
+    values = [5.0, 5.0, 1.0, 2.0, 9.0, 9.0, 9.0, -3.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for k in range(1, 9):
+        assert importance.kth_largest(df, "x", k) == sorted(values, reverse=True)[k - 1]
+
+
 def test_importance(docs, empty, labels):
     assert importance.resample(empty, labels).count() == 0
     got = importance.resample(docs, labels, keep=0.5).collect()
@@ -281,6 +436,40 @@ def test_pii_of_mixed_disguises(kind, disguised):
     assert [(pii.KINDS[k], text[s:e]) for s, e, k in pii.added_spans(text, pii.base_spans(text))] == [(kind, disguised)]
 
 
+def plain_spans(text):
+    """The contract's patterns by a plain reading."""
+    out = [(m.start(), m.end(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), m.end(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m.group() if c.isdigit()]
+        if 12 <= len(d) <= 19 and sum(sum(divmod(x * (1 + k % 2), 10)) for k, x in enumerate(reversed(d))) % 10 == 0:
+            out.append((m.start(), m.end(), 2))
+    out += [(m.start(), m.end(), 3) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m.group()) <= 15]
+    return sorted(out, key=lambda x: (x[0], x[2]))
+
+
+def test_base_spans_by_the_patterns():
+    rng = random.Random(13)
+    parts = ["a@b.c", "@", ".", "x", "1", "25", "255", "256", "4111 1111 1111 1111", "+49 (30) 1234567", "+", "-", " ", "%", "b.co", "10.0.0.1", "é", "_"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert pii.base_spans(text) == plain_spans(text), text
+
+
+def test_every_changed_text_has_the_hint():
+    rng = random.Random(5)
+    parts = [*pii.SPELLED, "oh", "plus", "dot", "at", "chez", "[at]", "(dot)", "{ chez }", "john", "com", "22", ".", "@", "<at>", "[ . ]", "_", "+"]
+    changed = 0
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) + rng.choice([" ", "", "-", ", ", "  ", "."]) for _ in range(rng.randint(2, 10)))
+        now = pii.Rewritten(text)
+        for step in pii.TRANSDUCERS:
+            now = step(now)
+        changed += now.text != text
+        assert now.text == text or pii.HINT.search(text), text
+    assert changed > 1000
+
+
 def test_plain_at_host_is_no_address():
     for text in ("meet me at example.com now", "john at example.com", "look at it. dot com is a word"):
         assert pii.added_spans(text, []) == []

@@ -5,8 +5,8 @@ Both models are smoothed bag distributions over hashed one- and two-word n-grams
 model counts a bounded sample of those that labels mark as good. Counts are added up by the executors, one row for each task and bucket.
 The kth largest noisy weight is found by narrowing histograms, so nothing grows on the driver.
 
-Null and empty texts have weight 0 before noise. Repeated rows (same id) get the same noise, and ties go to the smaller id, so that
-repeated rows may pass k together. Without labelled good documents all weights are 0. Extra columns are ignored."""
+Null and empty texts have weight 0 before noise. Repeated rows (same id) get the same noise. Ties at the border go to the smaller ids,
+null counting as the largest; only rows of one id may pass k together. Without labelled good documents all weights are 0. Extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -106,8 +106,12 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = 0.85, seed: int =
     scored = weights(docs, log_ratios(docs, labels))
     gumbel = -F.log(-F.log(uniform(F.col("doc_id"), F.lit(seed))))
     scored = cut(scored.withColumn("noisy_weight", F.col("log_weight") + gumbel))
-    border = kth_largest(scored, "noisy_weight", math.ceil(keep * scored.count()))
-    return scored.withColumn("kept", F.col("noisy_weight") >= F.lit(border))
+    k = math.ceil(keep * scored.count())
+    border = kth_largest(scored, "noisy_weight", k)
+    at, name = F.col("noisy_weight") == F.lit(border), F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    left, ties = k - scored.where(F.col("noisy_weight") > F.lit(border)).count(), scored.where(at)
+    last = -kth_largest(ties.select((-name).alias("x")), "x", left) if ties.count() > left else (1 << 63) - 1
+    return scored.withColumn("kept", (F.col("noisy_weight") > F.lit(border)) | at & (name <= F.lit(last)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
