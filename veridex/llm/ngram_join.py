@@ -4,7 +4,8 @@ A document is the set of its distinct five-word shingles (64-bit hashes). Equal
 each class goes on. If two sets reach the threshold, their prefixes (first tokens under any fixed order) share a token. Under
 the first order frequent tokens come last, by counts over all documents; documents that share a prefix token under it, within
 the bounds that size and position set, meet. Two that meet are candidates only if their prefixes also share a token under the
-second order (the same levels of frequency, other ties) and under the third (plain hashes). Only then members move.
+second order (the same levels of frequency, other ties) and under the third (plain hashes). What passes all orders is verified: by
+a few bits for each member first, which show exactly how much two sets surely differ, then by the members, which only then move.
 
 Only connected components are asked for, so pairs inside a component that is known already need no test. A token's sharers
 are tested against members of the token's largest component, first one, then more and more of them, the most shared document
@@ -228,7 +229,7 @@ def _sets(orders: Orders):
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         sets = shingle_sets(strings(batch.column(1)))
         short = lambda s: (s >> np.uint64(32)).astype("<u4").tobytes()
-        yield {"id": batch.column(0), "n": [len(s) for s in sets], "second": [short(orders.second(s)) if len(s) else b"" for s in sets], "third": [short(orders.third(s)) if len(s) else b"" for s in sets], "members": [s.tobytes() for s in sets]}
+        yield {"id": batch.column(0), "n": [len(s) for s in sets], "parities": [parities(s).tobytes() for s in sets], "second": [short(orders.second(s)) if len(s) else b"" for s in sets], "third": [short(orders.third(s)) if len(s) else b"" for s in sets], "members": [s.tobytes() for s in sets]}
 
     return run
 
@@ -242,10 +243,30 @@ def _passing(batch: pa.RecordBatch, keep: list[bool]) -> dict:
     return {c: batch.column(c).filter(mask) for c in PAIR}
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """A few bits for each member: whether an odd number of members fall in each place."""
+    places = 4 << max(4, (len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).astype(np.uint8))
+
+
+def may_link(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+    """False if the places of different parity show that too few members are common; these are in one of the sets only."""
+    if 4 * min(n, m) < 3 * max(n, m):
+        return False
+    if len(x) > len(y):
+        x, y = y, x
+    odd = int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), 0)).sum())
+    return (n + m - odd) // 2 >= needed(n, m)
+
+
+FILTERS = ("n", "second", "third", "parities")
+
+
 def _share(batch: pa.RecordBatch) -> Iterator[dict]:
-    """Pairs whose prefixes share a token under the second order and under the third."""
-    prefixes = zip(*(batch.column(c).to_pylist() for c in ("x", "y", "u", "v")), strict=True)
-    yield _passing(batch, [all(np.isin(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")).any() for p, q in ((x, y), (u, v))) for x, y, u, v in prefixes])
+    """Pairs whose prefixes share a token under the second order and under the third, and whose parities leave room for the overlap."""
+    bits, ids = (lambda p: np.frombuffer(p, np.uint8)), (lambda p: np.frombuffer(p, "<u4"))
+    rows = zip(*(batch.column(c + side).to_pylist() for c in FILTERS for side in ("", "_")), strict=True)
+    yield _passing(batch, [np.isin(ids(p), ids(q)).any() and np.isin(ids(r), ids(s)).any() and may_link(n, bits(x), m, bits(y)) for n, m, p, q, r, s, x, y in rows])
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -279,8 +300,8 @@ def met(pairs: DataFrame, sets: DataFrame, ours: list, theirs: list) -> DataFram
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs that link: first what all orders let pass, then by the members."""
-    met_here = met(pairs, sets, [F.col("second").alias("x"), F.col("third").alias("u")], [F.col("second").alias("y"), F.col("third").alias("v")])
-    candidates = cut(map_arrow(met_here.select(*PAIR, "x", "y", "u", "v"), _share, PAIRS))
+    met_here = met(pairs, sets, [F.col(c) for c in FILTERS], [F.col(c).alias(f"{c}_") for c in FILTERS])
+    candidates = cut(map_arrow(met_here.select(*PAIR, *(c + side for c in FILTERS for side in ("", "_"))), _share, PAIRS))
     whole = met(candidates, sets, [F.col("members").alias("x")], [F.col("members").alias("y")])
     found = cut(map_arrow(whole.select(*PAIR, "x", "y"), _verify, PAIRS))
     forget(candidates)
@@ -291,67 +312,83 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 IN_PLACE = "4 * least(n, n_) >= 3 * greatest(n, n_) and pos <= n - (3 * (n + n_) + 6) div 7 and pos_ <= n_ - (3 * (n + n_) + 6) div 7"
 
 
+#: Tokens of fewer sharers go without rounds: their pairs are few.
+CROWD = 16
+
+
 def _live(shared: DataFrame) -> DataFrame:
     """Postings of tokens whose sharers have several labels, each with the token's commonest label."""
     per = shared.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label", True).alias("major"))
     return shared.join(per.where("low <> high").select("token", "major"), "token")
 
 
-def _to_test(live: DataFrame, step: int) -> DataFrame:
-    """Pairs of this round: b shares a token in place with a, a chosen document of the token's commonest label."""
-    # at first all stand alone, and the most shared document of a token speaks for it
-    ours = "label = major" if step else "true"
-    order = F.xxhash64("id", F.lit(step)) if step else F.desc("score")
-    place = F.row_number().over(Window.partitionBy("token").orderBy(order, "id"))
-    pivots = live.where(ours).withColumn("place", place).where(F.col("place") <= PIVOTS[step])
+def _first_tests(shared: DataFrame) -> DataFrame:
+    """One pair a document: of the most shared documents of its tokens, that which it shares most with. All stand alone yet."""
+    most = Window.partitionBy("token").orderBy(F.desc("score"), "id")
+    rows = shared.withColumn("first", F.first(F.struct("id", "n", "pos")).over(most))
+    rows = rows.select("token", "id", "n", "pos", *[F.col(f"first.{c}").alias(f"{c}_") for c in ("id", "n", "pos")])
+    pairs = rows.where(f"id <> id_ and {IN_PLACE}").groupBy(F.col("id_").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("k"))
+    pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("k", F.xxhash64("a"))).alias("a"))
+    return cut(pairs.select("a", "b", F.col("a").alias("label_a"), F.col("b").alias("label_b")))
+
+
+def _more_tests(live: DataFrame, step: int) -> DataFrame:
+    """Pairs of a round: b shares a token in place with a, a chosen document of the token's commonest label."""
+    place = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("id", F.lit(step)), "id"))
+    pivots = live.where("label = major").withColumn("place", place).where(F.col("place") <= PIVOTS[step])
     pivots = pivots.select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "pos", "label")])
-    others = live.where("label <> major") if step else live
-    met_in_place = others.join(pivots, "token").where(f"label <> label_ and {IN_PLACE}")
-    pairs = met_in_place.groupBy(F.col("id_").alias("a"), F.col("id").alias("b"), F.col("label_").alias("label_a"), F.col("label").alias("label_b")).agg(F.count("*").alias("k"))
-    if step == 0:  # one test a document, against the one that it shares most with
-        best = F.max_by(F.struct("a", "label_a", "label_b"), F.struct("k", F.xxhash64("a")))
-        pairs = pairs.groupBy("b").agg(best.alias("x")).select("x.a", "b", "x.label_a", "x.label_b")
-    return cut(pairs.select(*PAIR))
+    pairs = live.where("label <> major").join(pivots, "token").where(IN_PLACE)
+    return cut(pairs.select(F.col("id_").alias("a"), F.col("id").alias("b"), F.col("label_").alias("label_a"), F.col("label").alias("label_b")).distinct())
 
 
-def _relabelled(live: DataFrame, found: DataFrame) -> DataFrame:
+def _relabelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Gives documents the label that one of their label was found linked to. Labels that others lead to stay, so that none go in
     circles: documents of one label surely are of one component, but not the other way round."""
     leads = found.groupBy(F.col("label_b").alias("label")).agg(F.min("label_a").alias("new"))
     leads = cut(leads.join(found.select(F.col("label_a").alias("label")).distinct(), "label", "left_anti"))
-    rows = live.drop("major").join(F.broadcast(leads) if leads.count() <= BROADCAST_ROWS else leads, "label", "left")
+    rows = rows.drop("major").join(F.broadcast(leads) if leads.count() <= BROADCAST_ROWS else leads, "label", "left")
     now = cut(_live(rows.withColumn("label", F.coalesce("new", "label")).drop("new")))
-    forget(live, leads)
+    forget(leads)
     return now
 
 
+def _labelled(shared: DataFrame, links: list[DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """shared with the labels of components, and these (id, label)."""
+    if not links:
+        return shared.withColumn("label", F.col("id")), None
+    edges = links[0].select("a", "b")
+    for more in links[1:]:
+        edges = edges.unionByName(more.select("a", "b"))
+    labels = components(edges)
+    rows = shared.join(F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels, "id", "left")
+    return rows.withColumn("label", F.coalesce("label", "id")), labels
+
+
 def link_classes(shared: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Component labels (id, label) of linked classes; shared holds (token, id, n, pos)."""
     degree = shared.groupBy("id").agg((F.count("*") / F.max("n")).alias("score"))
-    live = cut(_live(shared.join(degree, "id").withColumn("label", F.col("id"))))
-    links = []
-    for step in range(len(PIVOTS)):
-        pairs = _to_test(live, step)
-        found = verified(pairs, sets)
-        forget(pairs)
-        if not found.isEmpty():
-            links.append(found)
-            live = _relabelled(live, found)
-    # all pairs of different labels that share a token in place; one of the two has another label than the token's commonest
-    minor = live.where("label <> major").select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "pos", "label")])
-    rest = live.join(minor, "token").where(f"label <> label_ and {IN_PLACE}").select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+    pairs = _first_tests(shared.join(degree, "id"))
+    links = [verified(pairs, sets)]
+    forget(pairs)
+    crowds = cut(shared.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= CROWD).select("token"))
+    crowded = shared.join(F.broadcast(crowds) if crowds.count() <= BROADCAST_ROWS else crowds, "token", "left_semi")
+    live = _relabelled(crowded.withColumn("label", F.col("id")), links[0])
+    for step in range(1, len(PIVOTS)):
+        pairs = _more_tests(live, step)
+        links.append(verified(pairs, sets))
+        before, live = live, _relabelled(live, links[-1])
+        forget(pairs, before)
+    forget(live, crowds)
+    # all pairs of different components that share a token in place; one of the two is outside the token's commonest component
+    rows, labels = _labelled(shared, links)
+    rows = _live(rows)
+    minor = rows.where("label <> major").select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "pos", "label")])
+    rest = rows.join(minor, "token").where(f"label <> label_ and {IN_PLACE}").select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
     rest = cut(rest.withColumns({"label_a": F.lit(0).cast("long"), "label_b": F.lit(0).cast("long")}))
     found = verified(rest, sets)
-    forget(rest, live)
     if not found.isEmpty():
-        links.append(found)
-    if not links:
-        return None
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
-    labels = components(edges)
-    forget(*links)
+        labels = _labelled(shared, [*links, found])[1]
+    forget(rest, found, *links)
     return labels
 
 
@@ -374,7 +411,7 @@ def near_duplicate_components(docs: DataFrame, salts: int = 64) -> DataFrame:
     dealt = postings.withColumn("deal", F.when(F.col("frequent"), F.pmod("id", F.lit(256))).otherwise(0))
     shared = cut(dealt.withColumn("k", F.count("*").over(Window.partitionBy("token", "deal"))).where("k > 1 or frequent").select("token", "id", "n", "pos"))
     ids = cut(shared.select(F.col("id").alias("doc_id")).distinct())
-    sets = cut(map_arrow(narrowed(one_each, ids, "doc_id", ids.count()), _sets(orders), "id long, n int, second binary, third binary, members binary"))
+    sets = cut(map_arrow(narrowed(one_each, ids, "doc_id", ids.count()), _sets(orders), "id long, n int, parities binary, second binary, third binary, members binary"))
     labels = link_classes(shared, sets)
     forget(shared, sets, ids)
     whole = classes.select("d1", "d2", F.col("id").alias("component_id"), F.explode("salts").alias("salt"))
