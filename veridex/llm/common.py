@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one map call are worked on in groups of about this many characters, which bounds numpy's temporary arrays.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 19
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -71,7 +71,7 @@ def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of about size bytes, which bounds what a worker holds at once."""
     rows = max(1, min(batch.num_rows, batch.num_rows * size // max(1, batch.nbytes)))
     for i in range(0, batch.num_rows, rows):

@@ -63,7 +63,7 @@ def _byte_values(data: np.ndarray, place: np.ndarray) -> np.ndarray:
     return value
 
 
-def word_hashes(texts: list[bytes], stretch: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], stretch: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and the number of the text of each. Bytes are read stretch by stretch, also within a word."""
     joined = b" ".join(texts) + b" "
     out, begun = [], []
