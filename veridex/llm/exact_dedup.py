@@ -76,7 +76,7 @@ def fingerprints(parts: list[bytes]) -> list[tuple[int, int]]:
 
 def _small(batch: pa.RecordBatch) -> Iterator[dict]:
     texts = strings(batch.column(1))
-    for i, j in text_groups(texts, 2 << 20):
+    for i, j in text_groups(texts, 1 << 20):
         parts = [t.encode().translate(None, BLANKS) for t in texts[i:j]]
         found = fingerprints(parts)
         yield {"doc_id": batch.column(0)[i:j], "row_hash": batch.column(2)[i:j], "points": batch.column(3)[i:j], "h1": [x[0] for x in found], "h2": [x[1] for x in found], "n_bytes": [len(x) for x in parts], "text_sha256": [hashlib.sha256(x).hexdigest() for x in parts]}
