@@ -31,7 +31,7 @@ def sf_dir(spark, tmp_path):
 
 def test_toxic_rows_go_and_others_stay(spark, sf_dir):
     rng = random.Random(1)
-    rows = [(i, prose(rng, 40) + (" zounds blighter scoundrel " if i % 4 == 0 else " ") + prose(rng, 40)) for i in range(400)] + [(None, None), (900, ""), (7, "zounds blighter scoundrel")]
+    rows = [(i, prose(rng, 40) + (" zounds blighter scoundrel " if i % 4 == 0 else " ") + prose(rng, 40)) for i in range(400)] + [(None, None), (900, ""), (902, "zounds blighter scoundrel")]
     kept = texts(corpus_pipeline.drop_toxic(spark, frame(spark, rows), sf_dir))
     assert kept == sorted(((i, t) for i, t in rows if "zounds" not in (t or "")), key=str)
     assert corpus_pipeline.drop_toxic(spark, frame(spark, []), sf_dir).count() == 0
