@@ -35,7 +35,7 @@ DERIVED: dict[str, Callable] = {
     "vector_count": lambda d: "SELECT count(*) AS n FROM @embeddings",
     "chunk_embedding": lambda d: """SELECT c.chunk_id, e.embedding, g.profile_id, (c.generation_id * 7 + c.chunk_index) % n.n AS vec_id FROM @chunk c JOIN @index_generation g ON c.generation_id = g.generation_id
         CROSS JOIN @vector_count n JOIN @embeddings e ON e.vec_id = (c.generation_id * 7 + c.chunk_index) % n.n""",
-    "search_request": lambda d: f"""SELECT b.item_id AS request_id, b.item_id % 20 AS user_id, b.text, e.embedding, {d.terms("b.text")} AS words FROM @benchmark b JOIN @embeddings e ON e.vec_id = b.item_id""",
+    "search_request": lambda d: f"""SELECT b.request_id, b.request_id % 20 AS user_id, b.text, e.embedding, {d.terms("b.text")} AS words FROM (SELECT item_id AS request_id, {d.first_match("text", "^[^ ]+ [^ ]+ [^ ]+")} AS text FROM @benchmark) b JOIN @embeddings e ON e.vec_id = b.request_id""",
     "request_kb": lambda d: """SELECT r.request_id, r.user_id, k.kb_id FROM @search_request r JOIN @knowledge_base k ON CASE r.request_id % 10 WHEN 4 THEN k.kb_id = 4 WHEN 3 THEN k.kb_id = 3 WHEN 9 THEN k.kb_id IN (1, 3) WHEN 7 THEN k.kb_id IN (0, 1)
         ELSE k.kb_id <= 2 AND k.kb_id % 2 = r.request_id % 2 END""",
     "query_term": lambda d: f"SELECT DISTINCT request_id, term FROM {d.each('@search_request', 'words', 'place', 'term')} q",
