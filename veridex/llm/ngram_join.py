@@ -288,14 +288,20 @@ def narrowed(df: DataFrame, keys: DataFrame, column: str, n_keys: int) -> DataFr
     return df.join(F.broadcast(keys) if n_keys <= BROADCAST_ROWS else keys, column, "left_semi")
 
 
+#: Sets of one side of pairs are broadcast up to so many bytes of members.
+BROADCAST_BYTES = 8 << 20
+
+
 def met(pairs: DataFrame, sets: DataFrame, ours: list, theirs: list) -> DataFrame:
-    """Pairs (a, b) with columns of both sets. Few pairs are broadcast, so that only sets of documents in a pair move."""
-    left = pairs.select("a")
-    if pairs.count() <= BROADCAST_ROWS:
+    """Pairs (a, b) with columns of both sets. Few pairs are broadcast, so that only sets of documents in a pair move; if those of
+    a are small in all, they are broadcast as well, and none moves."""
+    left, few = pairs.select("a"), pairs.count() <= BROADCAST_ROWS
+    if few:
         pairs, left = F.broadcast(pairs), F.broadcast(left)
     y = sets.select(F.col("id").alias("b"), *theirs).join(pairs, "b")
     x = sets.select(F.col("id").alias("a"), *ours).join(left, "a", "left_semi")
-    return y.join(x, "a")
+    members = sets.select(F.col("id").alias("a"), F.col("n").alias("members_n")).join(left, "a", "left_semi").agg(F.sum("members_n")).first()[0] if few else None
+    return y.join(F.broadcast(x) if few and 8 * (members or 0) <= BROADCAST_BYTES else x, "a")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -337,7 +343,10 @@ def _more_tests(live: DataFrame, step: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("id", F.lit(step)), "id"))
     pivots = live.where("label = major").withColumn("place", place).where(F.col("place") <= PIVOTS[step])
     pivots = pivots.select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "pos", "label")])
-    pairs = live.where("label <> major").join(pivots, "token").where(IN_PLACE)
+    # a document needs to meet a component's chosen ones in one of their tokens only
+    one = F.min_by(F.struct("token", "n", "pos", "label"), F.xxhash64("token", F.lit(step)))
+    others = live.where("label <> major").groupBy("id", "major").agg(one.alias("x")).select("id", "x.*")
+    pairs = others.join(pivots, "token").where(IN_PLACE)
     return cut(pairs.select(F.col("id_").alias("a"), F.col("id").alias("b"), F.col("label_").alias("label_a"), F.col("label").alias("label_b")).distinct())
 
 
