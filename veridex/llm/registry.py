@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, importance, language_id, ngram_join, packing, periodic_runs, pii, substring_dedup, topk_search, toxicity
+from . import bpe, exact_dedup, html_extraction, importance, language_id, ngram_join, packing, periodic_runs, pii, substring_dedup, topk_search, toxicity
 
 QUERIES = {
     "op1_importance_resampling": importance.query,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_toxicity": toxicity.query,
     "op10_pii": pii.query,
     "op11_periodic_runs": periodic_runs.query,
+    "op12_html_extraction": html_extraction.query,
 }
 ORACLES = {"op2_exact_dedup": exact_dedup.SQL, "op4_ngram_jaccard_join": ngram_join.SQL, "op5_exact_topk": topk_search.SQL}
