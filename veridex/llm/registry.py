@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_extraction, importance, language_id, ngram_join, packing, periodic_runs, pii, substring_dedup, topk_search, toxicity
+from . import bpe, conversation_repair, exact_dedup, html_extraction, importance, language_id, ngram_join, packing, periodic_runs, pii, substring_dedup, topk_search, toxicity
 
 QUERIES = {
     "op1_importance_resampling": importance.query,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_pii": pii.query,
     "op11_periodic_runs": periodic_runs.query,
     "op12_html_extraction": html_extraction.query,
+    "op13_conversation_repair": conversation_repair.query,
 }
 ORACLES = {"op2_exact_dedup": exact_dedup.SQL, "op4_ngram_jaccard_join": ngram_join.SQL, "op5_exact_topk": topk_search.SQL}
