@@ -7,8 +7,8 @@ is left out with all below; other pairs are taken apart down to leaves, which ar
 own block, which gives its kth score; then groups of queries meet all blocks.
 
 Rows with a null id or vector, or a null or non-finite component, take no part; a query meets only vectors of its length.
-Repeated rows are candidates of their own, each with a rank, and repeated query rows share the ranks of their id; no row with a
-query's own id is its result. Ties go to the smaller id. Scores are exact integers: products that doubles can't hold exactly are
+Repeated rows are candidates of their own, each with a rank. Query rows that are equal count once; of query rows that share an id
+but not a vector, the id's ranks hold the best scores of all. No row with a query's own id is its result. Ties go to the smaller id. Scores are exact integers: products that doubles can't hold exactly are
 multiplied out in longs, and those beyond longs in Python's integers, clipped to a long in the end; components are clipped to
 2**62. An empty table gives no rows. Extra columns are ignored."""
 
@@ -176,7 +176,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
     block = ["dim", "cell", "part"]
     item = F.struct("id", "data")
     blocks = cut(rows.groupBy(block).agg(F.collect_list(item).alias("rows")))
-    queries = rows.where(is_query).withColumn("floor", F.lit(LOWEST))
+    queries = rows.where(is_query).dropDuplicates(["id", "data"]).withColumn("floor", F.lit(LOWEST))
     with_floor = F.struct("id", "data", "floor")
     own = queries.groupBy(block).agg(F.collect_list(with_floor).alias("queries")).join(blocks, block)
     first = map_arrow(own.select("queries", "rows").repartition(F.xxhash64(F.col("queries")[0]["id"])), _search(k), RESULT)
@@ -200,6 +200,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.e, x.e) AS BIGINT) AS score FROM v q JOIN v x ON q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id)
+s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.e, x.e) AS BIGINT) AS score FROM (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 100 = 0) q JOIN v x ON x.vec_id <> q.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10"""
