@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -215,6 +215,8 @@ TRANSDUCERS = (look_alikes, spelled_digits, at_and_dot)
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of the text as the transducers write it, at their place in the source: those that meet no base span of their kind,
+    and those that hold all they meet and more, as where a look-alike cuts off the start of a plain address."""
     if not HINT.search(text):
         return []
     now = Rewritten(text)
@@ -222,16 +224,16 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         now = step(now)
     if now.text == text:
         return []
-    taken: dict[int, list[tuple[int, int]]] = {k: [] for k in range(len(KINDS))}
-    for s, e, k in base:
-        taken[k].append((s, e))
-    out = []
+    plain: dict[int, list[tuple[int, int]]] = {k: [(s, e) for s, e, x in base if x == k] for k in range(len(KINDS))}
+    out, ends = [], [0] * len(KINDS)
     for s, e, k in base_spans(now.text):
         a, b = now.source(s, e)
-        i = bisect_right(taken[k], (a, b))
-        before, after = taken[k][i - 1 : i] if i else [], taken[k][i : i + 1]
-        if (not before or before[0][1] <= a) and (not after or after[0][0] >= b):
-            taken[k].insert(i, (a, b))
+        # base spans of a kind don't overlap, so those that this one meets stand together
+        first, last = bisect_right(plain[k], a, key=lambda x: x[1]), bisect_left(plain[k], b, key=lambda x: x[0])
+        met = plain[k][first:last]
+        holds = not met or (a <= met[0][0] and met[-1][1] <= b and (a, b) not in met)
+        if holds and a >= ends[k]:
+            ends[k] = b
             out.append((a, b, k))
     return out
 
