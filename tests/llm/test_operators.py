@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from veridex.llm import bpe, exact_dedup, importance, language_id, ngram_join, packing, pii, substring_dedup, topk_search, toxicity
@@ -256,6 +257,37 @@ def test_topk_of_repeated_rows_and_large_numbers(spark):
         assert [got[k + 1] for k in range(10)] == [(j, -s) for s, j in best]
 
 
+def test_pii_spans_that_hold_base_spans():
+    text = "Write to j\u043ehn.smith@example.com, or call."  # the second letter is Cyrillic
+    base = pii.base_spans(text)
+    assert [text[s:e] for s, e, _ in base] == ["hn.smith@example.com"]
+    assert [text[s:e] for s, e, _ in pii.added_spans(text, base)] == ["j\u043ehn.smith@example.com"]
+
+
+def test_masks_cover_all_that_spans_hold(spark):
+    text = "Write to j\u043ehn.smith@example.com, or call."
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.mask_pii(df).first().text == "Write to [EMAIL], or call."
+
+
+def test_repeated_queries_keep_all_ranks(spark):
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0])] + [(i, [i / 16, 1.0]) for i in range(1, 15)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk_search.top_k(df, F.col("id") % 100 == 0).where("query_id = 100").orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(n + 1, 14 - n, 1024 * 64 * (14 - n)) for n in range(10)]
+
+
+def test_stages_take_clashing_names(spark):
+    names = "doc_id long, text string, doc_id_ long, row_hash_ string, row_hash string, kept boolean, n long, print string, best string, x string, component_id long"
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, t, 7, "a", "b", True, 1, "c", "d", "e", 3) for i, t in ((1, text), (2, text), (3, text + " more"), (None, "z"), (None, "z"), (4, None))]
+    df = spark.createDataFrame(rows, names)
+    assert sorted(str(r.doc_id) for r in exact_dedup.without_copies(df).collect()) == ["1", "3", "4", "None"]
+    near = ngram_join.without_near_copies(df)
+    assert near.columns == df.columns
+    assert sorted(str(r.doc_id) for r in near.collect()) == ["1", "4", "None"]
+
+
 def test_pii(docs, empty):
     assert pii.find_pii(empty).count() == 0
     assert pii.find_pii(docs).where("spans <> ''").count() == 0

@@ -154,13 +154,12 @@ def without_copies(docs: DataFrame) -> DataFrame:
     agree in both one stays, if any does. All empty texts are one group."""
     rows = cut(_groups(docs).where("group_size > 1").select("doc_id", "row_hash", "kept"))
     keys = rows.groupBy("doc_id", "row_hash").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 or not kept")
-    keys = cut(keys.select(F.col("doc_id").alias("doc_id_"), F.col("row_hash").alias("row_hash_"), "kept"))
+    name = "_" * (1 + max(map(len, docs.columns))) + "row_hash"  # a name that no column of docs has
+    keys = cut(keys.select(F.col("doc_id").alias(f"{name}_id"), F.col("row_hash").alias(f"{name}_key"), "kept"))
     if keys.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
-    # a name that no column of docs has
-    name = "_" * (1 + max(map(len, docs.columns))) + "row_hash"
     hashed = docs.withColumn(name, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    same = hashed[name].eqNullSafe(F.col("row_hash_")) & hashed["doc_id"].eqNullSafe(F.col("doc_id_"))
+    same = hashed[name].eqNullSafe(F.col(f"{name}_key")) & hashed["doc_id"].eqNullSafe(F.col(f"{name}_id"))
     out = hashed.join(keys, same, "left_anti")
     if not keys.where("kept").isEmpty():  # rows that are repeated in whole
         out = out.unionByName(hashed.join(keys.where("kept"), same, "left_semi").dropDuplicates(["doc_id", name]))

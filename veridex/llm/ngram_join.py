@@ -434,13 +434,13 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id. Rows without doc_id, or with one that several rows have,
     count as documents of their own, under numbers below zero that stand for doc_id and text, and stay before others; of those
     that agree in both one stays. Null and empty texts all stay, but for such repeated rows."""
-    often = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("doc_id_"))
-    often = cut(often)
     name = "_" * (1 + max(map(len, docs.columns))) + "row"  # a name that no column of docs has
+    often = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias(f"{name}_id"))
+    often = cut(often)
     stands = -1 - F.shiftrightunsigned(F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))), 1)
     named = docs.withColumn(name, F.col("doc_id").cast("long"))
     if not often.isEmpty():
-        same = docs["doc_id"].eqNullSafe(often["doc_id_"])
+        same = docs["doc_id"].eqNullSafe(often[f"{name}_id"])
         few = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
         alone = docs.join(few, same, "left_anti").withColumn(name, F.col("doc_id").cast("long"))
         named = alone.unionByName(docs.join(few, same, "left_semi").withColumn(name, stands).dropDuplicates([name]))
