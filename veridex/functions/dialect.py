@@ -52,13 +52,6 @@ class Spark:
         """A pattern with backslashes, for a literal."""
         return pattern.replace("\\", "\\\\")
 
-    def terms(self, x: str) -> str:
-        """The analyser of the keyword path, for chunks and requests alike: letters and digits, identifiers kept whole."""
-        return self.all_matches(f"lower({x})", self.escaped(r"[\p{L}\p{N}]+(?:[._-][\p{L}\p{N}]+)*"))
-
-    def has_all(self, a: str, b: str) -> str:
-        return f"size(array_except({b}, {a})) = 0"
-
     def plan(self, mine, plain) -> str:
         """A part of a text in the library's form, or for the check as a plain reading that is written apart."""
         return mine(self)
@@ -121,8 +114,9 @@ class Duck(Spark):
     def escaped(self, pattern: str) -> str:
         return pattern
 
-    def has_all(self, a: str, b: str) -> str:
-        return f"list_has_all({a}, {b})"
+    def terms(self, x: str) -> str:
+        """What the analyser gives where no character has a compatibility form: identifiers, and other letters and digits."""
+        return self.all_matches(f"replace(lower({x}), chr(223), 'ss')", r"[0-9A-Za-z]+(?:[._+#&-]+[0-9A-Za-z]+)*|[^\x00-\x7F\pP\pS\pZ\pM\pC]+")
 
     def plan(self, mine, plain) -> str:
         return plain(self)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..plans.fixtures import DERIVED
+
 TOP, FUSED, CONSTANT = 20, 40, 60
 
 #: The authorization chain, used by every path: only it says who may read a chunk.
@@ -21,65 +23,51 @@ SCOPE = """SELECT q.request_id, CASE WHEN count(*) > count(m.kb_id) THEN 'NOT_AC
     FROM @request_kb q JOIN @knowledge_base k ON k.kb_id = q.kb_id LEFT JOIN @kb_member m ON m.kb_id = q.kb_id AND m.user_id = q.user_id AND NOT m.revoked
     LEFT JOIN @index_profile p ON p.profile_id = k.profile_id GROUP BY q.request_id"""
 
-#: Searchable chunks, whoever asks, and what each request of a good scope may ask for; then who may read what of it.
-READY = """SELECT c.chunk_id, c.document_id, c.line, x.kb_id, x.acl_mode, e.embedding
-    FROM @chunk c JOIN @index_generation g ON c.generation_id = g.generation_id AND g.status = 'READY'
-    JOIN @document_version v ON v.version_id = g.version_id AND v.status = 'READY'
+#: Generations whose chunks can be searched, whoever asks, and what each request of a good scope may ask for; then who may read what of it.
+READY_GENERATION = """SELECT g.generation_id, x.document_id, x.kb_id, x.acl_mode, k.profile_id
+    FROM @index_generation g JOIN @document_version v ON v.version_id = g.version_id AND v.status = 'READY' AND g.status = 'READY'
     JOIN @document x ON x.document_id = v.document_id AND x.active_version_id = v.version_id AND NOT x.deleted
-    JOIN @knowledge_base k ON k.kb_id = x.kb_id AND k.profile_id = g.profile_id
-    JOIN @chunk_embedding e ON e.chunk_id = c.chunk_id AND e.profile_id = k.profile_id"""
+    JOIN @knowledge_base k ON k.kb_id = x.kb_id AND k.profile_id = g.profile_id"""
 ASKED = f"""SELECT q.request_id, q.user_id, q.kb_id FROM @request_kb q JOIN ({SCOPE}) s ON s.request_id = q.request_id AND s.verdict = 'OK'
     JOIN @kb_member m ON m.kb_id = q.kb_id AND m.user_id = q.user_id AND NOT m.revoked
     JOIN @knowledge_base k ON k.kb_id = q.kb_id JOIN @user_account u ON u.user_id = q.user_id AND u.organization_id = k.organization_id"""
 MAY_READ = "(r.acl_mode = 'INHERIT' OR EXISTS (SELECT 1 FROM @document_acl a WHERE a.document_id = r.document_id AND a.user_id = q.user_id))"
 
-
-def eligible(d) -> str:
-    """Chunks that a request may read. The check takes them from what its user may read."""
-    return d.plan(
-        lambda _: f"ready AS ({READY}), asked AS ({ASKED}), eligible AS (SELECT q.request_id, r.* FROM ready r JOIN asked q ON q.kb_id = r.kb_id WHERE {MAY_READ})",
-        lambda _: f"eligible AS (SELECT q.request_id, a.* FROM ({AUTHORIZED}) a JOIN @request_kb q ON q.user_id = a.user_id AND q.kb_id = a.kb_id JOIN ({SCOPE}) s ON s.request_id = q.request_id AND s.verdict = 'OK')",
-    )
+#: For the check, what a request may read: all that its user may read, in the bases it names.
+ELIGIBLE = f"eligible AS (SELECT q.request_id, a.* FROM ({AUTHORIZED}) a JOIN @request_kb q ON q.user_id = a.user_id AND q.kb_id = a.kb_id JOIN ({SCOPE}) s ON s.request_id = q.request_id AND s.verdict = 'OK')"
 
 
-#: A match's score: its covers, shortest stretches with all terms, each with 1 / (1 + its places that match no term).
-COVERS = f"""ends AS (SELECT o.request_id, o.chunk_id, o.place AS stop, p.term, max(p.place) AS place FROM occurrence o JOIN occurrence p ON p.request_id = o.request_id AND p.chunk_id = o.chunk_id AND p.place <= o.place GROUP BY o.request_id, o.chunk_id, o.place, p.term),
-    stretch AS (SELECT e.request_id, e.chunk_id, e.stop, min(e.place) AS low FROM ends e JOIN wanted w ON w.request_id = e.request_id GROUP BY e.request_id, e.chunk_id, e.stop, w.n HAVING count(*) = w.n),
-    cover AS (SELECT * FROM (SELECT *, coalesce(lag(low) OVER (PARTITION BY request_id, chunk_id ORDER BY stop), -1) AS before FROM stretch) s WHERE low > before),
-    filled AS (SELECT c.request_id, c.chunk_id, c.stop, c.low, count(*) AS k FROM cover c JOIN occurrence o ON o.request_id = c.request_id AND o.chunk_id = c.chunk_id AND o.place BETWEEN c.low AND c.stop GROUP BY c.request_id, c.chunk_id, c.stop, c.low),
-    keyword AS (SELECT request_id, chunk_id, round(sum(1.0E0 / (2 + stop - low - k)), 9) AS score FROM filled GROUP BY request_id, chunk_id),
-    keyword_top AS (SELECT * FROM (SELECT request_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, chunk_id) AS BIGINT) AS rank FROM keyword) k WHERE rank <= {TOP})"""
-
-
-def keyword_hits(d) -> str:
-    """Chunks with all terms of a request: those of its rarest term are looked up, the others are looked for there; only the few
-    hits meet the authorization, and only what it passes is ranked."""
-    return f"""analysed AS (SELECT chunk_id, {d.terms("line")} AS terms FROM ready),
-    posting AS (SELECT DISTINCT p.chunk_id, p.term FROM {d.each("analysed", "terms", "place", "term")} p JOIN (SELECT DISTINCT term FROM @query_term) t ON t.term = p.term),
-    held AS (SELECT term, count(*) AS k FROM posting GROUP BY term),
-    rarest AS (SELECT request_id, term FROM (SELECT t.request_id, t.term, row_number() OVER (PARTITION BY t.request_id ORDER BY coalesce(h.k, 0), t.term) AS place FROM @query_term t LEFT JOIN held h ON h.term = t.term) r WHERE place = 1),
-    wanted AS (SELECT request_id, array_agg(term) AS terms, count(*) AS n FROM @query_term GROUP BY request_id),
-    whole AS (SELECT w.request_id, c.chunk_id, c.terms, w.terms AS asked_terms FROM rarest t JOIN posting p ON p.term = t.term JOIN wanted w ON w.request_id = t.request_id JOIN analysed c ON c.chunk_id = p.chunk_id WHERE {d.has_all("c.terms", "w.terms")}),
-    allowed AS (SELECT h.* FROM whole h JOIN ready r ON r.chunk_id = h.chunk_id JOIN asked q ON q.request_id = h.request_id AND q.kb_id = r.kb_id WHERE {MAY_READ}),
-    occurrence AS (SELECT request_id, chunk_id, term, place FROM {d.each("allowed", "terms", "place", "term")} o WHERE array_contains(asked_terms, term)), {COVERS}"""
-
-
-def keyword_hits_by_request(d) -> str:
-    """The same by the plain reading, for the check: all that a request may read is analysed for it, then terms are counted."""
-    return f"""wanted AS (SELECT request_id, count(*) AS n FROM @query_term GROUP BY request_id),
+def occurrences(d) -> str:
+    """For the check, by the plain reading: all that a request may read is analysed for it, then terms are counted."""
+    return f"""{ELIGIBLE}, wanted AS (SELECT request_id, count(*) AS n FROM @query_term GROUP BY request_id),
     every AS (SELECT e.request_id, e.chunk_id, e.term, e.place FROM {d.each("eligible", d.terms("line"), "place", "term")} e JOIN @query_term t ON t.request_id = e.request_id AND t.term = e.term),
     hit AS (SELECT e.request_id, e.chunk_id FROM every e JOIN wanted w ON w.request_id = e.request_id GROUP BY e.request_id, e.chunk_id, w.n HAVING count(DISTINCT e.term) = w.n),
-    occurrence AS (SELECT e.* FROM every e JOIN hit h ON h.request_id = e.request_id AND h.chunk_id = e.chunk_id), {COVERS}"""
-
-
-def vector_hits(d) -> str:
-    return f"""near AS (SELECT e.request_id, e.chunk_id, round({d.dot("e.embedding", "r.embedding")}, 6) AS score FROM eligible e JOIN @search_request r ON r.request_id = e.request_id),
-    vector_top AS (SELECT * FROM (SELECT request_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, chunk_id) AS BIGINT) AS rank FROM near) k WHERE rank <= {TOP})"""
+    occurrence AS (SELECT e.* FROM every e JOIN hit h ON h.request_id = e.request_id AND h.chunk_id = e.chunk_id)"""
 
 
-FUSE = f"""fused AS (SELECT coalesce(v.request_id, k.request_id) AS request_id, coalesce(v.chunk_id, k.chunk_id) AS chunk_id, v.rank AS vector_rank, k.rank AS keyword_rank,
-    coalesce(1.0E0 / ({CONSTANT} + v.rank), 0.0E0) + coalesce(1.0E0 / ({CONSTANT} + k.rank), 0.0E0) AS score FROM vector_top v FULL OUTER JOIN keyword_top k ON v.request_id = k.request_id AND v.chunk_id = k.chunk_id),
-    ranked AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, chunk_id) AS BIGINT) AS fusion_rank FROM fused) f WHERE fusion_rank <= {FUSED})"""
+#: For the check, a match's score: its covers, shortest stretches with all terms, each with 1 / (1 + its places that match no term).
+COVERS = """ends AS (SELECT o.request_id, o.chunk_id, o.place AS stop, p.term, max(p.place) AS place FROM occurrence o JOIN occurrence p ON p.request_id = o.request_id AND p.chunk_id = o.chunk_id AND p.place <= o.place GROUP BY o.request_id, o.chunk_id, o.place, p.term),
+    stretch AS (SELECT e.request_id, e.chunk_id, e.stop, min(e.place) AS low FROM ends e JOIN wanted w ON w.request_id = e.request_id GROUP BY e.request_id, e.chunk_id, e.stop, w.n HAVING count(*) = w.n),
+    cover AS (SELECT * FROM (SELECT *, coalesce(lag(low) OVER (PARTITION BY request_id, chunk_id ORDER BY stop), -1) AS before FROM stretch) s WHERE low > before),
+    filled AS (SELECT c.request_id, c.chunk_id, c.stop, c.low, count(*) AS k FROM cover c JOIN occurrence o ON o.request_id = c.request_id AND o.chunk_id = c.chunk_id AND o.place BETWEEN c.low AND c.stop GROUP BY c.request_id, c.chunk_id, c.stop, c.low)"""
+
+#: Tables that search.py makes in Spark, as the check reads them.
+PLAIN = {
+    "chunk_terms": lambda d: f"SELECT chunk_id, {d.terms('line')} AS terms FROM @chunk",
+    "indexed_chunk": lambda d: "SELECT * FROM @chunk",
+    "posting": lambda d: f"SELECT term, chunk_id, count(*) AS tf, {d.joined('CAST(place AS STRING)', 'place')} AS positions FROM {d.each('@chunk', d.terms('line'), 'place', 'term')} q GROUP BY term, chunk_id",
+    "keyword_match": lambda d: f"WITH {occurrences(d)} SELECT request_id, chunk_id FROM hit",
+    "keyword_score": lambda d: f"WITH {occurrences(d)}, {COVERS} SELECT request_id, chunk_id, count(*) AS covers, round(sum(1.0E0 / (2 + stop - low - k)), 9) AS score FROM filled GROUP BY request_id, chunk_id",
+    "vector_top": lambda d: f"""WITH {ELIGIBLE}, near AS (SELECT e.request_id, e.chunk_id, round({d.dot("e.embedding", "r.embedding")}, 6) AS score FROM eligible e JOIN @search_request r ON r.request_id = e.request_id)
+        SELECT * FROM (SELECT request_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, chunk_id) AS BIGINT) AS rank FROM near) k WHERE rank <= {TOP}""",
+}
+DERIVED.update(PLAIN)
+KEYWORD_TOP = f"SELECT * FROM (SELECT request_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, chunk_id) AS BIGINT) AS rank FROM @keyword_score) k WHERE rank <= {TOP}"
+
+
+DERIVED["ranked"] = lambda d: f"""WITH keyword_top AS ({KEYWORD_TOP}), fused AS (SELECT coalesce(v.request_id, k.request_id) AS request_id, coalesce(v.chunk_id, k.chunk_id) AS chunk_id, v.rank AS vector_rank, k.rank AS keyword_rank,
+    coalesce(1.0E0 / ({CONSTANT} + v.rank), 0.0E0) + coalesce(1.0E0 / ({CONSTANT} + k.rank), 0.0E0) AS score FROM @vector_top v FULL OUTER JOIN keyword_top k ON v.request_id = k.request_id AND v.chunk_id = k.chunk_id)
+    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, chunk_id) AS BIGINT) AS fusion_rank FROM fused) f WHERE fusion_rank <= {FUSED}"""
 
 RERANKED = 10
 
@@ -87,13 +75,13 @@ RERANKED = 10
 def rerank(scores: str) -> str:
     """The top of a request in the order of outside scores, if there is one for each of its members and no other; else nothing moves."""
     return f"""given AS (SELECT request_id AS scored_request, chunk_id AS scored_chunk, max(score) AS outside, count(*) AS k FROM {scores} o GROUP BY request_id, chunk_id),
-    scored AS (SELECT r.*, coalesce(r.request_id, g.scored_request) AS of_request, g.outside, g.k FROM ranked r FULL OUTER JOIN given g ON g.scored_request = r.request_id AND g.scored_chunk = r.chunk_id),
+    scored AS (SELECT r.*, coalesce(r.request_id, g.scored_request) AS of_request, g.outside, g.k FROM @ranked r FULL OUTER JOIN given g ON g.scored_request = r.request_id AND g.scored_chunk = r.chunk_id),
     checked AS (SELECT *, bool_and(CASE WHEN chunk_id IS NULL THEN false WHEN fusion_rank <= {RERANKED} THEN coalesce(k, 0) = 1 AND outside IS NOT NULL ELSE k IS NULL END) OVER (PARTITION BY of_request) AS ok FROM scored),
     reranked AS (SELECT *, NOT ok AS rerank_unavailable, CASE WHEN ok AND fusion_rank <= {RERANKED} THEN CAST(row_number() OVER (PARTITION BY of_request, fusion_rank <= {RERANKED} ORDER BY outside DESC, chunk_id) AS BIGINT) ELSE fusion_rank END AS final_rank FROM checked WHERE chunk_id IS NOT NULL)"""
 
 
 #: Stands for a model's scores of the fused top, of which some are missing, doubled or foreign.
-SCORES = f"""(SELECT r.request_id, r.chunk_id, (r.chunk_id * 7919) % 101 AS score FROM ranked r JOIN @nation t ON t.n_nationkey < 2
+SCORES = f"""(SELECT r.request_id, r.chunk_id, (r.chunk_id * 7919) % 101 AS score FROM @ranked r JOIN @nation t ON t.n_nationkey < 2
     WHERE t.n_nationkey = 0 AND r.fusion_rank <= {RERANKED} AND NOT (r.request_id % 6 = 0 AND r.fusion_rank = 3) OR t.n_nationkey = 1 AND r.request_id % 7 = 0 AND r.fusion_rank IN (2, {RERANKED + 1}))"""
 
 CITED = "(SELECT DISTINCT user_id, conv_id, turn, chunk_id, version_id, document_id FROM @citation)"
@@ -138,17 +126,17 @@ OPERATORS = {
     "acl_invalid_members": lambda d: "SELECT a.document_id, a.user_id FROM @document_acl a EXCEPT (SELECT x.document_id, u.user_id FROM @document x JOIN @knowledge_base k ON k.kb_id = x.kb_id JOIN @user_account u ON u.organization_id = k.organization_id AND u.enabled JOIN @kb_member m ON m.kb_id = x.kb_id AND m.user_id = u.user_id AND NOT m.revoked)",
     "acl_request_check": lambda d: "SELECT x.document_id, CASE WHEN x.acl_mode = 'INHERIT' AND count(a.user_id) > 0 THEN 'LIST_NOT_ALLOWED' WHEN count(a.user_id) <> count(DISTINCT a.user_id) THEN 'DUPLICATE_USER' ELSE 'OK' END AS verdict FROM @document x LEFT JOIN (SELECT document_id, user_id % 7 AS user_id FROM @document_acl UNION ALL SELECT document_id, document_id % 7 FROM @document WHERE document_id % 5 = 0) a ON a.document_id = x.document_id GROUP BY x.document_id, x.acl_mode",
     "active_sessions_asof": lambda d: "SELECT e.event_id AS session_id, u.user_id FROM @events e JOIN @user_account u ON u.user_id = e.user_id % 20 WHERE e.event_type <> 'error' AND e.event_id % 7 <> 0 AND u.enabled AND e.event_id % 2 = u.organization_id AND CAST(e.ts AS DATE) <= DATE '2024-06-30'",
-    "keyword_tokenize": lambda d: f"SELECT chunk_id, term, place FROM {d.each('@chunk', d.terms('line'), 'place', 'term')} q",
-    "keyword_postings": lambda d: f"SELECT term, chunk_id, count(*) AS tf, {d.joined('CAST(place AS STRING)', 'place')} AS positions FROM {d.each('@chunk', d.terms('line'), 'place', 'term')} q GROUP BY term, chunk_id",
-    "keyword_and_match": lambda d: f"WITH {eligible(d)}, {d.plan(keyword_hits, keyword_hits_by_request)} SELECT request_id, chunk_id FROM keyword",
-    "keyword_topk": lambda d: f"WITH {eligible(d)}, {d.plan(keyword_hits, keyword_hits_by_request)} SELECT request_id, chunk_id, score, rank FROM keyword_top",
-    "cover_density_rank": lambda d: f"WITH {eligible(d)}, {d.plan(keyword_hits, keyword_hits_by_request)} SELECT request_id, chunk_id, count(*) AS covers, round(sum(1.0E0 / (2 + stop - low - k)), 9) AS score FROM filled GROUP BY request_id, chunk_id",
+    "keyword_tokenize": lambda d: f"SELECT chunk_id, term, place FROM {d.each('@chunk_terms', 'terms', 'place', 'term')} q",
+    "keyword_postings": lambda d: "SELECT term, chunk_id, tf, positions FROM @posting",
+    "keyword_and_match": lambda d: "SELECT request_id, chunk_id FROM @keyword_match",
+    "keyword_topk": lambda d: f"SELECT request_id, chunk_id, score, rank FROM ({KEYWORD_TOP}) k",
+    "cover_density_rank": lambda d: "SELECT request_id, chunk_id, covers, score FROM @keyword_score",
     "vector_validate": lambda d: f"SELECT vec_id, CASE WHEN {d.size('embedding')} <> 64 THEN 'DIMENSION' WHEN NOT ({d.dot('embedding', 'embedding')} < 1e300) THEN 'NON_FINITE' WHEN {d.dot('embedding', 'embedding')} = 0 THEN 'ZERO' WHEN abs(sqrt({d.dot('embedding', 'embedding')}) - 1) > 0.001 THEN 'NORM' ELSE 'OK' END AS reason FROM @embeddings",
     "l2_normalize": lambda d: f"SELECT vec_id, place, round(CAST(x AS DOUBLE) / norm, 6) + 0.0 AS x FROM {d.each('(SELECT vec_id, embedding, sqrt(' + d.dot('embedding', 'embedding') + ') AS norm FROM @embeddings)', 'embedding', 'place', 'x')} q",
-    "vector_topk": lambda d: f"WITH {eligible(d)}, {vector_hits(d)} SELECT request_id, chunk_id, score, rank FROM vector_top",
+    "vector_topk": lambda d: "SELECT request_id, chunk_id, score, rank FROM @vector_top",
     "embedding_cache_lookup": lambda d: f"SELECT file_hash, version_id, vec_id FROM (SELECT v.file_hash, v.version_id, c.vec_id, row_number() OVER (PARTITION BY v.file_hash ORDER BY v.version_id DESC) AS newest FROM @document_version v JOIN @index_generation g ON g.version_id = v.version_id AND g.status = 'READY' JOIN @document x ON x.document_id = v.document_id AND NOT x.deleted JOIN @chunk_embedding c ON c.chunk_id = v.version_id * 1000) q WHERE newest = 1",
     "encode_plan": lambda d: f"WITH h AS (SELECT {d.sha('line')} AS hash, count(*) AS fan_out, min(generation_id) AS first_generation FROM @chunk GROUP BY 1) SELECT h.hash, h.fan_out, CASE WHEN EXISTS (SELECT 1 FROM @chunk c WHERE c.generation_id % 2 = 0 AND {d.sha('c.line')} = h.hash) THEN 'HIT' ELSE 'MISS' END AS state FROM h",
-    "rrf_fusion": lambda d: f"WITH {eligible(d)}, {d.plan(keyword_hits, keyword_hits_by_request)}, {vector_hits(d)}, {FUSE} SELECT request_id, chunk_id, vector_rank, keyword_rank, round(score, 9) AS score, fusion_rank FROM ranked",
-    "rerank_apply": lambda d: f"""WITH {eligible(d)}, {d.plan(keyword_hits, keyword_hits_by_request)}, {vector_hits(d)}, {FUSE}, {rerank(SCORES)} SELECT request_id, chunk_id, fusion_rank, final_rank, rerank_unavailable FROM reranked""",
-    "hybrid_search": lambda d: f"WITH {eligible(d)}, {d.plan(keyword_hits, keyword_hits_by_request)}, {vector_hits(d)}, {FUSE} SELECT r.request_id, r.fusion_rank, r.chunk_id, r.vector_rank, r.keyword_rank, round(r.score, 9) AS fusion_score, c.document_id, c.line_no FROM ranked r JOIN @chunk c ON c.chunk_id = r.chunk_id",
+    "rrf_fusion": lambda d: "SELECT request_id, chunk_id, vector_rank, keyword_rank, round(score, 9) AS score, fusion_rank FROM @ranked",
+    "rerank_apply": lambda d: f"WITH {rerank(SCORES)} SELECT request_id, chunk_id, fusion_rank, final_rank, rerank_unavailable FROM reranked",
+    "hybrid_search": lambda d: "SELECT r.request_id, r.fusion_rank, r.chunk_id, r.vector_rank, r.keyword_rank, round(r.score, 9) AS fusion_score, c.document_id, c.line_no FROM @ranked r JOIN @indexed_chunk c ON c.chunk_id = r.chunk_id",
 }

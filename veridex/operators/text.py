@@ -2,19 +2,6 @@
 
 from __future__ import annotations
 
-def headings(d) -> str:
-    """Lines with their heading path: a heading clears those of its own and deeper levels."""
-    last = ", ".join(f"max(CASE WHEN level <= {n} THEN place END) OVER w AS at{n}" for n in (1, 2, 3))
-    path = ", ".join(f"max(CASE WHEN place = at{n} AND level = {n} THEN title END) OVER (PARTITION BY doc_id, at{n}) AS h{n}" for n in (1, 2, 3))
-    return f"""raw AS (SELECT doc_id, place, {d.replaced("line", "^- ", "* ")} AS line FROM {d.each("(SELECT doc_id, replace(replace(text, '. Th', concat('.', chr(10), '# Th')), '. An', concat('.', chr(10), '## An')) AS text FROM @documents)", d.lines("text"), "place", "line")} q),
-    marked AS (SELECT *, length({d.first_match("line", "^(#{1,3})( |$)", 1)}) AS depth, trim({d.replaced("line", "^#{1,3}", "")}) AS title FROM raw),
-    levelled AS (SELECT *, CASE WHEN depth > 0 THEN depth END AS level FROM marked),
-    reached AS (SELECT *, {last} FROM levelled WINDOW w AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-    pathed AS (SELECT *, {path} FROM reached),
-    kinds AS (SELECT *, CASE WHEN level IS NOT NULL THEN 'heading' WHEN trim(line) = '' THEN 'blank' WHEN substr(line, 1, 2) = '* ' THEN 'list_item' ELSE 'paragraph' END AS kind FROM pathed),
-    runs AS (SELECT *, sum(CASE WHEN kind = before AND kind = 'paragraph' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (SELECT *, coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY place), '') AS before FROM kinds) k)"""
-
-
 TOKENS = "(SELECT doc_id, text, CAST({n} AS BIGINT) AS tokens FROM @documents)"
 
 
@@ -23,11 +10,6 @@ def tokens(d) -> str:
 
 
 OPERATORS = {
-    "markdown_blocks": lambda d: f"WITH {headings(d)} SELECT doc_id, min(place) + 1 AS start_line, max(place) + 1 AS end_line, kind, concat_ws(' / ', min(nullif(h1, '')), min(nullif(h2, '')), min(nullif(h3, ''))) AS heading_path, {d.sha(d.joined('trim(line)', 'place', ' '))} AS text_sha FROM runs WHERE kind IN ('paragraph', 'list_item') GROUP BY doc_id, run, kind",
-    "html_blocks": lambda d: f"""WITH clean AS (SELECT page_id, {d.replaced(d.replaced(d.replaced(d.replaced(d.replaced("lower(html)", "<script[^>]*>[^<]*</script>", " "), "<style[^>]*>[^<]*</style>", " "), "<nav[^>]*>.*?</nav>", " "), "<header[^>]*>.*?</header>", " "), "<footer[^>]*>.*?</footer>", " ")} AS html FROM @pages),
-        parts AS (SELECT page_id, place, part FROM {d.each("(SELECT page_id, replace(replace(replace(replace(replace(html, '<p', concat(chr(1), '<p')), '<li', concat(chr(1), '<li')), '<blockquote', concat(chr(1), '<blockquote')), '<h1', concat(chr(1), '<h1')), '<h2', concat(chr(1), '<h2')) AS html FROM clean)", d.split("html", chr(1)), "place", "part")} q),
-        named AS (SELECT page_id, place, {d.first_match("part", "^<(p|li|blockquote|h1|h2)[ >]", 1)} AS tag, trim({d.replaced(d.replaced("part", "<[^>]*>", " "), "[ " + chr(10) + chr(9) + "]+", " ")}) AS text FROM parts)
-        SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY place) AS BIGINT) - 1 AS ordinal, tag, {d.sha("text")} AS text_sha, CAST(length(text) AS BIGINT) AS n_chars FROM named WHERE tag IN ('p', 'li', 'blockquote') AND text <> ''""",
     "page_blocks": lambda d: f"""WITH page AS (SELECT doc_id, place + 1 AS page, trim(line) AS text FROM {d.each("@documents", d.lines("CASE WHEN doc_id % 50 = 0 THEN '   ' ELSE text END"), "place", "line")} q), filled AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page) AS BIGINT) - 1 AS ordinal FROM page WHERE text <> '')
         SELECT x.doc_id, f.ordinal, f.page, CAST(length(f.text) AS BIGINT) AS n_chars, CASE WHEN f.doc_id IS NULL THEN 'NEEDS_OCR' ELSE 'OK' END AS status FROM @documents x LEFT JOIN filled f ON f.doc_id = x.doc_id""",
     "table_row_blocks": lambda d: f"""WITH cell AS (SELECT row_id, col, trim(cell) AS cell FROM {d.each("(SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(l_quantity AS STRING)) AS row_id, concat(CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE concat('p', CAST(l_partkey AS STRING)) END, '|', CASE WHEN l_orderkey % 4 = 0 THEN '' ELSE l_returnflag END, '|', l_linestatus, '|', CASE WHEN l_orderkey % 2 = 0 THEN '' ELSE concat('s', CAST(l_suppkey AS STRING)) END) AS row FROM @lineitem WHERE l_linenumber = 1)", d.split("row", "|"), "col", "cell")} q),

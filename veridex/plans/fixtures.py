@@ -35,14 +35,16 @@ DERIVED: dict[str, Callable] = {
     "vector_count": lambda d: "SELECT count(*) AS n FROM @embeddings",
     "chunk_embedding": lambda d: """SELECT c.chunk_id, e.embedding, g.profile_id, (c.generation_id * 7 + c.chunk_index) % n.n AS vec_id FROM @chunk c JOIN @index_generation g ON c.generation_id = g.generation_id
         CROSS JOIN @vector_count n JOIN @embeddings e ON e.vec_id = (c.generation_id * 7 + c.chunk_index) % n.n""",
-    "search_request": lambda d: f"""SELECT b.request_id, b.request_id % 20 AS user_id, b.text, e.embedding, {d.terms("b.text")} AS words FROM (SELECT item_id AS request_id, {d.first_match("text", "^[^ ]+ [^ ]+ [^ ]+")} AS text FROM @benchmark) b JOIN @embeddings e ON e.vec_id = b.request_id""",
+    "search_request": lambda d: f"""SELECT b.request_id, b.request_id % 20 AS user_id, b.text, e.embedding FROM (SELECT item_id AS request_id, item_id, text FROM @benchmark
+        UNION ALL SELECT item_id + 1000000, item_id, {d.first_match("text", "^[^ ]+ [^ ]+ [^ ]+")} FROM @benchmark) b JOIN @embeddings e ON e.vec_id = b.item_id""",
     "request_kb": lambda d: """SELECT r.request_id, r.user_id, k.kb_id FROM @search_request r JOIN @knowledge_base k ON CASE r.request_id % 10 WHEN 4 THEN k.kb_id = 4 WHEN 3 THEN k.kb_id = 3 WHEN 9 THEN k.kb_id IN (1, 3) WHEN 7 THEN k.kb_id IN (0, 1)
         ELSE k.kb_id <= 2 AND k.kb_id % 2 = r.request_id % 2 END""",
-    "query_term": lambda d: f"SELECT DISTINCT request_id, term FROM {d.each('@search_request', 'words', 'place', 'term')} q",
+    "query_term": lambda d: f"SELECT DISTINCT request_id, term FROM {d.each('@search_request', d.terms('text'), 'place', 'term')} q",
     "llm_usage": lambda d: f"""SELECT event_id AS usage_id, {half("event_id")} AS query_run_id, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'signup' THEN 'TIMEOUT' ELSE 'SUCCEEDED' END AS status,
         CASE WHEN event_id % 2 = 0 THEN 'rewrite' ELSE 'answer' END AS stage, event_id % 3 + 1 AS attempt, abs(value) + 0.0 AS latency, CASE WHEN event_type NOT IN ('error', 'signup') THEN CAST(floor(abs(value) * 100) AS BIGINT) END AS prompt_tokens,
         CASE WHEN event_type NOT IN ('error', 'signup') AND event_id % 5 <> 0 THEN CAST(floor(abs(value) * 10) AS BIGINT) END AS completion_tokens, CASE WHEN event_type NOT IN ('error', 'signup') THEN CAST(floor(abs(value) * 40) AS BIGINT) END AS hit_tokens,
         CASE WHEN event_type IN ('error', 'signup') AND event_id % 10 <> 0 THEN concat('E_', upper(event_type)) END AS error_code, ts FROM @events""",
+    "markdown_text": lambda d: """SELECT doc_id, replace(replace(replace(replace(replace(text, '. Th', concat('.', chr(10), '# Th')), '. An', concat('.', chr(10), '## An')), '. On', concat('.', chr(10), '- On')), '. He', concat('.', chr(10), chr(10), '> He')), '. Re', concat('.', chr(10), '```', chr(10), 'Re')) AS text FROM @documents""",
     "upload": lambda d: """SELECT doc_id AS upload_id, CASE WHEN doc_id % 41 = 0 THEN concat(chr(9), '  ') WHEN doc_id % 43 = 1 THEN concat(substr(text, 1, 300), substr(text, 1, 300)) ELSE substr(text, 1, 40) END AS title,
         concat(CASE WHEN doc_id % 5 = 0 THEN concat('c:', chr(92), 'up', chr(92)) WHEN doc_id % 5 = 1 THEN 'a/' ELSE '' END, 'f', CAST(doc_id AS STRING), CASE doc_id % 7 WHEN 0 THEN '.md' WHEN 1 THEN '.Markdown' WHEN 2 THEN '.PDF' WHEN 3 THEN '.docx' WHEN 4 THEN '.md ' WHEN 5 THEN '.doc' ELSE '' END) AS filename,
         CASE WHEN doc_id % 53 = 9 THEN '' ELSE concat(text, CASE doc_id % 37 WHEN 3 THEN chr(11) WHEN 5 THEN chr(127) WHEN 7 THEN chr(12) WHEN 9 THEN chr(1) WHEN 11 THEN chr(9) WHEN 13 THEN chr(13) ELSE '' END) END AS content FROM @documents""",

@@ -12,6 +12,8 @@ from ..sources.tables import read_table
 from .fixtures import DERIVED, GIVEN
 
 NAME = re.compile(r"@([a-z_]+)")
+#: Derived tables that Spark makes by a function of the other tables, where the checking engine has a plain text.
+BUILT: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
 def apply(spark: SparkSession, text: Callable, tables: dict[str, DataFrame]) -> DataFrame:
@@ -30,6 +32,8 @@ class Tables(dict):
     def __missing__(self, name: str) -> DataFrame:
         if name in GIVEN:
             self[name] = read_table(self.spark, self.sf_dir, name)
+        elif name in BUILT:
+            self[name] = BUILT[name](self)
         else:
             self[name] = apply(self.spark, DERIVED[name], self)
         return self[name]

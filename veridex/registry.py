@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .operators import chunking, conversations, evaluation, folds, manifests, retrieval, text, versions
+from .operators import blocks, chunking, conversations, evaluation, folds, manifests, retrieval, search, text, versions  # noqa: F401
 from .plans.run import oracle, query
 from .streaming import ingest, limits
 
 OPERATORS = retrieval.OPERATORS | versions.OPERATORS | text.OPERATORS | conversations.OPERATORS | evaluation.OPERATORS
-QUERIES: dict[str, Callable] = {name: query(build) for name, build in OPERATORS.items()} | folds.QUERIES | chunking.QUERIES | manifests.QUERIES | ingest.QUERIES | limits.QUERIES
-ORACLES: dict[str, str] = {name: oracle(build) for name, build in OPERATORS.items()} | chunking.ORACLES | manifests.ORACLES | ingest.ORACLES
+QUERIES: dict[str, Callable] = {name: query(build) for name, build in OPERATORS.items()} | folds.QUERIES | blocks.QUERIES | chunking.QUERIES | manifests.QUERIES | ingest.QUERIES | limits.QUERIES
+ORACLES: dict[str, str] = {name: oracle(build) for name, build in OPERATORS.items()} | blocks.ORACLES | chunking.ORACLES | manifests.ORACLES | ingest.ORACLES

@@ -14,8 +14,8 @@ DOCUMENTS = "doc_id long, text string"
 CHUNKS = "ingest_key string, doc_id long, chunk_index int, line string"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; only a local session gets one of its own where none is set."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share; only a local session gets one of its own where none is set."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
@@ -23,7 +23,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="veridex-checkpoint-"))
         folder = sc.getCheckpointDir()
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in that folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def chunked(docs: DataFrame) -> DataFrame:
