@@ -58,6 +58,8 @@ PLAIN = {
     "posting": lambda d: f"SELECT term, chunk_id, count(*) AS tf, {d.joined('CAST(place AS STRING)', 'place')} AS positions FROM {d.each('@chunk', d.terms('line'), 'place', 'term')} q GROUP BY term, chunk_id",
     "keyword_match": lambda d: f"WITH {occurrences(d)} SELECT request_id, chunk_id FROM hit",
     "keyword_score": lambda d: f"WITH {occurrences(d)}, {COVERS} SELECT request_id, chunk_id, count(*) AS covers, round(sum(1.0E0 / (2 + stop - low - k)), 9) AS score FROM filled GROUP BY request_id, chunk_id",
+    "canary_found": lambda d: """SELECT DISTINCT y.item_id FROM @canary y JOIN @request_kb q ON q.request_id = y.item_id JOIN @document x ON x.kb_id = q.kb_id AND NOT x.deleted JOIN @chunk c ON c.document_id = x.document_id AND c.version_id = x.active_version_id
+        WHERE contains(c.line, y.canary) AND EXISTS (SELECT 1 FROM @kb_member m WHERE m.kb_id = q.kb_id AND m.user_id = q.user_id AND NOT m.revoked) AND (SELECT max(u.organization_id) FROM @user_account u WHERE u.user_id = q.user_id) = (SELECT max(k.organization_id) FROM @knowledge_base k WHERE k.kb_id = q.kb_id)""",
     "vector_top": lambda d: f"""WITH {ELIGIBLE}, near AS (SELECT e.request_id, e.chunk_id, round({d.dot("e.embedding", "r.embedding")}, 6) AS score FROM eligible e JOIN @search_request r ON r.request_id = e.request_id)
         SELECT * FROM (SELECT request_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, chunk_id) AS BIGINT) AS rank FROM near) k WHERE rank <= {TOP}""",
 }

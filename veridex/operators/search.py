@@ -106,8 +106,28 @@ def _keyword_score(tables: Tables) -> DataFrame:
     return tables["keyword_match"].select("request_id", "chunk_id", cover_score("places").alias("s")).select("request_id", "chunk_id", "s.covers", F.round("s.score", 9).alias("score"))
 
 
+def canary_found(tables: Tables, index: SearchIndex) -> DataFrame:
+    """(item_id) of canaries (item_id, canary) that stand, letter by letter, in a chunk of an active version that the item's
+    request may name and its user may read.
+
+    A canary may begin and end within a word, so only its inner terms are looked up; the chunks that hold them are read. A canary
+    without inner terms is looked for in all chunks of its bases."""
+    inner = F.split(F.regexp_replace("canary", r"^\S*|\S*$", " "), r"\s+")
+    named = tables["canary"].where("canary <> ''").select("item_id", "canary", F.array_distinct(terms(F.array_join(inner, " "))).alias("terms"))
+    with_terms = named.where(F.size("terms") > 0)
+    hit = index.postings.match(with_terms.select(F.col("item_id").alias("request_id"), F.explode("terms").alias("term"))).select(F.col("request_id").alias("item_id"), "chunk_id")
+    used = {n: tables[n] for n in ("request_kb", "knowledge_base", "kb_member", "user_account", "document", "chunk")}
+    open_bases = """SELECT q.request_id AS item_id, q.kb_id FROM @request_kb q JOIN @kb_member m ON m.kb_id = q.kb_id AND m.user_id = q.user_id AND NOT m.revoked JOIN @knowledge_base k ON k.kb_id = q.kb_id
+        JOIN @user_account u ON u.user_id = q.user_id AND u.organization_id = k.organization_id"""
+    active = "SELECT c.chunk_id, c.line, x.kb_id FROM @chunk c JOIN @document x ON x.document_id = c.document_id AND NOT x.deleted AND x.active_version_id = c.version_id"
+    text = f"""SELECT DISTINCT h.item_id FROM @hit h JOIN @named y ON y.item_id = h.item_id JOIN ({active}) c ON c.chunk_id = h.chunk_id JOIN ({open_bases}) b ON b.item_id = h.item_id AND b.kb_id = c.kb_id WHERE contains(c.line, y.canary)
+        UNION SELECT DISTINCT y.item_id FROM @bare y JOIN ({open_bases}) b ON b.item_id = y.item_id JOIN ({active}) c ON c.kb_id = b.kb_id AND contains(c.line, y.canary)"""
+    return apply(tables.spark, lambda _: text, used | {"hit": hit, "named": with_terms, "bare": named.where(F.size("terms") == 0)})
+
+
 BUILT.update(
     {
+        "canary_found": lambda tables: canary_found(tables, stored_index(tables)),
         "chunk_terms": lambda tables: tables["chunk"].select("chunk_id", terms("line").alias("terms")),
         "query_term": lambda tables: tables["search_request"].select("request_id", F.explode(F.array_distinct(terms("text"))).alias("term")),
         "indexed_chunk": lambda tables: stored_index(tables).directory(),

@@ -95,7 +95,7 @@ class VectorBlocks:
 
     def bounds(self, requests: DataFrame) -> DataFrame:
         """(request_id, block, low, high) for each request (request_id, embedding) and block, from centres alone."""
-        lists = requests.select((F.monotonically_increasing_id() % 1).alias("one"), "request_id", F.col("embedding").cast("array<double>").alias("embedding"))
+        lists = requests.select("request_id", F.col("embedding").cast("array<double>").alias("embedding"))
         centres = self.blocks().select("block", "centre", "radius")
         n = max(1, -(-centres.count() // CENTRES))
         grouped = centres.groupBy(F.pmod(F.xxhash64("block"), F.lit(n)).alias("group")).agg(F.collect_list(F.struct("block", "centre", "radius")).alias("centres"))

@@ -9,6 +9,22 @@ UPLOADS = """(SELECT v.version_id, v.document_id, v.file_hash, concat(CAST(v.doc
 
 ATTEMPT = "(SELECT j.job_id, j.version_id, j.lease_token, v.document_id, v.status AS version_status, x.active_version_id, x.deleted, CASE WHEN j.job_id % 3 = 0 THEN x.active_version_id WHEN j.job_id % 3 = 1 THEN x.active_version_id + 1 END AS expected, j.job_id % 11 = 0 AS lease_lost FROM @ingest_job j JOIN @document_version v ON v.version_id = j.version_id JOIN @document x ON x.document_id = v.document_id WHERE j.status = 'EMBEDDING')"
 
+#: What each row of a ledger of model calls must hold; a null leaves a rule open, as constraints of tables do.
+USAGE_RULES = {
+    "status": "status IN ('SUCCEEDED', 'FAILED', 'TIMEOUT')",
+    "usage_source": "usage_source IN ('PROVIDER_REPORTED', 'UNKNOWN')",
+    "attempt": "attempt >= 1",
+    "prompt_tokens": "prompt_tokens >= 0",
+    "completion_tokens": "completion_tokens >= 0",
+    "hit_tokens": "hit_tokens >= 0",
+    "miss_tokens": "miss_tokens >= 0",
+    "latency_ms": "latency_ms >= 0",
+    "cost_amount": "cost_amount >= 0",
+    "succeeded_without_usage": "status <> 'SUCCEEDED' OR (usage_source = 'PROVIDER_REPORTED' AND prompt_tokens IS NOT NULL AND completion_tokens IS NOT NULL)",
+    "failure_without_code": "status = 'SUCCEEDED' OR error_code IS NOT NULL",
+    "price_parts": "(price_source IS NULL) = (price_currency IS NULL) AND (price_source IS NULL) = (cost_amount IS NULL)",
+}
+
 OPERATORS = {
     "content_addressed_versions": lambda d: "SELECT x.kb_id, v.file_hash, concat(CAST(x.kb_id AS STRING), '/', v.file_hash) AS file_ref, count(*) AS refs, min(v.version_id) AS first_version FROM @document_version v JOIN @document x ON x.document_id = v.document_id GROUP BY x.kb_id, v.file_hash",
     "upload_validation": lambda d: f"""SELECT upload_id, CASE WHEN {d.octets('content')} = 0 THEN 'EMPTY' WHEN {d.octets('content')} > 20000000 THEN 'TOO_LARGE' WHEN {d.matches('content', d.escaped("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"))} THEN 'CONTROL_CHARACTER'
@@ -60,5 +76,12 @@ OPERATORS = {
     "blob_manifest_diff": lambda d: f"""WITH manifest AS (SELECT file_hash AS ref, min({d.octets("text")}) AS size, min(version_id) AS v, count(*) AS uses FROM @document_version WHERE version_id % 31 <> 7 GROUP BY file_hash), found AS (SELECT file_hash AS ref, min({d.octets("text")} + CASE WHEN version_id % 29 = 3 THEN 1 ELSE 0 END) AS size, min(CASE WHEN version_id % 37 = 5 THEN 'x' ELSE file_hash END) AS hash FROM @document_version WHERE version_id % 41 <> 11 GROUP BY file_hash)
         SELECT coalesce(m.ref, f.ref) AS ref, CASE WHEN f.ref IS NULL THEN 'MISSING' WHEN m.ref IS NULL THEN 'NOT_IN_MANIFEST' WHEN m.size <> f.size THEN 'SIZE_DIFFERS' WHEN f.hash <> m.ref THEN 'HASH_DIFFERS' WHEN m.uses > 1 THEN 'DUPLICATE_REFERENCE' ELSE 'OK' END AS finding FROM manifest m FULL OUTER JOIN found f ON m.ref = f.ref""",
     "lease_consistency": lambda d: "SELECT job_id FROM @ingest_job WHERE NOT (lease_owner IS NULL AND lease_token IS NULL AND lease_until IS NULL) AND NOT (lease_owner IS NOT NULL AND lease_token IS NOT NULL AND lease_until IS NOT NULL)",
-    "usage_constraints": lambda d: "SELECT usage_id, reason FROM (SELECT usage_id, CASE WHEN status = 'SUCCEEDED' AND (prompt_tokens IS NULL OR completion_tokens IS NULL) THEN 'TOKENS_MISSING' WHEN status <> 'SUCCEEDED' AND error_code IS NULL THEN 'ERROR_CODE' WHEN hit_tokens > prompt_tokens THEN 'HIT_TOKENS' END AS reason FROM @llm_usage) q WHERE reason IS NOT NULL",
+    "usage_constraints": lambda d: d.plan(
+        lambda _: f"SELECT usage_id, concat_ws(',', {', '.join(f'CASE WHEN NOT ({rule}) THEN {name!r} END' for name, rule in USAGE_RULES.items())}) AS broken FROM @usage_row WHERE NOT ({' AND '.join(f'coalesce({rule}, true)' for rule in USAGE_RULES.values())})",
+        lambda _: """SELECT usage_id, string_agg(name, ',' ORDER BY place) AS broken FROM (
+            SELECT usage_id, 1 AS place, 'status' AS name FROM @usage_row WHERE status <> 'SUCCEEDED' AND status <> 'FAILED' AND status <> 'TIMEOUT' UNION ALL SELECT usage_id, 2, 'usage_source' FROM @usage_row WHERE usage_source <> 'PROVIDER_REPORTED' AND usage_source <> 'UNKNOWN' UNION ALL SELECT usage_id, 3, 'attempt' FROM @usage_row WHERE attempt < 1
+            UNION ALL SELECT usage_id, 4, 'prompt_tokens' FROM @usage_row WHERE prompt_tokens < 0 UNION ALL SELECT usage_id, 5, 'completion_tokens' FROM @usage_row WHERE completion_tokens < 0 UNION ALL SELECT usage_id, 6, 'hit_tokens' FROM @usage_row WHERE hit_tokens < 0 UNION ALL SELECT usage_id, 7, 'miss_tokens' FROM @usage_row WHERE miss_tokens < 0
+            UNION ALL SELECT usage_id, 8, 'latency_ms' FROM @usage_row WHERE latency_ms < 0 UNION ALL SELECT usage_id, 9, 'cost_amount' FROM @usage_row WHERE cost_amount < 0 UNION ALL SELECT usage_id, 10, 'succeeded_without_usage' FROM @usage_row WHERE status = 'SUCCEEDED' AND (usage_source <> 'PROVIDER_REPORTED' OR prompt_tokens IS NULL OR completion_tokens IS NULL)
+            UNION ALL SELECT usage_id, 11, 'failure_without_code' FROM @usage_row WHERE status <> 'SUCCEEDED' AND error_code IS NULL UNION ALL SELECT usage_id, 12, 'price_parts' FROM @usage_row WHERE (CASE WHEN price_source IS NULL THEN 0 ELSE 1 END + CASE WHEN price_currency IS NULL THEN 0 ELSE 1 END + CASE WHEN cost_amount IS NULL THEN 0 ELSE 1 END) NOT IN (0, 3)) q GROUP BY usage_id""",
+    ),
 }

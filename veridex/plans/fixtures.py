@@ -50,7 +50,7 @@ DERIVED: dict[str, Callable] = {
         CASE WHEN doc_id % 53 = 9 THEN '' ELSE concat(text, CASE doc_id % 37 WHEN 3 THEN chr(11) WHEN 5 THEN chr(127) WHEN 7 THEN chr(12) WHEN 9 THEN chr(1) WHEN 11 THEN chr(9) WHEN 13 THEN chr(13) ELSE '' END) END AS content FROM @documents""",
     "question_text": lambda d: """SELECT item_id AS id, item_id % 2 AS split, text FROM @benchmark
         UNION ALL SELECT item_id + 1000000, 1 - item_id % 2, concat(translate(substr(text, 1, 20), 'abcdefghij', 'ABCDEFGHIJ'), CASE item_id % 5 WHEN 0 THEN 'x' WHEN 2 THEN 'yy' ELSE '' END, replace(substr(text, 21 + CASE WHEN item_id % 5 = 1 THEN 1 ELSE 0 END), ' ', concat(' ', chr(9))), CASE WHEN item_id % 5 = 3 THEN '!' ELSE chr(10) END) FROM @benchmark""",
-    "canary": lambda d: f"""SELECT item_id, substr(text, 1, length({d.first_match("text", "^[^ ]+ [^ ]+ [^ ]+")})) AS canary FROM @benchmark""",
+    "canary": lambda d: """SELECT item_id, substr(text, 4, 40) AS canary FROM @benchmark""",
     "identity_case": lambda d: f"""SELECT g.generation_id, CASE WHEN g.generation_id % 23 <> 0 THEN g.profile_id END AS job_profile_id, CASE g.generation_id % 9 WHEN 1 THEN 'xlsx' WHEN 2 THEN 'pdf' WHEN 3 THEN 'docx' WHEN 4 THEN 'web' ELSE 'markdown' END AS source_type,
         CASE WHEN g.generation_id % 10 = 2 THEN 'blocks-v0' ELSE 'blocks-v1' END AS parser_version, p.profile_id, p.analyzer, p.normalized, CASE WHEN g.generation_id % 16 = 7 THEN 0 ELSE p.dimension END AS dimension, p.revision,
         CASE WHEN g.generation_id % 14 = 3 THEN 'stale' ELSE {d.sha("concat_ws('/', p.analyzer, CAST(p.normalized AS STRING), CAST(CASE WHEN g.generation_id % 16 = 7 THEN 0 ELSE p.dimension END AS STRING), CAST(p.revision AS STRING))")} END AS config_hash
@@ -70,6 +70,24 @@ DERIVED: dict[str, Callable] = {
         JOIN @chunk c ON c.version_id = b.item_id * 37 % n.n WHERE c.chunk_index <= b.item_id % 3 AND b.item_id % 5 <> 4""",
     "answer": lambda d: """SELECT conv_id * 1000 + turn AS question_id, conv_id, turn, text, CASE WHEN (conv_id + turn) % 5 = 0 THEN 'refuse' ELSE 'answer' END AS expected,
         CASE WHEN (conv_id * 3 + turn) % 7 = 0 THEN 'refuse' ELSE 'answer' END AS behavior, conv_id % 4 AS category FROM @conversations WHERE role = 'assistant'""",
+    "probe_record": lambda d: """SELECT event_id AS question_id, CASE WHEN event_id % 4 = 0 THEN 'refuse' ELSE 'answer' END AS expected, CASE WHEN event_type <> 'error' THEN abs(value) / (1.0E0 + abs(value)) END AS score FROM @events""",
+    "asked_question": lambda d: "SELECT item_id AS question_id FROM @benchmark",
+    "located_span": lambda d: """SELECT g.question_id, g.chunk_index AS span, x.kb_id, g.document_id, g.version_id, CASE WHEN g.document_id % 4 = 1 THEN 'pdf' ELSE 'markdown' END AS source_type, 'p1' AS parser_version, CASE WHEN g.document_id % 4 <> 1 THEN g.start_line END AS start_line, CASE WHEN g.document_id % 4 <> 1 THEN g.end_line + 2 END AS end_line,
+        CASE WHEN g.document_id % 4 = 1 THEN CAST(floor(g.start_line / 3) AS BIGINT) END AS page FROM @gold_span g JOIN @document x ON x.document_id = g.document_id""",
+    "located_candidate": lambda d: """SELECT c.variant, c.question_id, c.rank, c.line_no AS candidate_id, x.kb_id, c.document_id, c.version_id, CASE WHEN c.document_id % 4 = 1 THEN 'pdf' ELSE 'markdown' END AS source_type, CASE WHEN c.line_no % 19 = 7 THEN 'p0' ELSE 'p1' END AS parser_version,
+        CASE WHEN c.document_id % 4 <> 1 THEN c.line_no END AS start_line, CASE WHEN c.document_id % 4 <> 1 THEN c.line_no + c.line_no % 50 END AS end_line, CASE WHEN c.document_id % 4 = 1 THEN CAST(floor(c.line_no / 3) AS BIGINT) END AS page FROM @candidate c JOIN @document x ON x.document_id = c.document_id""",
+    "question": lambda d: """SELECT question_id, expected, CASE WHEN question_id % 3 = 1 THEN true ELSE false END AS has_conflict, CASE WHEN question_id % 5 = 2 THEN true ELSE false END AS has_injection, CASE WHEN question_id % 5 = 2 THEN concat('canary-', CAST(question_id AS STRING)) END AS canary, category FROM @answer""",
+    "result": lambda d: """SELECT a.question_id, a.behavior, concat(a.text, CASE WHEN a.question_id % 35 = 2 THEN concat(' canary-', CAST(a.question_id AS STRING)) ELSE '' END, CASE WHEN a.question_id % 13 = 0 THEN coalesce(c.line, '') ELSE '' END) AS answer_text
+        FROM @answer a LEFT JOIN (SELECT conv_id, turn, min(line) AS line FROM @citation GROUP BY conv_id, turn) c ON c.conv_id = a.conv_id AND c.turn = a.turn""",
+    "result_citation": lambda d: """SELECT c.conv_id * 1000 + c.turn AS question_id, x.kb_id, c.document_id, c.version_id, c.user_id FROM @citation c JOIN @document x ON x.document_id = c.document_id
+        UNION ALL SELECT c.conv_id * 1000 + c.turn, x.kb_id, x.document_id, x.active_version_id, c.user_id FROM @citation c JOIN @document x ON x.document_id = c.document_id + 1 WHERE c.turn % 4 = 1""",
+    "gold_key": lambda d: """SELECT c.conv_id * 1000 + c.turn AS question_id, x.kb_id, c.document_id, c.version_id FROM @citation c JOIN @document x ON x.document_id = c.document_id WHERE (c.conv_id + c.turn) % 6 <> 0
+        UNION ALL SELECT c.conv_id * 1000 + c.turn, x.kb_id, x.document_id, x.active_version_id FROM @citation c JOIN @document x ON x.document_id = c.document_id + 1 WHERE (c.conv_id + c.turn) % 9 = 0""",
+    "conflict_key": lambda d: "SELECT c.conv_id * 1000 + c.turn AS question_id, x.kb_id, x.document_id, x.active_version_id AS version_id FROM @citation c JOIN @document x ON x.document_id = c.document_id + 1 WHERE c.conv_id % 2 = 0",
+    "forbidden_line": lambda d: "SELECT DISTINCT conv_id * 1000 + turn AS question_id, line FROM @citation",
+    "question_scope": lambda d: "SELECT DISTINCT c.conv_id * 1000 + c.turn AS question_id, m.kb_id FROM @citation c JOIN @kb_member m ON m.user_id = c.user_id AND NOT m.revoked",
+    "usage_row": lambda d: """SELECT usage_id, status, CASE WHEN usage_id % 37 = 1 THEN 'UNKNOWN' WHEN usage_id % 101 = 5 THEN 'GUESSED' ELSE 'PROVIDER_REPORTED' END AS usage_source, CASE WHEN usage_id % 97 = 3 THEN 0 ELSE attempt END AS attempt, CASE WHEN usage_id % 89 = 2 THEN -1 ELSE prompt_tokens END AS prompt_tokens, completion_tokens, hit_tokens, prompt_tokens - hit_tokens AS miss_tokens,
+        CASE WHEN usage_id % 83 = 4 THEN -latency - 1 ELSE latency END AS latency_ms, error_code, CASE WHEN usage_id % 3 = 0 THEN 'list' END AS price_source, CASE WHEN usage_id % 3 = 0 AND usage_id % 61 <> 0 THEN 'USD' END AS price_currency, CASE WHEN usage_id % 3 = 0 OR usage_id % 71 = 1 THEN CASE WHEN usage_id % 79 = 0 THEN -0.5E0 ELSE 0.5E0 END END AS cost_amount FROM @llm_usage""",
     "top_score": lambda d: """SELECT event_id AS question_id, abs(value) + 0.0E0 AS score, event_type, CASE WHEN event_id % 4 = 0 THEN 'refuse' ELSE 'answer' END AS expected FROM @events""",
     "candidate": lambda d: """SELECT g.question_id, c.document_id, c.version_id, c.line_no, v.variant, CAST(row_number() OVER (PARTITION BY g.question_id, v.variant ORDER BY (c.chunk_index * v.step + g.question_id) % 17, c.chunk_id) AS BIGINT) AS rank
         FROM (SELECT DISTINCT question_id, version_id FROM @gold_span) g JOIN @chunk c ON c.version_id = g.version_id CROSS JOIN (SELECT DISTINCT CASE n_nationkey WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS variant, n_nationkey + 1 AS step FROM @nation WHERE n_nationkey < 3) v""",
