@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import kept
 from .analysis import Segmenter, terms, words
 
 #: Ids of chunks are cut in ranges of this width.
 BLOCK_IDS = 1 << 16
+#: Requests that meet a range's postings at once.
+BATCH = 1024
 SHARDS = 16
 
 
@@ -70,6 +73,61 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([term.take(pa.array(of)), pa.array(chunks, pa.int64()), block.take(pa.array(of)), listed], names=["term", "chunk_id", "block", "places"])
 
 
+class Posted:
+    """The postings of one range of ids, a term's decoded when it is first asked for: sorted chunk ids, and where their places lie."""
+
+    def __init__(self, block: int, rows: pa.StructArray):
+        self.start = block * BLOCK_IDS
+        self.rows: dict[str, list[int]] = {}
+        for k, term in enumerate(rows.field("term").to_pylist()):
+            self.rows.setdefault(term, []).append(k)
+        self.chunk_steps, self.counts, self.place_steps = rows.field("chunk_steps"), rows.field("counts"), rows.field("place_steps")
+        self.done: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def of(self, term: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Chunk ids in order, and for each the bounds of its places in the third array."""
+        if term not in self.done:
+            chunks, counts, places = [], [], []
+            for k in self.rows[term]:  # one for each append
+                chunks.append(self.start + np.cumsum(self.chunk_steps[k].values.to_numpy()))
+                n = self.counts[k].values.to_numpy()
+                total = np.concatenate([[0], np.cumsum(self.place_steps[k].values.to_numpy())])
+                places.append(total[1:] - np.repeat(total[np.cumsum(n) - n], n))
+                counts.append(n)
+            order = np.argsort(all_chunks := np.concatenate(chunks), kind="stable")
+            n = np.concatenate(counts)
+            ends = np.cumsum(n)
+            self.done[term] = all_chunks[order], np.stack([ends - n, ends])[:, order], np.concatenate(places)
+        return self.done[term]
+
+
+def _intersected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each request the chunks that all of its terms have, and the places of each term in them."""
+    for batch in batches:
+        request, chunk, places = [], [], []
+        for i in range(batch.num_rows):
+            posted = Posted(batch.column(0)[i].as_py(), batch.column(2)[i].values)
+            for asking in batch.column(1)[i].as_py():
+                terms = asking["terms"]  # the rarest first
+                common = posted.of(terms[0])[0]
+                for term in terms[1:]:
+                    other = posted.of(term)[0]
+                    common = common[other[np.minimum(np.searchsorted(other, common), len(other) - 1)] == common]
+                    if not len(common):
+                        break
+                if not len(common):
+                    continue
+                request += [asking["request_id"]] * len(common)
+                chunk += common.tolist()
+                found = []
+                for term in terms:
+                    chunks, bounds, flat = posted.of(term)
+                    low, high = bounds[:, np.searchsorted(chunks, common)]
+                    found.append([flat[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+                places += map(list, zip(*found, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(request, pa.int64()), pa.array(chunk, pa.int64()), pa.array(places, pa.list_(pa.list_(pa.int32())))], names=["request_id", "chunk_id", "places"])
+
+
 @dataclass(frozen=True)
 class Postings:
     """The index in a folder that all executors share."""
@@ -120,20 +178,22 @@ class Postings:
         are chosen by their heads alone: those of a request's rarest term in which all other terms have a block, too. A chunk's
         cover density is at most the number of terms times the occurrences of the term that stands there least often, so a block
         whose greatest counts can't reach `least` isn't read."""
-        heads = self.heads(asked)
+        asked = kept(asked.select("request_id", "term"))
+        heads = kept(self.heads(asked))
         of_term = heads.groupBy("term").agg(F.sum("n").alias("held"))
         sized = asked.select("request_id", "term").join(of_term, "term", "left")
         by_request = Window.partitionBy("request_id")
         ranked = sized.select("request_id", "term", F.count("*").over(by_request).alias("n_terms"), F.count("held").over(by_request).alias("found"), F.row_number().over(by_request.orderBy(F.coalesce("held", F.lit(0)), "term")).alias("place"))
-        known = ranked.where("found = n_terms")
+        known = kept(ranked.where("found = n_terms"))
         rarest = known.where("place = 1").select("request_id", "term", "n_terms")
         near = rarest.join(heads.select("term", "block"), "term").select("request_id", "block", "n_terms")
         whole = near.join(known.select("request_id", "term"), "request_id").join(heads.select("term", "block", "most"), ["term", "block"])
         open_blocks = whole.groupBy("request_id", "block", "n_terms").agg(F.count("*").alias("met"), F.min("most").alias("most")).where((F.col("met") == F.col("n_terms")) & (F.col("n_terms") * F.col("most") >= least))
-        wanted = open_blocks.select("request_id", "block", "n_terms").join(known.select("request_id", "term", "place"), "request_id")
-        posted = self.decode(wanted.select("term", "block"))
-        first = wanted.where("place = 1").join(posted.select("term", "block", "chunk_id"), ["term", "block"]).select("request_id", "block", "chunk_id", "n_terms")
-        # each candidate of the rarest term looks for its other terms among the postings of its block
-        looked = first.join(wanted.select("request_id", "block", "term"), ["request_id", "block"]).join(posted.select("term", "chunk_id", "places"), ["term", "chunk_id"])
-        held = looked.groupBy("request_id", "chunk_id", "n_terms").agg(F.count("*").alias("met"), F.collect_list("places").alias("places"))
-        return held.where("met = n_terms").select("request_id", "chunk_id", "places")
+        listed = known.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("place", "term")))["term"].alias("terms"))
+        work = open_blocks.select("request_id", "block").join(listed, "request_id")
+        needed = work.select(F.explode("terms").alias("term"), "block").distinct().withColumn("shard", _shard("term", self.shards))
+        # a range's postings move once, whoever asks for them; requests meet them in batches
+        posted = self.blocks().join(needed, ["shard", "term", "block"], "left_semi").groupBy("block").agg(F.collect_list(F.struct("term", "chunk_steps", "counts", "place_steps")).alias("posted"))
+        batch = F.floor((F.row_number().over(Window.partitionBy("block").orderBy("request_id")) - 1) / BATCH).alias("batch")
+        asking = work.select("block", batch, F.struct("request_id", "terms").alias("request")).groupBy("block", "batch").agg(F.collect_list("request").alias("requests"))
+        return asking.join(posted, "block").select("block", "requests", "posted").mapInArrow(_intersected, "request_id long, chunk_id long, places array<array<int>>")

@@ -5,14 +5,13 @@ indexes hold only what can't change: which term stands where in a chunk, and a c
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.run import BUILT, Tables, apply
-from ..streaming.ingest import shared_root
+from ..plans.shared import shared_folder
 from .analysis import Segmenter, terms, words
 from .covers import cover_score
 from .postings import Postings
@@ -91,7 +90,7 @@ def stored_index(tables: Tables) -> SearchIndex:
     """The index of the derived chunks, built once for a session in the folder that all executors share."""
     key = (tables.spark.sparkContext.applicationId, *_version(tables, "documents", "embeddings"))
     if key not in _built:
-        index = SearchIndex.at(tables, f"{shared_root(tables.spark)}/index-{uuid.uuid4().hex}")
+        index = SearchIndex.at(tables, shared_folder(tables.spark, "index"))
         index.append(tables["chunk"].withColumnRenamed("line", "text"), tables["chunk_embedding"], "all")
         _built[key] = index.path
     return SearchIndex.at(tables, _built[key])

@@ -16,9 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import kept
+
 #: Rows of a block, about; cells; vectors sampled for the cells' centres; requests that meet a block, and centres that meet requests, at once.
 BLOCK_ROWS, CELLS, SAMPLE, BATCH, CENTRES = 1024, 256, 4096, 512, 512
 DIGITS = 6
@@ -44,6 +47,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _members(flat: np.ndarray, lists: pa.ListArray, n: int) -> np.ndarray:
+    """A row of n zeros and ones for each list: which numbers it holds."""
+    out = np.zeros((len(lists), n), np.float32)
+    out[np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()), flat] = 1
+    return out
+
+
 @dataclass(frozen=True)
 class VectorBlocks:
     spark: SparkSession
@@ -120,8 +130,8 @@ class VectorBlocks:
 
         requests: (request_id, embedding), ids not repeated; live: (block, place, unit) of rows that somebody may read; may:
         (request_id, unit), not repeated. A request with fewer readable rows gets them all; requests without an embedding none."""
-        asked = requests.where("embedding IS NOT NULL").select("request_id", F.col("embedding").cast("array<double>").alias("embedding"))
-        units = live.groupBy("block", "unit").agg(F.collect_list("place").alias("places"))
+        asked = kept(requests.where("embedding IS NOT NULL").select("request_id", F.col("embedding").cast("array<double>").alias("embedding")))
+        units = kept(live.groupBy("block", "unit").agg(F.collect_list("place").alias("places")))
         sized = units.select("block", "unit", F.size("places").alias("n"))
         pairs = may.join(sized, "unit").groupBy("request_id", "block").agg(F.sum("n").alias("n"), F.collect_list("unit").alias("units"))
         bounded = pairs.join(self.bounds(asked), ["request_id", "block"])
@@ -138,22 +148,19 @@ class VectorBlocks:
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in rows:
                 for i in range(batch.num_rows):
-                    requests, units, chunk_ids, data = (batch.column(c)[i].as_py() for c in range(4))
-                    ids = np.array(chunk_ids, np.int64)
-                    x = np.frombuffer(data).reshape(len(ids), -1)
-                    number = {u["unit"]: n for n, u in enumerate(units)}
-                    rows_of = np.zeros((len(units), len(ids)), np.float32)
-                    for n, u in enumerate(units):
-                        rows_of[n, u["places"]] = 1
-                    units_of = np.zeros((len(requests), len(units)), np.float32)
-                    for n, r in enumerate(requests):
-                        units_of[n, [number[u] for u in r["units"]]] = 1
-                    score = np.round(np.array([r["embedding"] for r in requests]) @ x.T, DIGITS) + 0.0
+                    requests, units = batch.column(0)[i].values, batch.column(1)[i].values
+                    ids = batch.column(2)[i].values.to_numpy()
+                    x = np.frombuffer(batch.column(3)[i].as_buffer()).reshape(len(ids), -1)
+                    rows_of = _members(units.field("places").flatten().to_numpy(), units.field("places"), len(ids))
+                    named = pc.index_in(requests.field("units").flatten(), value_set=units.field("unit")).to_numpy()
+                    units_of = _members(named, requests.field("units"), len(units))
+                    embeddings = requests.field("embedding").flatten().to_numpy().reshape(len(requests), -1)
+                    score = np.round(embeddings @ x.T, DIGITS) + 0.0
                     score[units_of @ rows_of == 0] = -np.inf
                     order = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids are sorted, so equal scores go by id
                     best = np.take_along_axis(score, order, 1)
                     row, col = np.nonzero(best > -np.inf)
-                    names = np.array([r["request_id"] for r in requests], np.int64)[row]
+                    names = requests.field("request_id").to_numpy()[row]
                     yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids[order[row, col]]), pa.array(best[row, col])], names=["request_id", "chunk_id", "score"])
 
         found = ready.select("requests", "units", "chunk_ids", "data").mapInArrow(run, "request_id long, chunk_id long, score double")

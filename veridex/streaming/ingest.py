@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.run import Tables
+from ..plans.shared import shared_folder
 
 DOCUMENTS = "doc_id long, text string"
 CHUNKS = "ingest_key string, doc_id long, chunk_index int, line string"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share; only a local session gets one of its own where none is set."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="veridex-checkpoint-"))
-        folder = sc.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in that folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def chunked(docs: DataFrame) -> DataFrame:
     """Chunks of documents, each under a key made of its id and text; equal rows fall in one."""
     text = F.coalesce("text", F.lit(""))
