@@ -50,6 +50,31 @@ def plain_limits(rows, per_ip, per_username, seconds):
     return out
 
 
+@pytest.mark.parametrize("piece", [1, 7, 40])
+def test_windows_across_pieces(spark, piece):
+    rng = random.Random(piece)
+    rows = [(i, rng.randrange(3000) // rng.choice([1, 1, 50]), "hot" if i % 3 else "rare", "n") for i in range(600)]
+    frame = spark.createDataFrame(rows, "attempt_id long, at long, ip string, username string").repartition(5)
+    for per_ip, per_name, seconds in ((3, 2, 40), (1, 5, 1), (10, 10, 5000)):
+        got = {r.attempt_id: (r.blocked_by, r.retry_after) for r in limits.rate_limit_windows(frame, per_ip, per_name, seconds, piece).collect()}
+        assert got == plain_limits(rows, per_ip, per_name, seconds)
+
+
+def test_steps_are_few(spark):
+    steps = limits.chains(sorted(random.Random(1).randrange(100_000) for _ in range(4000)), 700)
+    assert len(steps) < 200
+
+
+def test_a_batch_reads_its_own_part(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "chunks")
+    spark.createDataFrame([(i, f"text {i}") for i in range(300)], ingest.DOCUMENTS).write.parquet(source)
+    ingest.stream_ingest(spark, source, target, str(tmp_path / "one"))
+    parts = {p.name for p in (tmp_path / "chunks").glob("batch=*/prefix=*")}
+    assert len(parts) > 100 and all(len(p) == len("prefix=") + ingest.PREFIX for p in parts)
+    plan = ingest.stored_chunks(spark, target).where("prefix IN ('00', '0a')").select("ingest_key")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [prefix" in plan
+
+
 def test_rate_limit_windows(spark):
     rng = random.Random(4)
     rows = [(i, rng.randrange(2000), rng.choice(["x", "y", None]), rng.choice("abcdef")) for i in range(900)]

@@ -7,9 +7,6 @@ from .retrieval import SOURCE_STATE
 TURNS = f"""(SELECT conv_id, turn, question, text AS answer FROM (SELECT conv_id, turn, role, text, lag(role) OVER w AS before, lag(text) OVER w AS question FROM @conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) q WHERE role = 'assistant' AND before = 'user')"""
 BLOCKED = f"(SELECT DISTINCT conv_id, turn FROM ({SOURCE_STATE}) s WHERE NOT is_authorized)"
 
-#: Answers in the form that a generator returns, made from assistant turns.
-RAW_ANSWER = """(SELECT conv_id, turn, CASE (conv_id + turn) % 8 WHEN 0 THEN '{"refusal": true, "sentences": []}' WHEN 1 THEN '{"refusal": true, "sentences": [{"text": "x", "ids": "E1"}]}' WHEN 2 THEN '{"refusal": false, "sentences": []}' WHEN 3 THEN '{"refusal": false, "sentences": [{"text": "a", "ids": ""}]}'
-    WHEN 4 THEN '{"refusal": false, "sentences": [{"text": "a", "ids": "E2,E9"}]}' WHEN 5 THEN 'not json' ELSE '{"refusal": false, "sentences": [{"text": "a", "ids": "E2,E1,E2"}]}' END AS raw FROM @conversations WHERE role = 'assistant')"""
 
 OPERATORS = {
     "conversation_list": lambda d: "SELECT owner, conv_id, CAST(row_number() OVER (PARTITION BY owner ORDER BY pinned DESC, last_turn DESC, conv_id DESC) AS BIGINT) AS place FROM (SELECT conv_id % 20 AS owner, conv_id, conv_id % 7 = 0 AS pinned, max(turn) AS last_turn FROM @conversations WHERE conv_id % 13 <> 4 GROUP BY conv_id) q",
@@ -19,9 +16,6 @@ OPERATORS = {
     "history_visibility": lambda d: f"SELECT v.conv_id, v.turn, v.role, b.conv_id IS NULL AS visible, CASE WHEN b.conv_id IS NULL THEN v.text END AS text FROM @conversations v LEFT JOIN {BLOCKED} b ON b.conv_id = v.conv_id AND b.turn = v.turn AND v.role = 'assistant'",
     "history_window": lambda d: f"SELECT conv_id, turn, CASE WHEN blocked THEN 'unauthorized' WHEN place > 3 THEN 'outside_window' ELSE 'eligible' END AS reason FROM (SELECT t.conv_id, t.turn, b.conv_id IS NOT NULL AS blocked, row_number() OVER (PARTITION BY t.conv_id, b.conv_id IS NULL ORDER BY t.turn DESC) AS place FROM {TURNS} t LEFT JOIN {BLOCKED} b ON b.conv_id = t.conv_id AND b.turn = t.turn) q",
     "rewrite_window": lambda d: f"SELECT conv_id, {d.joined('concat(CAST(place AS STRING), chr(46), chr(32), question)', 'place', ' / ')} AS prompt FROM (SELECT conv_id, question, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM (SELECT t.conv_id, t.turn, t.question, row_number() OVER (PARTITION BY t.conv_id ORDER BY t.turn DESC) AS back FROM {TURNS} t WHERE NOT EXISTS (SELECT 1 FROM {BLOCKED} b WHERE b.conv_id = t.conv_id AND b.turn = t.turn)) q WHERE back <= 3) r GROUP BY conv_id",
-    "answer_validate": lambda d: f"""SELECT conv_id, turn, CASE WHEN NOT {d.matches("raw", "^[{].*[}]$")} THEN 'BAD_JSON' WHEN refused AND n > 0 THEN 'REFUSAL_WITH_SENTENCES' WHEN refused THEN 'REFUSED' WHEN n = 0 THEN 'NO_SENTENCES' WHEN ids = '' THEN 'NO_CITATIONS' WHEN {d.matches("ids", "E([4-9]|[1-9][0-9])")} THEN 'UNKNOWN_ID' WHEN n > 64 THEN 'TOO_MANY' ELSE 'OK' END AS verdict
-        FROM (SELECT conv_id, turn, raw, contains(raw, '"refusal": true') AS refused, {d.size(d.all_matches("raw", '"text":'))} AS n, {d.first_match("raw", '"ids": "([^"]*)"', 1)} AS ids FROM {RAW_ANSWER} a) q""",
-    "citation_ids": lambda d: f"SELECT conv_id, turn, id, substr(id, 2) AS label, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY first_place) AS BIGINT) AS place FROM (SELECT conv_id, turn, id, min(p) AS first_place FROM {d.each('(SELECT conv_id, turn, ' + d.first_match('raw', chr(34) + 'ids' + chr(34) + ': ' + chr(34) + '([^' + chr(34) + ']*)' + chr(34), 1) + ' AS ids FROM ' + RAW_ANSWER + ' a)', d.split('ids', ','), 'p', 'id')} q WHERE id <> '' GROUP BY conv_id, turn, id) r",
     "citation_markers": lambda d: f"SELECT conv_id, turn, place, CAST({d.first_match('m', '[0-9]+')} AS BIGINT) AS number FROM {d.each('''(SELECT conv_id, turn, concat(text, ' [', CAST(turn + 1 AS STRING), '] and [7](x) [12] [3]: [1234]') AS t FROM @conversations WHERE role = 'assistant')''', d.all_matches('translate(t, chr(91) || chr(93), chr(60) || chr(62))', '<[0-9]{1,3}>([^(<:]|$)'), 'place', 'm')} q",
     "citation_draft": lambda d: f"SELECT conv_id, turn, label, chunk_id, substr(line, 1, 500) AS quote, {d.sha('line')} AS quote_hash FROM @citation",
     "citation_view": lambda d: "SELECT c.conv_id, c.turn, c.label, c.chunk_id, x.document_id, v.version_no, coalesce(CASE WHEN x.document_id % 17 <> 2 THEN x.active_version_id END = c.version_id, false) AS is_current_version FROM @citation c JOIN @document_version v ON v.version_id = c.version_id JOIN @document x ON x.document_id = v.document_id",

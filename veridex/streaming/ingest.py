@@ -10,6 +10,8 @@ from ..plans.shared import shared_folder
 
 DOCUMENTS = "doc_id long, text string"
 CHUNKS = "ingest_key string, doc_id long, chunk_index int, line string"
+#: Hex digits of a key that name the part of the table where it is looked for.
+PREFIX = 2
 
 
 def chunked(docs: DataFrame) -> DataFrame:
@@ -24,13 +26,18 @@ def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str
     """Reads the documents that source has and the checkpoint doesn't, and appends chunks of those that target lacks.
 
     A batch that is done again replaces its own folder, and keys of other folders are passed over, so a replay, even with a
-    new checkpoint, adds nothing. The table of chunks is the state; none is kept in the stream. Null texts give no chunk."""
+    new checkpoint, adds nothing. The table of chunks is the state; none is kept in the stream. It is filed by the first digits of
+    the key, and a batch reads the keys of its own digits only, so a small batch opens few files of a large table. Null texts give
+    no chunk."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         own = f"{checkpoint.rstrip('/').rsplit('/', 1)[-1]}-{batch_id}"
-        known = stored_chunks(session, target).where(F.col("batch") != own).select("ingest_key").distinct()
-        chunked(batch).join(known, "ingest_key", "left_anti").write.mode("overwrite").parquet(f"{target}/batch={own}")
+        chunks = chunked(batch).withColumn("prefix", F.substring("ingest_key", 1, PREFIX))
+        mine = [r.prefix for r in chunks.select("prefix").distinct().collect()]  # at most 16 ** PREFIX
+        known = stored_chunks(session, target).where(F.col("prefix").isin(mine) & (F.col("batch") != own)).select("ingest_key").distinct()
+        fresh = chunks.join(known, "ingest_key", "left_anti")
+        fresh.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(f"{target}/batch={own}")
 
     docs = spark.readStream.schema(DOCUMENTS).parquet(source)
     docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -40,7 +47,7 @@ def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str
 def stored_chunks(spark: SparkSession, target: str) -> DataFrame:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-    return spark.read.schema(f"{CHUNKS}, batch string").parquet(target)
+    return spark.read.schema(f"{CHUNKS}, batch string, prefix string").parquet(target)
 
 
 def snapshot_write(chunks: DataFrame, embeddings: DataFrame, generations: DataFrame, path: str, buckets: int = 64) -> DataFrame:
