@@ -37,9 +37,6 @@ OPERATORS = {
     "docker_size_parse": lambda d: f"""WITH t AS (SELECT event_id, concat(CAST(round(abs(value), 2) AS STRING), CASE event_id % 8 WHEN 0 THEN 'B' WHEN 1 THEN 'kB' WHEN 2 THEN 'MB' WHEN 3 THEN 'GB' WHEN 4 THEN 'KiB' WHEN 5 THEN 'MiB' WHEN 6 THEN 'GiB' ELSE 'XB' END) AS size FROM @events),
         p AS (SELECT event_id, try_cast({d.first_match("size", "^([0-9]+([.][0-9]+)?)[A-Za-z]+$", 1)} AS DECIMAL(12, 2)) AS n, {d.first_match("size", "([A-Za-z]+)$", 1)} AS unit FROM t)
         SELECT event_id, CAST(floor(n * CASE unit WHEN 'B' THEN 1 WHEN 'kB' THEN 1000 WHEN 'MB' THEN 1000000 WHEN 'GB' THEN 1000000000 WHEN 'KiB' THEN 1024 WHEN 'MiB' THEN 1048576 WHEN 'GiB' THEN 1073741824 END) AS BIGINT) AS bytes FROM p""",
-    "typed_locator": lambda d: f"""WITH l AS (SELECT event_id, concat('{{"sourceType": "', CASE WHEN event_id % 2 = 0 THEN 'markdown' ELSE 'pdf' END, '", "startLine": ', CAST(event_id % 5 AS STRING), ', "endLine": ', CAST(event_id % 7 AS STRING), ', "page": ', CAST(event_id % 3 AS STRING), '}}') AS j FROM @events),
-        p AS (SELECT event_id, {d.json("j", "sourceType")} AS kind, CAST({d.json("j", "startLine")} AS BIGINT) AS a, CAST({d.json("j", "endLine")} AS BIGINT) AS b, CAST({d.json("j", "page")} AS BIGINT) AS page FROM l)
-        SELECT event_id, kind, CASE WHEN kind = 'markdown' THEN a END AS start_line, CASE WHEN kind = 'markdown' THEN b END AS end_line, CASE WHEN kind = 'pdf' THEN page END AS page, CASE WHEN kind = 'markdown' AND (a < 1 OR b < a) THEN 'BAD_LINES' WHEN kind = 'pdf' AND page < 1 THEN 'BAD_PAGE' ELSE 'OK' END AS reason FROM p""",
     "document_list": lambda d: "SELECT m.user_id, x.document_id, x.title, CAST(row_number() OVER (PARTITION BY m.user_id ORDER BY x.active_version_id DESC, x.document_id DESC) AS BIGINT) AS place FROM @document x JOIN @kb_member m ON m.kb_id = x.kb_id AND NOT m.revoked WHERE NOT x.deleted AND (x.acl_mode = 'INHERIT' OR EXISTS (SELECT 1 FROM @document_acl a WHERE a.document_id = x.document_id AND a.user_id = m.user_id))",
     "document_view": lambda d: """WITH latest AS (SELECT document_id, max_by(version_id, version_no) AS latest_version, max(version_no) AS version_no FROM @document_version GROUP BY document_id), job AS (SELECT version_id, max(job_id) AS job_id FROM @ingest_job GROUP BY version_id)
         SELECT x.document_id, x.active_version_id, a.status AS active_status, l.latest_version, l.version_no, j.job_id FROM @document x LEFT JOIN @document_version a ON a.version_id = x.active_version_id LEFT JOIN latest l ON l.document_id = x.document_id LEFT JOIN job j ON j.version_id = l.latest_version""",
