@@ -71,19 +71,22 @@ DERIVED["ranked"] = lambda d: f"""WITH keyword_top AS ({KEYWORD_TOP}), fused AS
     coalesce(1.0E0 / ({CONSTANT} + v.rank), 0.0E0) + coalesce(1.0E0 / ({CONSTANT} + k.rank), 0.0E0) AS score FROM @vector_top v FULL OUTER JOIN keyword_top k ON v.request_id = k.request_id AND v.chunk_id = k.chunk_id)
     SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, chunk_id) AS BIGINT) AS fusion_rank FROM fused) f WHERE fusion_rank <= {FUSED}"""
 
+#: The same, worked out once where several steps read it.
+DERIVED["ranked_kept"] = lambda d: "SELECT * FROM @ranked"
+
 RERANKED = 10
 
 
 def rerank(scores: str) -> str:
     """The top of a request in the order of outside scores, if there is one for each of its members and no other; else nothing moves."""
     return f"""given AS (SELECT request_id AS scored_request, chunk_id AS scored_chunk, max(score) AS outside, count(*) AS k FROM {scores} o GROUP BY request_id, chunk_id),
-    scored AS (SELECT r.*, coalesce(r.request_id, g.scored_request) AS of_request, g.outside, g.k FROM @ranked r FULL OUTER JOIN given g ON g.scored_request = r.request_id AND g.scored_chunk = r.chunk_id),
+    scored AS (SELECT r.*, coalesce(r.request_id, g.scored_request) AS of_request, g.outside, g.k FROM @ranked_kept r FULL OUTER JOIN given g ON g.scored_request = r.request_id AND g.scored_chunk = r.chunk_id),
     checked AS (SELECT *, bool_and(CASE WHEN chunk_id IS NULL THEN false WHEN fusion_rank <= {RERANKED} THEN coalesce(k, 0) = 1 AND outside IS NOT NULL ELSE k IS NULL END) OVER (PARTITION BY of_request) AS ok FROM scored),
     reranked AS (SELECT *, NOT ok AS rerank_unavailable, CASE WHEN ok AND fusion_rank <= {RERANKED} THEN CAST(row_number() OVER (PARTITION BY of_request, fusion_rank <= {RERANKED} ORDER BY outside DESC, chunk_id) AS BIGINT) ELSE fusion_rank END AS final_rank FROM checked WHERE chunk_id IS NOT NULL)"""
 
 
 #: Stands for a model's scores of the fused top, of which some are missing, doubled or foreign.
-SCORES = f"""(SELECT r.request_id, r.chunk_id, (r.chunk_id * 7919) % 101 AS score FROM @ranked r JOIN @nation t ON t.n_nationkey < 2
+SCORES = f"""(SELECT r.request_id, r.chunk_id, (r.chunk_id * 7919) % 101 AS score FROM @ranked_kept r JOIN @nation t ON t.n_nationkey < 2
     WHERE t.n_nationkey = 0 AND r.fusion_rank <= {RERANKED} AND NOT (r.request_id % 6 = 0 AND r.fusion_rank = 3) OR t.n_nationkey = 1 AND r.request_id % 7 = 0 AND r.fusion_rank IN (2, {RERANKED + 1}))"""
 
 CITED = "(SELECT DISTINCT user_id, conv_id, turn, chunk_id, version_id, document_id FROM @citation)"
@@ -94,6 +97,35 @@ SOURCE_STATE = f"""SELECT c.user_id, c.conv_id, c.turn, c.chunk_id, m.user_id IS
     FROM {CITED} c JOIN @document x ON x.document_id = c.document_id JOIN @knowledge_base k ON k.kb_id = x.kb_id LEFT JOIN @user_account u ON u.user_id = c.user_id
     LEFT JOIN @kb_member m ON m.user_id = c.user_id AND m.kb_id = x.kb_id LEFT JOIN @document_acl a ON a.document_id = x.document_id AND a.user_id = c.user_id"""
 
+#: Cited chunks of an answer in their order, with what a reader needs; one that its user may not read any more is stale. Only these few
+#: chunks meet the authorization.
+EVIDENCE = f"""WITH asked AS (SELECT conv_id, turn, user_id, chunk_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, chunk_id) AS BIGINT) AS place FROM {CITED} c),
+    open_ AS (SELECT q.conv_id, q.turn, q.chunk_id, r.document_id, c.version_id, c.line_no, x.title FROM asked q JOIN @indexed_chunk c ON c.chunk_id = q.chunk_id JOIN ({READY_GENERATION}) r ON r.generation_id = c.generation_id AND r.profile_id = c.profile_id
+        JOIN @document x ON x.document_id = r.document_id JOIN @knowledge_base k ON k.kb_id = r.kb_id JOIN @kb_member m ON m.kb_id = r.kb_id AND m.user_id = q.user_id AND NOT m.revoked JOIN @user_account u ON u.user_id = q.user_id AND u.organization_id = k.organization_id WHERE {MAY_READ})
+    SELECT a.conv_id, a.turn, a.place, a.chunk_id, o.document_id, v.version_no, o.title, o.line_no, t.line AS text, o.chunk_id IS NULL AS stale FROM asked a LEFT JOIN open_ o ON o.conv_id = a.conv_id AND o.turn = a.turn AND o.chunk_id = a.chunk_id
+    LEFT JOIN @document_version v ON v.version_id = o.version_id LEFT JOIN @chunk t ON t.chunk_id = o.chunk_id"""
+EVIDENCE_PLAIN = f"""SELECT q.conv_id, q.turn, (SELECT count(*) FROM {CITED} b WHERE b.conv_id = q.conv_id AND (b.turn, b.chunk_id) <= (q.turn, q.chunk_id)) AS place, q.chunk_id, a.document_id, v.version_no, x.title, t.line_no, a.line AS text, a.chunk_id IS NULL AS stale
+    FROM {CITED} q LEFT JOIN ({AUTHORIZED}) a ON a.user_id = q.user_id AND a.chunk_id = q.chunk_id LEFT JOIN @document_version v ON v.version_id = a.version_id LEFT JOIN @document x ON x.document_id = a.document_id LEFT JOIN @chunk t ON t.chunk_id = a.chunk_id"""
+
+#: Evidence of a request: its best candidates, so many in all and of a document.
+MOST_EVIDENCE, MOST_OF_DOCUMENT = 6, 3
+#: Chunks before and after the evidence, in its order, that the asker may read and that aren't found already; evidence of a document that
+#: has all it may have brings none.
+ADJACENT = f"""WITH capped AS (SELECT r.request_id, r.chunk_id, r.fusion_rank, c.document_id, c.generation_id, c.chunk_index, row_number() OVER (PARTITION BY r.request_id, c.document_id ORDER BY r.fusion_rank) AS of_document FROM @ranked_kept r JOIN @indexed_chunk c ON c.chunk_id = r.chunk_id),
+    picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY fusion_rank) AS place FROM capped WHERE of_document <= {MOST_OF_DOCUMENT}) p WHERE place <= {MOST_EVIDENCE}),
+    seed AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY request_id, document_id) AS held FROM picked) p WHERE held < {MOST_OF_DOCUMENT}),
+    near AS (SELECT request_id, generation_id, place, step, chunk_index + step AS chunk_index FROM seed LATERAL VIEW explode(array(-1, 1)) x AS step),
+    found AS (SELECT n.request_id, c.chunk_id, n.place, n.step, row_number() OVER (PARTITION BY n.request_id, c.chunk_id ORDER BY n.place, n.step) AS again FROM near n JOIN @indexed_chunk c ON c.generation_id = n.generation_id AND c.chunk_index = n.chunk_index
+        JOIN @search_request q ON q.request_id = n.request_id JOIN ({READY_GENERATION}) r ON r.generation_id = c.generation_id AND r.profile_id = c.profile_id JOIN @knowledge_base k ON k.kb_id = r.kb_id JOIN @kb_member m ON m.kb_id = r.kb_id AND m.user_id = q.user_id AND NOT m.revoked
+        JOIN @user_account u ON u.user_id = q.user_id AND u.organization_id = k.organization_id WHERE {MAY_READ} AND NOT EXISTS (SELECT 1 FROM @ranked_kept x WHERE x.request_id = n.request_id AND x.chunk_id = c.chunk_id))
+    SELECT request_id, chunk_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY place, step) AS BIGINT) AS place FROM found WHERE again = 1"""
+ADJACENT_PLAIN = f"""WITH allowed AS MATERIALIZED ({AUTHORIZED}), hit AS (SELECT r.request_id, q.user_id, r.chunk_id, r.fusion_rank, c.document_id, c.version_id, c.chunk_index FROM @ranked_kept r JOIN @chunk c ON c.chunk_id = r.chunk_id JOIN @search_request q ON q.request_id = r.request_id),
+    fits AS (SELECT * FROM hit h WHERE (SELECT count(*) FROM hit o WHERE o.request_id = h.request_id AND o.document_id = h.document_id AND o.fusion_rank < h.fusion_rank) < {MOST_OF_DOCUMENT}),
+    picked AS (SELECT * FROM fits f WHERE (SELECT count(*) FROM fits o WHERE o.request_id = f.request_id AND o.fusion_rank < f.fusion_rank) < {MOST_EVIDENCE}),
+    pair AS (SELECT p.request_id, a.chunk_id, min(p.fusion_rank * 2 + CASE WHEN a.chunk_index > p.chunk_index THEN 1 ELSE 0 END) AS turn FROM picked p JOIN allowed a ON a.user_id = p.user_id AND a.version_id = p.version_id AND abs(a.chunk_index - p.chunk_index) = 1
+        WHERE (SELECT count(*) FROM picked o WHERE o.request_id = p.request_id AND o.document_id = p.document_id) < {MOST_OF_DOCUMENT} AND (p.request_id, a.chunk_id) NOT IN (SELECT request_id, chunk_id FROM hit) GROUP BY p.request_id, a.chunk_id)
+    SELECT request_id, chunk_id, row_number() OVER (PARTITION BY request_id ORDER BY turn) AS place FROM pair"""
+
 DESIRED = "SELECT k.kb_id, u.user_id, CASE (u.user_id + 2 * k.kb_id) % 3 WHEN 0 THEN 'OWNER' WHEN 1 THEN 'EDITOR' ELSE 'READER' END AS role FROM @knowledge_base k JOIN @user_account u ON (u.user_id + k.kb_id) % 3 <> 1 AND (u.organization_id = k.organization_id OR (u.user_id + k.kb_id) % 11 = 0)"
 
 OPERATORS = {
@@ -109,12 +141,8 @@ OPERATORS = {
             AND (x.acl_mode <> 'RESTRICTED' OR (x.document_id, u.user_id) IN (SELECT document_id, user_id FROM @document_acl))""",
     ),
     "acl_filter": lambda d: "SELECT x.document_id, u.user_id FROM @document x JOIN @knowledge_base k ON k.kb_id = x.kb_id JOIN @user_account u ON u.organization_id = k.organization_id WHERE NOT x.deleted AND (x.acl_mode = 'INHERIT' OR EXISTS (SELECT 1 FROM @document_acl a WHERE a.document_id = x.document_id AND a.user_id = u.user_id))",
-    "evidence_fetch": lambda d: f"""WITH asked AS (SELECT c.conv_id, c.turn, c.user_id, c.chunk_id FROM {CITED} c), got AS (SELECT q.conv_id, q.turn, q.chunk_id, a.document_id, a.chunk_index FROM asked q LEFT JOIN ({AUTHORIZED}) a ON a.user_id = q.user_id AND a.chunk_id = q.chunk_id)
-        SELECT g.conv_id, g.turn, g.chunk_id, g.document_id, v.version_no, g.document_id IS NULL AS stale FROM got g LEFT JOIN @document_version v ON v.version_id = CASE WHEN g.document_id IS NOT NULL THEN CAST(floor(g.chunk_id / 1000) AS BIGINT) END""",
-    "adjacent_evidence": lambda d: f"""WITH allowed AS ({AUTHORIZED}), seed AS (SELECT user_id, chunk_id, version_id, chunk_index, row_number() OVER (PARTITION BY user_id ORDER BY chunk_id) AS place FROM allowed WHERE chunk_index % 9 = 4),
-        near AS (SELECT s.user_id, s.version_id, s.place, s.chunk_index + o.step AS chunk_index, o.step FROM seed s CROSS JOIN (SELECT n_nationkey * 2 - 1 AS step FROM @nation WHERE n_nationkey < 2) o WHERE s.place <= 6),
-        found AS (SELECT n.user_id, a.chunk_id, n.place, n.step, row_number() OVER (PARTITION BY n.user_id, a.chunk_id ORDER BY n.place, n.step) AS again FROM near n JOIN allowed a ON a.user_id = n.user_id AND a.version_id = n.version_id AND a.chunk_index = n.chunk_index)
-        SELECT f.user_id, f.chunk_id, CAST(row_number() OVER (PARTITION BY f.user_id ORDER BY f.place, f.step) AS BIGINT) AS place FROM found f WHERE again = 1 AND NOT EXISTS (SELECT 1 FROM seed s WHERE s.user_id = f.user_id AND s.chunk_id = f.chunk_id AND s.place <= 6)""",
+    "evidence_fetch": lambda d: d.plan(lambda _: EVIDENCE, lambda _: EVIDENCE_PLAIN),
+    "adjacent_evidence": lambda d: d.plan(lambda _: ADJACENT, lambda _: ADJACENT_PLAIN),
     "source_state": lambda d: SOURCE_STATE,
     "evidence_changed": lambda d: f"SELECT conv_id, turn, bool_or(NOT is_authorized OR NOT is_current) AS changed, count(*) AS expected FROM ({SOURCE_STATE}) s GROUP BY conv_id, turn",
     "accessible_kbs": lambda d: "SELECT u.user_id, m.kb_id, m.role FROM @user_account u JOIN @kb_member m ON m.user_id = u.user_id WHERE NOT m.revoked AND u.enabled AND CASE m.role WHEN 'READER' THEN 1 WHEN 'EDITOR' THEN 2 WHEN 'OWNER' THEN 3 ELSE 0 END >= 2",

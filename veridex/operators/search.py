@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.run import BUILT, Tables, apply
-from ..plans.shared import shared_folder
+from ..plans.shared import kept, shared_folder
 from .analysis import Segmenter, terms, words
 from .covers import cover_score
 from .postings import Postings
@@ -126,6 +126,7 @@ def canary_found(tables: Tables, index: SearchIndex) -> DataFrame:
 
 BUILT.update(
     {
+        "ranked_kept": lambda tables: kept(tables["ranked"]),
         "canary_found": lambda tables: canary_found(tables, stored_index(tables)),
         "chunk_terms": lambda tables: tables["chunk"].select("chunk_id", terms("line").alias("terms")),
         "query_term": lambda tables: tables["search_request"].select("request_id", F.explode(F.array_distinct(terms("text"))).alias("term")),
