@@ -126,7 +126,6 @@ ADJACENT_PLAIN = f"""WITH allowed AS MATERIALIZED ({AUTHORIZED}), hit AS (SELECT
         WHERE (SELECT count(*) FROM picked o WHERE o.request_id = p.request_id AND o.document_id = p.document_id) < {MOST_OF_DOCUMENT} AND (p.request_id, a.chunk_id) NOT IN (SELECT request_id, chunk_id FROM hit) GROUP BY p.request_id, a.chunk_id)
     SELECT request_id, chunk_id, row_number() OVER (PARTITION BY request_id ORDER BY turn) AS place FROM pair"""
 
-DESIRED = "SELECT k.kb_id, u.user_id, CASE (u.user_id + 2 * k.kb_id) % 3 WHEN 0 THEN 'OWNER' WHEN 1 THEN 'EDITOR' ELSE 'READER' END AS role FROM @knowledge_base k JOIN @user_account u ON (u.user_id + k.kb_id) % 3 <> 1 AND (u.organization_id = k.organization_id OR (u.user_id + k.kb_id) % 11 = 0)"
 
 OPERATORS = {
     "kb_scope": lambda d: "SELECT u.user_id, k.kb_id, m.role, k.profile_id, p.analyzer, p.dimension FROM @user_account u JOIN @kb_member m ON m.user_id = u.user_id AND NOT m.revoked JOIN @knowledge_base k ON k.kb_id = m.kb_id AND k.organization_id = u.organization_id LEFT JOIN @index_profile p ON p.profile_id = k.profile_id",
@@ -147,15 +146,15 @@ OPERATORS = {
     "evidence_changed": lambda d: f"SELECT conv_id, turn, bool_or(NOT is_authorized OR NOT is_current) AS changed, count(*) AS expected FROM ({SOURCE_STATE}) s GROUP BY conv_id, turn",
     "accessible_kbs": lambda d: "SELECT u.user_id, m.kb_id, m.role FROM @user_account u JOIN @kb_member m ON m.user_id = u.user_id WHERE NOT m.revoked AND u.enabled AND CASE m.role WHEN 'READER' THEN 1 WHEN 'EDITOR' THEN 2 WHEN 'OWNER' THEN 3 ELSE 0 END >= 2",
     "valid_members": lambda d: "SELECT m.kb_id, u.user_id, u.username, m.role FROM @kb_member m JOIN @knowledge_base k ON k.kb_id = m.kb_id JOIN @user_account u ON u.user_id = m.user_id AND u.organization_id = k.organization_id WHERE NOT m.revoked ORDER BY m.kb_id, u.username",
-    "member_replacement_diff": lambda d: f"""WITH desired AS ({DESIRED}), both_ AS (SELECT coalesce(w.kb_id, m.kb_id) AS kb_id, coalesce(w.user_id, m.user_id) AS user_id, w.role AS new_role, m.role AS old_role, m.revoked FROM desired w FULL OUTER JOIN @kb_member m ON m.kb_id = w.kb_id AND m.user_id = w.user_id),
+    "member_replacement_diff": lambda d: f"""WITH both_ AS (SELECT coalesce(w.kb_id, m.kb_id) AS kb_id, coalesce(w.user_id, m.user_id) AS user_id, w.role AS new_role, m.role AS old_role, m.revoked FROM @desired_member w FULL OUTER JOIN @kb_member m ON m.kb_id = w.kb_id AND m.user_id = w.user_id),
         change AS (SELECT b.*, u.enabled, u.organization_id = k.organization_id AS local, CASE WHEN new_role IS NULL AND revoked THEN NULL WHEN new_role IS NULL THEN 'REVOKE' WHEN old_role IS NULL THEN 'ADD' WHEN revoked THEN 'REACTIVATE' WHEN old_role <> new_role THEN 'CHANGE_ROLE' ELSE 'KEEP' END AS action
             FROM both_ b JOIN @user_account u ON u.user_id = b.user_id JOIN @knowledge_base k ON k.kb_id = b.kb_id),
         verdict AS (SELECT kb_id, CASE WHEN bool_or(new_role IS NOT NULL AND NOT local) THEN 'FOREIGN_USER' WHEN bool_or(new_role = 'OWNER' AND NOT enabled AND (old_role IS NULL OR old_role <> 'OWNER' OR revoked)) THEN 'DISABLED_OWNER'
             WHEN NOT bool_or(coalesce(new_role = 'OWNER' AND enabled, false)) THEN 'NO_OWNER' ELSE 'OK' END AS verdict, bool_or(action IN ('ADD', 'REACTIVATE', 'CHANGE_ROLE', 'REVOKE')) AS changed FROM change GROUP BY kb_id)
         SELECT c.kb_id, c.user_id, c.action, v.verdict, k.kb_revision + CASE WHEN v.verdict = 'OK' AND v.changed THEN 1 ELSE 0 END AS kb_revision FROM change c JOIN verdict v ON v.kb_id = c.kb_id JOIN @knowledge_base k ON k.kb_id = c.kb_id WHERE c.action IS NOT NULL""",
     "acl_invalid_members": lambda d: "SELECT a.document_id, a.user_id FROM @document_acl a EXCEPT (SELECT x.document_id, u.user_id FROM @document x JOIN @knowledge_base k ON k.kb_id = x.kb_id JOIN @user_account u ON u.organization_id = k.organization_id AND u.enabled JOIN @kb_member m ON m.kb_id = x.kb_id AND m.user_id = u.user_id AND NOT m.revoked)",
-    "acl_request_check": lambda d: "SELECT x.document_id, CASE WHEN x.acl_mode = 'INHERIT' AND count(a.user_id) > 0 THEN 'LIST_NOT_ALLOWED' WHEN count(a.user_id) <> count(DISTINCT a.user_id) THEN 'DUPLICATE_USER' ELSE 'OK' END AS verdict FROM @document x LEFT JOIN (SELECT document_id, user_id % 7 AS user_id FROM @document_acl UNION ALL SELECT document_id, document_id % 7 FROM @document WHERE document_id % 5 = 0) a ON a.document_id = x.document_id GROUP BY x.document_id, x.acl_mode",
-    "active_sessions_asof": lambda d: "SELECT e.event_id AS session_id, u.user_id FROM @events e JOIN @user_account u ON u.user_id = e.user_id % 20 WHERE e.event_type <> 'error' AND e.event_id % 7 <> 0 AND u.enabled AND e.event_id % 2 = u.organization_id AND CAST(e.ts AS DATE) <= DATE '2024-06-30'",
+    "acl_request_check": lambda d: "SELECT x.document_id, CASE WHEN x.acl_mode = 'INHERIT' AND count(a.user_id) > 0 THEN 'LIST_NOT_ALLOWED' WHEN count(a.user_id) <> count(DISTINCT a.user_id) THEN 'DUPLICATE_USER' ELSE 'OK' END AS verdict FROM @document x LEFT JOIN @acl_request a ON a.document_id = x.document_id GROUP BY x.document_id, x.acl_mode",
+    "active_sessions_asof": lambda d: "SELECT s.session_id, u.user_id FROM @auth_session s JOIN @user_account u ON u.user_id = s.user_id AND u.organization_id = s.organization_id CROSS JOIN @as_of t WHERE s.revoked_at IS NULL AND s.created_at <= t.at AND s.expires_at > t.at AND u.enabled",
     "keyword_tokenize": lambda d: f"SELECT chunk_id, term, place FROM {d.each('@chunk_terms', 'terms', 'place', 'term')} q",
     "keyword_postings": lambda d: "SELECT term, chunk_id, tf, positions FROM @posting",
     "keyword_and_match": lambda d: "SELECT request_id, chunk_id FROM @keyword_match",

@@ -45,6 +45,24 @@ DERIVED: dict[str, Callable] = {
         CASE WHEN event_type NOT IN ('error', 'signup') AND event_id % 5 <> 0 THEN CAST(floor(abs(value) * 10) AS BIGINT) END AS completion_tokens, CASE WHEN event_type NOT IN ('error', 'signup') THEN CAST(floor(abs(value) * 40) AS BIGINT) END AS hit_tokens,
         CASE WHEN event_type IN ('error', 'signup') AND event_id % 10 <> 0 THEN concat('E_', upper(event_type)) END AS error_code, ts FROM @events""",
     "markdown_text": lambda d: """SELECT doc_id, replace(replace(replace(replace(replace(text, '. Th', concat('.', chr(10), '# Th')), '. An', concat('.', chr(10), '## An')), '. On', concat('.', chr(10), '- On')), '. He', concat('.', chr(10), chr(10), '> He')), '. Re', concat('.', chr(10), '```', chr(10), 'Re')) AS text FROM @documents""",
+    "page_url": lambda d: """SELECT page_id, CASE page_id % 9 WHEN 1 THEN replace(url, 'https://', 'HTTPS://') WHEN 2 THEN concat(url, '#top') WHEN 3 THEN replace(url, '://', '://me@') WHEN 4 THEN 'ftp://h.example/x' WHEN 5 THEN 'https://H.Example:443' WHEN 6 THEN 'http://h.example:8080/a' ELSE url END AS url FROM @pages""",
+    "memory_report": lambda d: "SELECT event_id, concat(CAST(round(abs(value), 2) AS STRING), CASE event_id % 8 WHEN 0 THEN 'B' WHEN 1 THEN 'kB' WHEN 2 THEN 'MB' WHEN 3 THEN 'GB' WHEN 4 THEN 'KiB' WHEN 5 THEN 'MiB' WHEN 6 THEN 'GiB' ELSE 'XB' END) AS size FROM @events",
+    "content_request": lambda d: "SELECT m.user_id, x.document_id, CASE WHEN (x.document_id + m.user_id) % 4 = 0 THEN x.document_id * 2 END AS pinned_version FROM @document x JOIN @kb_member m ON m.kb_id = x.kb_id",
+    "upload_request": lambda d: """SELECT v.version_id, v.document_id, v.file_hash, concat(CAST(v.document_id % 2 AS STRING), ':', CAST(v.document_id % 5 AS STRING), ':k', CAST(v.version_id % 300 AS STRING)) AS raw_key, concat('t', CAST(v.version_id % 40 AS STRING)) AS title,
+        x.deleted, v.version_id % 4 = 0 AS web, concat('https://h', CAST(v.version_id % 60 AS STRING), '.example/a') AS url, concat('v', CAST(v.document_id % 3 AS STRING)) AS version_key, x.active_version_id AS expected_version, x.kb_id % 2 AS organization_id, x.kb_id FROM @document_version v JOIN @document x ON x.document_id = v.document_id
+        UNION ALL SELECT v.version_id + 1000000000, v.document_id, v.file_hash, concat('again:', CAST(v.version_id AS STRING)), concat('t', CAST(CASE WHEN v.version_id % 3 = 0 THEN v.version_id + 1 ELSE v.version_id END % 40 AS STRING)), x.deleted, false, '', concat('v', CAST(v.document_id % 3 AS STRING)), x.active_version_id + CASE WHEN v.version_id % 4 = 1 THEN 1 ELSE 0 END, x.kb_id % 2, x.kb_id FROM @document_version v JOIN @document x ON x.document_id = v.document_id WHERE v.version_id % 5 = 0""",
+    "version_key": lambda d: f"""SELECT version_id, CASE version_id % 4 WHEN 0 THEN concat('ver1:', CAST(document_id AS STRING), ':', file_hash, ':', CAST(expected_version AS STRING)) WHEN 1 THEN concat('ver1:', CAST(document_id AS STRING)) WHEN 2 THEN concat('ver2:', CAST(document_id AS STRING), ':', file_hash, ':7') ELSE concat('ver1:', CAST(document_id AS STRING), ':', file_hash, ':x') END AS key FROM @upload_request""",
+    "publish_attempt": lambda d: "SELECT j.job_id, j.version_id, j.lease_token, v.document_id, v.status AS version_status, x.active_version_id, x.deleted, CASE WHEN j.job_id % 3 = 0 THEN x.active_version_id WHEN j.job_id % 3 = 1 THEN x.active_version_id + 1 END AS expected, j.job_id % 11 = 0 AS lease_lost FROM @ingest_job j JOIN @document_version v ON v.version_id = j.version_id JOIN @document x ON x.document_id = v.document_id WHERE j.status = 'EMBEDDING'",
+    "stored_embedding": lambda d: "SELECT chunk_id, CASE WHEN vec_id % 97 = 3 THEN 9 ELSE profile_id END AS profile_id FROM @chunk_embedding WHERE vec_id % 50 <> 49",
+    "planned_generation": lambda d: "SELECT g.generation_id, g.profile_id, coalesce(c.n, 0) + CASE WHEN g.version_id % 21 = 4 THEN 1 ELSE 0 END AS expected_chunks FROM @index_generation g LEFT JOIN (SELECT generation_id, count(*) AS n FROM @chunk GROUP BY generation_id) c ON c.generation_id = g.generation_id",
+    "delete_request": lambda d: "SELECT document_id FROM @document WHERE document_id % 6 = 1",
+    "blob_manifest": lambda d: f"SELECT file_hash AS ref, {d.octets('text')} AS size FROM @document_version WHERE version_id % 31 <> 7",
+    "blob_found": lambda d: f"SELECT file_hash AS ref, min({d.octets('text')} + CASE WHEN version_id % 29 = 3 THEN 1 ELSE 0 END) AS size, min(CASE WHEN version_id % 37 = 5 THEN 'x' ELSE file_hash END) AS hash FROM @document_version WHERE version_id % 41 <> 11 GROUP BY file_hash",
+    "desired_member": lambda d: "SELECT k.kb_id, u.user_id, CASE (u.user_id + 2 * k.kb_id) % 3 WHEN 0 THEN 'OWNER' WHEN 1 THEN 'EDITOR' ELSE 'READER' END AS role FROM @knowledge_base k JOIN @user_account u ON (u.user_id + k.kb_id) % 3 <> 1 AND (u.organization_id = k.organization_id OR (u.user_id + k.kb_id) % 11 = 0)",
+    "acl_request": lambda d: "SELECT document_id, user_id % 7 AS user_id FROM @document_acl UNION ALL SELECT document_id, document_id % 7 FROM @document WHERE document_id % 5 = 0",
+    "auth_session": lambda d: f"""SELECT event_id AS session_id, user_id % 20 AS user_id, event_id % 2 AS organization_id, {d.days("ts", "0")} AS created_at, {d.days("ts", "event_id % 400")} AS expires_at, CASE WHEN event_id % 7 = 0 OR event_type = 'error' THEN {d.days("ts", "1")} END AS revoked_at FROM @events""",
+    "as_of": lambda d: f"SELECT {d.days('max(ts)', '0 - 1')} AS at FROM @events",
+    "chunk_budget": lambda d: "SELECT event_id, event_id % 600 - 5 AS target, event_id % 90 - 3 AS overlap, event_id % 7 * 100 AS most FROM @events",
     "upload": lambda d: """SELECT doc_id AS upload_id, CASE WHEN doc_id % 41 = 0 THEN concat(chr(9), '  ') WHEN doc_id % 43 = 1 THEN concat(substr(text, 1, 300), substr(text, 1, 300)) ELSE substr(text, 1, 40) END AS title,
         concat(CASE WHEN doc_id % 5 = 0 THEN concat('c:', chr(92), 'up', chr(92)) WHEN doc_id % 5 = 1 THEN 'a/' ELSE '' END, 'f', CAST(doc_id AS STRING), CASE doc_id % 7 WHEN 0 THEN '.md' WHEN 1 THEN '.Markdown' WHEN 2 THEN '.PDF' WHEN 3 THEN '.docx' WHEN 4 THEN '.md ' WHEN 5 THEN '.doc' ELSE '' END) AS filename,
         CASE WHEN doc_id % 53 = 9 THEN '' ELSE concat(text, CASE doc_id % 37 WHEN 3 THEN chr(11) WHEN 5 THEN chr(127) WHEN 7 THEN chr(12) WHEN 9 THEN chr(1) WHEN 11 THEN chr(9) WHEN 13 THEN chr(13) ELSE '' END) END AS content FROM @documents""",
