@@ -45,6 +45,10 @@ class Spark:
     def at(self, array: str, place: str) -> str:
         return f"get({array}, {place} - 1)"
 
+    def part(self, array: str, n: int) -> str:
+        """The first n members."""
+        return f"slice({array}, 1, {n})"
+
     def dot(self, a: str, b: str) -> str:
         return f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (s, x) -> s + x)"
 
@@ -108,6 +112,9 @@ class Duck(Spark):
     def at(self, array: str, place: str) -> str:
         return f"({array})[{place}]"
 
+    def part(self, array: str, n: int) -> str:
+        return f"({array})[1:{n}]"
+
     def dot(self, a: str, b: str) -> str:
         return f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 

@@ -127,6 +127,29 @@ ADJACENT_PLAIN = f"""WITH allowed AS MATERIALIZED ({AUTHORIZED}), hit AS (SELECT
     SELECT request_id, chunk_id, row_number() OVER (PARTITION BY request_id ORDER BY turn) AS place FROM pair"""
 
 
+DIMENSION = 64
+
+
+def sound(d, v: str) -> str:
+    """A vector that a cache may give out: of the profile's length, finite, of norm one."""
+    return f"coalesce({d.size(v)} = {DIMENSION} AND {d.dot(v, v)} < 1e300 AND abs(sqrt({d.dot(v, v)}) - 1) <= 0.001, false)"
+
+
+def cached(d) -> str:
+    """For each model input that generations in the making need: the newest vector of a ready generation of the same organization and
+    profile, whose document is alive. A vector that isn't sound is as good as none, even if an older one is."""
+    chain = "FROM @chunk_input c JOIN @index_generation g ON g.generation_id = c.generation_id JOIN @document x ON x.document_id = c.document_id JOIN @knowledge_base k ON k.kb_id = x.kb_id"
+    keys = "k.organization_id, g.profile_id, c.model_input_hash"
+    wanted = f"wanted AS (SELECT k.organization_id, g.profile_id, c.model_input_hash AS hash, count(*) AS fan_out {chain} WHERE g.status = 'BUILDING' GROUP BY {keys})"
+    newest = d.plan(
+        # the newest is kept while counting, so a hash that a third of all chunks have is no group of its own
+        lambda _: f"newest AS (SELECT k.organization_id, g.profile_id, c.model_input_hash AS hash, max_by(named_struct('chunk_id', c.chunk_id, 'v', e.embedding), named_struct('g', g.generation_id, 'c', -c.chunk_id)) AS n {chain} JOIN @cached_vector e ON e.chunk_id = c.chunk_id AND e.profile_id = g.profile_id WHERE g.status = 'READY' AND NOT x.deleted GROUP BY {keys}), found AS (SELECT organization_id, profile_id, hash, n.chunk_id, n.v FROM newest)",
+        lambda _: f"found AS (SELECT * FROM (SELECT k.organization_id, g.profile_id, c.model_input_hash AS hash, c.chunk_id, e.embedding AS v, row_number() OVER (PARTITION BY {keys} ORDER BY g.generation_id DESC, c.chunk_id) AS place {chain} JOIN @cached_vector e ON e.chunk_id = c.chunk_id AND e.profile_id = g.profile_id WHERE g.status = 'READY' AND NOT x.deleted) f WHERE place = 1)",
+    )
+    return f"""{wanted}, {newest}, looked_up AS (SELECT w.organization_id, w.profile_id, w.hash, w.fan_out, f.chunk_id, CASE WHEN f.chunk_id IS NULL THEN 'MISS' WHEN {sound(d, "f.v")} THEN 'HIT' ELSE 'MALFORMED' END AS state
+        FROM wanted w LEFT JOIN found f ON f.organization_id = w.organization_id AND f.profile_id = w.profile_id AND f.hash = w.hash)"""
+
+
 OPERATORS = {
     "kb_scope": lambda d: "SELECT u.user_id, k.kb_id, m.role, k.profile_id, p.analyzer, p.dimension FROM @user_account u JOIN @kb_member m ON m.user_id = u.user_id AND NOT m.revoked JOIN @knowledge_base k ON k.kb_id = m.kb_id AND k.organization_id = u.organization_id LEFT JOIN @index_profile p ON p.profile_id = k.profile_id",
     "scope_resolution": lambda d: SCOPE,
@@ -160,11 +183,11 @@ OPERATORS = {
     "keyword_and_match": lambda d: "SELECT request_id, chunk_id FROM @keyword_match",
     "keyword_topk": lambda d: f"SELECT request_id, chunk_id, score, rank FROM ({KEYWORD_TOP}) k",
     "cover_density_rank": lambda d: "SELECT request_id, chunk_id, covers, score FROM @keyword_score",
-    "vector_validate": lambda d: f"SELECT vec_id, CASE WHEN {d.size('embedding')} <> 64 THEN 'DIMENSION' WHEN NOT ({d.dot('embedding', 'embedding')} < 1e300) THEN 'NON_FINITE' WHEN {d.dot('embedding', 'embedding')} = 0 THEN 'ZERO' WHEN abs(sqrt({d.dot('embedding', 'embedding')}) - 1) > 0.001 THEN 'NORM' ELSE 'OK' END AS reason FROM @embeddings",
+    "vector_validate": lambda d: f"SELECT vec_id, CASE WHEN {d.size('embedding')} <> {DIMENSION} THEN 'DIMENSION' WHEN NOT ({d.dot('embedding', 'embedding')} < 1e300) THEN 'NON_FINITE' WHEN {d.dot('embedding', 'embedding')} = 0 THEN 'ZERO' WHEN abs(sqrt({d.dot('embedding', 'embedding')}) - 1) > 0.001 THEN 'NORM' ELSE 'OK' END AS reason FROM @embeddings",
     "l2_normalize": lambda d: f"SELECT vec_id, place, round(CAST(x AS DOUBLE) / norm, 6) + 0.0 AS x FROM {d.each('(SELECT vec_id, embedding, sqrt(' + d.dot('embedding', 'embedding') + ') AS norm FROM @embeddings)', 'embedding', 'place', 'x')} q",
     "vector_topk": lambda d: "SELECT request_id, chunk_id, score, rank FROM @vector_top",
-    "embedding_cache_lookup": lambda d: f"SELECT file_hash, version_id, vec_id FROM (SELECT v.file_hash, v.version_id, c.vec_id, row_number() OVER (PARTITION BY v.file_hash ORDER BY v.version_id DESC) AS newest FROM @document_version v JOIN @index_generation g ON g.version_id = v.version_id AND g.status = 'READY' JOIN @document x ON x.document_id = v.document_id AND NOT x.deleted JOIN @chunk_embedding c ON c.chunk_id = v.version_id * 1000) q WHERE newest = 1",
-    "encode_plan": lambda d: f"WITH h AS (SELECT {d.sha('line')} AS hash, count(*) AS fan_out, min(generation_id) AS first_generation FROM @chunk GROUP BY 1) SELECT h.hash, h.fan_out, CASE WHEN EXISTS (SELECT 1 FROM @chunk c WHERE c.generation_id % 2 = 0 AND {d.sha('c.line')} = h.hash) THEN 'HIT' ELSE 'MISS' END AS state FROM h",
+    "embedding_cache_lookup": lambda d: f"WITH {cached(d)} SELECT organization_id, profile_id, hash, chunk_id, state FROM looked_up",
+    "encode_plan": lambda d: f"WITH {cached(d)} SELECT organization_id, profile_id, hash, fan_out, CASE WHEN state = 'HIT' THEN 'HIT' ELSE 'MISS' END AS state FROM looked_up",
     "rrf_fusion": lambda d: "SELECT request_id, chunk_id, vector_rank, keyword_rank, round(score, 9) AS score, fusion_rank FROM @ranked",
     "rerank_apply": lambda d: f"WITH {rerank(SCORES)} SELECT request_id, chunk_id, fusion_rank, final_rank, rerank_unavailable FROM reranked",
     "hybrid_search": lambda d: "SELECT r.request_id, r.fusion_rank, r.chunk_id, r.vector_rank, r.keyword_rank, round(r.score, 9) AS fusion_score, c.document_id, c.line_no FROM @ranked r JOIN @indexed_chunk c ON c.chunk_id = r.chunk_id",

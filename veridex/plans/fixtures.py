@@ -45,6 +45,8 @@ DERIVED: dict[str, Callable] = {
         CASE WHEN event_type NOT IN ('error', 'signup') AND event_id % 5 <> 0 THEN CAST(floor(abs(value) * 10) AS BIGINT) END AS completion_tokens, CASE WHEN event_type NOT IN ('error', 'signup') THEN CAST(floor(abs(value) * 40) AS BIGINT) END AS hit_tokens,
         CASE WHEN event_type IN ('error', 'signup') AND event_id % 10 <> 0 THEN concat('E_', upper(event_type)) END AS error_code, ts FROM @events""",
     "markdown_text": lambda d: """SELECT doc_id, replace(replace(replace(replace(replace(text, '. Th', concat('.', chr(10), '# Th')), '. An', concat('.', chr(10), '## An')), '. On', concat('.', chr(10), '- On')), '. He', concat('.', chr(10), chr(10), '> He')), '. Re', concat('.', chr(10), '```', chr(10), 'Re')) AS text FROM @documents""",
+    "chunk_input": lambda d: f"SELECT c.chunk_id, c.generation_id, c.document_id, {d.sha('concat(x.title, chr(10), chr(10), c.line)')} AS model_input_hash FROM @chunk c JOIN @document x ON x.document_id = c.document_id UNION ALL SELECT c.chunk_id + 1000000000000, c.generation_id, c.document_id, {d.sha('c.line')} FROM @chunk c WHERE c.chunk_index % 3 = 0 UNION ALL SELECT c.chunk_id + 2000000000000, c.generation_id, c.document_id, {d.sha("'the same boilerplate'")} FROM @chunk c WHERE c.chunk_index % 2 = 0",
+    "cached_vector": lambda d: f"SELECT c.chunk_id + s.step AS chunk_id, c.profile_id, CASE WHEN c.chunk_id % 13 = 3 THEN {d.part('c.embedding', 10)} ELSE c.embedding END AS embedding FROM @chunk_embedding c CROSS JOIN (SELECT n_nationkey * 1000000000000 AS step FROM @nation WHERE n_nationkey < 3) s",
     "page_url": lambda d: """SELECT page_id, CASE page_id % 9 WHEN 1 THEN replace(url, 'https://', 'HTTPS://') WHEN 2 THEN concat(url, '#top') WHEN 3 THEN replace(url, '://', '://me@') WHEN 4 THEN 'ftp://h.example/x' WHEN 5 THEN 'https://H.Example:443' WHEN 6 THEN 'http://h.example:8080/a' ELSE url END AS url FROM @pages""",
     "memory_report": lambda d: "SELECT event_id, concat(CAST(round(abs(value), 2) AS STRING), CASE event_id % 8 WHEN 0 THEN 'B' WHEN 1 THEN 'kB' WHEN 2 THEN 'MB' WHEN 3 THEN 'GB' WHEN 4 THEN 'KiB' WHEN 5 THEN 'MiB' WHEN 6 THEN 'GiB' ELSE 'XB' END) AS size FROM @events",
     "content_request": lambda d: "SELECT m.user_id, x.document_id, CASE WHEN (x.document_id + m.user_id) % 4 = 0 THEN x.document_id * 2 END AS pinned_version FROM @document x JOIN @kb_member m ON m.kb_id = x.kb_id",
