@@ -76,13 +76,23 @@ OPERATORS = {
             WHEN keyword_rank IS NOT NULL OR fusion_rank IS NOT NULL OR fusion_score IS NOT NULL OR rerank_score IS NOT NULL THEN 'FOREIGN_FIELDS' WHEN rank <> vector_rank THEN 'RANK_DIFFERS' ELSE 'OK' END
         WHEN fusion_rank IS NULL OR fusion_score IS NULL THEN 'FUSION_FIELDS_MISSING' WHEN variant = 'B' AND rerank_score IS NOT NULL THEN 'RERANK_SCORE_FORBIDDEN' WHEN variant = 'B' AND rank <> fusion_rank THEN 'RANK_DIFFERS'
         WHEN variant = 'C' AND rerank_unavailable AND rerank_score IS NOT NULL THEN 'RERANK_SCORE_FORBIDDEN' WHEN variant = 'C' AND rerank_score IS NULL AND rank <> fusion_rank THEN 'RANK_DIFFERS' ELSE 'OK' END AS reason FROM @ablation_candidate""",
-    "ablation_triplet_check": lambda d: "WITH c AS (SELECT question_id, line_no, rank FROM @candidate WHERE variant = 'C' AND question_id % 3 <> 0 UNION ALL SELECT question_id, line_no, rank FROM @candidate WHERE variant = 'B' AND question_id % 3 = 0 AND NOT (question_id % 2 = 0 AND rank = 1)), b AS (SELECT question_id, line_no, rank FROM @candidate WHERE variant = 'B') SELECT question_id, count(*) AS differences FROM (SELECT coalesce(b.question_id, c.question_id) AS question_id FROM b FULL OUTER JOIN c ON b.question_id = c.question_id AND b.line_no = c.line_no AND b.rank = c.rank WHERE b.rank IS NULL OR c.rank IS NULL) q WHERE question_id % 3 = 0 GROUP BY question_id",
+    # the three runs must have the same questions in the same scopes and of the same set; where C fell back, its candidates are B's
+    "ablation_triplet_check": lambda d: d.plan(
+        lambda _: """WITH runs AS (SELECT question_id, count(DISTINCT variant) AS variants, count(*) AS n, count(DISTINCT scope_id) AS scopes, count(DISTINCT dataset_version) AS versions, bool_or(variant = 'C' AND fell_back) AS fell_back FROM @triplet_run GROUP BY question_id),
+        pair AS (SELECT coalesce(b.question_id, c.question_id) AS question_id, count_if(b.rank IS NULL OR c.rank IS NULL) AS differences FROM (SELECT question_id, document_id, line_no, rank FROM @triplet_candidate WHERE variant = 'B') b
+            FULL OUTER JOIN (SELECT question_id, document_id, line_no, rank FROM @triplet_candidate WHERE variant = 'C') c ON b.question_id = c.question_id AND b.document_id = c.document_id AND b.line_no = c.line_no AND b.rank = c.rank GROUP BY coalesce(b.question_id, c.question_id))
+        SELECT r.question_id, CASE WHEN r.variants < 3 THEN 'QUESTION_MISSING' WHEN r.n > 3 THEN 'QUESTION_TWICE' WHEN r.versions > 1 THEN 'DATASET_DIFFERS' WHEN r.scopes > 1 THEN 'SCOPE_DIFFERS' WHEN r.fell_back AND coalesce(p.differences, 0) > 0 THEN 'FALLBACK_DIFFERS' ELSE 'OK' END AS reason FROM runs r LEFT JOIN pair p ON p.question_id = r.question_id""",
+        lambda _: """WITH q AS (SELECT DISTINCT question_id FROM @triplet_run), k AS (SELECT question_id, variant, concat_ws('/', document_id, line_no, rank) AS c FROM @triplet_candidate)
+        SELECT question_id, CASE WHEN (SELECT list_sort(list(DISTINCT variant)) FROM @triplet_run r WHERE r.question_id = q.question_id) <> ['A', 'B', 'C'] THEN 'QUESTION_MISSING' WHEN EXISTS (SELECT 1 FROM @triplet_run r WHERE r.question_id = q.question_id GROUP BY variant HAVING count(*) > 1) THEN 'QUESTION_TWICE'
+            WHEN (SELECT min(dataset_version) <> max(dataset_version) FROM @triplet_run r WHERE r.question_id = q.question_id) THEN 'DATASET_DIFFERS' WHEN (SELECT min(scope_id) <> max(scope_id) FROM @triplet_run r WHERE r.question_id = q.question_id) THEN 'SCOPE_DIFFERS'
+            WHEN EXISTS (SELECT 1 FROM @triplet_run r WHERE r.question_id = q.question_id AND variant = 'C' AND fell_back) AND coalesce((SELECT list_sort(list(c)) FROM k WHERE k.question_id = q.question_id AND variant = 'B'), []) <> coalesce((SELECT list_sort(list(c)) FROM k WHERE k.question_id = q.question_id AND variant = 'C'), []) THEN 'FALLBACK_DIFFERS' ELSE 'OK' END AS reason FROM q""",
+    ),
     "probe_records": lambda d: "SELECT a.item_id AS question_id, CASE WHEN a.item_id % 5 = 4 THEN 'refuse' ELSE 'answer' END AS expected, coalesce(c.n, 0) AS candidates, c.top_line FROM @benchmark a LEFT JOIN (SELECT question_id, count(*) AS n, min_by(line_no, rank) AS top_line FROM @candidate WHERE variant = 'B' GROUP BY question_id) c ON c.question_id = a.item_id",
     # texts within one edit agree in their first or in their last half, of the shorter one's length
     "near_duplicates": lambda d: f"""WITH folded AS (SELECT id, split, trim({d.replaced("lower(text)", d.escaped("\\s+"), " ")}) AS t FROM @question_text), halves AS (SELECT id, split, t, CAST(length(t) AS INT) AS n, CAST(floor(length(t) / 2) AS INT) AS h FROM folded UNION SELECT id, split, t, CAST(length(t) AS INT), CAST(floor((length(t) - 1) / 2) AS INT) FROM folded WHERE t <> ''),
         keyed AS (SELECT id, split, t, n, h, 'first' AS side, substr(t, 1, h) AS half FROM halves UNION ALL SELECT id, split, t, n, h, 'last', substr(t, n - h + 1, h) FROM halves)
         SELECT DISTINCT a.id AS left_id, b.id AS right_id, CAST({d.edit_distance('a.t', 'b.t')} AS BIGINT) AS distance FROM keyed a JOIN keyed b ON a.side = b.side AND a.h = b.h AND a.half = b.half WHERE a.split = 0 AND b.split = 1 AND a.t <> '' AND b.t <> '' AND abs(a.n - b.n) <= 1 AND {d.edit_distance('a.t', 'b.t')} <= 1""",
-    "id_overlap": lambda d: "SELECT user_id AS id FROM @events WHERE event_type = 'error' INTERSECT SELECT user_id FROM @events WHERE event_type = 'purchase'",
+    "id_overlap": lambda d: d.plan(lambda _: "SELECT id FROM @split_question WHERE split = 0 INTERSECT SELECT id FROM @split_question WHERE split = 1", lambda _: "SELECT id FROM @split_question GROUP BY id HAVING count(DISTINCT split) = 2"),
     "split_matrix": lambda d: "SELECT coalesce(CAST(category AS STRING), 'all') AS category, coalesce(split, 'all') AS split, count(*) AS n, count(*) = 20 AS as_expected FROM (SELECT category, CASE WHEN question_id % 3 = 0 THEN 'holdout' ELSE 'dev' END AS split FROM @answer) q GROUP BY CUBE (category, split)",
     "tag_counts": lambda d: f"SELECT tag, count(*) AS n FROM {d.each('''(SELECT question_id, concat('t', CAST(category AS STRING), CASE WHEN question_id % 2 = 0 THEN ',even' ELSE '' END, CASE WHEN question_id % 7 = 0 THEN ',rare' ELSE '' END) AS tags FROM @answer)''', d.split('tags', ','), 'place', 'tag')} q GROUP BY tag",
     "question_consistency": lambda d: f"SELECT a.question_id, concat_ws(',', CASE WHEN a.expected = 'refuse' AND g.n > 0 THEN 'refuse_with_gold' END, CASE WHEN a.category = 1 AND g.docs > 1 THEN 'single_has_many' END, CASE WHEN a.category = 2 AND g.docs < 2 THEN 'cross_has_one' END, CASE WHEN a.category = 3 AND a.question_id % 2 = 0 THEN 'tag_without_field' END) AS violations FROM @answer a LEFT JOIN (SELECT question_id, count(*) AS n, count(DISTINCT document_id) AS docs FROM {GOLD} x GROUP BY question_id) g ON g.question_id = a.question_id",

@@ -47,6 +47,12 @@ DERIVED: dict[str, Callable] = {
     "markdown_text": lambda d: """SELECT doc_id, replace(replace(replace(replace(replace(text, '. Th', concat('.', chr(10), '# Th')), '. An', concat('.', chr(10), '## An')), '. On', concat('.', chr(10), '- On')), '. He', concat('.', chr(10), chr(10), '> He')), '. Re', concat('.', chr(10), '```', chr(10), 'Re')) AS text FROM @documents""",
     "chunk_input": lambda d: f"SELECT c.chunk_id, c.generation_id, c.document_id, {d.sha('concat(x.title, chr(10), chr(10), c.line)')} AS model_input_hash FROM @chunk c JOIN @document x ON x.document_id = c.document_id UNION ALL SELECT c.chunk_id + 1000000000000, c.generation_id, c.document_id, {d.sha('c.line')} FROM @chunk c WHERE c.chunk_index % 3 = 0 UNION ALL SELECT c.chunk_id + 2000000000000, c.generation_id, c.document_id, {d.sha("'the same boilerplate'")} FROM @chunk c WHERE c.chunk_index % 2 = 0",
     "cached_vector": lambda d: f"SELECT c.chunk_id + s.step AS chunk_id, c.profile_id, CASE WHEN c.chunk_id % 13 = 3 THEN {d.part('c.embedding', 10)} ELSE c.embedding END AS embedding FROM @chunk_embedding c CROSS JOIN (SELECT n_nationkey * 1000000000000 AS step FROM @nation WHERE n_nationkey < 3) s",
+    "source_page": lambda d: f"""SELECT doc_id, page, {d.joined("line", "place", " ")} AS text FROM (SELECT doc_id, CAST(floor(place / 3) AS BIGINT) + 1 AS page, place, CASE WHEN doc_id % 50 = 0 OR (doc_id + floor(place / 3)) % 6 = 1 THEN '  ' ELSE line END AS line FROM {d.each("@documents", d.lines("text"), "place", "line")} q) r GROUP BY doc_id, page""",
+    "table_cell": lambda d: f"""SELECT row_id, col, cell FROM {d.each("(SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(l_extendedprice AS STRING), '-', CAST(l_quantity AS STRING), '-', l_comment_) AS row_id, concat(CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE concat('p', CAST(l_partkey AS STRING)) END, '|', CASE WHEN l_orderkey % 4 = 0 THEN '  ' ELSE l_returnflag END, '|', CASE WHEN l_orderkey % 9 = 2 THEN '' ELSE l_linestatus END, '|', CASE WHEN l_orderkey % 2 = 0 THEN '' ELSE concat(' s', CAST(l_suppkey AS STRING), ' ') END) AS row FROM (SELECT *, CAST(l_shipdate AS STRING) AS l_comment_ FROM @lineitem) l)", d.split("row", "|"), "col", "cell")} q""",
+    "triplet_run": lambda d: """SELECT q.item_id AS question_id, v.variant, q.item_id % 3 + CASE WHEN q.item_id % 17 = 4 AND v.variant = 'B' THEN 1 ELSE 0 END AS scope_id, CASE WHEN q.item_id % 19 = 5 AND v.variant = 'A' THEN 'v0' ELSE 'v1' END AS dataset_version, v.variant = 'C' AND q.item_id % 3 = 0 AS fell_back
+        FROM @benchmark q CROSS JOIN (SELECT DISTINCT variant FROM @candidate) v WHERE NOT (q.item_id % 13 = 6 AND v.variant = 'C') UNION ALL SELECT item_id, 'A', item_id % 3, 'v1', false FROM @benchmark WHERE item_id % 11 = 7""",
+    "triplet_candidate": lambda d: "SELECT question_id, variant, document_id, line_no, rank FROM @candidate WHERE variant <> 'C' OR question_id % 3 <> 0 UNION ALL SELECT question_id, 'C', document_id, line_no, CASE WHEN question_id % 4 = 3 AND rank <= 2 THEN 3 - rank ELSE rank END FROM @candidate WHERE variant = 'B' AND question_id % 3 = 0",
+    "split_question": lambda d: "SELECT id, split FROM @question_text UNION ALL SELECT id, 1 - split FROM @question_text WHERE id % 9 = 0",
     "page_url": lambda d: """SELECT page_id, CASE page_id % 9 WHEN 1 THEN replace(url, 'https://', 'HTTPS://') WHEN 2 THEN concat(url, '#top') WHEN 3 THEN replace(url, '://', '://me@') WHEN 4 THEN 'ftp://h.example/x' WHEN 5 THEN 'https://H.Example:443' WHEN 6 THEN 'http://h.example:8080/a' ELSE url END AS url FROM @pages""",
     "memory_report": lambda d: "SELECT event_id, concat(CAST(round(abs(value), 2) AS STRING), CASE event_id % 8 WHEN 0 THEN 'B' WHEN 1 THEN 'kB' WHEN 2 THEN 'MB' WHEN 3 THEN 'GB' WHEN 4 THEN 'KiB' WHEN 5 THEN 'MiB' WHEN 6 THEN 'GiB' ELSE 'XB' END) AS size FROM @events",
     "content_request": lambda d: "SELECT m.user_id, x.document_id, CASE WHEN (x.document_id + m.user_id) % 4 = 0 THEN x.document_id * 2 END AS pinned_version FROM @document x JOIN @kb_member m ON m.kb_id = x.kb_id",
