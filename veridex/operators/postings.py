@@ -2,8 +2,8 @@
 
 A posting block holds one term and the chunks of one range of ids (BLOCK_IDS wide), so a term that is in every chunk is spread
 over many blocks and tasks, and two terms' blocks of one range meet by equal keys. A row has the block's counts first, which are
-all that choosing blocks needs, then the payload: chunk ids, how often the term stands in each, and its places, each as the step
-from the one before. Rows are filed by a hash of the term (shard) and sorted by term, so that a reader opens the shards of its
+all that choosing blocks needs, then the payload: chunk ids, how often the term stands in each, and its places, as steps from the
+one before. Rows are filed by a hash of the term (shard) and sorted by term, so that a reader opens the shards of its
 terms and skips the row groups of others. Each append is a folder of its own that never changes; the reader takes all of them."""
 
 from __future__ import annotations
@@ -44,60 +44,64 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(chunk, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=["term", "chunk_id", "places"])
 
 
-def _steps(values: Column, of: str | None = None, start: Column | None = None) -> Column:
-    """Each value less the one before; start is taken from the first."""
-    field = (lambda x: x[of]) if of else (lambda x: x)
-    return F.transform(values, lambda x, k: field(x) - F.when(k == 0, F.lit(0) if start is None else start).otherwise(field(F.get(values, k - 1))))
-
-
-def _sums(steps: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Running sums in each list of a column, laid end to end, and the lists' bounds."""
-    bounds = np.asarray(steps.offsets)
-    flat = np.asarray(steps.values)[bounds[0] : bounds[-1]].astype(np.int64)
-    bounds = bounds - bounds[0]
-    total = np.concatenate([[0], np.cumsum(flat)])
-    return total[1:] - np.repeat(total[bounds[:-1]], np.diff(bounds)), bounds
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block's payload as one run of 32-bit numbers: steps between chunk ids, how often the term stands in each, and steps
+    between its places."""
+    for batch in batches:
+        payload, most = [], []
+        for i, block in enumerate(batch.column(1).to_pylist()):
+            held = batch.column(2)[i].values
+            chunks, lists = held.field("chunk_id").to_numpy(), held.field("places")
+            bounds = np.asarray(lists.offsets)
+            places = np.asarray(lists.values)[bounds[0] : bounds[-1]]
+            starts = bounds[:-1] - bounds[0]
+            steps = np.diff(places, prepend=0)
+            steps[starts] = places[starts]
+            counts = np.diff(bounds)
+            most.append(int(counts.max()))
+            payload.append(np.concatenate([np.diff(chunks, prepend=block * BLOCK_IDS), counts, steps]).astype("<i4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(most, pa.int32()), pa.array(payload, pa.binary())], names=["term", "block", "n", "most", "payload"])
+
+
+def unpacked(block: int, n: int, payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunk ids in order, how many places each has, and all places."""
+    numbers = np.frombuffer(payload, "<i4")
+    counts, steps = numbers[n : 2 * n], numbers[2 * n :]
+    total = np.concatenate([[0], np.cumsum(steps)])
+    return block * BLOCK_IDS + np.cumsum(numbers[:n], dtype=np.int64), counts, total[1:] - np.repeat(total[np.cumsum(counts) - counts], counts)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        term, block, chunk_steps, counts, place_steps = (batch.column(k) for k in range(5))
-        chunks, bounds = _sums(chunk_steps)
-        of = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-        chunks = chunks + np.asarray(block)[of] * BLOCK_IDS
-        n = np.asarray(counts.values)[counts.offsets[0].as_py() : counts.offsets[-1].as_py()]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        flat = np.asarray(place_steps.values)[place_steps.offsets[0].as_py() : place_steps.offsets[-1].as_py()]
-        places, _ = _sums(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())))
-        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
-        yield pa.RecordBatch.from_arrays([term.take(pa.array(of)), pa.array(chunks, pa.int64()), block.take(pa.array(of)), listed], names=["term", "chunk_id", "block", "places"])
+        found = [unpacked(*row) for row in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+        if not found:
+            continue
+        of = pa.array(np.repeat(np.arange(batch.num_rows), [len(c) for c, _, _ in found]))
+        chunks, counts, places = (np.concatenate(x) for x in zip(*found, strict=True))
+        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(places, pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(chunks, pa.int64()), batch.column(1).take(of), listed], names=["term", "chunk_id", "block", "places"])
 
 
 class Posted:
     """The postings of one range of ids, a term's decoded when it is first asked for: sorted chunk ids, and where their places lie."""
 
     def __init__(self, block: int, rows: pa.StructArray):
-        self.start = block * BLOCK_IDS
+        self.block = block
         self.rows: dict[str, list[int]] = {}
         for k, term in enumerate(rows.field("term").to_pylist()):
             self.rows.setdefault(term, []).append(k)
-        self.chunk_steps, self.counts, self.place_steps = rows.field("chunk_steps"), rows.field("counts"), rows.field("place_steps")
+        self.n, self.payload = rows.field("n"), rows.field("payload")
         self.done: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def of(self, term: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Chunk ids in order, and for each the bounds of its places in the third array."""
         if term not in self.done:
-            chunks, counts, places = [], [], []
-            for k in self.rows[term]:  # one for each append
-                chunks.append(self.start + np.cumsum(self.chunk_steps[k].values.to_numpy()))
-                n = self.counts[k].values.to_numpy()
-                total = np.concatenate([[0], np.cumsum(self.place_steps[k].values.to_numpy())])
-                places.append(total[1:] - np.repeat(total[np.cumsum(n) - n], n))
-                counts.append(n)
-            order = np.argsort(all_chunks := np.concatenate(chunks), kind="stable")
-            n = np.concatenate(counts)
-            ends = np.cumsum(n)
-            self.done[term] = all_chunks[order], np.stack([ends - n, ends])[:, order], np.concatenate(places)
+            # one row for each append
+            found = [unpacked(self.block, self.n[k].as_py(), self.payload[k].as_buffer()) for k in self.rows[term]]
+            chunks, counts, places = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(chunks, kind="stable")
+            ends = np.cumsum(counts)
+            self.done[term] = chunks[order], np.stack([ends - counts, ends])[:, order], places
         return self.done[term]
 
 
@@ -144,17 +148,12 @@ class Postings:
         each = analysed.mapInArrow(_places, "term string, chunk_id long, places array<int>")
         block = F.floor(F.col("chunk_id") / BLOCK_IDS).cast("long").alias("block")
         held = each.groupBy("term", block).agg(F.array_sort(F.collect_list(F.struct("chunk_id", "places"))).alias("held"))
-        n = F.size("held")
-        rows = held.select(
-            _shard("term", self.shards).alias("shard"), "term", "block", n.alias("n"), F.array_max(F.transform("held", lambda x: F.size(x["places"]))).alias("most"),
-            _steps(F.col("held"), "chunk_id", F.col("block") * BLOCK_IDS).alias("chunk_steps"), F.transform("held", lambda x: F.size(x["places"])).alias("counts"),
-            F.flatten(F.transform("held", lambda x: _steps(x["places"]))).alias("place_steps"),
-        )
-        dealt = rows.repartitionByRange(self.shards, "shard", "term", "block").sortWithinPartitions("shard", "term", "block")
+        rows = held.select("term", "block", "held", F.size("held").alias("n")).mapInArrow(_packed, "term string, block long, n int, most int, payload binary")
+        dealt = rows.withColumn("shard", _shard("term", self.shards)).repartitionByRange(self.shards, "shard", "term", "block").sortWithinPartitions("shard", "term", "block")
         dealt.write.mode("errorifexists").partitionBy("shard").parquet(f"{self.path}/segment={name}")
 
     def blocks(self) -> DataFrame:
-        schema = "term string, block long, n int, most int, chunk_steps array<bigint>, counts array<int>, place_steps array<int>, segment string, shard int"
+        schema = "term string, block long, n int, most int, payload binary, segment string, shard int"
         return self.spark.read.schema(schema).parquet(self.path)
 
     def heads(self, asked: DataFrame) -> DataFrame:
@@ -169,7 +168,7 @@ class Postings:
         rows = self.blocks()
         if wanted is not None:
             rows = rows.join(wanted.select("term", "block", _shard("term", self.shards).alias("shard")).distinct(), ["shard", "term", "block"], "left_semi")
-        return rows.select("term", "block", "chunk_steps", "counts", "place_steps").mapInArrow(_decoded, "term string, chunk_id long, block long, places array<int>")
+        return rows.select("term", "block", "n", "payload").mapInArrow(_decoded, "term string, chunk_id long, block long, places array<int>")
 
     def match(self, asked: DataFrame, least: float = 0.0) -> DataFrame:
         """(request_id, chunk_id, places) of chunks that hold all terms of a request; places: an array for each term.
@@ -190,10 +189,10 @@ class Postings:
         whole = near.join(known.select("request_id", "term"), "request_id").join(heads.select("term", "block", "most"), ["term", "block"])
         open_blocks = whole.groupBy("request_id", "block", "n_terms").agg(F.count("*").alias("met"), F.min("most").alias("most")).where((F.col("met") == F.col("n_terms")) & (F.col("n_terms") * F.col("most") >= least))
         listed = known.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("place", "term")))["term"].alias("terms"))
-        work = open_blocks.select("request_id", "block").join(listed, "request_id")
+        work = kept(open_blocks.select("request_id", "block").join(listed, "request_id"))
         needed = work.select(F.explode("terms").alias("term"), "block").distinct().withColumn("shard", _shard("term", self.shards))
         # a range's postings move once, whoever asks for them; requests meet them in batches
-        posted = self.blocks().join(needed, ["shard", "term", "block"], "left_semi").groupBy("block").agg(F.collect_list(F.struct("term", "chunk_steps", "counts", "place_steps")).alias("posted"))
+        posted = self.blocks().join(needed, ["shard", "term", "block"], "left_semi").groupBy("block").agg(F.collect_list(F.struct("term", "n", "payload")).alias("posted"))
         batch = F.floor((F.row_number().over(Window.partitionBy("block").orderBy("request_id")) - 1) / BATCH).alias("batch")
         asking = work.select("block", batch, F.struct("request_id", "terms").alias("request")).groupBy("block", "batch").agg(F.collect_list("request").alias("requests"))
         return asking.join(posted, "block").select("block", "requests", "posted").mapInArrow(_intersected, "request_id long, chunk_id long, places array<array<int>>")
