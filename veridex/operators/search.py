@@ -64,7 +64,7 @@ def vector_top(tables: Tables, index: SearchIndex, k: int = TOP) -> DataFrame:
     unit = F.concat_ws("/", "kb_id", own).alias("unit")
     chunks = index.directory().select("chunk_id", "generation_id", "profile_id").join(ready.select("generation_id", "profile_id", unit), ["generation_id", "profile_id"])
     live = chunks.join(index.vectors.places(), "chunk_id").select("block", "place", "unit")
-    asked = apply(spark, lambda _: ASKED, tables)
+    asked = kept(apply(spark, lambda _: ASKED, tables))
     listed = ready.where("acl_mode <> 'INHERIT'").select("kb_id", "document_id").distinct().join(tables["document_acl"].select("document_id", "user_id").distinct(), "document_id")
     may = asked.select("request_id", F.concat_ws("/", "kb_id", F.lit(-1)).alias("unit")).unionByName(asked.join(listed, ["kb_id", "user_id"]).select("request_id", F.concat_ws("/", "kb_id", "document_id").alias("unit")))
     return index.vectors.top_k(tables["search_request"].select("request_id", "embedding"), live, may.distinct(), k)
@@ -91,7 +91,8 @@ def stored_index(tables: Tables) -> SearchIndex:
     key = (tables.spark.sparkContext.applicationId, *_version(tables, "documents", "embeddings"))
     if key not in _built:
         index = SearchIndex.at(tables, shared_folder(tables.spark, "index"))
-        index.append(tables["chunk"].withColumnRenamed("line", "text"), tables["chunk_embedding"], "all")
+        # a knowledge base has these as stored tables; here they are derived, so they are worked out once
+        index.append(kept(tables["chunk"]).withColumnRenamed("line", "text"), kept(tables["chunk_embedding"]), "all")
         _built[key] = index.path
     return SearchIndex.at(tables, _built[key])
 
