@@ -1,16 +1,22 @@
 """The analyser, the stored postings and the vector blocks against plain readings."""
 
+import os
 import random
+import shutil
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veridex.operators.analysis import terms, tokenize
+from veridex.operators import postings
+from veridex.operators.analysis import terms, tokenize, words
 from veridex.operators.covers import cover_score
 from veridex.operators.postings import Postings
+from veridex.operators.search import stored_index
 from veridex.operators.vectors import VectorBlocks
+from veridex.plans.run import Tables
 
 
 @pytest.mark.parametrize(
@@ -104,3 +110,28 @@ def test_bounds_hold_and_leave_out_blocks(spark):
         assert b.low - 1e-9 <= s.min() and s.max() <= b.high + 1e-9
         left_out += b.high < np.sort(x @ q[b.request_id])[-20]
     assert left_out > len(bounds) / 2
+
+
+def test_chunks_are_cut_where_their_texts_are(spark):
+    chunk = Tables(spark, "/root/testdata/sf0.001")["chunk"]
+    assert "Exchange" not in chunk._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_range_with_many_terms_has_several_rows(monkeypatch):
+    monkeypatch.setattr(postings, "MOST_TERMS", 4)
+    chunks = [(1, "a b a"), (2, "b c"), (4, ""), (5, None), (postings.BLOCK_IDS + 3, "a")]
+    batches = [pa.RecordBatch.from_arrays([pa.array([c for c, _ in part]), pa.array([t for _, t in part], pa.string())], names=["chunk_id", "text"]) for part in (chunks[:1], chunks[1:])]
+    rows = [r for b in postings._posted(words)(iter(batches)) for r in b.to_pylist()]
+    assert [(r["term"], r["block"], r["n"], r["most"]) for r in rows] == [("a", 0, 1, 2), ("b", 0, 1, 1), ("b", 0, 1, 1), ("c", 0, 1, 1), ("a", 1, 1, 1)]
+    assert (rows[0]["chunk_steps"], rows[0]["counts"], rows[0]["place_steps"]) == ([1], [2], [0, 2])
+    assert [r["chunk_steps"] for r in rows] == [[1], [1], [2], [2], [3]]
+
+
+def test_only_the_parts_that_a_query_reads_are_built(spark, tmp_path):
+    for name in ("documents", "embeddings", "nation", "customer", "benchmark", "conversations"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path)
+    tables = Tables(spark, str(tmp_path))
+    path = stored_index(tables, "chunks").path.replace("file:", "")
+    assert sorted(os.listdir(path)) == ["chunks"]
+    assert stored_index(tables, "chunks", "vectors").path.replace("file:", "") == path
+    assert sorted(os.listdir(path)) == ["chunks", "vectors"]

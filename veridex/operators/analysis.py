@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 IDENTIFIER = re.compile(r"[0-9A-Za-z]+(?:[._\-+#&]+[0-9A-Za-z]+)*")
 RETAINED = re.compile(r"[^\W_]")
 WORD = re.compile(r"[^\W_]+")
+#: What words() leaves of a whole text: between identifiers no letter or digit of ASCII is left.
+PLAIN = re.compile(IDENTIFIER.pattern + r"|[^\W_\x00-\x7f]+")
 Segmenter = Callable[[str], Iterable[str]]
 
 
@@ -31,8 +33,8 @@ def tokenize(text: str, segment: Segmenter = words) -> list[str]:
     """Terms in order, repeated ones too: identifiers, and what the segmenter makes of the text between them; pieces without a
     letter or digit are dropped."""
     folded = text.casefold() if text.isascii() else normalise(text)
-    if folded.isascii() and segment is words:
-        return IDENTIFIER.findall(folded)
+    if segment is words:
+        return PLAIN.findall(folded)
     terms, at = [], 0
     for found in IDENTIFIER.finditer(folded):
         if found.start() > at:

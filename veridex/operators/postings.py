@@ -1,6 +1,6 @@
 """A stored inverted index: for each term, where it stands in which chunks.
 
-A posting block holds one term and the chunks of one range of ids (BLOCK_IDS wide), so a term that is in every chunk is spread
+A posting block holds one term and the chunks of one range of ids (BLOCK_IDS wide; a large range may have several rows), so a term that is in every chunk is spread
 over many blocks and tasks, and two terms' blocks of one range meet by equal keys. A row has the block's counts first, which are
 all that choosing blocks needs, then the payload: chunk ids, how often the term stands in each, and its places, each as the step
 from the one before. Rows are filed by a hash of the term (shard) and sorted by term, so that a reader opens the shards of its
@@ -17,10 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import kept
-from .analysis import Segmenter, terms, words
+from .analysis import Segmenter, tokenize, words
 
 #: Ids of chunks are cut in ranges of this width.
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 18
+#: A row of the index. Terms that are sorted at once, and files of a shard.
+ROW = "term string, block long, n int, most int, chunk_steps array<bigint>, counts array<int>, place_steps array<int>"
+MOST_TERMS, SLICES = 1 << 20, 8
 #: Requests that meet a range's postings at once.
 BATCH = 1024
 SHARDS = 16
@@ -30,24 +33,48 @@ def _shard(term: Column | str, shards: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each term of each chunk, so that nothing is grouped that a single row holds anyway."""
-    for batch in batches:
-        term, chunk, places = [], [], []
-        for c, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own: dict[str, list[int]] = {}
-            for k, t in enumerate(found):
-                own.setdefault(t, []).append(k)
-            term += own
-            places += own.values()
-            chunk += [c] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(chunk, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=["term", "chunk_id", "places"])
-
-
-def _steps(values: Column, of: str | None = None, start: Column | None = None) -> Column:
-    """Each value less the one before; start is taken from the first."""
-    field = (lambda x: x[of]) if of else (lambda x: x)
-    return F.transform(values, lambda x, k: field(x) - F.when(k == 0, F.lit(0) if start is None else start).otherwise(field(F.get(values, k - 1))))
+def _rows_of_range(block: int, ids: np.ndarray, sizes: np.ndarray, found: list[str]) -> pa.RecordBatch:
+    """Posting rows of chunks of one range, ids rising: found has their terms end to end, sizes how many each chunk has."""
+    named = pa.array(found, pa.string()).dictionary_encode()
+    code = named.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    code, of = code[order], np.repeat(np.arange(len(ids)), sizes)[order]
+    place = (np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+    new_term = np.append(True, code[1:] != code[:-1])
+    new = new_term | np.append(True, of[1:] != of[:-1])
+    start = np.flatnonzero(new)
+    counts = np.diff(np.append(start, len(code)))
+    chunk, first = ids[of[start]] - block * BLOCK_IDS, np.flatnonzero(new_term[start])
+    chunk_steps, place_steps = np.diff(chunk, prepend=0), np.diff(place, prepend=0)
+    chunk_steps[first], place_steps[new] = chunk[first], place[new]
+    held = np.append(first, len(start)).astype(np.int32)
+    occurrences = np.append(start[first], len(code)).astype(np.int32)
+    lists = lambda bounds, values, kind: pa.ListArray.from_arrays(pa.array(bounds), pa.array(values, kind))
+    columns = [named.dictionary, pa.array(np.full(len(first), block)), pa.array(np.diff(held), pa.int32()), pa.array(np.maximum.reduceat(counts, first), pa.int32()), lists(held, chunk_steps, pa.int64()), lists(held, counts, pa.int32()), lists(occurrences, place_steps, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ROW.split(", ")])
+
+
+def _posted(segment: Segmenter):
+    """Posting rows of chunks (chunk_id, text) in order of their ids: a range's terms are numbered and sorted at once, and so are
+    MOST_TERMS of them at a time, if there are more; a term has more rows of that range then."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, sizes, found = None, [], [], []
+        for batch in batches:
+            for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = tokenize(text.as_py(), segment) if text.is_valid else []
+                if found and (chunk // BLOCK_IDS != block or len(found) + len(own) > MOST_TERMS):
+                    yield _rows_of_range(block, np.array(ids), np.array(sizes), found)
+                    ids, sizes, found = [], [], []
+                if own:
+                    block = chunk // BLOCK_IDS
+                    ids.append(chunk)
+                    sizes.append(len(own))
+                    found += own
+        if found:
+            yield _rows_of_range(block, np.array(ids), np.array(sizes), found)
+
+    return run
 
 
 def _sums(steps: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +115,7 @@ class Posted:
         """Chunk ids in order, and for each the bounds of its places in the third array."""
         if term not in self.done:
             chunks, counts, places = [], [], []
-            for k in self.rows[term]:  # one for each append
+            for k in self.rows[term]:  # one or more for each append
                 chunks.append(self.start + np.cumsum(self.chunk_steps[k].values.to_numpy()))
                 n = self.counts[k].values.to_numpy()
                 total = np.concatenate([[0], np.cumsum(self.place_steps[k].values.to_numpy())])
@@ -140,22 +167,15 @@ class Postings:
         """Adds chunks (chunk_id, text) that the index hasn't yet, as the folder name; one that is there already is an error.
 
         Null and empty texts have no terms, null ids are left out, repeated rows must not be given. Extra columns are ignored."""
-        analysed = chunks.where("chunk_id IS NOT NULL").select("chunk_id", terms("text", segment).alias("terms"))
-        each = analysed.mapInArrow(_places, "term string, chunk_id long, places array<int>")
-        block = F.floor(F.col("chunk_id") / BLOCK_IDS).cast("long").alias("block")
-        held = each.groupBy("term", block).agg(F.array_sort(F.collect_list(F.struct("chunk_id", "places"))).alias("held"))
-        n = F.size("held")
-        rows = held.select(
-            _shard("term", self.shards).alias("shard"), "term", "block", n.alias("n"), F.array_max(F.transform("held", lambda x: F.size(x["places"]))).alias("most"),
-            _steps(F.col("held"), "chunk_id", F.col("block") * BLOCK_IDS).alias("chunk_steps"), F.transform("held", lambda x: F.size(x["places"])).alias("counts"),
-            F.flatten(F.transform("held", lambda x: _steps(x["places"]))).alias("place_steps"),
-        )
-        dealt = rows.repartitionByRange(self.shards, "shard", "term", "block").sortWithinPartitions("shard", "term", "block")
+        # texts move once, to the ranges of their ids; what is dealt out then are whole rows of the index
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # by number, as texts are small beside the work on them
+        ranged = chunks.where("chunk_id IS NOT NULL").select("chunk_id", "text").repartition(parts, F.floor(F.col("chunk_id") / BLOCK_IDS)).sortWithinPartitions("chunk_id")
+        rows = ranged.mapInArrow(_posted(segment), ROW).withColumn("shard", _shard("term", self.shards))
+        dealt = rows.repartition("shard", F.pmod("block", F.lit(SLICES))).sortWithinPartitions("shard", "term", "block")
         dealt.write.mode("errorifexists").partitionBy("shard").parquet(f"{self.path}/segment={name}")
 
     def blocks(self) -> DataFrame:
-        schema = "term string, block long, n int, most int, chunk_steps array<bigint>, counts array<int>, place_steps array<int>, segment string, shard int"
-        return self.spark.read.schema(schema).parquet(self.path)
+        return self.spark.read.schema(f"{ROW}, segment string, shard int").parquet(self.path)
 
     def heads(self, asked: DataFrame) -> DataFrame:
         """(term, block, n, most) of asked terms (term): sums over appends, read without payload from the shards of these terms."""

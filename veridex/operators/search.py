@@ -36,11 +36,14 @@ class SearchIndex:
     def append(self, chunks: DataFrame, embeddings: DataFrame, name: str, segment: Segmenter = words) -> None:
         """Adds the chunks of finished generations (DIRECTORY's columns but profile_id, and text) that have an embedding
         (chunk_id, profile_id, embedding), in order of the parts, the directory last: only what it names is found."""
-        whole = chunks.join(embeddings.select("chunk_id", "profile_id", "embedding"), "chunk_id")
+        whole = kept(chunks.join(embeddings.select("chunk_id", "profile_id", "embedding"), "chunk_id"))
         self.postings.append(whole.select("chunk_id", "text"), name, segment)
         self.vectors.append(whole.select("chunk_id", "embedding"), name)
-        names = [c.split()[0] for c in DIRECTORY.split(", ")]
-        whole.select(*names).write.mode("errorifexists").parquet(f"{self.path}/chunks/segment={name}")
+        self.append_directory(whole.drop("profile_id"), whole, name)
+
+    def append_directory(self, chunks: DataFrame, embeddings: DataFrame, name: str) -> None:
+        rows = chunks.join(embeddings.select("chunk_id", "profile_id"), "chunk_id").select(*[c.split()[0] for c in DIRECTORY.split(", ")])
+        rows.write.mode("errorifexists").parquet(f"{self.path}/chunks/segment={name}")
 
     def directory(self) -> DataFrame:
         return self.postings.spark.read.schema(f"{DIRECTORY}, segment string").parquet(f"{self.path}/chunks").drop("segment")
@@ -70,8 +73,9 @@ def vector_top(tables: Tables, index: SearchIndex, k: int = TOP) -> DataFrame:
     return index.vectors.top_k(tables["search_request"].select("request_id", "embedding"), live, may.distinct(), k)
 
 
-#: Indexes that this process has built, by session and by the files they were built from.
+#: Folders of indexes that this process has begun, by session and by the files they are built from, and the parts that are there.
 _built: dict[tuple, str] = {}
+_parts: set[tuple[str, str]] = set()
 
 
 def _version(tables: Tables, *names: str) -> tuple:
@@ -86,19 +90,26 @@ def _version(tables: Tables, *names: str) -> tuple:
     return tuple(out)
 
 
-def stored_index(tables: Tables) -> SearchIndex:
-    """The index of the derived chunks, built once for a session in the folder that all executors share."""
+def stored_index(tables: Tables, *parts: str) -> SearchIndex:
+    """The index of the derived chunks in the folder that all executors share. Each of the named parts (chunks, postings, vectors) is
+    built when a query of the session first asks for it, so none pays for what it doesn't read."""
     key = (tables.spark.sparkContext.applicationId, *_version(tables, "documents", "embeddings"))
-    if key not in _built:
-        index = SearchIndex.at(tables, shared_folder(tables.spark, "index"))
-        # a knowledge base has these as stored tables; here they are derived, so they are worked out once
-        index.append(kept(tables["chunk"]).withColumnRenamed("line", "text"), kept(tables["chunk_embedding"]), "all")
-        _built[key] = index.path
-    return SearchIndex.at(tables, _built[key])
+    index = SearchIndex.at(tables, _built.setdefault(key, shared_folder(tables.spark, "index")))
+    build = {
+        "chunks": lambda: index.append_directory(tables["chunk"], tables["chunk_embedding"], "all"),
+        # of all chunks: those without an embedding aren't in the directory
+        "postings": lambda: index.postings.append(tables["chunk"].select("chunk_id", F.col("line").alias("text")), "all"),
+        "vectors": lambda: index.vectors.append(kept(tables["chunk_embedding"].select("chunk_id", "embedding")), "all"),
+    }
+    for part in parts:
+        if (index.path, part) not in _parts:
+            build[part]()
+            _parts.add((index.path, part))
+    return index
 
 
 def _postings(tables: Tables) -> DataFrame:
-    rows = stored_index(tables).postings.decode()
+    rows = stored_index(tables, "postings").postings.decode()
     return rows.select("term", "chunk_id", F.size("places").cast("long").alias("tf"), F.array_join(F.transform("places", lambda x: x.cast("string")), ",").alias("positions"))
 
 
@@ -128,13 +139,13 @@ def canary_found(tables: Tables, index: SearchIndex) -> DataFrame:
 BUILT.update(
     {
         "ranked_kept": lambda tables: kept(tables["ranked"]),
-        "canary_found": lambda tables: canary_found(tables, stored_index(tables)),
+        "canary_found": lambda tables: canary_found(tables, stored_index(tables, "postings")),
         "chunk_terms": lambda tables: tables["chunk"].select("chunk_id", terms("line").alias("terms")),
         "query_term": lambda tables: tables["search_request"].select("request_id", F.explode(F.array_distinct(terms("text"))).alias("term")),
-        "indexed_chunk": lambda tables: stored_index(tables).directory(),
+        "indexed_chunk": lambda tables: stored_index(tables, "chunks").directory(),
         "posting": _postings,
-        "keyword_match": lambda tables: keyword_match(tables, stored_index(tables)),
+        "keyword_match": lambda tables: keyword_match(tables, stored_index(tables, "chunks", "postings")),
         "keyword_score": _keyword_score,
-        "vector_top": lambda tables: vector_top(tables, stored_index(tables)),
+        "vector_top": lambda tables: vector_top(tables, stored_index(tables, "chunks", "vectors")),
     }
 )

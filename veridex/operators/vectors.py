@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from ..plans.shared import kept
 
@@ -63,37 +64,43 @@ class VectorBlocks:
         """Adds rows (chunk_id, embedding) as the folder name; one that is there already is an error.
 
         Embeddings must be whole (vector_validate says which are) and of one length. Without rows an empty folder is written."""
-        rows = vectors.where("chunk_id IS NOT NULL AND embedding IS NOT NULL").select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
-        sample = np.array([r.embedding for r in rows.orderBy(F.xxhash64("chunk_id")).limit(SAMPLE).collect()])
+        rows = vectors.where("chunk_id IS NOT NULL AND embedding IS NOT NULL").select("chunk_id", "embedding")
+        single = rows.schema["embedding"].dataType.elementType == FloatType()
+        kind = "<f4" if single else "<f8"  # products are of doubles either way
+        ids = rows.select("chunk_id").orderBy(F.xxhash64("chunk_id")).limit(SAMPLE)
+        sample = np.array([r.embedding for r in rows.join(F.broadcast(ids), "chunk_id", "left_semi").orderBy("chunk_id").collect()], float)
         centres = _centres(sample, CELLS) if len(sample) else sample
 
-        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            x = _matrix(batch.column("embedding")) if batch.num_rows else np.zeros((0, 1))
+            return x, ((-2 * x @ centres.T + (centres**2).sum(1)).argmin(1) if batch.num_rows else np.empty(0, int))
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(CELLS, int)
             for batch in batches:
-                x = _matrix(batch.column(1)) if batch.num_rows else np.zeros((0, 1))
-                cell = (-2 * x @ centres.T + (centres**2).sum(1)).argmin(1) if batch.num_rows else []
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32())], names=["chunk_id", "embedding", "cell"])
-
-        celled = rows.mapInArrow(dealt, "chunk_id long, embedding array<double>, cell int")
-        parts = F.ceil(F.col("n") / BLOCK_ROWS)
-        sizes = {r.cell: r.n for r in celled.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row for each cell
-        n = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("cell")] if sizes else F.lit(1)
-        placed = celled.withColumn("n", n).withColumn("part", F.pmod(F.xxhash64("chunk_id"), parts))
-        held = placed.groupBy("cell", "part").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "embedding"))).alias("rows"))
-
-        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total += np.bincount(cells(batch)[1], minlength=CELLS)
+            found = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], names=["cell", "n"])
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out: dict[str, list] = {c: [] for c in ("block", "centre", "radius", "chunk_ids", "data")}
-                for cell, part, items in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    x = np.array([r["embedding"] for r in items])
-                    centre = x.mean(0)
-                    out["block"].append(f"{name}/{cell}/{part}")
-                    out["centre"].append(centre.tolist())
-                    out["radius"].append(float(np.sqrt(((x - centre) ** 2).sum(1).max())))
-                    out["chunk_ids"].append([r["chunk_id"] for r in items])
-                    out["data"].append(x.tobytes())
-                yield pa.RecordBatch.from_pydict(out)
-
-        blocks = held.select("cell", "part", "rows").mapInArrow(packed, "block string, centre array<double>, radius double, chunk_ids array<long>, data binary")
+                x, cell = cells(batch)
+                data = [v.tobytes() for v in x.astype(kind)]
+                yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), pa.array(cell, pa.int32()), pa.array(data, pa.binary())], names=["chunk_id", "cell", "data"])
+
+        sizes = {r.cell: r.n for r in rows.select("embedding").mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # a row for each cell
+        parts = F.ceil((F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("cell")] if sizes else F.lit(1)) / BLOCK_ROWS)
+        placed = rows.mapInArrow(dealt, "chunk_id long, cell int, data binary").withColumn("part", F.pmod(F.xxhash64("chunk_id"), parts))
+
+        def packed(t: pa.Table) -> pa.Table:
+            ids = t.column("chunk_id").to_numpy()
+            order = np.argsort(ids)
+            x = np.frombuffer(b"".join(t.column("data").to_pylist()), kind).reshape(len(ids), -1)[order].astype(float)
+            centre = x.mean(0)
+            radius = float(np.sqrt(((x - centre) ** 2).sum(1).max()))
+            return pa.table({"block": [f"{name}/{t.column('cell')[0]}/{t.column('part')[0]}"], "centre": [centre.tolist()], "radius": [radius], "chunk_ids": [ids[order].tolist()], "data": [x.tobytes()]})
+
+        blocks = placed.groupBy("cell", "part").applyInArrow(packed, "block string, centre array<double>, radius double, chunk_ids array<long>, data binary")
         blocks.write.mode("errorifexists").parquet(f"{self.path}/segment={name}")
 
     def blocks(self) -> DataFrame:
