@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veridex.operators import postings
+from veridex.operators import analysis, postings
 from veridex.operators.analysis import terms, tokenize, words
 from veridex.operators.covers import cover_score
 from veridex.operators.postings import Postings
@@ -135,3 +135,9 @@ def test_only_the_parts_that_a_query_reads_are_built(spark, tmp_path):
     assert sorted(os.listdir(path)) == ["chunks"]
     assert stored_index(tables, "chunks", "vectors").path.replace("file:", "") == path
     assert sorted(os.listdir(path)) == ["chunks", "vectors"]
+
+
+def test_few_texts_terms_are_in_python_at_once(monkeypatch):
+    monkeypatch.setattr(analysis, "AT_ONCE", 2)
+    texts = pa.array(["a b", None, "", "ü c-1", "d"]).slice(1)
+    assert analysis.listed(texts).to_pylist() == [[], [], ["ü", "c-1"], ["d"]]

@@ -6,7 +6,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ RETAINED = re.compile(r"[^\W_]")
 WORD = re.compile(r"[^\W_]+")
 #: What words() leaves of a whole text: between identifiers no letter or digit of ASCII is left.
 PLAIN = re.compile(IDENTIFIER.pattern + r"|[^\W_\x00-\x7f]+")
+#: Texts whose terms are in Python at once.
+AT_ONCE = 256
 Segmenter = Callable[[str], Iterable[str]]
 
 
@@ -44,12 +46,19 @@ def tokenize(text: str, segment: Segmenter = words) -> list[str]:
     return terms + [t for raw in segment(folded[at:]) if RETAINED.search(t := raw.strip())]
 
 
+def listed(texts: pa.Array, segment: Segmenter = words) -> pa.Array:
+    """The terms of each text. Only AT_ONCE texts' terms are Python strings at a time, however large the batch."""
+    kind = pa.list_(pa.string())
+    parts = [pa.array([tokenize(t, segment) if t else [] for t in texts.slice(k, AT_ONCE).to_pylist()], kind) for k in range(0, len(texts), AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def terms(column: Column | str, segment: Segmenter = words) -> Column:
     """The terms of a text column as an array, in Arrow batches; null texts have none. segment must be a function that can be
     sent to workers, such as one that loads its dictionary when first called there."""
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: tokenize(t, segment) if t else [])
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return listed(texts, segment)
 
     return run(column)
