@@ -422,6 +422,43 @@ def test_passages_whose_seeds_are_scattered(spark):
     assert (319, 30, 90, 159, 20, 80) in got
 
 
+@pytest.mark.parametrize("most", [16, 1 << 20])
+def test_changed_passages_whose_phrases_stand_in_other_documents(spark, monkeypatch, most):
+    # no anchor is left and each seed is in eight documents, most of them with eight words of the passage only
+    monkeypatch.setattr(substring_dedup, "BATCH_PARTNERS", most)
+    rng = random.Random(10)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    texts, want = [], set()
+    for _ in range(10):
+        passage = some(60)
+        crowd = lambda: [some(12) + passage[k : k + 8] + some(12) for k in range(53) for _ in range(3)]  # noqa: B023, E731
+        texts += crowd() + [some(20) + passage + some(20)]
+        at = len(texts) - 1
+        texts += crowd() + [some(30) + [w if k % 12 != 6 else f"new{k}" for k, w in enumerate(passage)] + some(10)]
+        want.add((len(texts) - 1, at))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = substring_dedup.repeated_passages(df).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got} == want
+    assert all(r["start_word"] <= 36 and r["end_word"] >= 84 and r["start_word"] - r["other_start"] == 10 for r in got)
+
+
+def test_near_seeds_of_many_documents_all_meet():
+    # ten documents hold two seeds, each with words of its own between, and forty are copies of the first
+    one = np.uint64(1)
+    of = np.arange(10, dtype=np.int64)
+    doc, place = np.repeat(of, 3), np.tile(np.array([5, 9, 16], "<u4"), 10)
+    name = np.tile(np.array([3, 0, 7], np.uint64), 10)
+    name[1::3] = (of.astype(np.uint64) + np.uint64(50)) * np.uint64(2) | one
+    copies = np.repeat(np.arange(100, 140), 3)
+    doc, place, name = np.append(doc, copies), np.append(place, np.tile(place[:3], 40)), np.append(name, np.tile(name[:3], 40))
+    d, o, x, y = substring_dedup.near_matches(*substring_dedup.near_seeds(doc, place, name))
+    pairs = set(zip(d.tolist(), o.tolist(), strict=True))
+    assert {(a, b) for a in range(10) for b in range(a)} == {p for p in pairs if p[0] < 100}
+    assert {p[0] for p in pairs} - set(range(10)) == set(range(100, 140)) and len(pairs) <= 45 + 2 * 40
+    assert set(zip(x.tolist(), y.tolist(), strict=True)) == {(5, 5), (16, 16)}
+
+
 def test_places_of_a_repeated_seed_all_meet():
     key, doc = np.full(120, 7, np.uint32), np.repeat([1, 2], [20, 100])
     for n in (1, 3, 20):
