@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veridex.operators import locators
 from veridex.operators.blocks import markdown_blocks
 from veridex.operators.chunking import heading_pack_chunks
+from veridex.plans.run import Tables
 
 TEXT = "# H\n\none\n\ntwo\n\n" + "word " * 700 + "\n\n## K\n\nthree\n\nfour"
 KINDS = ("markdown", "pdf", "docx", "web")
@@ -43,6 +44,11 @@ def test_segments_lead_back_to_the_text(made):
     assert len([1 for doc, _ in rows if doc == 0]) == 4  # one and two, two windows of the long block, three and four
 
 
+def test_blocks_are_made_once(spark):
+    plan = locators.packed_locators(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # packing; texts are parsed before
+
+
 def test_json_and_back(made):
     out, _, _ = made
     both = out.select("doc_id", "locator", locators.locator_json("locator").alias("json")).withColumn("again", locators.read_locator("json"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..plans.fixtures import DERIVED
 from ..plans.run import Tables, apply, oracle
+from ..plans.shared import kept
 from .blocks import markdown_blocks
 from .chunking import heading_pack_chunks
 
@@ -100,7 +101,8 @@ def source_blocks(tables: Tables) -> DataFrame:
 
 
 def packed_locators(tables: Tables) -> DataFrame:
-    blocks = source_blocks(tables)
+    # two branches read the blocks, and making them is most of the work
+    blocks = kept(source_blocks(tables))
     chunks = heading_pack_chunks(blocks.select("doc_id", "ordinal", F.col("heading_path").alias("heading"), "page", "text"))
     return chunk_locators(chunks, blocks, tables["source_document"])
 
