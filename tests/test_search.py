@@ -141,3 +141,8 @@ def test_few_texts_terms_are_in_python_at_once(monkeypatch):
     monkeypatch.setattr(analysis, "AT_ONCE", 2)
     texts = pa.array(["a b", None, "", "ü c-1", "d"]).slice(1)
     assert analysis.listed(texts).to_pylist() == [[], [], ["ü", "c-1"], ["d"]]
+
+
+def test_canaries_read_lines_once(spark):
+    plan = Tables(spark, "/root/testdata/sf0.001")["canary_found"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode") == 1

@@ -130,10 +130,17 @@ def canary_found(tables: Tables, index: SearchIndex) -> DataFrame:
     used = {n: tables[n] for n in ("request_kb", "knowledge_base", "kb_member", "user_account", "document", "chunk")}
     open_bases = """SELECT q.request_id AS item_id, q.kb_id FROM @request_kb q JOIN @kb_member m ON m.kb_id = q.kb_id AND m.user_id = q.user_id AND NOT m.revoked JOIN @knowledge_base k ON k.kb_id = q.kb_id
         JOIN @user_account u ON u.user_id = q.user_id AND u.organization_id = k.organization_id"""
-    active = "SELECT c.chunk_id, c.line, x.kb_id FROM @chunk c JOIN @document x ON x.document_id = c.document_id AND NOT x.deleted AND x.active_version_id = c.version_id"
-    text = f"""SELECT DISTINCT h.item_id FROM @hit h JOIN @named y ON y.item_id = h.item_id JOIN ({active}) c ON c.chunk_id = h.chunk_id JOIN ({open_bases}) b ON b.item_id = h.item_id AND b.kb_id = c.kb_id WHERE contains(c.line, y.canary)
-        UNION SELECT DISTINCT y.item_id FROM @bare y JOIN ({open_bases}) b ON b.item_id = y.item_id JOIN ({active}) c ON c.kb_id = b.kb_id AND contains(c.line, y.canary)"""
-    return apply(tables.spark, lambda _: text, used | {"hit": hit, "named": with_terms, "bare": named.where(F.size("terms") == 0)})
+    active = "@chunk c JOIN @document x ON x.document_id = c.document_id AND NOT x.deleted AND x.active_version_id = c.version_id"
+    # chunks are found by their ids; lines are read for these only
+    text = f"SELECT DISTINCT h.item_id, h.chunk_id FROM @hit h JOIN (SELECT c.chunk_id, x.kb_id FROM {active}) c ON c.chunk_id = h.chunk_id JOIN ({open_bases}) b ON b.item_id = h.item_id AND b.kb_id = c.kb_id"
+    near = kept(apply(tables.spark, lambda _: text, used | {"hit": hit}))
+    read = "SELECT DISTINCT h.item_id FROM @near h JOIN @named y ON y.item_id = h.item_id JOIN @chunk c ON c.chunk_id = h.chunk_id WHERE contains(c.line, y.canary)"
+    found = apply(tables.spark, lambda _: read, {"near": near, "named": with_terms, "chunk": tables["chunk"]})
+    bare = named.where(F.size("terms") == 0)
+    if bare.isEmpty():
+        return found
+    everywhere = f"SELECT DISTINCT y.item_id FROM @bare y JOIN ({open_bases}) b ON b.item_id = y.item_id JOIN (SELECT c.line, x.kb_id FROM {active}) c ON c.kb_id = b.kb_id AND contains(c.line, y.canary)"
+    return found.union(apply(tables.spark, lambda _: everywhere, used | {"bare": bare})).distinct()
 
 
 BUILT.update(
