@@ -130,6 +130,26 @@ def test_word_hashes_in_stretches():
     assert len({h for h in whole[0].tolist()}) == len({w for _, w in words})
 
 
+def test_shingles_of_a_few_documents_have_levels(spark):
+    """Ones that no summary holds are counted in the sample, so that they come after lone ones in a prefix."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join([*(f"w{x}" for x in rng.integers(0, 10**9, 60)), passage]) for _ in range(20)]
+    survey = spark.createDataFrame([], ngram_join.SURVEY)
+    tokens, levels = ngram_join.frequent_levels(survey, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    common = ngram_join.shingle_sets([passage])[0]
+    assert tokens.tolist() == common[common < ngram_join.LOW].tolist() and len(tokens) and set(levels.tolist()) == {7}  # log2(4 * 20 + 1)
+    prefix, frequent = ngram_join.Orders(tokens, levels).first(ngram_join.shingle_sets(texts)[0])
+    assert len(prefix) and not frequent.any()
+
+
+def test_tokens_with_the_same_sharers_are_one(spark):
+    """Sharers 1 and 2 have three tokens in common, the first in order stays; one of a single document goes."""
+    rows = [(7, 1, 9, 2), (7, 2, 8, 1), (5, 1, 9, 4), (5, 2, 8, 3), (6, 1, 9, 6), (6, 2, 8, 5), (3, 1, 9, 0), (3, 2, 8, 0), (3, 4, 8, 0), (2, 4, 8, 1)]
+    got = ngram_join.one_token_each(spark.createDataFrame(rows, "token long, id long, n int, pos int"))
+    assert sorted(map(tuple, got.select("token", "id", "n", "pos", "weight").collect())) == [(3, 1, 9, 0, 1), (3, 2, 8, 0, 1), (3, 4, 8, 0, 1), (7, 1, 9, 2, 3), (7, 2, 8, 1, 3)]
+
+
 def test_a_large_group_of_near_copies(spark):
     rng = random.Random(12)
     base = prose(rng, 120).split()
