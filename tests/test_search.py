@@ -112,6 +112,17 @@ def test_bounds_hold_and_leave_out_blocks(spark):
     assert left_out > len(bounds) / 2
 
 
+def test_few_vector_blocks_are_read_at_once(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr("veridex.operators.vectors.GROUP_BYTES", 1 << 16)
+    rows = spark.range(40_000).select(F.col("id").alias("chunk_id"), F.array(*[F.rand(i).cast("float") for i in range(16)]).alias("embedding"))
+    VectorBlocks(spark, str(tmp_path / "v")).append(rows, "a")
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "v").rglob("*.parquet")]
+    assert max(m.num_rows for m in files) > 8
+    assert max(m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)) <= 8
+
+
 def test_chunks_are_cut_where_their_texts_are(spark):
     chunk = Tables(spark, "/root/testdata/sf0.001")["chunk"]
     assert "Exchange" not in chunk._jdf.queryExecution().executedPlan().toString()

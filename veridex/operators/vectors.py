@@ -25,6 +25,8 @@ from ..plans.shared import kept
 
 #: Rows of a block, about; cells; vectors sampled for the cells' centres; requests that meet a block, and centres that meet requests, at once.
 BLOCK_ROWS, CELLS, SAMPLE, BATCH, CENTRES = 1024, 256, 4096, 512, 512
+#: Blocks are stored in row groups of about this size.
+GROUP_BYTES = 16 << 20
 DIGITS = 6
 
 
@@ -101,7 +103,9 @@ class VectorBlocks:
             return pa.table({"block": [f"{name}/{t.column('cell')[0]}/{t.column('part')[0]}"], "centre": [centre.tolist()], "radius": [radius], "chunk_ids": [ids[order].tolist()], "data": [x.tobytes()]})
 
         blocks = placed.groupBy("cell", "part").applyInArrow(packed, "block string, centre array<double>, radius double, chunk_ids array<long>, data binary")
-        blocks.write.mode("errorifexists").parquet(f"{self.path}/segment={name}")
+        # a reader takes up to 4096 rows of a row group at once, and a row here is a whole matrix
+        groups = {"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 4}
+        blocks.write.mode("errorifexists").options(**groups).parquet(f"{self.path}/segment={name}")
 
     def blocks(self) -> DataFrame:
         return self.spark.read.schema("block string, centre array<double>, radius double, chunk_ids array<bigint>, data binary, segment string").parquet(self.path)
