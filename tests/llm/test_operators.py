@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -487,6 +488,46 @@ def test_places_of_a_repeated_seed_all_meet():
         assert set(d) == {2} and set(o) == {1} and set(x) == set(range(5 * n)) and set(y) == set(range(n))
 
 
+def test_words_are_compared_where_hashes_met_by_chance():
+    words = lambda *w: np.array(w, "<u4").tobytes()
+    true, other = words(*range(20)), words(*range(100, 120))
+    rows = {"doc": [5, 5, 6], "other": [1, 2, 3], "a": [[0, 14], [0, 9, 14], [0, 14]], "b": [[0, 14], [0, 9, 14], [1, 13]], "begin": [0] * 3, "words": [true, true, true], "other_begin": [0] * 3}
+    rows["other_words"] = [true, other, words(50, *range(6), *range(6, 11), 99, *range(14, 20), 60)]
+    kinds = {"a": pa.list_(pa.int32()), "b": pa.list_(pa.int32()), "begin": pa.int32(), "other_begin": pa.int32()}
+    batch = pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k)) for k, v in rows.items()], list(rows))
+    out = [(int(d), int(o), int(s), int(e), int(m)) for part in substring_dedup._align(batch) for d, o, s, e, m in zip(*(part[c] for c in ("doc_id", "other_id", "start_word", "end_word", "matches")), strict=True)]
+    # equal throughout; no word equal, though seeds say so; three words less in one, of which an alignment pairs five
+    assert out == [(5, 1, 0, 20, 20), (6, 3, 0, 20, 17)]
+
+
+def test_chains_keep_what_their_alignment_needs():
+    x = np.r_[0:30, 40:60]
+    found = list(substring_dedup.pair_chains(np.full(50, 7), np.full(50, 3), x.astype("<u4"), (x + 5).astype("<u4")))
+    assert len(found) == 1 and found[0][2][0] == 0 and found[0][2][-1] == 59
+    a, b = (np.array(found[0][k]) for k in (2, 3))
+    # only the ends of the two runs are stored
+    assert a[substring_dedup.ends_of_runs(a, b, np.array([0]))].tolist() == [0, 29, 40, 59]
+
+
+def test_words_that_an_alignment_pairs():
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 4, 4000).astype("<u4"), rng.integers(0, 4, 4000).astype("<u4")
+    n, m = rng.integers(0, 30, 300), rng.integers(0, 30, 300)
+    a, b = rng.integers(0, 3900, 300), rng.integers(0, 3900, 300)
+
+    def plain(p, q):
+        if len(p) == len(q) and 2 * (p == q).sum() >= len(p):
+            return (p == q).sum()
+        row = [0] * (len(q) + 1)
+        for w in p:
+            row = [0, *row[1:]] if not len(q) else [0] + [max(row[k + 1], row[k] + (q[k] == w)) for k in range(len(q))]
+            for k in range(len(q)):
+                row[k + 1] = max(row[k + 1], row[k])
+        return row[-1]
+
+    assert substring_dedup.common_words(x, a, n, y, b, m).tolist() == [plain(x[i : i + k], y[j : j + h]) for i, k, j, h in zip(a, n, b, m, strict=True)]
+
+
 def test_packed_columns_come_back():
     rng = np.random.default_rng(2)
     bucket, x, y = rng.integers(0, 5, 300), rng.integers(-(1 << 62), 1 << 62, 300), rng.integers(0, 1 << 32, 300).astype("<u4")
