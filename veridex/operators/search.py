@@ -110,7 +110,7 @@ def stored_index(tables: Tables, *parts: str) -> SearchIndex:
 
 def _postings(tables: Tables) -> DataFrame:
     rows = stored_index(tables, "postings").postings.decode()
-    return rows.select("term", "chunk_id", F.size("places").cast("long").alias("tf"), F.array_join(F.transform("places", lambda x: x.cast("string")), ",").alias("positions"))
+    return rows.select("term", "chunk_id", F.size("places").cast("long").alias("tf"), F.array_join(F.col("places").cast("array<string>"), ",").alias("positions"))
 
 
 def _keyword_score(tables: Tables) -> DataFrame:
