@@ -208,6 +208,17 @@ def test_bpe_random_strings():
         assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_sets_go_to_workers_in_small_batches(spark):
+    df = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("abcd "), 800).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    found = [r["n"] for r in ngram_join.cut(df.mapInArrow(sizes, "n long")).collect()]
+    assert sum(found) > 12e6 and max(found) < 3e6
+
+
 def test_packing(docs, empty):
     assert packing.pack_documents(empty, BPE).count() == 0
     got = packing.pack_documents(docs, BPE).collect()
