@@ -157,3 +157,19 @@ def test_few_texts_terms_are_in_python_at_once(monkeypatch):
 def test_canaries_read_lines_once(spark):
     plan = Tables(spark, "/root/testdata/sf0.001")["canary_found"]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate posexplode") == 1
+
+
+def test_texts_of_one_chunk_id_are_one_chunk(spark, tmp_path):
+    """A document of more than a thousand lines reaches the chunk ids of the next one."""
+    import duckdb
+
+    from veridex import registry
+
+    shutil.copy("/root/testdata/sf0.001/embeddings.parquet", tmp_path)
+    con = duckdb.connect()
+    con.sql(f"""COPY (SELECT 6 AS doc_id, string_agg(concat('w', i % 7, ' b w', i % 5), chr(10) ORDER BY i) AS text FROM range(1100) t(i) UNION ALL SELECT 7, concat('b w1', chr(10), 'c b b', chr(10), 'w3')) TO '{tmp_path}/documents.parquet'""")
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    got = registry.QUERIES["keyword_postings"](spark, str(tmp_path)).select("term", "chunk_id", "tf", "positions").collect()
+    want = con.sql(f"SELECT term, chunk_id, tf, positions FROM ({registry.ORACLES['keyword_postings']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert ("b", 7001, 3, "1,1,2") in map(tuple, got)

@@ -34,12 +34,15 @@ def _shard(term: Column | str, shards: int) -> Column:
 
 
 def _rows_of_range(block: int, ids: np.ndarray, sizes: np.ndarray, found: list[str]) -> pa.RecordBatch:
-    """Posting rows of chunks of one range, ids rising: found has their terms end to end, sizes how many each chunk has."""
+    """Posting rows of chunks of one range, ids rising: found has their texts' terms end to end, sizes how many each text has. Texts of
+    one id are one chunk, and the places of a term in them one list."""
     named = pa.array(found, pa.string()).dictionary_encode()
     code = named.indices.to_numpy()
-    order = np.argsort(code, kind="stable")
-    code, of = code[order], np.repeat(np.arange(len(ids)), sizes)[order]
-    place = (np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+    begin = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    of = np.repeat(np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(ids)))), sizes)
+    place = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.argsort(code, kind="stable") if len(begin) == len(ids) else np.lexsort((place, of, code))
+    ids, code, of, place = ids[begin], code[order], of[order], place[order]
     new_term = np.append(True, code[1:] != code[:-1])
     new = new_term | np.append(True, of[1:] != of[:-1])
     start = np.flatnonzero(new)
@@ -63,7 +66,7 @@ def _posted(segment: Segmenter):
         for batch in batches:
             for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = tokenize(text.as_py(), segment) if text.is_valid else []
-                if found and (chunk // BLOCK_IDS != block or len(found) + len(own) > MOST_TERMS):
+                if found and (chunk // BLOCK_IDS != block or len(found) + len(own) > MOST_TERMS and chunk != ids[-1]):
                     yield _rows_of_range(block, np.array(ids), np.array(sizes), found)
                     ids, sizes, found = [], [], []
                 if own:
@@ -166,7 +169,8 @@ class Postings:
     def append(self, chunks: DataFrame, name: str, segment: Segmenter = words) -> None:
         """Adds chunks (chunk_id, text) that the index hasn't yet, as the folder name; one that is there already is an error.
 
-        Null and empty texts have no terms, null ids are left out, repeated rows must not be given. Extra columns are ignored."""
+        Null and empty texts have no terms, null ids are left out, rows of one id are texts of one chunk, each with places from 0 on.
+        Extra columns are ignored."""
         # texts move once, to the ranges of their ids; what is dealt out then are whole rows of the index
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # by number, as texts are small beside the work on them
         ranged = chunks.where("chunk_id IS NOT NULL").select("chunk_id", "text").repartition(parts, F.floor(F.col("chunk_id") / BLOCK_IDS)).sortWithinPartitions("chunk_id")

@@ -53,7 +53,8 @@ def keyword_match(tables: Tables, index: SearchIndex, least: float = 0.0) -> Dat
     """(request_id, chunk_id, places) of chunks that hold all terms of a request (@query_term) and that it may read."""
     hit = index.postings.match(tables["query_term"], least)
     named = {n: tables[n] for n in ("request_kb", "knowledge_base", "kb_member", "index_profile", "user_account", "index_generation", "document_version", "document", "document_acl")}
-    text = f"""SELECT h.request_id, h.chunk_id, h.places FROM @hit h JOIN @indexed_chunk c ON c.chunk_id = h.chunk_id JOIN ({READY_GENERATION}) r ON r.generation_id = c.generation_id AND r.profile_id = c.profile_id
+    # an id that chunks of two documents have is found once
+    text = f"""SELECT DISTINCT h.request_id, h.chunk_id, h.places FROM @hit h JOIN @indexed_chunk c ON c.chunk_id = h.chunk_id JOIN ({READY_GENERATION}) r ON r.generation_id = c.generation_id AND r.profile_id = c.profile_id
         JOIN ({ASKED}) q ON q.request_id = h.request_id AND q.kb_id = r.kb_id WHERE {MAY_READ}"""
     return apply(tables.spark, lambda _: text, named | {"hit": hit, "indexed_chunk": index.directory()})
 
