@@ -173,3 +173,26 @@ def test_texts_of_one_chunk_id_are_one_chunk(spark, tmp_path):
     want = con.sql(f"SELECT term, chunk_id, tf, positions FROM ({registry.ORACLES['keyword_postings']})").fetchall()
     assert sorted(map(tuple, got)) == sorted(want)
     assert ("b", 7001, 3, "1,1,2") in map(tuple, got)
+
+
+def test_only_texts_move_when_postings_are_made(spark, tmp_path):
+    rows = Postings(spark, str(tmp_path)).filed(spark.createDataFrame([(1, "a b")], "chunk_id long, text string"))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_equal_vectors_are_stored_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("veridex.operators.vectors.BLOCK_ROWS", 64)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(20, 8)).astype(np.float32)
+    of = np.append(rng.integers(0, 20, 900), np.zeros(600, int))
+    blocks = VectorBlocks(spark, str(tmp_path / "v"))
+    blocks.append(spark.createDataFrame([(k, x[v].tolist()) for k, v in enumerate(of.tolist())], "chunk_id long, embedding array<float>"), "a")
+    stored = blocks.blocks().collect()
+    assert sorted(c for r in stored for c in r.chunk_ids) == list(range(len(of)))
+    assert sum(len(r.data) for r in stored) < 60 * 8 * 4  # a vector of more than 64 chunks stands in several blocks
+    assert max(len(r.chunk_ids) for r in stored) < 600
+    live = blocks.places().select("block", "place", F.lit(0).alias("unit"))
+    got = blocks.top_k(spark.createDataFrame([(5, x[0].tolist())], "request_id long, embedding array<float>"), live, spark.createDataFrame([(5, 0)], "request_id long, unit int"), 700)
+    score = np.round(x[of].astype(float) @ x[0].astype(float), 6)
+    want = sorted(zip((-score).tolist(), range(len(of)), strict=True))[:700]
+    assert [(r.chunk_id, r.score) for r in got.orderBy("rank").collect()] == [(k, -s) for s, k in want]

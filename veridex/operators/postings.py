@@ -21,9 +21,9 @@ from .analysis import Segmenter, tokenize, words
 
 #: Ids of chunks are cut in ranges of this width.
 BLOCK_IDS = 1 << 18
-#: A row of the index. Terms that are sorted at once, and files of a shard.
-ROW = "term string, block long, n int, most int, chunk_steps array<bigint>, counts array<int>, place_steps array<int>"
-MOST_TERMS, SLICES = 1 << 20, 8
+#: A row of the index. Terms that are sorted at once.
+ROW = "term string, block long, n int, most int, chunk_steps array<int>, counts array<int>, place_steps array<int>"
+MOST_TERMS = 1 << 20
 #: Requests that meet a range's postings at once.
 BATCH = 1024
 SHARDS = 16
@@ -53,7 +53,7 @@ def _rows_of_range(block: int, ids: np.ndarray, sizes: np.ndarray, found: list[s
     held = np.append(first, len(start)).astype(np.int32)
     occurrences = np.append(start[first], len(code)).astype(np.int32)
     lists = lambda bounds, values, kind: pa.ListArray.from_arrays(pa.array(bounds), pa.array(values, kind))
-    columns = [named.dictionary, pa.array(np.full(len(first), block)), pa.array(np.diff(held), pa.int32()), pa.array(np.maximum.reduceat(counts, first), pa.int32()), lists(held, chunk_steps, pa.int64()), lists(held, counts, pa.int32()), lists(occurrences, place_steps, pa.int32())]
+    columns = [named.dictionary, pa.array(np.full(len(first), block)), pa.array(np.diff(held), pa.int32()), pa.array(np.maximum.reduceat(counts, first), pa.int32()), lists(held, chunk_steps, pa.int32()), lists(held, counts, pa.int32()), lists(occurrences, place_steps, pa.int32())]
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ROW.split(", ")])
 
 
@@ -171,12 +171,14 @@ class Postings:
 
         Null and empty texts have no terms, null ids are left out, rows of one id are texts of one chunk, each with places from 0 on.
         Extra columns are ignored."""
-        # texts move once, to the ranges of their ids; what is dealt out then are whole rows of the index
+        self.filed(chunks, segment).write.mode("errorifexists").partitionBy("shard").parquet(f"{self.path}/segment={name}")
+
+    def filed(self, chunks: DataFrame, segment: Segmenter = words) -> DataFrame:
+        """Rows of the index by shard and term. Texts move once, to the ranges of their ids, and nothing after that: each range's rows
+        are filed where they are made."""
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # by number, as texts are small beside the work on them
         ranged = chunks.where("chunk_id IS NOT NULL").select("chunk_id", "text").repartition(parts, F.floor(F.col("chunk_id") / BLOCK_IDS)).sortWithinPartitions("chunk_id")
-        rows = ranged.mapInArrow(_posted(segment), ROW).withColumn("shard", _shard("term", self.shards))
-        dealt = rows.repartition("shard", F.pmod("block", F.lit(SLICES))).sortWithinPartitions("shard", "term", "block")
-        dealt.write.mode("errorifexists").partitionBy("shard").parquet(f"{self.path}/segment={name}")
+        return ranged.mapInArrow(_posted(segment), ROW).withColumn("shard", _shard("term", self.shards)).sortWithinPartitions("shard", "term", "block")
 
     def blocks(self) -> DataFrame:
         return self.spark.read.schema(f"{ROW}, segment string, shard int").parquet(self.path)

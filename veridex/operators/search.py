@@ -100,7 +100,7 @@ def stored_index(tables: Tables, *parts: str) -> SearchIndex:
         "chunks": lambda: index.append_directory(tables["chunk"], tables["chunk_embedding"], "all"),
         # of all chunks: those without an embedding aren't in the directory
         "postings": lambda: index.postings.append(tables["chunk"].select("chunk_id", F.col("line").alias("text")), "all"),
-        "vectors": lambda: index.vectors.append(kept(tables["chunk_embedding"].select("chunk_id", "embedding")), "all"),
+        "vectors": lambda: index.vectors.append(tables["chunk_embedding"].select("chunk_id", "embedding"), "all"),
     }
     for part in parts:
         if (index.path, part) not in _parts:

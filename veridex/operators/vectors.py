@@ -1,7 +1,8 @@
 """Exact search among stored blocks of vectors, by bounds.
 
 Vectors are dealt into cells around the vectors of a bounded sample and cells into blocks of bounded size; a block is stored as
-one matrix with its centre and the radius that covers its rows. Who may read what stays out of the store: at search time each
+one matrix with its centre and the radius that covers its rows, and the ids of its chunks with the row of each: equal vectors are
+one row. Who may read what stays out of the store: at search time each
 block's rows are told apart by unit (a set of rows that is readable as a whole), and a request comes with its units.
 
 For a request q and a block with centre c and radius r, every product lies between q.c - |q| r and q.c + |q| r. The lower bounds
@@ -27,6 +28,8 @@ from ..plans.shared import kept
 BLOCK_ROWS, CELLS, SAMPLE, BATCH, CENTRES = 1024, 256, 4096, 512, 512
 #: Blocks are stored in row groups of about this size.
 GROUP_BYTES = 16 << 20
+#: So many ids are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 DIGITS = 6
 
 
@@ -67,48 +70,51 @@ class VectorBlocks:
 
         Embeddings must be whole (vector_validate says which are) and of one length. Without rows an empty folder is written."""
         rows = vectors.where("chunk_id IS NOT NULL AND embedding IS NOT NULL").select("chunk_id", "embedding")
+        rows = rows.withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")})
         single = rows.schema["embedding"].dataType.elementType == FloatType()
         kind = "<f4" if single else "<f8"  # products are of doubles either way
-        ids = rows.select("chunk_id").orderBy(F.xxhash64("chunk_id")).limit(SAMPLE)
-        sample = np.array([r.embedding for r in rows.join(F.broadcast(ids), "chunk_id", "left_semi").orderBy("chunk_id").collect()], float)
+        # chunks of one vector share it: only ids and hashes move for all, vectors for one chunk of each
+        named = kept(rows.select("chunk_id", "h1", "h2"))
+        counts = kept(named.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("chunk_id").alias("chunk_id")))
+        chosen = counts.select("chunk_id")
+        some = rows.join(F.broadcast(chosen) if counts.count() <= BROADCAST_ROWS else chosen, "chunk_id", "left_semi")
+        distinct = kept(some.join(counts, ["h1", "h2", "chunk_id"]).dropDuplicates(["h1", "h2"]).select("h1", "h2", "n", "embedding"))
+        sample = np.array([r.embedding for r in distinct.orderBy("h2", "h1").limit(SAMPLE).collect()], float)
         centres = _centres(sample, CELLS) if len(sample) else sample
 
-        def cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-            x = _matrix(batch.column("embedding")) if batch.num_rows else np.zeros((0, 1))
-            return x, ((-2 * x @ centres.T + (centres**2).sum(1)).argmin(1) if batch.num_rows else np.empty(0, int))
-
-        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(CELLS, int)
-            for batch in batches:
-                total += np.bincount(cells(batch)[1], minlength=CELLS)
-            found = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], names=["cell", "n"])
-
         def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x, cell = cells(batch)
+                x = _matrix(batch.column("embedding")) if batch.num_rows else np.zeros((0, 1))
+                cell = (-2 * x @ centres.T + (centres**2).sum(1)).argmin(1) if batch.num_rows else np.empty(0, int)
                 data = [v.tobytes() for v in x.astype(kind)]
-                yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), pa.array(cell, pa.int32()), pa.array(data, pa.binary())], names=["chunk_id", "cell", "data"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h1", "h2", "n")), pa.array(cell, pa.int32()), pa.array(data, pa.binary())], names=["h1", "h2", "n", "cell", "data"])
 
-        sizes = {r.cell: r.n for r in rows.select("embedding").mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # a row for each cell
+        placed = kept(distinct.mapInArrow(dealt, "h1 long, h2 long, n long, cell int, data binary"))
+        sizes = {r.cell: r.n for r in placed.groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # a row for each cell
         parts = F.ceil((F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("cell")] if sizes else F.lit(1)) / BLOCK_ROWS)
-        placed = rows.mapInArrow(dealt, "chunk_id long, cell int, data binary").withColumn("part", F.pmod(F.xxhash64("chunk_id"), parts))
+        # chunks of a vector that more than a block has are dealt over several
+        often = counts.where(F.col("n") > BLOCK_ROWS).select("h1", "h2", F.ceil(F.col("n") / BLOCK_ROWS).alias("k"))
+        salt = F.when(F.col("k").isNotNull(), F.pmod(F.xxhash64("chunk_id"), "k")).otherwise(0)
+        listed = named.join(often, ["h1", "h2"], "left").groupBy("h1", "h2", salt.alias("salt")).agg(F.collect_list("chunk_id").alias("ids"))
+        full = listed.join(placed, ["h1", "h2"]).select("cell", F.pmod(F.xxhash64("h1", "h2", "salt"), parts).alias("part"), "ids", "data")
 
         def packed(t: pa.Table) -> pa.Table:
-            ids = t.column("chunk_id").to_numpy()
-            order = np.argsort(ids)
-            x = np.frombuffer(b"".join(t.column("data").to_pylist()), kind).reshape(len(ids), -1)[order].astype(float)
-            centre = x.mean(0)
+            lists = t.column("ids").combine_chunks()
+            ids = lists.flatten().to_numpy()
+            order = np.argsort(ids, kind="stable")
+            of = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())[order]
+            x = np.frombuffer(b"".join(t.column("data").to_pylist()), kind).reshape(len(lists), -1)
+            centre = x.mean(0, dtype=float)
             radius = float(np.sqrt(((x - centre) ** 2).sum(1).max()))
-            return pa.table({"block": [f"{name}/{t.column('cell')[0]}/{t.column('part')[0]}"], "centre": [centre.tolist()], "radius": [radius], "chunk_ids": [ids[order].tolist()], "data": [x.tobytes()]})
+            return pa.table({"block": [f"{name}/{t.column('cell')[0]}/{t.column('part')[0]}"], "centre": [centre.tolist()], "radius": [radius], "chunk_ids": [ids[order].tolist()], "vectors": pa.array([of.tolist()], pa.list_(pa.int32())), "data": [x.tobytes()]})
 
-        blocks = placed.groupBy("cell", "part").applyInArrow(packed, "block string, centre array<double>, radius double, chunk_ids array<long>, data binary")
+        blocks = full.groupBy("cell", "part").applyInArrow(packed, "block string, centre array<double>, radius double, chunk_ids array<long>, vectors array<int>, data binary")
         # a reader takes up to 4096 rows of a row group at once, and a row here is a whole matrix
         groups = {"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 4}
         blocks.write.mode("errorifexists").options(**groups).parquet(f"{self.path}/segment={name}")
 
     def blocks(self) -> DataFrame:
-        return self.spark.read.schema("block string, centre array<double>, radius double, chunk_ids array<bigint>, data binary, segment string").parquet(self.path)
+        return self.spark.read.schema("block string, centre array<double>, radius double, chunk_ids array<bigint>, vectors array<int>, data binary, segment string").parquet(self.path)
 
     def places(self) -> DataFrame:
         """(chunk_id, block, place) of all rows, read without the vectors."""
@@ -154,19 +160,21 @@ class VectorBlocks:
         meeting = open_pairs.select("request_id", "block", "units", batch.alias("batch")).join(asked, "request_id")
         work = meeting.groupBy("block", "batch").agg(F.collect_list(F.struct("request_id", "embedding", "units")).alias("requests"))
         of_block = units.groupBy("block").agg(F.collect_list(F.struct("unit", "places")).alias("units"))
-        ready = work.join(of_block, "block").join(self.blocks().select("block", "chunk_ids", "data"), "block")
+        ready = work.join(of_block, "block").join(self.blocks().select("block", "chunk_ids", "vectors", "centre", "data"), "block")
 
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in rows:
                 for i in range(batch.num_rows):
                     requests, units = batch.column(0)[i].values, batch.column(1)[i].values
                     ids = batch.column(2)[i].values.to_numpy()
-                    x = np.frombuffer(batch.column(3)[i].as_buffer()).reshape(len(ids), -1)
+                    of, wide = batch.column(3)[i].values.to_numpy(), len(batch.column(4)[i])
+                    data = batch.column(5)[i].as_buffer()
+                    x = np.frombuffer(data, "<f4" if data.size == 4 * wide * (of.max() + 1) else "<f8").astype(float).reshape(-1, wide)
                     rows_of = _members(units.field("places").flatten().to_numpy(), units.field("places"), len(ids))
                     named = pc.index_in(requests.field("units").flatten(), value_set=units.field("unit")).to_numpy()
                     units_of = _members(named, requests.field("units"), len(units))
                     embeddings = requests.field("embedding").flatten().to_numpy().reshape(len(requests), -1)
-                    score = np.round(embeddings @ x.T, DIGITS) + 0.0
+                    score = np.round(embeddings @ x.T, DIGITS)[:, of] + 0.0
                     score[units_of @ rows_of == 0] = -np.inf
                     order = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids are sorted, so equal scores go by id
                     best = np.take_along_axis(score, order, 1)
@@ -174,6 +182,6 @@ class VectorBlocks:
                     names = requests.field("request_id").to_numpy()[row]
                     yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids[order[row, col]]), pa.array(best[row, col])], names=["request_id", "chunk_id", "score"])
 
-        found = ready.select("requests", "units", "chunk_ids", "data").mapInArrow(run, "request_id long, chunk_id long, score double")
+        found = ready.select("requests", "units", "chunk_ids", "vectors", "centre", "data").mapInArrow(run, "request_id long, chunk_id long, score double")
         rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "chunk_id")).cast("long")
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
