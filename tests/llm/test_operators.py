@@ -475,6 +475,38 @@ def test_changed_passages_whose_phrases_stand_in_other_documents(spark, monkeypa
     assert all(r["start_word"] <= 36 and r["end_word"] >= 84 and r["start_word"] - r["other_start"] == 10 for r in got)
 
 
+def test_changed_passages_whose_common_seeds_are_far_apart(spark):
+    # of each 21 words eight in a row are equal, and each seed of theirs is in eight documents
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    texts, want = [], set()
+    for _ in range(5):
+        passage = some(71)
+        crowd = lambda: [some(12) + passage[k : k + 8] + some(12) for k in range(64) for _ in range(3)]  # noqa: B023, E731
+        texts += crowd() + [some(20) + passage + some(20)]
+        at = len(texts) - 1
+        texts += crowd() + [some(30) + [w if k % 21 not in (8, 14, 20) else f"new{k}" for k, w in enumerate(passage)] + some(10)]
+        want.add((len(texts) - 1, at))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = substring_dedup.repeated_passages(df).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got} == want
+    assert all(r["start_word"] <= 30 and r["end_word"] >= 101 and r["start_word"] - r["other_start"] == 10 for r in got)
+
+
+def test_changed_passages_of_phrases_that_recur_in_both_documents(spark):
+    rng = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(50_000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    phrases = [some(7) for _ in range(10)]
+    apart = lambda n: [w for _ in range(n) for p in rng.sample(phrases, 10) for w in some(12) + p]
+    passage = lambda: [w for p in phrases for w in p + some(1)]
+    texts = [apart(4) + some(12) + passage() + some(12) + apart(8), apart(9) + some(12) + passage() + some(12) + apart(3)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [(r["doc_id"], r["start_word"], r["other_id"], r["other_start"], r["matches"]) for r in substring_dedup.repeated_passages(df).collect()]
+    assert got == [(1, 9 * 190 + 12, 0, 4 * 190 + 12, 70)]
+
+
 def test_near_seeds_of_many_documents_all_meet():
     # ten documents hold two seeds, each with words of its own between, and forty are copies of the first
     one = np.uint64(1)
